@@ -1,9 +1,12 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import simhash
+from docloom.llm import fm_index, mixing, shards, simhash
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1,
+    "op4_benchmark_decontamination": fm_index.op4,
     "op7_simhash_near_dedup": simhash.op7,
+    "op9_external_shuffle": shards.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
