@@ -1,12 +1,14 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import fm_index, mixing, shards, simhash
+from docloom.llm import fm_index, line_dedup, mixing, shards, simhash, va_file
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op2_line_dedup": line_dedup.op2,
     "op4_benchmark_decontamination": fm_index.op4,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_va_file_top_k": va_file.op8,
     "op9_external_shuffle": shards.op9,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_va_file_top_k": va_file.ORACLE}
