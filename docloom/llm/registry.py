@@ -1,11 +1,13 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import fm_index, line_dedup, mixing, shards, simhash, va_file
+from docloom.llm import fm_index, language_id, line_dedup, mixing, shards, simhash, toxicity, va_file
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_line_dedup": line_dedup.op2,
     "op4_benchmark_decontamination": fm_index.op4,
+    "op5_toxicity": toxicity.op5,
+    "op6_language_id": language_id.op6,
     "op7_simhash_near_dedup": simhash.op7,
     "op8_va_file_top_k": va_file.op8,
     "op9_external_shuffle": shards.op9,
