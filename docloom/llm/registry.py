@@ -1,6 +1,6 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import fm_index, language_id, line_dedup, mixing, shards, simhash, toxicity, va_file
+from docloom.llm import fm_index, language_id, line_dedup, mixing, ngram_lm, shards, simhash, toxicity, va_file
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7,
     "op8_va_file_top_k": va_file.op8,
     "op9_external_shuffle": shards.op9,
+    "op10_ngram_lm": ngram_lm.op10,
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_va_file_top_k": va_file.ORACLE}
