@@ -15,12 +15,9 @@ repeated. Part sizes are bounded by more parts, so the memory of a task doesn't
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import bounded_batches, fold, materialise, scratch, table
+from docloom.llm.sorted_arrays import Sorted, Store, added, emit, gather, part_bits
 
 FOLDS, HELD_OUT = 5, 1
 CHUNK = 1 << 20
-#: Entries of a part before equal ones are added up, about.
-PART_ENTRIES = 1_500_000
 _MIX, _UNMIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -91,106 +87,6 @@ def unmixed(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-class Store:
-    """Arrays by name in the shared folder. Workers map those of a file system; others are fetched once a worker."""
-
-    def __init__(self, root: str):
-        self.root = root
-
-    def _local(self) -> str | None:
-        parsed = urlparse(self.root)
-        return parsed.path if parsed.scheme in ("", "file") else None
-
-    def put(self, name: str, array: np.ndarray) -> None:
-        data = np.ascontiguousarray(array)
-        if (local := self._local()) is not None:
-            os.makedirs(local, exist_ok=True)
-            part = f"{local}/.{name}-{uuid.uuid4().hex}"
-            data.tofile(part)
-            os.replace(part, f"{local}/{name}")
-        else:
-            from pyarrow import fs
-
-            system, path = fs.FileSystem.from_uri(self.root)
-            with system.open_output_stream(f"{path}/{name}") as out:
-                out.write(data.tobytes())
-
-    def get(self, name: str, dtype, count: int) -> np.ndarray:
-        if not count:
-            return np.zeros(0, dtype)
-        if (local := self._local()) is not None:
-            return np.memmap(f"{local}/{name}", dtype, "r", shape=(count,))
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.root)
-        copy = f"{tempfile.gettempdir()}/{xxhash.xxh64_hexdigest(self.root)}-{name}"
-        if not os.path.exists(copy):
-            part = f"{copy}-{uuid.uuid4().hex}"
-            with system.open_input_stream(f"{path}/{name}") as src, open(part, "wb") as out:
-                while block := src.read(1 << 24):
-                    out.write(block)
-            os.replace(part, copy)
-        return np.memmap(copy, dtype, "r", shape=(count,))
-
-
-class Sorted:
-    """Sorted keys in parts by their leading bits; values are arrays stored alike."""
-
-    def __init__(self, store: Store, name: str, dtype, bits: int, width: int, counts: list[int]):
-        self.store, self.name, self.dtype, self.bits, self.width = store, name, dtype, bits, width
-        self.offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-    def part_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> keys.dtype.type(self.width - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-
-    def open(self, *values: tuple[str, type]) -> "Sorted":
-        n = np.diff(self.offsets)
-        self.keys = [self.store.get(f"{self.name}-{p}", self.dtype, int(k)) for p, k in enumerate(n)]
-        self.values = {v: [self.store.get(f"{v}-{p}", t, int(k)) for p, k in enumerate(n)] for v, t in values}
-        return self
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number of each of the sorted keys, -1 for those that aren't there."""
-        out = np.full(len(keys), -1, np.int64)
-        edges = np.searchsorted(self.part_of(keys), np.arange(len(self.keys) + 1))
-        for p, have in enumerate(self.keys):
-            a, b = edges[p], edges[p + 1]
-            if a < b and len(have):
-                at = np.searchsorted(have, keys[a:b])
-                hit = have[np.minimum(at, len(have) - 1)] == keys[a:b]
-                out[a:b][hit] = at[hit] + self.offsets[p]
-        return out
-
-    def take(self, value: str, numbers: np.ndarray, missing: float) -> np.ndarray:
-        """Values of sorted numbers; missing for -1 and beyond."""
-        out = np.full(len(numbers), missing, np.float64)
-        edges = np.searchsorted(numbers, self.offsets)
-        for p, have in enumerate(self.values[value]):
-            a, b = edges[p], edges[p + 1]
-            if a < b:
-                out[a:b] = have[numbers[a:b] - self.offsets[p]]
-        return out
-
-
-def _bits(entries: int) -> int:
-    return max(3, int(np.ceil(np.log2(max(1, entries) / PART_ENTRIES))))
-
-
-def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their sums."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(n, first)
-
-
-def _emit(part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(keys), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 18)]) for x in (part.astype(np.int32), keys.view(np.int64), n.astype(np.int64))], ["part", "key", "n"])
-
-
 def _count_words(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, held = [], [], 0
@@ -200,12 +96,12 @@ def _count_words(bits: int) -> Callable:
             n.append(np.bincount(at, minlength=len(distinct)))
             held += len(distinct)
             if held > 1 << 21:
-                k, c = _added(np.concatenate(keys), np.concatenate(n))
-                yield from _emit(k >> (63 - bits), k, c)
+                k, c = added(np.concatenate(keys), np.concatenate(n))
+                yield from emit(k >> (63 - bits), k, c)
                 keys, n, held = [], [], 0
         if keys:
-            k, c = _added(np.concatenate(keys), np.concatenate(n))
-            yield from _emit(k >> (63 - bits), k, c)
+            k, c = added(np.concatenate(keys), np.concatenate(n))
+            yield from emit(k >> (63 - bits), k, c)
 
     return run
 
@@ -219,25 +115,14 @@ def _count_pairs(vocab: Sorted, bits: int) -> Callable:
             first, second = pairs(vocab.find(distinct)[at], sizes, size + 1, size)
             keys = np.sort(mixed(first, second))
             start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            yield from _emit((keys[start] >> np.uint64(64 - bits)).astype(np.int64), keys[start], np.diff(np.r_[start, len(keys)]))
+            yield from emit((keys[start] >> np.uint64(64 - bits)).astype(np.int64), keys[start], np.diff(np.r_[start, len(keys)]))
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(part, keys, sums) of the parts that a task holds."""
-    held = [(b.column("part").to_numpy(), b.column("key").to_numpy().view(dtype), b.column("n").to_numpy()) for b in batches if b.num_rows]
-    if held:
-        part, keys, n = (np.concatenate(x) for x in zip(*held))
-        del held
-        for p in np.unique(part):
-            mine = part == p
-            yield int(p), *_added(keys[mine], n[mine])
-
-
 def _store_words(store: Store) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, n in _gather(batches, np.int64):
+        for p, keys, n in gather(batches, np.int64):
             store.put(f"word-{p}", keys)
             store.put(f"count-{p}", n)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "size", "n"])
@@ -254,7 +139,7 @@ def _store_pairs(store: Store) -> Callable:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, n in _gather(batches, np.uint64):
+        for p, keys, n in gather(batches, np.uint64):
             if n.max(initial=0) >= 1 << 32:
                 raise OverflowError("a pair occurs 2**32 times or more")
             store.put(f"pair-{p}", keys)
@@ -375,14 +260,14 @@ def train(docs: DataFrame) -> Model:
     store = Store(f"{scratch(spark)}/docloom-lm-{uuid.uuid4().hex}")
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = _bits(size // 12)  # words of a task are added up before they are dealt
+    bits = part_bits(size // 12)  # words of a task are added up before they are dealt
     counted = texts.mapInArrow(_count_words(bits), "part int, key long, n long").repartition(1 << bits, "part")
     parts = {r.part: (r["size"], r.n) for r in counted.mapInArrow(_store_words(store), "part int, size long, n long").collect()}  # one row per part
     vocab = Sorted(store, "word", np.int64, bits, 63, [parts.get(p, (0, 0))[0] for p in range(1 << bits)])
     n_words, n_tokens = int(vocab.offsets[-1]), sum(n for _, n in parts.values()) + n_docs
     if n_words >= (1 << 32) - 2:
         raise ValueError("more than 2**32 distinct words")
-    bits = _bits(size // 6)
+    bits = part_bits(size // 6)
     counted = texts.mapInArrow(_count_pairs(vocab, bits), "part int, key long, n long").repartition(1 << bits, "part")
     stored = counted.mapInArrow(_store_pairs(store), "part int, size long, id long, a long, b long, c long, d long")
     stats = materialise(stored.groupBy("id", "part").agg(*(F.sum(c).alias(c) for c in ("size", "a", "b", "c", "d"))), "lm")

@@ -1,10 +1,11 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import fm_index, language_id, line_dedup, mixing, ngram_lm, shards, simhash, toxicity, va_file
+from docloom.llm import fm_index, language_id, line_dedup, mixing, ngram_lm, shards, simhash, suffix_dedup, toxicity, va_file
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_line_dedup": line_dedup.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_benchmark_decontamination": fm_index.op4,
     "op5_toxicity": toxicity.op5,
     "op6_language_id": language_id.op6,
