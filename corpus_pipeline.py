@@ -17,9 +17,9 @@ MIN_CONFIDENCE = 0.5
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with MIN_CONFIDENCE; a missing lang is filled in. Texts that are null or have no letters go."""
     model = language_id.train(language_id.learnt_rows(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
-    found = language_id.identify(docs, model)
+    found = language_id.identify(docs.select("text", F.struct(*docs.columns).alias("record")), model)
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_CONFIDENCE))
-    return kept.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    return kept.select(*(F.coalesce("record.lang", "lang_pred").alias("lang") if c == "lang" else F.col("record")[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
