@@ -291,9 +291,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     A span is cut from the first byte of its first word to the last byte of its last word.
     """
-    found = find(docs, benchmark, window)
-    cols = [c for c in found.columns if c not in ("spans", "items", "n_words")]
-    schema = T.StructType([docs.schema[c] for c in cols])
+    found = find(docs.select("text", F.struct(*docs.columns).alias("record")), benchmark, window)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("record", docs.select(F.struct(*docs.columns).alias("record")).schema["record"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -310,9 +309,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                         kept.append(raw[end : at[s["start"]][0]])
                         end = at[s["stop"] - 1][1]
                     texts[k] = b"".join([*kept, raw[end:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in cols], cols)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("record")], ["text", "record"])
 
-    return found.select(*cols, "spans").mapInArrow(run, schema)
+    cut = found.select("text", "record", "spans").mapInArrow(run, schema)
+    return cut.select(*(F.col("text") if c == "text" else F.col("record")[c].alias(c) for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,8 +132,8 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: str = SEED) -> DataFrame:
     """The documents that the mixture keeps, with their own columns."""
-    raked = rake(docs, targets)
-    return raked.where(draw(F.col("doc_id"), seed) < F.col("keep_prob")).select(*docs.columns)
+    raked = rake(docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("record")), targets)
+    return raked.where(draw(F.col("doc_id"), seed) < F.col("keep_prob")).select("record.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

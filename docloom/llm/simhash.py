@@ -112,17 +112,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of prints (doc_id, fp)."""
+    """(fp, root, component_id) for each distinct fingerprint of prints (doc_id, fp); root tells components apart even where ids repeat."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     reach = components(links(nodes.select("fp")))
     # components() orders by fingerprint; the component's id is its smallest doc_id
     root = nodes.join(reach, nodes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return root.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    return root.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, fp, component_id) for every row of docs.
+    """(doc_id, row_key, fp, root, component_id) for every row of docs.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated rows and repeated ids stay
     separate rows. A null doc_id never names a component unless all its documents have none. An empty table gives no rows.
@@ -134,11 +134,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id (ties: smallest row key) stays, with all columns."""
     found = near_duplicates(docs)
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("best"))
-    kept = best.select(F.col("best.row_key").alias("__row_key"))
-    cols = docs.columns
-    marked = docs.withColumn("__row_key", row_key())
-    return marked.join(kept.hint("shuffle_hash"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*cols)
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key")).alias("best"))
+    kept = best.select(F.col("best.row_key").alias("row_key"))
+    marked = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("record"))
+    return marked.join(kept.hint("shuffle_hash"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("record.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
