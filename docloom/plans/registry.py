@@ -1,5 +1,395 @@
-"""Queries over the driver's tables and the SQL that checks them."""
+"""Queries over the driver's tables and the SQL that checks them.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+The tables hold no requirement documents, rosters or marks; where an operator needs one, its input is made from columns of
+the tables inside the query, over all their rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import marks
+from docloom.functions import text as X
+from docloom.operators import compare, matching, scoring, shaping, similarity
+from docloom.plans import rubric
+from docloom.sources import store
+
+#: The whitespace class in DuckDB's dialect.
+_WS = r"'[\s\p{Z}' || chr(28) || '-' || chr(31) || chr(133) || ']'"
+_STRIP = "regexp_replace({0}, '^' || ws || '+|' || ws || '+$', '', 'g')"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{str(d).rstrip('/')}/{name}.parquet")
+
+
+def _rows(spark, d):
+    return similarity.document_rows(_t(spark, d, "documents"))
+
+
+def line_rows(spark, d):
+    return _rows(spark, d).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "text")
+
+
+_LINES = f"""
+w AS (SELECT {_WS} AS ws),
+rows_ AS MATERIALIZED (
+  SELECT doc_id, row_idx, text FROM (
+    SELECT doc_id, nr - 1 AS row_idx, {_STRIP.format("regexp_replace(line, '(?i)\\b[a-z]{2,6}-(?:F|NF|SEC)-[0-9]{2,4}\\b', '', 'g')")} AS text, ws
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents), w)
+  WHERE len(list_filter(regexp_split_to_array(text, ws || '+'), lambda x: x <> '')) >= 5)"""
+_TOKENS = f"""{_LINES},
+toks AS MATERIALIZED (SELECT doc_id, row_idx, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM rows_),
+lists AS MATERIALIZED (SELECT DISTINCT array_to_string(t, ' ') AS k, t FROM toks WHERE len(t) > 0),
+sh AS MATERIALIZED (SELECT k, list_distinct(CASE WHEN len(t) < 5 THEN [k] ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' ')) END) AS s FROM lists),
+ex AS MATERIALIZED (SELECT k, len(s) AS n, unnest(s) AS g FROM sh),
+jp AS MATERIALIZED (
+  SELECT a.k AS x, b.k AS y, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard
+  FROM ex a JOIN ex b ON a.g = b.g GROUP BY a.k, b.k HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.55)"""
+_COMMON = f"""{_TOKENS},
+held AS (SELECT DISTINCT array_to_string(t, ' ') AS k, doc_id FROM toks WHERE len(t) > 0),
+near AS MATERIALIZED (SELECT DISTINCT jp.x AS k, h.doc_id FROM jp JOIN held h ON h.k = jp.y),
+own AS (SELECT k, count(*) AS owners FROM near GROUP BY k),
+common AS MATERIALIZED (SELECT t.doc_id, t.row_idx, o.owners FROM toks t JOIN own o ON o.k = array_to_string(t.t, ' ') WHERE len(t.t) > 0 AND o.owners >= 3)"""
+_COPIED = f"""{_COMMON},
+keep AS MATERIALIZED (SELECT t.*, array_to_string(t.t, ' ') AS k FROM toks t ANTI JOIN common c ON t.doc_id = c.doc_id AND t.row_idx = c.row_idx WHERE len(t.t) > 0),
+copied AS (
+  SELECT a.doc_id AS doc_a, a.row_idx AS row_a, b.doc_id AS doc_b, b.row_idx AS row_b, round(jp.jaccard, 3) AS jaccard
+  FROM keep a JOIN jp ON jp.x = a.k JOIN keep b ON b.k = jp.y WHERE a.doc_id < b.doc_id)"""
+
+
+def shingle_counts(spark, d):
+    t = X.word_tokens(F.col("text"))
+    return _rows(spark, d).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), F.size(t).cast("long").alias("n_tokens"), F.size(X.shingles(t)).cast("long").alias("n_shingles"))
+
+
+def shingle_jaccard_pairs(spark, d):
+    lists = similarity.token_lists(_rows(spark, d))
+    names = lists.select("list_id", F.array_join("tokens", " ").alias("k"))
+    pairs = similarity.jaccard_pairs(lists)
+    out = pairs.join(names.toDF("a", "ka"), "a").join(names.toDF("b", "kb"), "b")
+    return out.select(F.least("ka", "kb").alias("tokens_a"), F.greatest("ka", "kb").alias("tokens_b"), F.round("jaccard", 3).alias("jaccard"))
+
+
+def boilerplate_lines(spark, d):
+    rows = _rows(spark, d)
+    out = similarity.boilerplate(rows, similarity.list_pairs(rows, structural=False))
+    return out.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("owners").cast("long").alias("owners"))
+
+
+def _copied(spark, d, structural):
+    out = similarity.copied_rows(_rows(spark, d), structural)
+    return out.select("doc_a", F.col("row_a").cast("long").alias("row_a"), "doc_b", F.col("row_b").cast("long").alias("row_b"), "jaccard", "structural_similarity")
+
+
+def copied_lines_jaccard(spark, d):
+    return _copied(spark, d, False).drop("structural_similarity")
+
+
+def copied_lines(spark, d):
+    return _copied(spark, d, True)
+
+
+def flagged_documents(spark, d):
+    out = similarity.flagged(similarity.copied_rows(_rows(spark, d), structural=False))
+    return out.select("doc_id", F.size("others").cast("long").alias("n_others"), F.array_join(F.transform("others", lambda x: x.cast("string")), ",").alias("others"))
+
+
+_CITED = "[substr(text, 1, 24), upper(source), 'ZZ-F-' || doc_id, '', source || chr(8209) || 'x']"
+
+
+def citation_grounding(spark, d):
+    docs = _t(spark, d, "documents")
+    cited = F.array(F.substring("text", 1, 24), F.upper("source"), F.concat(F.lit("ZZ-F-"), F.col("doc_id").cast("string")), F.lit(""), F.concat("source", F.lit("‑x")))
+    hay = shaping.haystack(F.concat("text", F.lit("\n"), F.col("source")), F.lit(None).cast(f"array<{shaping.TABLE}>"))
+    g = scoring.grounding(hay, cited)
+    return docs.select(
+        "doc_id", g["cited_count"].alias("cited_count"), g["grounded_count"].alias("grounded_count"), g["grounded_fraction"].alias("grounded_fraction"), F.array_join(g["ungrounded_ids"], "|").alias("ungrounded")
+    )
+
+
+_NORM = "regexp_replace(regexp_replace(upper(replace(coalesce({0}, ''), 'ß', 'SS')), '[-‐‑‒–—]', '-', 'g'), ws, '', 'g')"
+
+
+def normalize_ids(spark, d):
+    p = _t(spark, d, "part")
+    raw = F.concat(F.substring("p_type", 1, 3), F.lit("–f\n‑ "), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(" "), F.col("p_name"))
+    return p.select("p_partkey", X.normal_id(raw).alias("id"))
+
+
+def requirement_lines(spark, d):
+    docs = _t(spark, d, "documents")
+    line = F.concat(F.lit("• ABC‑F‑"), F.lpad(F.pmod("doc_id", F.lit(1000)).cast("string"), 3, "0"), F.when(F.col("doc_id") % 3 == 0, " (must) — ").when(F.col("doc_id") % 3 == 1, ": ").otherwise(" "), F.col("source"), F.lit(" shall ABC-NF-01 keep it "))
+    return docs.select("doc_id", X.requirement_id(line).alias("req_id"), X.requirement_text(line).alias("requirement"), X.without_ids(line).alias("without_ids"))
+
+
+def resubmissions(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("input_ord"), F.concat(F.lit("Team "), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit(" ("), (F.col("o_orderkey") % 4).cast("string"), F.lit(")"))).otherwise(""), F.when(F.col("o_orderkey") % 2 == 0, ".pdf").otherwise(".docx")).alias("filename"))
+    return matching.latest_resubmission(o)
+
+
+def forward_fill(spark, d):
+    li = _t(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 16).alias("sheet"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_idx"), F.when(F.col("l_linenumber") % 3 == 1, F.col("l_orderkey")).alias("team_id"),
+        F.when((F.col("l_linenumber") % 3 == 1) & (F.col("l_quantity") > 10), F.col("l_quantity")).alias("mark"), F.when(F.col("l_suppkey") % 11 > 0, F.col("l_suppkey").cast("string")).alias("member"), F.col("l_extendedprice").alias("tie"),
+    )
+    one = li.groupBy("sheet", "row_idx").agg(F.max("team_id").alias("team_id"), F.max("mark").alias("mark"), F.max("member").alias("member"))
+    return matching.fill_teams(one, ["mark"]).select("sheet", "row_idx", "team_id", "mark", "member")
+
+
+def content_match(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    roster = _t(spark, d, "benchmark").select(F.col("item_id").alias("team_ord"), F.lit(0).alias("member_ord"), F.substring("text", 1, 12).alias("member"), F.substring("text", 1, 30).alias("srn"))
+    return matching.content_matches(docs, roster).select("doc_id", "team_ord", "member", "confidence")
+
+
+def name_overlap(spark, d):
+    p, n = _t(spark, d, "part"), _t(spark, d, "nation")
+    a, b = X.name_tokens(F.concat(F.col("p_type"), F.lit(" nation 1"))), X.name_tokens(F.concat_ws("_", F.col("n_name"), F.lit("nation BRASS")))
+    return p.join(F.broadcast(n)).select("p_partkey", "n_nationkey", F.round(X.jaccard(a, b), 6).alias("overlap"))
+
+
+def name_match(spark, d):
+    names = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.col("s_name"), F.lit(" supplier")).alias("name"))
+    roster = _t(spark, d, "nation").select(F.col("n_nationkey").alias("team_ord"), F.lit(0).alias("member_ord"), F.concat(F.lit("Supplier "), F.col("n_name")).alias("member"))
+    return matching.best_names(matching.name_candidates(names, roster), 0.3).select("file_id", "team_ord", "similarity")
+
+
+def rubric_scores(spark, d):
+    e = _t(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    value = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('"'), k, F.lit('"'))).when(F.col("event_id") % 5 == 1, F.concat(k, F.lit(".7"))).when(F.col("event_id") % 5 == 2, F.concat(F.lit('"'), k, F.lit('.5"'))).when(F.col("event_id") % 5 == 3, F.concat(F.lit("-"), k)).otherwise(k)
+    per = e.select("event_id", F.lit("srs").alias("doc_type"), F.element_at(F.array(*[F.lit(c[0]) for c in rubric.CRITERIA["srs"]]), (F.pmod("user_id", F.lit(4)) + 1).cast("int")).alias("key"), value.alias("value"))
+    return scoring.clamp_scores(per).select("event_id", "key", "score")
+
+
+def _sads(spark, d):
+    keys = rubric.CRITERIA["sads"]
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.element_at(F.array(*[F.lit(c[0]) for c in keys]), (F.pmod("l_partkey", F.lit(len(keys))) + 1).cast("int")).alias("key"), F.col("l_quantity"))
+    per = li.groupBy("doc_id", "key").agg(F.max("l_quantity").alias("q")).select("doc_id", F.lit("sads").alias("doc_type"), "key", F.pmod(F.col("q").cast("int"), F.lit(6)).cast("string").alias("value"))
+    return scoring.clamp_scores(per)
+
+
+def group_subtotals(spark, d):
+    return _sads(spark, d).groupBy("doc_id", "group").agg(F.sum("score").cast("long").alias("score"), F.sum("max").cast("long").alias("max"))
+
+
+def rubric_totals(spark, d):
+    total = _sads(spark, d).groupBy("doc_id").agg(F.sum("score").cast("long").alias("total_score"))
+    return total.select("doc_id", "total_score", F.round(F.col("total_score") * 100 / 20.0, 1).alias("percentage"), marks.score_badge(F.col("total_score") * 100 / 20.0).alias("badge"))
+
+
+def diagram_kinds(spark, d):
+    p = _t(spark, d, "part")
+    w, h = F.col("p_size") * 20 + 150, F.pmod("p_partkey", F.lit(900)).cast("int") + 150
+    guess, structure = marks.diagram_kind(w, h, F.pmod("p_partkey", F.lit(5)), F.pmod(F.col("p_size"), F.lit(4)), F.pmod("p_partkey", F.lit(41)))
+    return p.select("p_partkey", guess.alias("type_guess"), structure.alias("has_structure"))
+
+
+def _comparison(spark, d):
+    c = _t(spark, d, "customer")
+    teams = c.select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_name")).alias("team_name"), F.col("c_custkey").cast("double").alias("excel_team_id"),
+        *(F.when(F.col("c_custkey") % m > 0, F.pmod(F.floor("c_acctbal"), F.lit(top)).cast("double")).alias(n) for n, m, top in (("srs_mark", 5, 11), ("test_plan_mark", 6, 9), ("sad_mark", 4, 21))),
+    )
+    o = _t(spark, d, "orders")
+    doc_type = F.element_at(F.array(F.lit("srs"), F.lit("test_plan"), F.lit("sads")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
+    subs = o.select(F.when(F.col("o_orderkey") % 13 > 0, F.col("o_custkey")).alias("team_pk"), doc_type.alias("doc_type"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")).alias("mtime"), F.col("o_orderkey").alias("input_ord"))
+    top = F.when(doc_type == "srs", 12).when(doc_type == "test_plan", 13).otherwise(20)
+    scores = o.where(F.col("o_orderkey") % 4 > 0).select(doc_type.alias("doc_type"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("source"), F.col("o_orderkey").alias("path"), F.pmod(F.floor("o_totalprice"), top).alias("total_score"), top.alias("max_total"))
+    hand = spark.createDataFrame([("srs", 10.0), ("test_plan", 8.0), ("sads", 20.0)], "doc_type string, hand_max double")
+    return compare.compare(subs, teams, scores, hand)
+
+
+def hand_vs_system(spark, d):
+    r = _comparison(spark, d)
+    return r.select("doc_type", "team_pk", "name", "filename", F.col("picked_from").cast("long").alias("picked_from"), "status", "hand_score", F.col("sys_score").cast("long").alias("sys_score"), *(F.round(c, 6).alias(c) for c in ("sys_pct", "hand_pct", "sys_scaled_to_hand", "diff_scaled", "diff_pct")))
+
+
+def grade_agreement(spark, d):
+    a = compare.agreement(_comparison(spark, d))
+    return a.select("doc_type", *(F.col(c).cast("long").alias(c) for c in ("n", "n_no_hand_mark", "n_no_score")), *(F.round(c, 6).alias(c) for c in ("mean_diff", "mean_abs_diff", "stddev_diff", "mean_diff_pct", "mean_abs_diff_pct", "stddev_diff_pct")))
+
+
+def _scored_documents(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    j = docs.select("doc_id", "source", "lang", "n_chars").join(labels, "doc_id", "left")
+    flags = F.when(F.col("toxic") == 1, F.concat(F.lit("SCORING ERROR: toxic text in "), F.col("source"), F.lit(", language "), F.col("lang"), F.lit(", to be read by a person"))).when(F.col("quality") == 0, F.col("lang")).otherwise(F.lit("None"))
+    return j.select(
+        "doc_id", F.concat(F.lit("Team "), F.col("source"), F.lit("-"), F.col("doc_id").cast("string")).alias("team_id"), F.when(F.col("quality").isNotNull(), F.pmod("n_chars", F.lit(201)) / 2.0).alias("percentage"),
+        F.when(F.col("quality").isNotNull(), flags).alias("flags"), F.pmod("n_chars", F.lit(4)).alias("cited_count"), (F.pmod("n_chars", F.lit(11)) / 10.0).alias("grounded_fraction"),
+    )
+
+
+def cohort_stats(spark, d):
+    c = compare.cohort(_scored_documents(spark, d))
+    return c.select(*(F.col(x).cast("long").alias(x) for x in ("n", "n_scored", "n_flagged", "n_low_grounding")), "avg_percentage")
+
+
+def badges(spark, d):
+    s = _scored_documents(spark, d)
+    label, tone = marks.grounding_badge(F.col("cited_count"), F.col("grounded_fraction"))
+    return s.select("doc_id", marks.flag_tone(F.col("flags")).alias("tone"), marks.score_badge(F.col("percentage")).alias("badge"), label.alias("grounding"), tone.alias("grounding_tone"), marks.short_flags(F.col("flags")).alias("short_flags"))
+
+
+def _found(only, query=""):
+    return lambda spark, d: compare.search(_scored_documents(spark, d), query, only).select("doc_id", "percentage")
+
+
+def latest_files(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("team"), F.col("event_id").alias("input_ord"), F.when(F.col("event_id") % 6 > 0, F.date_trunc("day", "ts")).alias("mtime"))
+    return matching.latest_file(e).select("team", "input_ord", F.col("picked_from").cast("long").alias("picked_from"))
+
+
+def unlabelled_documents(spark, d):
+    return _t(spark, d, "documents").select("doc_id", "source").join(_t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+def content_copies(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("ord"), F.col("text").cast("binary").alias("content"))
+    return matching.distinct_images(docs).select(F.col("doc_id").alias("lang"), "md5", "ord", F.col("repeated_count").cast("long").alias("repeated_count"))
+
+
+def split_tables(spark, d):
+    e = _t(spark, d, "events")
+    cells = F.transform(F.sequence(F.lit(1), (F.pmod(F.floor(F.col("event_id") / 3), F.lit(3)) + 2).cast("int")), lambda i: F.concat(F.col("event_type"), i.cast("string")))
+    head = F.when(F.col("event_id") % 7 == 0, F.concat(F.array(F.lit("Req\nID")), F.slice(cells, 2, 9))).otherwise(cells)
+    raw = e.select(F.col("user_id").alias("source"), F.col("event_id").alias("table_ord"), F.array(head, F.when(F.col("event_id") % 2 == 0, cells).otherwise(F.transform(cells, lambda _: F.lit(" ")))).alias("rows"))
+    out = shaping.join_split_tables(raw)
+    return out.select("source", "table_ord", F.size("rows").cast("long").alias("n_rows"), F.size(F.col("rows")[0]).cast("long").alias("width"))
+
+
+def header_labels(spark, d):
+    p = _t(spark, d, "part")
+    heads = F.array(F.lit(" Req\n Id"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_brand")), F.col("p_brand"), F.lit("Requirement"), F.col("p_brand"))
+    rows = F.array(heads, F.array(F.col("p_type"), F.lit(" a "), F.lit(None).cast("string"), F.col("p_name"), F.lit("z"), F.lit("long")), F.array(F.lit(" "), F.lit("")), F.array(F.lit("x")))
+    t = p.select("p_partkey", shaping.shape_table(rows, page=True).alias("t"))
+    return t.select("p_partkey", F.array_join("t.headers", "|").alias("headers"), F.col("t.req_id_col").alias("req_id_col"), shaping.text_header(F.col("t.headers")).alias("text_col"), F.col("t.n_data_rows").cast("long").alias("n_rows"), F.col("t.rows")[0][F.col("t.headers")[1]].alias("second"), F.col("t.rows")[1][F.col("t.headers")[3]].alias("filled"))
+
+
+def upsert_by_rank(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("doc_type"), F.col("o_custkey").cast("string").alias("team_id"), F.pmod("o_orderkey", F.lit(5)).alias("rank"), F.col("o_orderkey").alias("upload_ord"))
+    stored = store.newest(o.limit(0), o.where(F.col("upload_ord") % 2 == 0))
+    return store.newest(stored, o.where(F.col("upload_ord") % 2 == 1))
+
+
+def line_counts(spark, d):
+    n, _ = shaping.counts(F.col("text"), F.lit(None).cast("array<string>"))
+    return _t(spark, d, "documents").select("doc_id", n.cast("long").alias("n_lines"))
+
+
+def submission_texts(spark, d):
+    p = _t(spark, d, "part")
+    rows = F.array(F.array(F.lit("Req ID"), F.lit("Requirement")), F.array(F.col("p_brand"), F.col("p_name")), F.array(F.lit(""), F.col("p_type")))
+    tables = F.array(shaping.shape_table(rows).cast(shaping.TABLE))
+    return p.select("p_partkey", shaping.submission_text(F.col("p_type"), tables).alias("submission"), shaping.haystack(F.col("p_type"), tables).alias("haystack"))
+
+
+def score_reports(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.lit("srs").alias("doc_type"), F.concat("source", F.lit(".docx")).alias("source"), F.col("text").alias("raw_text"), F.lit(None).cast(f"array<{shaping.TABLE}>").alias("tables"))
+    reply = F.concat(F.lit('Here: {"intro_score": '), F.pmod("doc_id", F.lit(4)).cast("string"), F.lit(', "requirements_score": "'), F.pmod("doc_id", F.lit(9)).cast("string"), F.lit('", "uml_score": 1.9, "functional_requirements_found": ["ZZ-F-1", ""], "flags": '), F.when(F.col("doc_id") % 2 == 0, "null").otherwise('"late"'), F.lit("} end"))
+    replies = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "no reply").otherwise(reply).alias("raw"), F.lit(None).cast("string").alias("error"))
+    return scoring.reports(docs, replies).select("doc_id", F.col("total_score").cast("long").alias("total_score"), "percentage", "flags")
+
+
+FLAGSHIP = shingle_jaccard_pairs
+
+QUERIES = {
+    "line_rows": line_rows, "shingle_counts": shingle_counts, "shingle_jaccard_pairs": shingle_jaccard_pairs, "boilerplate_lines": boilerplate_lines, "copied_lines_jaccard": copied_lines_jaccard,
+    "copied_lines": copied_lines, "flagged_documents": flagged_documents, "citation_grounding": citation_grounding, "normalize_ids": normalize_ids, "requirement_lines": requirement_lines,
+    "resubmissions": resubmissions, "forward_fill": forward_fill, "content_match": content_match, "name_overlap": name_overlap, "name_match": name_match, "rubric_scores": rubric_scores,
+    "group_subtotals": group_subtotals, "rubric_totals": rubric_totals, "diagram_kinds": diagram_kinds, "hand_vs_system": hand_vs_system, "grade_agreement": grade_agreement,
+    "cohort_stats": cohort_stats, "badges": badges, "filter_unscored": _found("unscored"), "filter_flagged": _found("flagged"), "filter_lowscore": _found("lowscore", " TEAM src1 "),
+    "latest_files": latest_files, "unlabelled_documents": unlabelled_documents, "content_copies": content_copies, "split_tables": split_tables, "header_labels": header_labels,
+    "upsert_by_rank": upsert_by_rank, "line_counts": line_counts, "submission_texts": submission_texts, "score_reports": score_reports,
+}
+
+_CRIT = lambda d: "(VALUES " + ", ".join(f"({k}, '{c[0]}', {c[2]}, {repr(c[3]) if c[3] else 'NULL'})" for k, c in enumerate(rubric.CRITERIA[d])) + ") c(ord, key, top, grp)"
+_SADS = f"""sads AS (SELECT q.doc_id, c.key, c.grp, c.top, greatest(0, least(c.top, (trunc(q.q)::BIGINT % 6))) AS score
+  FROM (SELECT l_orderkey AS doc_id, l_partkey % 9 AS ord, max(l_quantity) AS q FROM lineitem GROUP BY ALL) q JOIN {_CRIT("sads")} ON c.ord = q.ord)"""
+_SCORED = """s AS (
+  SELECT d.doc_id, 'Team ' || d.source || '-' || d.doc_id AS team_id, CASE WHEN l.quality IS NOT NULL THEN (n_chars % 201) / 2.0::DOUBLE END AS percentage,
+    CASE WHEN l.quality IS NOT NULL THEN CASE WHEN l.toxic = 1 THEN 'SCORING ERROR: toxic text in ' || d.source || ', language ' || d.lang || ', to be read by a person' WHEN l.quality = 0 THEN d.lang ELSE 'None' END END AS flags,
+    n_chars % 4 AS cited, (n_chars % 11) / 10.0::DOUBLE AS fraction
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_TONE = "CASE WHEN flags IS NULL OR flags IN ('', 'None') THEN NULL WHEN starts_with(flags, 'SCORING ERROR') THEN 'red' ELSE 'amber' END"
+_COMPARE = """t AS (
+  SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 7 > 0 THEN c_name END, 'team #' || c_custkey) AS name,
+    CASE WHEN c_custkey % 5 > 0 THEN ((floor(c_acctbal)::BIGINT % 11) + 11) % 11 END::DOUBLE AS srs, CASE WHEN c_custkey % 6 > 0 THEN ((floor(c_acctbal)::BIGINT % 9) + 9) % 9 END::DOUBLE AS test_plan,
+    CASE WHEN c_custkey % 4 > 0 THEN ((floor(c_acctbal)::BIGINT % 21) + 21) % 21 END::DOUBLE AS sads FROM customer),
+h AS (SELECT id, name, unnest(['srs', 'test_plan', 'sads']) AS doc_type, unnest([srs, test_plan, sads]) AS hand FROM t),
+f AS (SELECT *, ['srs', 'test_plan', 'sads'][o_orderkey % 3 + 1] AS doc_type, 'f' || o_orderkey AS filename, CASE WHEN o_orderkey % 10 > 0 THEN epoch(o_orderdate) ELSE -1 END AS mtime FROM orders),
+p AS (SELECT *, count(*) OVER w AS picked, row_number() OVER (w ORDER BY mtime DESC, o_orderkey) AS rn FROM f WHERE o_orderkey % 13 > 0 WINDOW w AS (PARTITION BY o_custkey, doc_type)),
+m AS (SELECT * FROM (VALUES ('srs', 10.0::DOUBLE, 12), ('test_plan', 8.0::DOUBLE, 13), ('sads', 20.0::DOUBLE, 20)) v(doc_type, hmax, smax)),
+j AS (SELECT p.doc_type, p.o_custkey AS team_pk, h.name, p.filename, p.picked AS picked_from, h.hand AS hand_score, CASE WHEN p.o_orderkey % 4 > 0 THEN floor(p.o_totalprice)::BIGINT % m.smax END AS sys_score, m.hmax, m.smax
+  FROM p JOIN h ON h.id = p.o_custkey AND h.doc_type = p.doc_type JOIN m ON m.doc_type = p.doc_type WHERE rn = 1),
+k AS (SELECT *, CASE WHEN hand_score IS NULL THEN 'no_hand_mark' WHEN sys_score IS NULL THEN 'no_score' ELSE 'ok' END AS status FROM j),
+r AS (SELECT *, CASE WHEN status = 'ok' THEN sys_score * 100.0::DOUBLE / smax END AS sp, CASE WHEN status = 'ok' THEN hand_score * 100.0::DOUBLE / hmax END AS hp, CASE WHEN status = 'ok' THEN sys_score * (hmax / smax) END AS sc FROM k)"""
+
+ORACLES = {
+    "line_rows": f"WITH {_LINES} SELECT doc_id, row_idx, text FROM rows_",
+    "shingle_counts": f"WITH {_TOKENS} SELECT doc_id, row_idx, len(t)::BIGINT AS n_tokens, coalesce(len(s), 0)::BIGINT AS n_shingles FROM toks LEFT JOIN sh ON sh.k = array_to_string(toks.t, ' ')",
+    "shingle_jaccard_pairs": f"WITH {_TOKENS} SELECT x AS tokens_a, y AS tokens_b, round(jaccard, 3) AS jaccard FROM jp WHERE x < y",
+    "boilerplate_lines": f"WITH {_COMMON} SELECT doc_id, row_idx, owners FROM common",
+    "copied_lines_jaccard": f"WITH {_COPIED} SELECT * FROM copied",
+    "flagged_documents": f"""WITH {_COPIED}, u AS (SELECT doc_a AS doc_id, doc_b AS o FROM copied UNION SELECT doc_b, doc_a FROM copied)
+SELECT doc_id, count(*) AS n_others, string_agg(o::VARCHAR, ',' ORDER BY o) AS others FROM u GROUP BY doc_id""",
+    "citation_grounding": f"""WITH w AS (SELECT {_WS} AS ws), c AS (SELECT doc_id, {_NORM.format("text || chr(10) || source")} AS hay, {_CITED} AS cited, ws FROM documents, w),
+b AS (SELECT doc_id, cited, list_filter(cited, lambda x: NOT contains(hay, {_NORM.format("x")})) AS bad FROM c)
+SELECT doc_id, 5::BIGINT AS cited_count, (5 - len(bad))::BIGINT AS grounded_count, round((5 - len(bad)) / 5.0::DOUBLE, 3) AS grounded_fraction, array_to_string(bad, '|') AS ungrounded FROM b""",
+    "normalize_ids": f"WITH w AS (SELECT {_WS} AS ws) SELECT p_partkey, {_NORM.format('substr(p_type, 1, 3) || chr(8211) || chr(102) || chr(10) || chr(8209) || chr(32) || lpad(p_size::VARCHAR, 3, chr(48)) || chr(32) || p_name')} AS id FROM part, w",
+    "requirement_lines": """WITH l AS (SELECT doc_id, '• ABC‑F‑' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || CASE doc_id % 3 WHEN 0 THEN ' (must) — ' WHEN 1 THEN ': ' ELSE ' ' END || source || ' shall ABC-NF-01 keep it ' AS line FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'ABC-F-' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS req_id,
+  CASE WHEN doc_id % 3 < 2 THEN trim(regexp_extract(line, '^•\\s*[A-Z]+‑F‑[0-9]+\\s*(?:\\([^)]*\\)\\s*)?[—:]\\s*(.+)$', 1)) END AS requirement, trim(regexp_replace(line, '\\b[A-Za-z]{2,6}-(?:F|NF|SEC)-[0-9]{2,4}\\b', '', 'g')) AS without_ids FROM l""",
+    "resubmissions": """WITH f AS (SELECT o_orderkey AS input_ord, 'Team ' || o_custkey AS team, o_orderkey % 4 AS n, 'Team ' || o_custkey || CASE WHEN o_orderkey % 4 > 0 THEN ' (' || (o_orderkey % 4) || ')' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN '.pdf' ELSE '.docx' END AS filename FROM orders),
+r AS (SELECT *, CASE WHEN n > 0 THEN n ELSE -1 END AS rank FROM f), p AS (SELECT *, row_number() OVER w AS rn, first_value(filename) OVER w AS best FROM r WINDOW w AS (PARTITION BY team ORDER BY rank DESC, input_ord DESC))
+SELECT input_ord, filename, team, rank::BIGINT AS rank, rn = 1 AS kept, CASE WHEN rn > 1 THEN 'superseded by ' || best END AS reason FROM p""",
+    "forward_fill": """WITH l AS (SELECT l_orderkey % 16 AS sheet, l_orderkey * 100 + l_linenumber AS row_idx, max(CASE WHEN l_linenumber % 3 = 1 THEN l_orderkey END) AS team_id,
+  max(CASE WHEN l_linenumber % 3 = 1 AND l_quantity > 10 THEN l_quantity END) AS mark, max(CASE WHEN l_suppkey % 11 > 0 THEN l_suppkey::VARCHAR END) AS member FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, count(team_id) OVER (PARTITION BY sheet ORDER BY row_idx) AS ord FROM l),
+f AS (SELECT sheet, row_idx, ord, member, first_value(team_id) OVER w AS team_id, first_value(mark) OVER w AS mark FROM o WHERE ord > 0 WINDOW w AS (PARTITION BY sheet, ord ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT sheet, row_idx, team_id, mark, member FROM f WHERE member IS NOT NULL""",
+    "content_match": f"""WITH w AS (SELECT {_WS} AS ws), d AS (SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS up FROM documents),
+r AS (SELECT item_id, substr(text, 1, 12) AS member, upper(replace(substr(text, 1, 30), 'ß', 'SS')) AS srn, {_STRIP.format("substr(text, 1, 12)")} AS nm FROM benchmark, w),
+m AS (SELECT doc_id, item_id, member, CASE WHEN contains(up, srn) THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence FROM d, r WHERE contains(up, srn) OR (length(nm) >= 4 AND contains(up, upper(replace(nm, 'ß', 'SS')))))
+SELECT doc_id, item_id AS team_ord, member, confidence FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, item_id) = 1""",
+    "name_overlap": """WITH a AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(upper(p_type || ' nation 1'), '[^A-Z]+'), lambda x: length(x) > 1)) AS t FROM part),
+b AS (SELECT n_nationkey, list_distinct(list_filter(regexp_split_to_array(upper(n_name || '_nation BRASS'), '[^A-Z]+'), lambda x: length(x) > 1)) AS t FROM nation)
+SELECT p_partkey, n_nationkey, round(len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS overlap FROM a, b""",
+    "rubric_scores": f"""WITH e AS (SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
+SELECT event_id, c.key, greatest(0, least(top, CASE event_id % 5 WHEN 2 THEN 0 WHEN 3 THEN -k ELSE k END))::INTEGER AS score FROM e JOIN {_CRIT("srs")} ON c.ord = e.user_id % 4""",
+    "group_subtotals": f'WITH {_SADS} SELECT doc_id, grp AS "group", sum(score)::BIGINT AS score, sum(top)::BIGINT AS "max" FROM sads GROUP BY doc_id, grp',
+    "rubric_totals": f"WITH {_SADS}, t AS (SELECT doc_id, sum(score)::BIGINT AS total_score FROM sads GROUP BY doc_id) SELECT doc_id, total_score, round(total_score * 100 / 20.0::DOUBLE, 1) AS percentage, CASE WHEN total_score >= 15 THEN 'green' WHEN total_score >= 10 THEN 'amber' ELSE 'red' END AS badge FROM t",
+    "diagram_kinds": "WITH p AS (SELECT p_partkey, (p_size * 20 + 150)::DOUBLE / (p_partkey % 900 + 150) AS a, p_partkey % 5 AS b, p_size % 4 AS e, p_partkey % 41 AS l FROM part) SELECT p_partkey, CASE WHEN e >= 2 AND b <= 2 THEN '{}' WHEN a >= 1.3 AND b >= 1 AND l >= 30 THEN '{}' WHEN b >= 3 AND l >= 10 THEN '{}' WHEN NOT (b >= 2 OR e >= 2 OR l >= 15) THEN '{}' ELSE '{}' END AS type_guess, (b >= 2 OR e >= 2 OR l >= 15) AS has_structure FROM p".format(*marks.DIAGRAM_KINDS),
+    "hand_vs_system": f"""WITH {_COMPARE} SELECT doc_type, team_pk, name, filename, picked_from, status, hand_score, sys_score, round(sp, 6) AS sys_pct, round(hp, 6) AS hand_pct, round(sc, 6) AS sys_scaled_to_hand,
+round(CASE WHEN status = 'ok' THEN hand_score - sc END, 6) AS diff_scaled, round(hp - sp, 6) AS diff_pct FROM r""",
+    "grade_agreement": f"""WITH {_COMPARE}, g AS (SELECT doc_type, count(sc) AS n, count(*) FILTER (status = 'no_hand_mark') AS n_no_hand_mark, count(*) FILTER (status = 'no_score') AS n_no_score, avg(hand_score - sc) AS a,
+avg(abs(hand_score - sc)) AS b, stddev_pop(hand_score - sc) AS c, max(hmax) AS h FROM r GROUP BY doc_type)
+SELECT doc_type, n, n_no_hand_mark, n_no_score, round(a, 6) AS mean_diff, round(b, 6) AS mean_abs_diff, round(c, 6) AS stddev_diff, round(a * 100 / h, 6) AS mean_diff_pct, round(b * 100 / h, 6) AS mean_abs_diff_pct, round(c * 100 / h, 6) AS stddev_diff_pct FROM g""",
+    "cohort_stats": f"WITH {_SCORED} SELECT count(*) AS n, count(percentage) AS n_scored, count({_TONE}) AS n_flagged, count(*) FILTER (cited > 0 AND fraction < 0.8) AS n_low_grounding, round(avg(percentage), 1) AS avg_percentage FROM s",
+    "badges": f"""WITH {_SCORED} SELECT doc_id, {_TONE} AS tone, CASE WHEN percentage IS NULL THEN 'neutral' WHEN percentage >= 75 THEN 'green' WHEN percentage >= 50 THEN 'amber' ELSE 'red' END AS badge,
+CASE WHEN cited = 0 THEN 'n/a' ELSE floor(fraction * 100 + 0.5)::BIGINT || '%' END AS grounding, CASE WHEN cited = 0 THEN 'neutral' WHEN floor(fraction * 100 + 0.5) >= 90 THEN 'green' WHEN floor(fraction * 100 + 0.5) >= 70 THEN 'amber' ELSE 'red' END AS grounding_tone,
+CASE WHEN length(flags) > 60 THEN substr(flags, 1, 57) || '...' ELSE flags END AS short_flags FROM s""",
+    "filter_unscored": f"WITH {_SCORED} SELECT doc_id, percentage FROM s WHERE percentage IS NULL",
+    "filter_flagged": f"WITH {_SCORED} SELECT doc_id, percentage FROM s WHERE {_TONE} IS NOT NULL",
+    "filter_lowscore": f"WITH {_SCORED} SELECT doc_id, percentage FROM s WHERE contains(lower(team_id), 'team src1') AND percentage < 50",
+    "latest_files": """WITH e AS (SELECT user_id AS team, event_id AS input_ord, CASE WHEN event_id % 6 > 0 THEN epoch(date_trunc('day', ts)) ELSE -1 END AS m FROM events)
+SELECT team, input_ord, count(*) OVER (PARTITION BY team) AS picked_from FROM e QUALIFY row_number() OVER (PARTITION BY team ORDER BY m DESC, input_ord) = 1""",
+    "unlabelled_documents": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
+    "content_copies": "SELECT lang, md5(text) AS md5, min(doc_id) AS ord, CASE WHEN count(*) > 1 THEN count(*) END AS repeated_count FROM documents WHERE text IS NOT NULL GROUP BY lang, md5(text)",
+    "split_tables": """WITH e AS (SELECT user_id AS source, event_id AS ord, event_id // 3 % 3 + 2 AS width, event_id % 7 = 0 AS head, event_id % 2 = 0 AS full_ FROM events),
+f AS (SELECT *, head OR lag(width) OVER w IS DISTINCT FROM width AS fresh FROM e WINDOW w AS (PARTITION BY source ORDER BY ord)),
+g AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY source ORDER BY ord) AS island FROM f)
+SELECT source, min(ord) AS table_ord, sum(CASE WHEN fresh THEN 2 WHEN full_ THEN 2 ELSE 1 END)::BIGINT AS n_rows, any_value(width)::BIGINT AS width FROM g GROUP BY source, island""",
+    "header_labels": """WITH p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN ['Req' || chr(10) || ' Id', 'Column 2', p_brand, 'Requirement', p_brand || ' (2)'] ELSE ['Req' || chr(10) || ' Id', p_brand, p_brand || ' (2)', 'Requirement', p_brand || ' (3)'] END AS h FROM part)
+SELECT p_partkey, array_to_string(h, '|') AS headers, h[1] AS req_id_col, 'Requirement' AS text_col, 2::BIGINT AS n_rows, 'a' AS second, '' AS filled FROM p""",
+    "upsert_by_rank": """SELECT o_orderpriority AS doc_type, o_custkey::VARCHAR AS team_id, o_orderkey % 5 AS rank, o_orderkey AS upload_ord FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey % 5 DESC, o_orderkey % 2, o_orderkey) = 1""",
+    "line_counts": "SELECT doc_id, (len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS n_lines FROM documents",
+    "submission_texts": f"""WITH w AS (SELECT {_WS} AS ws) SELECT p_partkey, p_type || chr(10) || '[table: Req ID, Requirement]' || chr(10) || 'Req ID: ' || p_brand || ' | Requirement: ' || p_name || chr(10) || 'Requirement: ' || p_type AS submission,
+{_NORM.format("p_type || chr(10) || p_brand || chr(10) || p_name || chr(10) || p_type")} AS haystack FROM part, w""",
+    "score_reports": """WITH s AS (SELECT doc_id, doc_id % 10 = 0 AS bad, least(2, doc_id % 4) + least(6, doc_id % 9) + 1 AS total, doc_id % 2 = 0 AS quiet FROM documents)
+SELECT doc_id, CASE WHEN bad THEN 0 ELSE total END::BIGINT AS total_score, round(CASE WHEN bad THEN 0 ELSE total END * 100 / 12.0::DOUBLE, 1) AS percentage,
+CASE WHEN bad THEN 'SCORING ERROR: no JSON object in reply' ELSE CASE WHEN quiet THEN '' ELSE 'late | ' END || 'UNGROUNDED CITATIONS: 1/2 cited item(s) not found verbatim in extracted text (e.g. ZZ-F-1) -- possible hallucination, verify manually.' END AS flags FROM s""",
+}
