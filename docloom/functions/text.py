@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Whitespace class, dashes, bullets, requirement markers, aliases.
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+NOT_WS = r"[^\s\p{Z}\x1c-\x1f\x85]"
 DASHES = "-‐‑‒–—"
 _BULLETS = "•●▪"
 _LINE_ENDS = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -21,9 +22,9 @@ def strip(s: Column) -> Column:
 
 def lines(s: Column) -> Column:
     """Lines without their ends; none for an empty text, no empty last line. Null stays null."""
-    one = F.regexp_replace(s, "\r\n", "\n")
-    parts = F.split(one, _LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    one = F.replace(s, F.lit("\r\n"), F.lit("\n"))
+    # a last end of line is cut off before, so that it begins no line
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(one, f"(?s){_LINE_ENDS}\\z", ""), _LINE_ENDS, -1))
 
 
 def normal_header(h: Column) -> Column:
@@ -41,7 +42,8 @@ def normal_id(s: Column) -> Column:
 
 def without_ids(s: Column) -> Column:
     """Drops inline requirement ids (ASCII hyphens only) and strips."""
-    return strip(F.regexp_replace(s, r"(?iU)\b[A-Za-z]{2,6}-(?:F|NF|SEC)-\d{2,4}\b", ""))
+    bare = F.when(s.contains("-"), F.regexp_replace(s, r"(?iU)\b[A-Za-z]{2,6}-(?:F|NF|SEC)-\d{2,4}\b", "")).otherwise(s)
+    return strip(bare)
 
 
 #: Groups: id, requirement. (?d): only \n ends a line for the dot.

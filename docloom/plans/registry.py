@@ -25,11 +25,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _rows(spark, d):
-    return similarity.document_rows(_t(spark, d, "documents"))
+    return similarity.document_rows(_t(spark, d, "documents")).persist()
 
 
 def line_rows(spark, d):
-    return _rows(spark, d).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "text")
+    return similarity.document_rows(_t(spark, d, "documents")).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), "text")
 
 
 _LINES = f"""
@@ -60,8 +60,9 @@ copied AS (
 
 
 def shingle_counts(spark, d):
-    t = X.word_tokens(F.col("text"))
-    return _rows(spark, d).select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), F.size(t).cast("long").alias("n_tokens"), F.size(X.shingles(t)).cast("long").alias("n_shingles"))
+    # the tokens are a column of their own before they are cut into shingles, else each shingle would find them anew
+    rows = similarity.document_rows(_t(spark, d, "documents")).select("doc_id", "row_idx", F.explode(F.array(X.word_tokens(F.col("text")))).alias("t"))
+    return rows.select("doc_id", F.col("row_idx").cast("long").alias("row_idx"), F.size("t").cast("long").alias("n_tokens"), F.size(X.shingles(F.col("t"))).cast("long").alias("n_shingles"))
 
 
 def shingle_jaccard_pairs(spark, d):
