@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from docloom.llm import ngram_lm as N
-from docloom.llm.sorted_arrays import PART_ENTRIES  # noqa: F401
 
 from .conftest import fold
 

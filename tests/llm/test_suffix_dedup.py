@@ -57,12 +57,9 @@ def test_documents_table(spark, sf):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op3(spark, sf).collect()} == want
 
 
-def test_text_over_several_pieces(spark, monkeypatch):
+def test_text_over_several_pieces(monkeypatch):
     text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(3000))
     rows = [(1, text + text[100:900]), (2, "z" + text[2000:2500])]
-    found = {}
-    for p in S.pieces([t.encode() for _, t in rows]):
-        found.update({(int(p.text[s]), int(a - p.starts[s] + p.offset[s])) for a, s in zip(p.at, p.stretch)} and {})
     monkeypatch.setattr(S, "PIECE", 512)
     windows = set()
     for p in S.pieces([t.encode() for _, t in rows]):
