@@ -219,9 +219,9 @@ class Model:
         ids = self.vocab.find(distinct)  # ascending but for -1, as words are stored in the order of their hashes
         seen = np.flatnonzero(ids >= 0)
         count, down, under = np.zeros(len(ids)), np.zeros(len(ids)), np.full(len(ids), float(self.lower(0)))
-        count[seen] = self.vocab.take("count", ids[seen], 0)
-        down[seen] = self.vocab.take("down", ids[seen], 0)
-        under[seen] = self.vocab.take("under", ids[seen], 0)
+        count[seen] = self.vocab.take("count", ids[seen])
+        down[seen] = self.vocab.take("down", ids[seen])
+        under[seen] = self.vocab.take("under", ids[seen])
         # the local vocabulary: words, then end, then start
         k = len(distinct)
         ids = np.r_[ids, words_n, words_n + 1]
@@ -235,7 +235,7 @@ class Model:
             found = self.bigrams.find(keys)
             c = np.zeros(len(keys))
             hit = found >= 0
-            c[hit] = self.bigrams.take("times", found[hit], 0)
+            c[hit] = self.bigrams.take("times", found[hit])
             times[known] = c[back]
         total = count[first]
         less = self.pair_d[np.minimum(times, 3).astype(np.int64)]

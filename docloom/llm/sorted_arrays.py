@@ -71,6 +71,7 @@ class Sorted:
     def open(self, *values: tuple[str, type]) -> "Sorted":
         n = np.diff(self.offsets)
         self.keys = [self.store.get(f"{self.name}-{p}", self.dtype, int(k)) for p, k in enumerate(n)]
+        self.kinds = dict(values)
         self.values = {v: [self.store.get(f"{v}-{p}", t, int(k)) for p, k in enumerate(n)] for v, t in values}
         return self
 
@@ -86,19 +87,22 @@ class Sorted:
                 out[a:b][hit] = at[hit] + self.offsets[p]
         return out
 
-    def take(self, value: str, numbers: np.ndarray, missing: float) -> np.ndarray:
-        """Values of sorted numbers; missing for -1 and beyond."""
-        out = np.full(len(numbers), missing, np.float64)
-        edges = np.searchsorted(numbers, self.offsets)
+    def take(self, value: str, numbers: np.ndarray) -> np.ndarray:
+        """Values of numbers that are there, in any order."""
+        order = np.argsort(numbers, kind="stable")
+        ranked = numbers[order]
+        out = np.zeros(len(numbers), self.kinds[value])
+        edges = np.searchsorted(ranked, self.offsets)
         for p, have in enumerate(self.values[value]):
             a, b = edges[p], edges[p + 1]
             if a < b:
-                out[a:b] = have[numbers[a:b] - self.offsets[p]]
+                out[order[a:b]] = have[ranked[a:b] - self.offsets[p]]
         return out
 
 
-def part_bits(entries: int) -> int:
-    return max(3, int(np.ceil(np.log2(max(1, entries) / PART_ENTRIES))))
+def part_bits(entries: int, each: int = PART_ENTRIES) -> int:
+    """Leading bits of a key that name its part, for parts of about each entries."""
+    return max(3, int(np.ceil(np.log2(max(1, entries) / each))))
 
 
 def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,3 +129,4 @@ def gather(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple[int, np.n
         for p in np.unique(part):
             mine = part == p
             yield int(p), *added(keys[mine], n[mine])
+        pa.default_memory_pool().release_unused()

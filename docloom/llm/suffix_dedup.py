@@ -36,7 +36,9 @@ GRAM = LENGTH - PLACES + 1
 SHALLOW = 64
 GROUP = 256
 #: Bytes that are searched for anchors at a time.
-PIECE = 1 << 22
+PIECE = 1 << 20
+#: Anchors or classes of a part of the arrays, about; a task may hold several parts.
+PART = 300_000
 _LAST = np.int64((1 << 63) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -78,7 +80,9 @@ class Piece:
         keep = where[turn] >= 0
         self.first, self.last = turn[keep], end[keep]  # places of the first and last window of each run
         self.at = where[turn][keep]
-        self.hash = h[self.at]
+        # anchors have the least hashes, so that their leading bits are alike: mixed again before they are dealt by them
+        again = h[self.at] * _B
+        self.hash = (again ^ (again >> np.uint64(32))) * _A
         self.stretch = stretch[self.at]
 
     def context(self, i: int) -> bytes:
@@ -335,53 +339,84 @@ def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *(b.column(c).take(take) for c in ("class", "doc", "tie", "pos")), pa.array(places, pa.int32())], ["window", "class", "doc", "tie", "pos", "a"])
 
 
-def _store_classes(store: Store, bits: int) -> Callable:
+def _store_rows(store: Store, names: dict[str, str], bits: int) -> Callable:
+    """Stores columns under names, sorted by the first, a 63-bit key; dealt by its leading bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy() for c in ("class", "bits", "doc", "tie", "pos")] for b in batches if b.num_rows]
+        held = [[b.column(c).to_numpy() for c in names] for b in batches if b.num_rows]
         if held:
             cols = [np.concatenate(x) for x in zip(*held)]
             order = np.argsort(cols[0], kind="stable")
             cols = [c[order] for c in cols]
             part = cols[0] >> (63 - bits)
             for p in np.unique(part):
-                for name, c in zip(("class", "bits", "doc", "tie", "pos"), cols):
+                for name, c in zip(names.values(), cols):
                     store.put(f"{name}-{p}", c[part == p])
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int((part == p).sum())], pa.int64())], ["part", "size"])
 
     return run
 
 
+def _stored(rows: DataFrame, store: Store, names: dict[str, str], bits: int) -> Sorted:
+    key, name = next(iter(names.items()))
+    dealt = rows.select(*names).repartition(1 << bits, F.shiftright(key, 63 - bits))
+    parts = dict(dealt.mapInArrow(_store_rows(store, names, bits), "part int, size long").collect())  # one row per part
+    return Sorted(store, name, np.int64, bits, 63, [parts.get(p, 0) for p in range(1 << bits)])
+
+
+def _look_up_windows(first: Sorted) -> Callable:
+    """(class, bits) of contexts whose windows have an earlier place among the first ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first.open(*((f"window_{c}", np.int64) for c in ("doc", "tie", "pos")))
+        for b in batches:
+            before, contexts = b.column("before").to_numpy().astype(np.int64), b.column("context").to_pylist()
+            row = np.repeat(np.arange(b.num_rows), [len(c) - LENGTH + 1 for c in contexts])
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(c[k : k + LENGTH]) >> 1 for c in contexts for k in range(len(c) - LENGTH + 1)), np.int64, len(row))
+            distance = before[row] - (np.arange(len(row)) - np.searchsorted(row, row))
+            keys, back = np.unique(hashes, return_inverse=True)
+            number = first.find(keys)[back]
+            some = number >= 0
+            row, number, distance = row[some], number[some], distance[some]
+            mine = [b.column(c).to_numpy()[row] for c in ("doc", "tie", "pos")]
+            theirs = [first.take(f"window_{c}", number) for c in ("doc", "tie", "pos")]
+            (d, t, p), (fd, ft, fp) = mine, theirs
+            later = (d > fd) | ((d == fd) & ((t > ft) | ((t == ft) & (p > fp))))
+            bits = np.zeros(b.num_rows, np.uint64)
+            np.bitwise_or.at(bits, row[later], np.uint64(1) << distance[later].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(bits.view(np.int64))], ["class", "bits"])
+
+    return run
+
+
 def _cut(grams: Sorted, classes: Sorted, keep_text: bool, cols: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams.open()
         classes.open(*((c, np.int64) for c in ("bits", "doc", "tie", "pos")))
-        value = {c: lambda k, c=c: classes.values[c][np.searchsorted(classes.offsets, k, side="right") - 1][k - classes.offsets[np.searchsorted(classes.offsets, k, side="right") - 1]] for c in ("bits", "doc", "tie", "pos")}
         for b in batches:
-            texts, doc, tie = _texts(b), b.column("doc").to_pylist(), b.column("tie").to_pylist()
+            texts = _texts(b)
+            doc, tie = b.column("doc").to_numpy(), b.column("tie").to_numpy()
             edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])  # a gap of one byte between texts
             marks = np.zeros(int(edges[-1]) + 1, np.int32)
             for p in pieces(texts):
                 some = _repeated(p, grams)
-                keys = np.array([p.class_of(i) for i in some.tolist()], np.int64)
-                order = np.argsort(keys, kind="stable")
-                found = np.empty(len(keys), np.int64)
-                found[order] = classes.find(keys[order])
+                keys, back = np.unique(np.array([p.class_of(i) for i in some.tolist()], np.int64), return_inverse=True)
+                number = classes.find(keys)[back]
+                some, number = some[number >= 0], number[number >= 0]
                 s = p.stretch[some]
-                shift = edges[p.text[s]] + p.offset[s] - p.starts[s]
-                for i, f, by, k, o in zip(some.tolist(), found.tolist(), shift.tolist(), p.text[s].tolist(), (p.offset[s] - p.starts[s]).tolist()):
-                    if f < 0:
-                        continue
-                    first, last, at = int(p.first[i]), int(p.last[i]), int(p.at[i])
-                    if (int(value["doc"](f)), int(value["tie"](f)), int(value["pos"](f))) != (doc[k], tie[k], at + o):
-                        marks[first + by] += 1
-                        marks[last + LENGTH + by] -= 1
-                        continue
-                    bits = int(value["bits"](f)) & ((1 << 64) - 1)
-                    while bits:
-                        a = bits.bit_length() - 1
-                        bits ^= 1 << a
-                        marks[at - a + by] += 1
-                        marks[at - a + LENGTH + by] -= 1
+                text, inside = p.text[s], p.offset[s] - p.starts[s]
+                at, shift = p.at[some], edges[text] + inside
+                here = classes.take("doc", number) == doc[text]
+                here &= (classes.take("tie", number) == tie[text]) & (classes.take("pos", number) == at + inside)
+                later = ~here  # the class began elsewhere: all its windows go
+                np.add.at(marks, (p.first[some] + shift)[later], 1)
+                np.add.at(marks, (p.last[some] + shift)[later] + LENGTH, -1)
+                bits = np.where(here, classes.take("bits", number).view(np.uint64), 0)
+                rows = np.flatnonzero(bits)
+                for a in range(PLACES):
+                    mine = rows[(bits[rows] >> np.uint64(a) & np.uint64(1)) == 1]
+                    np.add.at(marks, at[mine] - a + shift[mine], 1)
+                    np.add.at(marks, at[mine] - a + LENGTH + shift[mine], -1)
             gone = np.cumsum(marks) > 0
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
             for k, t in enumerate(texts):
@@ -418,7 +453,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, group: int = GROUP)
     raw = docs.select(*bare, F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc"), F.xxhash64("text").alias("tie"))
     store = Store(f"{scratch(spark)}/docloom-repeats-{uuid.uuid4().hex}")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = part_bits(size // (PLACES // 2))
+    bits = part_bits(size // (PLACES // 2), PART)
     counted = raw.select("text").mapInArrow(_count_anchors(bits), "part int, key long, n long").repartition(1 << bits, "part")
     parts = dict(counted.mapInArrow(_store_repeated(store), "part int, size long").collect())  # one row per part
     grams = Sorted(store, "gram", np.uint64, bits, 64, [parts.get(p, 0) for p in range(1 << bits)])
@@ -431,15 +466,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, group: int = GROUP)
     sorted_bits = some.select("class", "gram", "doc", "tie", "pos", "before", "context").mapInArrow(_sort_contexts, "class long, bits long")
     hot = rival.where(F.col("members") > group).select("class", "doc", "tie", "pos", "before", "context")
     windows = hot.mapInArrow(_hash_windows, "window long, class long, doc long, tie long, pos long, a int")
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc", "tie", "pos")).alias("place"), F.count("*").alias("members")).where("members > 1").select(F.col("window").alias("w"), "place")
-    later = windows.join(earliest, (F.col("window") == F.col("w")) & (F.struct("doc", "tie", "pos") > F.col("place")))
-    hot_bits = later.groupBy("class").agg(F.bit_or(F.expr("shiftleft(1L, a)")).alias("bits"))
+    earliest = windows.groupBy("window").agg(F.min(F.struct("doc", "tie", "pos")).alias("place"), F.count("*").alias("members")).where("members > 1")
+    bits = part_bits(size // PLACES, PART)
+    first_windows = _stored(earliest.select("window", "place.*"), store, {"window": "window", "doc": "window_doc", "tie": "window_tie", "pos": "window_pos"}, bits)
+    hot_bits = hot.mapInArrow(_look_up_windows(first_windows), "class long, bits long").where("bits <> 0")
     solved = sorted_bits.where("bits <> 0").unionByName(hot_bits)
     known = classes.select("class", "doc", "tie", "pos", "n").join(solved, "class", "left").where("n > 1 OR bits IS NOT NULL")
-    bits = part_bits(size // PLACES)
-    dealt = known.select("class", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"), "doc", "tie", "pos").repartition(1 << bits, F.shiftright("class", 63 - bits))
-    parts = dict(dealt.mapInArrow(_store_classes(store, bits), "part int, size long").collect())  # one row per part
-    index = Sorted(store, "class", np.int64, bits, 63, [parts.get(p, 0) for p in range(1 << bits)])
+    index = _stored(known.select("class", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"), "doc", "tie", "pos"), store, {c: c for c in ("class", "bits", "doc", "tie", "pos")}, bits)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     kinds = [T.LongType()] * 3 + [T.StringType(), span, T.BinaryType()]
     schema = T.StructType([*(docs.schema[c] for c in bare), *(T.StructField(c, t) for c, t in zip(new, kinds))])
