@@ -58,7 +58,8 @@ def test_documents_table(spark, sf):
 
 
 def test_text_over_several_pieces(monkeypatch):
-    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(3000))
+    draw = random.Random(5)
+    text = "".join(draw.choice("abcdefgh ") for _ in range(3000))
     rows = [(1, text + text[100:900]), (2, "z" + text[2000:2500])]
     monkeypatch.setattr(S, "PIECE", 512)
     windows = set()
@@ -96,7 +97,8 @@ def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
 
 
 def test_copies_ties_and_null_ids(spark):
-    t = "".join(random.Random(1).choice("abcdef") for _ in range(250))
+    draw = random.Random(1)
+    t = "".join(draw.choice("abcdef") for _ in range(250))
     df = spark.createDataFrame([(5, t), (5, t), (7, t), (None, t), (7, None)], "doc_id long, text string")
     rows = S.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", F.length("kept").alias("k")).collect()
     assert sorted((r.doc_id or 99, r.n_removed) for r in rows) == [(5, 0), (5, 0), (7, 0), (7, 250), (99, 250)]
