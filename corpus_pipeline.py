@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fm_index, language_id, mixing, shards, simhash
+from docloom.llm import fm_index, language_id, mixing, near_copies, shards, simhash
 from docloom.llm.common import scratch, table
 
 #: A document needs this much confidence in its language to stay.
@@ -23,8 +23,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of texts with similar five-word shingles (Jaccard 0.8): the one with the smallest doc_id."""
+    return simhash.keep_one(docs, near_copies.groups)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ Only distinct fingerprints enter the search, so thousands of exact copies cost o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +131,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes(prints), "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id (ties: smallest row key) stays, with all columns."""
-    found = near_duplicates(docs)
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """docs without near copies: of each component (root of grouped(docs)) the row with the smallest doc_id (ties: smallest row key) stays, with all columns."""
+    found = grouped(docs)
     best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row_key")).alias("best"))
     kept = best.select(F.col("best.row_key").alias("row_key"))
     marked = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("record"))
