@@ -61,9 +61,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in SHARDS shards, under the law "key"."""
-    docs = table(spark, sf_dir, "documents")
-    digest = docs.select("doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    # the digests alone are moved; a bucket holds as many as whole records of BUCKET_BYTES would
-    placed = shuffle_into_shards(digest.withColumn("text", F.col("text_crc32").cast("string")), size=F.col("size"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    """All documents in SHARDS shards, under the law "key"; whole records are moved, and the digests are of the texts that arrive."""
+    placed = shuffle_into_shards(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return placed.select("doc_id", record_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

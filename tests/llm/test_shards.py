@@ -25,6 +25,18 @@ def test_query(spark, sf):
     assert [(r.doc_id, r.shard) for r in sorted(rows)] == [(r.doc_id, r.shard) for r in sorted(S.op9(spark, sf).collect())]
 
 
+def test_query_moves_whole_texts(spark, sf, monkeypatch):
+    docs = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    real = S.shuffle_into_shards
+
+    def spy(df, *args, **kw):
+        assert {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()} == docs
+        return real(df, *args, **kw).withColumn("text", S.F.concat(S.F.coalesce("text", S.F.lit("")), S.F.lit("!")))
+
+    monkeypatch.setattr(S, "shuffle_into_shards", spy)
+    assert all((r.size, r.text_crc32) == (len(t := (docs[r.doc_id] + "!").encode()) + 16, zlib.crc32(t)) for r in S.op9(spark, sf).collect())
+
+
 def test_one_more_shard_takes_rows_only_into_itself(spark):
     df = spark.range(20_000).select("id", S.shard_of(S.F.col("id"), 7).alias("a"), S.shard_of(S.F.col("id"), 8).alias("b"))
     rows = df.collect()
