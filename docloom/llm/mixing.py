@@ -4,7 +4,8 @@ Token counts are summed to cells (source, language, topic). Raking scales the ce
 marginals meet their targets; the fit has the form tokens * a(source) * b(language) * c(topic). The table of sources may
 be long: each row carries its own small (language, topic) table and gets its a() in place, so one cycle is one aggregate
 over that table, and only the sums per (language, topic), at most MAX_CELLS, come back. A document is then kept with a
-probability proportional to its cell's factor.
+probability proportional to its cell's factor, up to 1. The scale keeps MIN_KEPT of the documents at least, so that one
+small cell with a large factor doesn't set the rate of all others: cells above the scale are kept whole.
 
 Topic is a property of the text's form, decided by fixed rules (see TOPIC), as the corpus names none.
 """
@@ -21,6 +22,8 @@ SEED = "mix-1"
 #: Exponents on the present token shares that give the default targets: below 1, rare values gain.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 MAX_CELLS = 20_000
+#: Share of the documents with a weight that is kept at least, as expected over the draws.
+MIN_KEPT = 0.5
 #: A table of source factors is broadcast up to so many rows (about 100 bytes each), else joined by a shuffle.
 MAX_BROADCAST_ROWS = 50_000
 _DIMS = ("source", "lang", "topic")
@@ -56,11 +59,27 @@ def _targets(values: dict[str, float], exponent: float, wanted: dict[str, float]
     return {k: v / total for k, v in raw.items()} if total else {}
 
 
-def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cycles: int = CYCLES) -> DataFrame:
+def _scale(cells: DataFrame, top: float, share: float) -> float:
+    """The least c >= 1 / top, to a few digits, so that min(1, weight * c) keeps share of the documents of cells (docs, weight)."""
+    n, low = cells.where("weight > 0").agg(F.sum("docs"), F.min("weight")).first()
+    at, end = 1.0 / top, max(1.0 / top, 1.0 / low) if n else 0.0
+    if not n or at == end:
+        return at
+    for _ in range(3):
+        grid = [*(at * (end / at) ** (k / 32) for k in range(32)), end]
+        kept = cells.agg(*(F.sum(F.col("docs") * F.least(F.lit(1.0), F.col("weight") * F.lit(c))) for c in grid)).first()
+        k = next((k for k, x in enumerate(kept) if x >= share * n), len(grid) - 1)
+        if not k:
+            return grid[0]
+        at, end = grid[k - 1], grid[k]
+    return end
+
+
+def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cycles: int = CYCLES, min_kept: float = MIN_KEPT) -> DataFrame:
     """docs with topic, tokens, weight and keep_prob.
 
-    weight is fitted over present tokens of the document's cell, 1 on average over the corpus; keep_prob is weight over the
-    largest weight. targets gives shares by "lang" and "topic" ({value: share}; values that it leaves out get none), and by
+    weight is fitted over present tokens of the document's cell, 1 on average over the corpus; keep_prob is min(1, weight *
+    c). c is one over the largest weight, or what it takes to keep min_kept of the documents whose weight isn't 0. targets gives shares by "lang" and "topic" ({value: share}; values that it leaves out get none), and by
     "source" too; without them, shares follow TEMPER. A null source or lang is the value "". Texts without tokens have
     weight 0 in the sums and share their cell's factor; a cell without any token has weight 1. Columns of docs named topic,
     tokens, weight or keep_prob are replaced. An empty table gives no rows.
@@ -68,8 +87,8 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cy
     targets = targets or {}
     cols = [c for c in docs.columns if c not in ("topic", "tokens", "weight", "keep_prob") and not c.startswith("__")]
     rows = _described(docs.select(*cols))
-    cells = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").cast("double").alias("n"))
-    by_source = cells.groupBy("__source").agg(F.sort_array(F.collect_list(F.struct("__lang", "__topic", "n"))).alias("cells"), F.sum("n").alias("n"))
+    cells = rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").cast("double").alias("n"), F.count("*").alias("docs"))
+    by_source = cells.groupBy("__source").agg(F.sort_array(F.collect_list(F.struct("__lang", "__topic", "n", "docs"))).alias("cells"), F.sum("n").alias("n"))
     by_source = materialise(by_source, "cells")
     n_sources, total = by_source.agg(F.count("*"), F.sum("n")).first()
     if not n_sources or not total:
@@ -121,7 +140,9 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cy
     joined = rows.join(factors.withColumnRenamed("__source", "__s"), F.col("__source") == F.col("__s"), "left").withColumnRenamed("__a", "a")
     w = F.when(F.array_contains(known, F.concat("__lang", F.lit("\x00"), "__topic")), weight).otherwise(1.0)
     out = joined.withColumn("weight", w).select(*cols, F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), "weight")
-    return out.withColumn("keep_prob", F.least(F.lit(1.0), F.col("weight") / F.lit(top)))
+    c = _scale(fitted.select("docs", w.alias("weight")), top, min_kept) if min_kept else 0.0
+    prob = F.col("weight") * F.lit(c) if c > 1.0 / top else F.col("weight") / F.lit(top)
+    return out.withColumn("keep_prob", F.least(F.lit(1.0), prob))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -137,8 +158,8 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated weight, probability and decision for every document."""
-    raked = rake(table(spark, sf_dir, "documents"))
+    """Calibrated weight, probability and decision for every document; the SQL of the query takes the largest weight for the scale."""
+    raked = rake(table(spark, sf_dir, "documents"), min_kept=0.0)
     return raked.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "tokens",
         F.round("weight", 6).alias("weight"), F.round("keep_prob", 6).alias("keep_prob"), (draw(F.col("doc_id")) < F.col("keep_prob")).alias("kept"),

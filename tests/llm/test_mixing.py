@@ -37,6 +37,18 @@ def test_given_targets_and_a_sample(spark, sf):
     assert kept.columns == docs.columns and kept.where("lang = 'es'").count() == 0
 
 
+def test_one_tiny_source_leaves_the_corpus(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tiny = spark.createDataFrame([(10**9, "a row of a source by itself alone", "en", "tiny", 33)], docs.schema)
+    rows = mixing.rake(docs.union(tiny)).collect()
+    assert sum(r.keep_prob for r in rows) >= mixing.MIN_KEPT * len(rows)
+    rate = {round(r.keep_prob / r.weight, 6) for r in rows if r.keep_prob < 1}  # below the cap the mixture's ratios hold
+    assert max(rate) - min(rate) < 2e-6 and all(r.keep_prob == 1 for r in rows if r.source == "tiny")
+    assert mixing.sample(docs.union(tiny)).count() > 0.4 * len(rows)
+    # the least scale that does: no more than a few digits above it
+    assert sum(r.keep_prob for r in rows) < (mixing.MIN_KEPT + 0.01) * len(rows)
+
+
 def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
     rows = mixing.rake(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.keep_prob <= 1 and r.weight >= 0 for r in rows)
