@@ -84,7 +84,7 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of the undirected edges (a, b) reaches.
 
-    Large-star and small-star in turn until nothing changes; each round is written to the shared folder.
+    Large-star and small-star in turn until nothing changes; each round is written to the shared folder. Raises if max_rounds don't settle it.
     """
 
     def mark(e: DataFrame):
@@ -108,6 +108,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

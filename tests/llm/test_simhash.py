@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from docloom.llm import simhash as H
 
@@ -62,6 +63,12 @@ def test_long_chain_and_star(spark):
     assert all(roots[k] == 0 for k in range(1, 201)) and all(roots[k] == 1000 for k in range(1001, 1300))
 
 
+def test_unsettled_components_are_refused(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        H.components(edges, max_rounds=1)
+
+
 def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
     found = H.near_duplicates(odd_docs).collect()
     assert len(found) == odd_docs.count()
