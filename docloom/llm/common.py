@@ -25,10 +25,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); where that is unset, a folder of our own on one machine and an error on several."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -42,6 +44,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what materialise() wrote, when nothing is left to read it."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(doc_id: Column | str, mod: int) -> Column:
     """crc32 of doc_id as text, modulo mod; a null doc_id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -40,6 +40,19 @@ class Store:
             with system.open_output_stream(f"{path}/{name}") as out:
                 out.write(data.tobytes())
 
+    def read(self, name: str, dtype) -> np.ndarray:
+        """A whole array, mapped where the folder is a file system; empty if it isn't there."""
+        if (local := self._local()) is not None:
+            path = f"{local}/{name}"
+            return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(self.root)
+        if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            return np.zeros(0, dtype)
+        with system.open_input_stream(f"{path}/{name}") as src:
+            return np.frombuffer(src.read(), dtype)
+
     def get(self, name: str, dtype, count: int) -> np.ndarray:
         if not count:
             return np.zeros(0, dtype)
@@ -58,6 +71,67 @@ class Store:
         return np.memmap(copy, dtype, "r", shape=(count,))
 
 
+class Arrays:
+    """Sorted keys in parts by their leading bits, one file a part, and values stored alike. Tasks open the parts that they ask for, OPEN at a time."""
+
+    OPEN, AT = 4096, 40
+
+    def __init__(self, store: Store, name: str, dtype, bits: int, width: int, kinds: dict | None = None):
+        self.store, self.name, self.bits, self.width = store, name, bits, width
+        self.kinds = {"": dtype, **(kinds or {})}
+        self.parts: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"parts": {}}
+
+    def part(self, p: int, value: str = "") -> np.ndarray:
+        have = self.parts.get((value, p))
+        if have is None:
+            if len(self.parts) >= self.OPEN:
+                self.parts.pop(next(iter(self.parts)))
+            have = self.parts[value, p] = self.store.read(f"{self.name}{value and f'-{value}'}-{p}", self.kinds[value])
+        return have
+
+    def find(self, keys: np.ndarray, twins: np.ndarray | None = None) -> np.ndarray:
+        """Number of each key (whose value twin is its own in twins), -1 for those that aren't there. Keys in any order."""
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        found = np.full(len(keys), -1, np.int64)
+        part = (ranked >> ranked.dtype.type(self.width - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            p = int(part[a])
+            have = self.part(p)
+            if not len(have):
+                continue
+            mine = ranked[a:b]
+            at = np.searchsorted(have, mine)
+            hit = have[np.minimum(at, len(have) - 1)] == mine
+            hit &= at < len(have)
+            if twins is not None:  # keys that are equal by chance lie side by side
+                theirs, own = self.part(p, "twin"), twins[order[a:b]]
+                while True:
+                    wrong = np.flatnonzero(hit)
+                    wrong = wrong[theirs[at[wrong]] != own[wrong]]
+                    if not len(wrong):
+                        break
+                    at[wrong] += 1
+                    hit[wrong] = (at[wrong] < len(have)) & (have[np.minimum(at[wrong], len(have) - 1)] == mine[wrong])
+            found[order[a:b]] = np.where(hit, at + (p << self.AT), -1)
+        return found
+
+    def take(self, value: str, numbers: np.ndarray) -> np.ndarray:
+        """Values of numbers that are there, in any order."""
+        order = np.argsort(numbers, kind="stable")
+        ranked = numbers[order]
+        out = np.zeros(len(numbers), self.kinds[value])
+        part = ranked >> self.AT
+        edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            out[order[a:b]] = self.part(int(part[a]), value)[ranked[a:b] & ((1 << self.AT) - 1)]
+        return out
+
+
 class Sorted:
     """Sorted keys in parts by their leading bits; values are arrays stored alike."""
 

@@ -6,11 +6,16 @@ have equal grams at the same offset, so only occurrences of one gram need compar
 1. Anchors are hashed; hashes that occur twice or more are kept as sorted arrays in the shared folder.
 2. Anchors with such a hash give their context, the text that their run of windows covers. Equal contexts become one
    class with the place of its first occurrence, by an aggregation with map-side combine.
-3. For each gram, the contexts' texts after and before the anchor are put in suffix order by deep-shallow sorting:
-   multikey quicksort on 8-byte characters to SHALLOW bytes, then a blind trie for each group of strings still equal.
-   Common prefixes of neighbours say which windows of a context occur in an earlier one. A gram with more than
-   GROUP contexts isn't gathered: its windows are hashed and their first places found by an aggregation instead.
+3. The run of a class is cut into at most BANDS bands of windows that begin within BAND bytes of each other. All windows of
+   a band share their middle LENGTH - BAND + 1 bytes, the band's key. Within each key the bands' texts from the key on
+   and before it are put in suffix order by deep-shallow sorting: multikey quicksort on 8-byte characters to SHALLOW
+   bytes, then a blind trie for each group of strings still equal. Common prefixes of neighbours say which windows of a
+   band occur in an earlier one. Every class takes this path, and gives the same few rows however many share its gram;
+   under one key lie as many different strings as there are different BAND - 1 bytes on either side of it.
 4. A last pass over the texts looks up each anchor's class and cuts its repeated windows. Texts are never shuffled.
+
+Hashes decide nothing alone: grams and keys only bring strings together, which are then compared; classes and bands are
+told apart by 127 bits.
 """
 
 from __future__ import annotations
@@ -26,15 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import bounded_batches, materialise, scratch, table
-from docloom.llm.sorted_arrays import Sorted, Store, added, emit, gather, part_bits
+from docloom.llm.common import bounded_batches, discard, materialise, scratch, table
+from docloom.llm.sorted_arrays import Arrays, Store, added, emit, gather, part_bits
 
 LENGTH = 100
 #: Grams of LENGTH - 63 bytes leave 64 places in a window, one bit each.
 PLACES = 64
 GRAM = LENGTH - PLACES + 1
+#: Windows of a band begin at so many places; a run of windows touches so many bands at most.
+BAND = 8
+BANDS = PLACES // BAND
 SHALLOW = 64
-GROUP = 256
 #: Bytes that are searched for anchors at a time.
 PIECE = 1 << 20
 #: Anchors or classes of a part of the arrays, about; a task may hold several parts.
@@ -43,6 +50,12 @@ _LAST = np.int64((1 << 63) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def name_of(string: bytes, kind: int) -> tuple[int, int]:
+    """63 and 64 bits that tell strings of a kind apart; the first are the place in the arrays, the others are compared there."""
+    digest = xxhash.xxh3_128_intdigest(string, kind)
+    return digest >> 65, (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
 class Piece:
     """Some texts (or a stretch of a long one) in one buffer, with their anchors."""
 
@@ -88,9 +101,9 @@ class Piece:
     def context(self, i: int) -> bytes:
         return self.data[self.first[i] : self.last[i] + LENGTH]
 
-    def class_of(self, i: int) -> int:
-        """Hash of a context and of where its anchor lies in it."""
-        return xxhash.xxh3_64_intdigest(self.context(i), int(self.at[i] - self.first[i])) >> 1
+    def class_of(self, i: int) -> tuple[int, int]:
+        """Name of a context and of where its anchor lies in it."""
+        return name_of(self.context(i), int(self.at[i] - self.first[i]))
 
 
 def pieces(texts: list[bytes]) -> Iterator[Piece]:
@@ -132,26 +145,33 @@ def _store_repeated(store: Store) -> Callable:
         for p, keys, n in gather(batches, np.uint64):
             keys = keys[n > 1]
             store.put(f"gram-{p}", keys)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64())], ["part", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
 
     return run
 
 
-def _repeated(p: Piece, grams: Sorted) -> np.ndarray:
+def _repeated(p: Piece, grams: Arrays) -> np.ndarray:
     """Anchors of a piece whose gram occurs elsewhere too."""
     distinct, back = np.unique(p.hash, return_inverse=True)
     return np.flatnonzero((grams.find(distinct) >= 0)[back])
 
 
-_CONTEXT = "class long, gram long, doc long, tie long, pos long, before int, context binary, n long"
+_PLACE = ("doc", "tie", "pos")
+_CONTEXT = "class long, twin long, gram long, doc long, tie long, pos long, before int, context binary, n long"
+
+
+def _rows(names: str, columns: list) -> pa.RecordBatch:
+    """A batch of lists whose names and types are those of a DDL schema."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def _contexts(grams: Sorted) -> Callable:
+def _contexts(grams: Arrays) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams.open()
         for b in batches:
             texts, doc, tie = _texts(b), b.column("doc").to_pylist(), b.column("tie").to_pylist()
-            found: dict[int, list] = {}  # the first of each class in the batch, with its count
+            found: dict[tuple[int, int], list] = {}  # the first of each class in the batch, with its count
             for p in pieces(texts):
                 for i in _repeated(p, grams).tolist():
                     s = p.stretch[i]
@@ -166,12 +186,10 @@ def _contexts(grams: Sorted) -> Callable:
             rows = list(found.items())
             for at in range(0, len(rows), 20_000):
                 part = rows[at : at + 20_000]
-                cols = [
-                    [c for c, _ in part], [int(v[1]) for _, v in part], *([v[0][k] for _, v in part] for k in range(3)),
+                yield _rows(_CONTEXT, [
+                    [c[0] for c, _ in part], [c[1] for c, _ in part], [int(v[1]) for _, v in part], *([v[0][k] for _, v in part] for k in range(3)),
                     [v[2] for _, v in part], [v[3] for _, v in part], [v[4] for _, v in part],
-                ]
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["class", "gram", "doc", "tie", "pos", "before", "context", "n"])
+                ])
 
     return run
 
@@ -230,6 +248,46 @@ class BlindTrie:
         return out
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each stretch, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+def multikey_quicksort(table: np.ndarray, order: np.ndarray, begin: np.ndarray, end: np.ndarray, depths: int) -> np.ndarray:
+    """Sorts the rows order[begin:end] of each stretch by their first depths characters, in place. Returns where rows differ from the one before.
+
+    Every round splits all stretches at once: each by a pivot, the median of three of its characters at its depth, into
+    smaller, equal and larger; equal ones go on one character deeper.
+    """
+    fresh = np.zeros(len(order), bool)
+    fresh[begin] = True
+    depth = np.zeros(len(begin), np.int64)
+    while True:
+        live = (end - begin > 1) & (depth < depths)
+        begin, end, depth = begin[live], end[live], depth[live]
+        if not len(begin):
+            return fresh
+        size = end - begin
+        at = _spread(begin, size)
+        owner = np.repeat(np.arange(len(begin)), size)
+        char = table[order[at], depth[owner]]
+        starts = np.cumsum(size) - size
+        three = np.sort(np.stack([char[starts], char[starts + size // 2], char[starts + size - 1]]), axis=0)
+        pivot = three[1][owner]
+        side = (char > pivot).astype(np.int64) + (char >= pivot)
+        counts = np.bincount(owner * 3 + side, minlength=3 * len(begin)).reshape(-1, 3)
+        low = begin[:, None] + np.cumsum(counts, axis=1) - counts
+        to = np.empty(len(at), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            own = owner[mine]
+            to[mine] = low[own, k] + np.arange(len(mine)) - (np.cumsum(counts[:, k]) - counts[:, k])[own]
+        order[to] = order[at].copy()
+        begin, end = low.ravel(), (low + counts).ravel()
+        fresh[begin[end > begin]] = True
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common) of strings of width bytes at most, sorted within sorted groups; common prefix with the one before, -1 where a group begins.
 
@@ -238,21 +296,10 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, width: int) -> tuple[n
     n, wide = len(strings), -(-width // 8) * 8
     table = np.frombuffer(b"".join(s.ljust(wide, b"\0") for s in strings), ">u8").reshape(n, wide // 8).astype(np.uint64) if n else np.zeros((0, wide // 8), np.uint64)
     order = np.argsort(group, kind="stable")
-    fresh = np.r_[True, np.diff(group[order]) != 0][:n]
-    for depth in range(min(SHALLOW, wide) // 8):
-        # multikey quicksort, one 8-byte character deep: only groups with several strings go on
-        head = np.cumsum(fresh) - 1
-        several = np.bincount(head, minlength=1)[head] > 1
-        at = np.flatnonzero(several)
-        if not len(at):
-            break
-        key = table[order[at], depth]
-        o = np.lexsort((key, head[at]))
-        order[at] = order[at][o]
-        key, h = key[o], head[at]
-        fresh[at] |= np.r_[False, (key[1:] != key[:-1]) & (h[1:] == h[:-1])]
+    edge = np.r_[np.flatnonzero(np.r_[True, np.diff(group[order]) != 0][:n]), n]
+    fresh = multikey_quicksort(table, order, edge[:-1], edge[1:], min(SHALLOW, wide) // 8)
     edge = np.r_[np.flatnonzero(fresh), n]
-    for k in np.flatnonzero(np.diff(edge) > 1):
+    for k in np.flatnonzero(np.diff(edge) > 1) if wide > SHALLOW else ():
         mine = order[edge[k] : edge[k + 1]]
         rest = [strings[i].ljust(wide, b"\0")[SHALLOW:] for i in mine]
         order[edge[k] : edge[k + 1]] = mine[BlindTrie(rest).order()]
@@ -266,16 +313,16 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, width: int) -> tuple[n
 
 
 def repeated_windows(gram: np.ndarray, place: np.ndarray, before: np.ndarray, contexts: list[bytes]) -> np.ndarray:
-    """For each context, the bits of the windows that an earlier context of its gram has too. Bit a: the window that begins a bytes before the anchor.
+    """For each string, the bits of the windows that an earlier string of its group has too. Bit a: the window that begins a bytes before the anchor, a < BAND.
 
-    place: rank of each context's first occurrence.
+    place: rank of each string's first occurrence. before: bytes before the anchor.
     """
     n = len(contexts)
     length = np.array([len(c) for c in contexts])
     after = [c[b:] for c, b in zip(contexts, before)]
     back = [c[:b][::-1] for c, b in zip(contexts, before)]
     classes = []
-    for strings, width in ((after, LENGTH), (back, PLACES)):
+    for strings, width in ((after, LENGTH), (back, BAND)):
         order, common = deep_shallow(strings, gram, width)
         classes.append((order, common))
     least = before - (length - LENGTH)  # the last window's distance to the anchor
@@ -288,7 +335,7 @@ def repeated_windows(gram: np.ndarray, place: np.ndarray, before: np.ndarray, co
         out[order] = np.cumsum(common < depth)
         return out
 
-    for a in range(PLACES):
+    for a in range(BAND):
         rows = np.flatnonzero((least <= a) & (a <= before))
         if len(rows) < 2:
             continue
@@ -299,24 +346,71 @@ def repeated_windows(gram: np.ndarray, place: np.ndarray, before: np.ndarray, co
     return bits
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by gram; chunks are cut between grams."""
+def bands_of(context: bytes, before: int) -> Iterator[tuple[int, int, bytes]]:
+    """(band, bytes before the key, text) of each band that a context's run touches. Window a of the context is window a - BAND * band of the band."""
+    least = before - (len(context) - LENGTH)
+    for band in range(least // BAND, before // BAND + 1):
+        high, low = min(before, BAND * band + BAND - 1), max(least, BAND * band)
+        yield band, high - BAND * band, context[before - high : before - low + LENGTH]
+
+
+_BAND_ROW = "key long, name long, twin long, band int, before int, string binary, doc long, tie long, pos long, several int"
+
+
+def _band_rows(rivals: Arrays) -> Callable:
+    """A row for each band of the classes that share their gram with others; those with equal texts are one row a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[tuple, list] = {}
+            rows = _with_rivals(b, rivals)
+            for place, before, context in zip(zip(*(rows.column(c).to_pylist() for c in _PLACE)), rows.column("before").to_pylist(), rows.column("context").to_pylist()):
+                for band, ahead, text in bands_of(context, before):
+                    have = found.setdefault((band, ahead, text), [place, 0])
+                    have[0] = min(have[0], place)
+                    have[1] += 1
+            rows = list(found.items())
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                names = [name_of(text, BAND * band + ahead) for (band, ahead, text), _ in part]
+                keys = [xxhash.xxh3_64_intdigest(text[ahead : ahead + LENGTH - BAND + 1], band) >> 1 for (band, ahead, text), _ in part]
+                yield _rows(_BAND_ROW, [
+                    keys, [n for n, _ in names], [t for _, t in names], *([k[j] for k, _ in part] for j in range(3)),
+                    *([v[0][j] for _, v in part] for j in range(3)), [int(v[1] > 1) for _, v in part],
+                ])
+
+    return run
+
+
+def _with_rivals(b: pa.RecordBatch, rivals: Arrays) -> pa.RecordBatch:
+    distinct, back = np.unique(b.column("gram").to_numpy().view(np.uint64), return_inverse=True)
+    return b.filter(pa.array((rivals.find(distinct) >= 0)[back]))
+
+
+def _sort_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, twin, bits, doc, tie, pos) of the bands' texts that several classes have or whose windows an earlier one has. Rows come sorted by key, then text and place; chunks are cut between keys."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        cols = {c: t.column(c).to_numpy() for c in ("class", "gram", "doc", "tie", "pos", "before")}
-        place = np.empty(len(cols["doc"]), np.int64)
+        cols = {c: t.column(c).to_numpy() for c in ("key", "name", "twin", "before", "doc", "tie", "pos", "several")}
+        new = np.r_[True, (np.diff(cols["key"]) != 0) | (np.diff(cols["name"]) != 0) | (np.diff(cols["twin"]) != 0)]
+        first = np.flatnonzero(new)  # rows of one text are side by side, the first place first
+        several = np.add.reduceat(cols["several"], first) + np.diff(np.r_[first, len(new)]) > 1
+        cols = {c: v[first] for c, v in cols.items()}
+        texts = t.column("string").take(pa.array(first)).to_pylist()
+        place = np.empty(len(first), np.int64)
         place[np.lexsort((cols["pos"], cols["tie"], cols["doc"]))] = np.arange(len(place))
-        bits = repeated_windows(cols["gram"], place, cols["before"].astype(np.int64), t.column("context").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(cols["class"]), pa.array(bits.view(np.int64))], ["class", "bits"])
+        bits = repeated_windows(cols["key"], place, cols["before"].astype(np.int64), texts).view(np.int64)
+        keep = np.flatnonzero(several | (bits != 0))
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (cols["name"], cols["twin"], bits, *(cols[c] for c in _PLACE))], ["name", "twin", "bits", *_PLACE])
 
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n >= 100_000:
+        if n >= 50_000:
             t = pa.Table.from_batches(held)
-            gram = t.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if cut:
                 yield solve(t.slice(0, cut))
             held, n = t.slice(cut).to_batches(), t.num_rows - cut
@@ -324,75 +418,81 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield solve(pa.Table.from_batches(held))
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        before, contexts = b.column("before").to_pylist(), b.column("context").to_pylist()
-        for at in range(0, b.num_rows, 500):
-            rows, hashes, places = [], [], []
-            for i in range(at, min(at + 500, b.num_rows)):
-                c = contexts[i]
-                for k in range(len(c) - LENGTH + 1):
-                    rows.append(i)
-                    hashes.append(xxhash.xxh3_64_intdigest(c[k : k + LENGTH]) >> 1)
-                    places.append(before[i] - k)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *(b.column(c).take(take) for c in ("class", "doc", "tie", "pos")), pa.array(places, pa.int32())], ["window", "class", "doc", "tie", "pos", "a"])
-
-
-def _store_rows(store: Store, names: dict[str, str], bits: int) -> Callable:
-    """Stores columns under names, sorted by the first, a 63-bit key; dealt by its leading bits."""
+def _class_bits(rivals: Arrays, texts: Arrays) -> Callable:
+    """(class, twin, bits, doc, tie, pos) of the classes that occur several times or have windows that an earlier class has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.append_column("row", pa.array(np.arange(b.num_rows)))
+            some = _with_rivals(b, rivals)
+            owner, names, twins, band, spans = [], [], [], [], []
+            for row, before, context in zip(some.column("row").to_pylist(), some.column("before").to_pylist(), some.column("context").to_pylist()):
+                for k, ahead, text in bands_of(context, before):
+                    name, twin = name_of(text, BAND * k + ahead)
+                    owner.append(row)
+                    names.append(name)
+                    twins.append(twin)
+                    band.append(k)
+                    low = ahead - (len(text) - LENGTH)
+                    spans.append((1 << (ahead + 1)) - (1 << low))
+            bits = np.zeros(b.num_rows, np.uint64)
+            if owner:
+                owner, band, all_of = np.array(owner), np.array(band), np.array(spans, np.uint64)
+                number = texts.find(np.array(names, np.int64), np.array(twins, np.int64))
+                hit = np.flatnonzero(number >= 0)
+                place = [b.column(c).to_numpy()[owner[hit]] for c in _PLACE]
+                here = np.logical_and.reduce([texts.take(c, number[hit]) == x for c, x in zip(_PLACE, place)])
+                mine = np.where(here, texts.take("bits", number[hit]).view(np.uint64), all_of[hit])  # a text that began elsewhere: all its windows
+                np.bitwise_or.at(bits, owner[hit], mine << (BAND * band[hit]).astype(np.uint64))
+            keep = pa.array((bits != 0) | (b.column("n").to_numpy() > 1))
+            out = [b.column("class"), b.column("twin"), pa.array(bits.view(np.int64)), *(b.column(c) for c in _PLACE)]
+            yield pa.RecordBatch.from_arrays(out, ["name", "twin", "bits", *_PLACE]).filter(keep)
+
+    return run
+
+
+_NAMED = ("twin", "bits", *_PLACE)
+
+
+def _store_named(store: Store, name: str, bits: int) -> Callable:
+    """Stores rows (name, twin, bits, place) sorted by name and twin; dealt by the leading bits of name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy() for c in names] for b in batches if b.num_rows]
+        held = [[b.column(c).to_numpy() for c in ("name", *_NAMED)] for b in batches if b.num_rows]
         if held:
             cols = [np.concatenate(x) for x in zip(*held)]
-            order = np.argsort(cols[0], kind="stable")
+            order = np.lexsort((cols[1], cols[0]))
             cols = [c[order] for c in cols]
             part = cols[0] >> (63 - bits)
             for p in np.unique(part):
-                for name, c in zip(names.values(), cols):
-                    store.put(f"{name}-{p}", c[part == p])
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int((part == p).sum())], pa.int64())], ["part", "size"])
+                for c, x in zip(("", *(f"-{k}" for k in _NAMED)), cols):
+                    store.put(f"{name}{c}-{p}", x[part == p])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
 
     return run
 
 
-def _stored(rows: DataFrame, store: Store, names: dict[str, str], bits: int) -> Sorted:
-    key, name = next(iter(names.items()))
-    dealt = rows.select(*names).repartition(1 << bits, F.shiftright(key, 63 - bits))
-    parts = dict(dealt.mapInArrow(_store_rows(store, names, bits), "part int, size long").collect())  # one row per part
-    return Sorted(store, name, np.int64, bits, 63, [parts.get(p, 0) for p in range(1 << bits)])
+def _stored(rows: DataFrame, store: Store, name: str, bits: int) -> Arrays:
+    dealt = rows.repartition(1 << bits, F.shiftright("name", 63 - bits))
+    dealt.mapInArrow(_store_named(store, name, bits), "part int").agg(F.count("*")).collect()
+    return Arrays(store, name, np.int64, bits, 63, {k: np.int64 for k in _NAMED})
 
 
-def _look_up_windows(first: Sorted) -> Callable:
-    """(class, bits) of contexts whose windows have an earlier place among the first ones."""
+def _store_grams(store: Store, bits: int) -> Callable:
+    """Stores grams sorted as unsigned numbers; dealt by their leading bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first.open(*((f"window_{c}", np.int64) for c in ("doc", "tie", "pos")))
-        for b in batches:
-            before, contexts = b.column("before").to_numpy().astype(np.int64), b.column("context").to_pylist()
-            row = np.repeat(np.arange(b.num_rows), [len(c) - LENGTH + 1 for c in contexts])
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(c[k : k + LENGTH]) >> 1 for c in contexts for k in range(len(c) - LENGTH + 1)), np.int64, len(row))
-            distance = before[row] - (np.arange(len(row)) - np.searchsorted(row, row))
-            keys, back = np.unique(hashes, return_inverse=True)
-            number = first.find(keys)[back]
-            some = number >= 0
-            row, number, distance = row[some], number[some], distance[some]
-            mine = [b.column(c).to_numpy()[row] for c in ("doc", "tie", "pos")]
-            theirs = [first.take(f"window_{c}", number) for c in ("doc", "tie", "pos")]
-            (d, t, p), (fd, ft, fp) = mine, theirs
-            later = (d > fd) | ((d == fd) & ((t > ft) | ((t == ft) & (p > fp))))
-            bits = np.zeros(b.num_rows, np.uint64)
-            np.bitwise_or.at(bits, row[later], np.uint64(1) << distance[later].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(bits.view(np.int64))], ["class", "bits"])
+        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(b.column("gram").to_numpy().view(np.uint64) for b in batches)]))
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        for p in np.unique(part):
+            store.put(f"rival-{p}", keys[part == p])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
 
     return run
 
 
-def _cut(grams: Sorted, classes: Sorted, keep_text: bool, cols: list[str]) -> Callable:
+def _cut(grams: Arrays, classes: Arrays, keep_text: bool, cols: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams.open()
-        classes.open(*((c, np.int64) for c in ("bits", "doc", "tie", "pos")))
         for b in batches:
             texts = _texts(b)
             doc, tie = b.column("doc").to_numpy(), b.column("tie").to_numpy()
@@ -400,8 +500,8 @@ def _cut(grams: Sorted, classes: Sorted, keep_text: bool, cols: list[str]) -> Ca
             marks = np.zeros(int(edges[-1]) + 1, np.int32)
             for p in pieces(texts):
                 some = _repeated(p, grams)
-                keys, back = np.unique(np.array([p.class_of(i) for i in some.tolist()], np.int64), return_inverse=True)
-                number = classes.find(keys)[back]
+                names = np.array([p.class_of(i) for i in some.tolist()], np.int64).reshape(-1, 2)
+                number = classes.find(names[:, 0], names[:, 1])
                 some, number = some[number >= 0], number[number >= 0]
                 s = p.stretch[some]
                 text, inside = p.text[s], p.offset[s] - p.starts[s]
@@ -436,14 +536,15 @@ def _cut(grams: Sorted, classes: Sorted, keep_text: bool, cols: list[str]) -> Ca
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) and kept (the bytes that stay; null without keep_text).
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a smaller doc_id, or further left in the same
-    document. A null text is empty; texts shorter than LENGTH stay whole. A null doc_id is the largest. Rows with one
-    doc_id and different texts are ordered by a hash of the text; rows that repeat both get equal results, as if each
-    were the only one. Columns of docs with those names, or doc, tie, are replaced. An empty table gives no rows.
-    kept is bytes, as a cut can fall inside a character.
+    document. A null text is empty; texts shorter than LENGTH stay whole; very long ones are searched PIECE bytes at a
+    time, which changes nothing in the result. A null doc_id is the largest. Rows with one doc_id and different texts are
+    ordered by a hash of the text; rows that repeat both get equal results, as if each were the only one. Columns of docs
+    with those names, or doc, tie, are replaced. An empty table gives no rows. kept is bytes, as a cut can fall inside a
+    character.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -455,24 +556,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, group: int = GROUP)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = part_bits(size // (PLACES // 2), PART)
     counted = raw.select("text").mapInArrow(_count_anchors(bits), "part int, key long, n long").repartition(1 << bits, "part")
-    parts = dict(counted.mapInArrow(_store_repeated(store), "part int, size long").collect())  # one row per part
-    grams = Sorted(store, "gram", np.uint64, bits, 64, [parts.get(p, 0) for p in range(1 << bits)])
+    counted.mapInArrow(_store_repeated(store), "part int").agg(F.count("*")).collect()
+    grams = Arrays(store, "gram", np.uint64, bits, 64)
     found = raw.select("doc", "tie", "text").mapInArrow(_contexts(grams), _CONTEXT)
-    first = found.groupBy("class").agg(F.min(F.struct("doc", "tie", "pos")).alias("place"), F.sum("n").alias("n"), F.first("gram").alias("gram"), F.first("before").alias("before"), F.first("context").alias("context"))
-    classes = materialise(first.select("class", "place.*", "n", "gram", "before", "context"), "contexts")
-    many = classes.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    rival = classes.drop("n").join(many, "gram")
-    some = rival.where(F.col("members") <= group).drop("members").repartition("gram").sortWithinPartitions("gram")
-    sorted_bits = some.select("class", "gram", "doc", "tie", "pos", "before", "context").mapInArrow(_sort_contexts, "class long, bits long")
-    hot = rival.where(F.col("members") > group).select("class", "doc", "tie", "pos", "before", "context")
-    windows = hot.mapInArrow(_hash_windows, "window long, class long, doc long, tie long, pos long, a int")
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc", "tie", "pos")).alias("place"), F.count("*").alias("members")).where("members > 1")
+    first = found.groupBy("class", "twin").agg(F.min(F.struct(*_PLACE)).alias("place"), F.sum("n").alias("n"), F.first("gram").alias("gram"), F.first("before").alias("before"), F.first("context").alias("context"))
+    classes = materialise(first.select("class", "twin", "place.*", "n", "gram", "before", "context"), "contexts")
     bits = part_bits(size // PLACES, PART)
-    first_windows = _stored(earliest.select("window", "place.*"), store, {"window": "window", "doc": "window_doc", "tie": "window_tie", "pos": "window_pos"}, bits)
-    hot_bits = hot.mapInArrow(_look_up_windows(first_windows), "class long, bits long").where("bits <> 0")
-    solved = sorted_bits.where("bits <> 0").unionByName(hot_bits)
-    known = classes.select("class", "doc", "tie", "pos", "n").join(solved, "class", "left").where("n > 1 OR bits IS NOT NULL")
-    index = _stored(known.select("class", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"), "doc", "tie", "pos"), store, {c: c for c in ("class", "bits", "doc", "tie", "pos")}, bits)
+    shared = classes.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
+    dealt = shared.select("gram").repartition(1 << bits, F.shiftrightunsigned("gram", 64 - bits))
+    dealt.mapInArrow(_store_grams(store, bits), "part int").agg(F.count("*")).collect()
+    rivals = Arrays(store, "rival", np.uint64, bits, 64)
+    bands = classes.mapInArrow(_band_rows(rivals), _BAND_ROW).repartition("key").sortWithinPartitions("key", "name", "twin", *_PLACE)
+    named = f"name long, twin long, bits long, {', '.join(f'{c} long' for c in _PLACE)}"
+    texts = _stored(bands.mapInArrow(_sort_bands, named), store, "band", bits)
+    index = _stored(classes.mapInArrow(_class_bits(rivals, texts), named), store, "class", bits)
+    discard(classes)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     kinds = [T.LongType()] * 3 + [T.StringType(), span, T.BinaryType()]
     schema = T.StructType([*(docs.schema[c] for c in bare), *(T.StructField(c, t) for c, t in zip(new, kinds))])

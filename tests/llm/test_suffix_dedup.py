@@ -44,11 +44,11 @@ def random_docs(seed):
     return [*docs, (60, "ab " * 400), (61, "ab " * 300), (62, docs[3][1]), (63, shared[5] * 3)]
 
 
-@pytest.mark.parametrize("group", [256, 2])
-def test_equals_brute_force(spark, group):
-    docs = random_docs(group)
+@pytest.mark.parametrize("seed", [256, 2])
+def test_equals_brute_force(spark, seed):
+    docs = random_docs(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert got(df, group=group) == brute([(d, t.encode()) for d, t in docs])
+    assert got(df) == brute([(d, t.encode()) for d, t in docs])
 
 
 def test_documents_table(spark, sf):
@@ -83,6 +83,37 @@ def test_deep_shallow_order_and_prefixes():
         assert c == want
 
 
+def test_one_passage_in_many_surroundings(spark):
+    """A passage that every document has, each with other text around it, cut at other places, and in two-byte characters."""
+    draw = random.Random(17)
+    part = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = part(300)
+    docs = [(k, part(40) + passage[draw.randrange(150) : 150 + draw.randrange(60, 150)] + part(40)) for k in range(1500)] + [(k, "é" * (30 + k % 90)) for k in range(1500, 1600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert got(df) == brute([(d, t.encode()) for d, t in docs])
+
+
+def test_rows_of_a_class_are_bounded():
+    context = bytes(range(163))
+    for before in (0, 7, 8, 31, 63):
+        bands = list(S.bands_of(context[63 - before :], before))
+        assert len(bands) <= S.BANDS and sum(len(t) - S.LENGTH + 1 for _, _, t in bands) == before + 1
+
+
+def test_multikey_quicksort():
+    draw = np.random.default_rng(4)
+    table = draw.integers(0, 3, (500, 6)).astype(np.uint64)
+    order = draw.permutation(500)
+    group = np.sort(draw.integers(0, 7, 500))
+    edge = np.r_[np.flatnonzero(np.r_[True, np.diff(group) != 0]), 500]
+    parts = [set(order[a:b].tolist()) for a, b in zip(edge, edge[1:])]
+    fresh = S.multikey_quicksort(table, order, edge[:-1], edge[1:], 4)
+    for (a, b), part in zip(zip(edge, edge[1:]), parts):
+        rows = [tuple(table[i, :4]) for i in order[a:b]]
+        assert set(order[a:b].tolist()) == part and rows == sorted(rows)
+        assert fresh[a:b].tolist() == [True, *(x != y for x, y in zip(rows, rows[1:]))]
+
+
 def test_blind_trie():
     draw = random.Random(9)
     strings = [bytes(draw.choice(b"xyz") for _ in range(draw.randrange(0, 9))) for _ in range(200)]
