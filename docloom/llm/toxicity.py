@@ -1,10 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings. From a bounded sample of labelled documents the terms that tell the labels apart
-are kept (chi-squared and lift); every document becomes the TF-IDF vector of its whole text over those terms. Labelled
-vectors form an inverted index whose postings are cut into blocks of examples with the largest weight of each term per
-block: blocks are scored in the order of their bounds until no bound reaches the k-th cosine, so neighbours are exact.
-Distance-weighted votes of the neighbours are calibrated on leave-one-out votes of the examples.
+Terms are words and word beginnings, all of them, told apart by 63-bit hashes. The examples are a bounded sample of labelled
+documents; their terms are the vocabulary, and document frequencies are counted over all documents. Every document becomes
+the TF-IDF vector of its whole text, in which terms that tell the labels of the examples apart (chi-squared and lift) weigh
+GAIN times as much. Examples form an inverted index. Long posting lists are cut into blocks of examples with the largest
+weight of each term per block: what they add to an example is bounded by its block's maxima, and examples are scored in the
+order of their bounds until no bound reaches the k-th cosine, so neighbours are exact, and every text that shares any term
+with an example has some. Distance-weighted votes of the neighbours are calibrated on the votes that each example gets from
+the others.
 """
 
 from __future__ import annotations
@@ -14,54 +17,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Shared, bounded_batches, fold, materialise, table
+from docloom.llm.common import Shared, bounded_batches, discard, fold, materialise, table
 
-#: Bounds of the index: labelled documents in it, terms.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 4096
+#: Bound of the index: labelled documents in it.
+MAX_EXAMPLES = 4_000
 NEIGHBOURS, BLOCK, SOFT = 15, 64, 0.05
-CHI2, LIFT, PREFIX = 25.0, 3.0, 4
-#: A term is in so many examples at least, and in this share of them.
-MIN_DF, MIN_SHARE = 4, 0.002
+#: A term tells the labels apart if its chi-squared statistic and its lift are so high; its weight is then GAIN times its TF-IDF.
+CHI2, LIFT, GAIN = 25.0, 3.0, 30.0
+PREFIX = 4
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
+#: A list is long if it holds more than this share of the examples. So many examples are scored between two looks at the bounds.
+FREQUENT, FIRST = 1 / 4, 64
 _SPACES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def terms(text: str | None) -> Counter:
-    """Counts of lower-case words, and of word beginnings of PREFIX bytes (marked by ^)."""
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of a text's lower-case words and of the beginnings, PREFIX bytes, of longer words."""
     words = Counter((text or "").lower().encode("utf-8", "replace").translate(_SPACES).split())
-    out: Counter = Counter(words)
+    begins: Counter = Counter()
     for w, n in words.items():
         if len(w) > PREFIX:
-            out[b"^" + w[:PREFIX]] += n
-    return out
+            begins[w[:PREFIX]] += n
+    h = [*(xxhash.xxh64_intdigest(w, 1) >> 1 for w in words), *(xxhash.xxh64_intdigest(w, 2) >> 1 for w in begins)]
+    keys, n = np.array(h, np.int64), np.array([*words.values(), *begins.values()], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+def _sigmoid(z):
+    return 0.5 * (1 + np.tanh(0.5 * np.asarray(z, np.float64)))
+
+
+def _logit(p):
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def calibration(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) of the logistic curve that fits labels to the log-odds of votes, with softened targets; damped Newton steps. (1, 0) if labels are alike or votes tell nothing."""
+    if len(set(labels.tolist())) < 2:
+        return 1.0, 0.0
+    x, y = _logit(votes), labels
+    y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    at = np.array([1.0, 0.0])
+
+    def loss(v):
+        z = v[0] * x + v[1]
+        return np.logaddexp(0, z).sum() - (y * z).sum() + 5e-4 * ((v[0] - 1) ** 2 + v[1] ** 2)
+
+    for _ in range(100):
+        p = _sigmoid(at[0] * x + at[1])
+        g = np.array([((p - y) * x).sum() + 1e-3 * (at[0] - 1), (p - y).sum() + 1e-3 * at[1]])
+        w = p * (1 - p)
+        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(h, g)
+        while loss(at - step) > loss(at) + 1e-12 and np.abs(step).max() > 1e-10:
+            step /= 2
+        at = at - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
 class Index:
     """Block-max inverted index of labelled TF-IDF vectors, with calibrated votes."""
 
-    def __init__(self, names: list[bytes], df: np.ndarray, n_docs: int):
-        self.code = {t: k for k, t in enumerate(names)}
-        # words and beginnings apart, so that a document's words are looked up without building its term counts
-        self.words = {t: k for t, k in self.code.items() if t[:1] != b"^"}
-        self.begins = {t[1:]: k for t, k in self.code.items() if t[:1] == b"^"}
-        self.idf = np.log((1 + n_docs) / (1 + df)) + 1
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, gain: np.ndarray):
+        """vocabulary: sorted hashes; idf and gain: of each term."""
+        self.vocabulary, self.idf, self.weight = vocabulary, idf, idf * gain
         self.scale, self.shift, self.empty = 1.0, 0.0, 0.0
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        n: dict[int, int] = {}
-        for w in (text or "").lower().encode("utf-8", "replace").translate(_SPACES).split():
-            if w in self.words:
-                k = self.words[w]
-                n[k] = n.get(k, 0) + 1
-            if len(w) > PREFIX and w[:PREFIX] in self.begins:
-                k = self.begins[w[:PREFIX]]
-                n[k] = n.get(k, 0) + 1
-        at = np.array(sorted(n), np.int64)
-        x = (1 + np.log([n[k] for k in at])) * self.idf[at] if len(at) else np.zeros(0)
+        """(term numbers, weights of length 1) of a whole text; terms that no example has count in its length only by their absence."""
+        keys, n = terms(text)
+        at = np.searchsorted(self.vocabulary, keys)
+        hit = at < len(self.vocabulary)
+        hit[hit] = self.vocabulary[at[hit]] == keys[hit]
+        at, x = at[hit], (1 + np.log(n[hit])) * self.weight[at[hit]]
         return at, x / (np.linalg.norm(x) or 1.0)
 
     def build(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
@@ -69,77 +110,72 @@ class Index:
         bare = [y for _, y, at, _ in examples if not len(at)]
         self.empty = (sum(bare) + 0.5) / (len(bare) + 50.0)
         # like examples side by side make tight blocks: by the heaviest term
-        full = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][e[3].argmax()]), e[0]))
+        full = self.examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][e[3].argmax()]), e[0]))
         self.ids, self.labels = np.array([e[0] for e in full], np.int64), np.array([e[1] for e in full], np.float64)
-        doc = np.repeat(np.arange(len(full)), [len(e[2]) for e in full])
+        doc = np.repeat(np.arange(len(full), dtype=np.int32), [len(e[2]) for e in full])
         term = np.concatenate([e[2] for e in full]) if full else np.zeros(0, np.int64)
         weight = np.concatenate([e[3] for e in full]) if full else np.zeros(0)
-        order = np.lexsort((doc, term))
-        self.docs, self.weights = doc[order], weight[order]
+        n = np.bincount(term, minlength=len(self.vocabulary))
+        often = np.flatnonzero(n > max(BLOCK, FREQUENT * len(full)))
+        self.often = np.full(len(self.vocabulary), -1, np.int64)
+        self.often[often] = np.arange(len(often))
+        long = self.often[term] >= 0
+        # long lists: block by block, with the largest weight of each term in each block
         self.blocks = -(-len(full) // BLOCK)
-        key = term[order] * self.blocks + self.docs // BLOCK
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.keys, self.first = key[first], np.r_[first, len(key)]  # a row per term and block that has it
-        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
-        self._calibrate(full)
+        self.lists = np.zeros((self.blocks * BLOCK, len(often)))
+        self.lists[doc[long], self.often[term[long]]] = weight[long]
+        self.maxima = self.lists.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
+        self.norms = np.linalg.norm(self.lists, axis=1)[: len(full)]
+        # short lists, a stretch for each term
+        order = np.lexsort((doc[~long], term[~long]))
+        self.docs, self.weights = doc[~long][order], weight[~long][order]
+        self.start = np.searchsorted(term[~long][order], np.arange(len(self.vocabulary) + 1))
 
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k nearest examples with a term in common, ties to the smaller doc_id; row but is left out."""
-        low, high = np.searchsorted(self.keys, at * self.blocks), np.searchsorted(self.keys, (at + 1) * self.blocks)
-        spans = np.concatenate([np.arange(a, b) for a, b in zip(low, high)]) if len(at) else np.zeros(0, np.int64)
-        which = np.repeat(np.arange(len(at)), high - low)
-        block = self.keys[spans] % max(1, self.blocks)
-        bound = np.bincount(block, x[which] * self.maxima[spans], self.blocks)
-        live = np.flatnonzero(bound > 0)
-        live = live[np.argsort(-bound[live], kind="stable")]
-        by_block = np.argsort(block, kind="stable")
-        edge = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        rows, cosines, done = np.zeros(0, np.int64), np.zeros(0), 0
-        while done < len(live):
-            if len(rows) == k and bound[live[done]] + 1e-9 < cosines[-1]:
-                break
-            part = live[done : done + 4]
-            done += len(part)
-            got = np.concatenate([by_block[edge[b] : edge[b + 1]] for b in part])
-            sizes = self.first[spans[got] + 1] - self.first[spans[got]]
-            posting = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[spans[got]], sizes)
-            cand, inverse = np.unique(self.docs[posting], return_inverse=True)
-            score = np.round(np.bincount(inverse, self.weights[posting] * np.repeat(x[which[got]], sizes)), 12)
-            keep = cand != but
-            rows, cosines = np.concatenate([rows, cand[keep]]), np.concatenate([cosines, score[keep]])
+        """(rows, cosines) of the k nearest examples with a term in common, ties to the smaller doc_id; row but is left out.
+
+        Short lists are scored in full. What the long ones can add to an example is bounded by its block's maxima, and by the
+        lengths of both vectors there; examples are scored in the order of their bounds until none reaches the k-th cosine.
+        """
+        if not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0)
+        low, size = self.start[at], self.start[at + 1] - self.start[at]
+        posting = _stretches(low, size)
+        partial = np.bincount(self.docs[posting], self.weights[posting] * np.repeat(x, size), len(self.ids))
+        often = self.often[at]
+        some = often >= 0
+        cols, rest = often[some], x[some]
+        by_block = np.repeat(self.maxima[:, cols] @ rest, BLOCK)[: len(self.ids)]
+        bound = partial + np.minimum(by_block, self.norms * np.linalg.norm(rest)) + 1e-9
+        bound[(by_block == 0) & (partial == 0)] = 0
+        if but >= 0:
+            bound[but] = 0
+        whole = np.zeros(self.lists.shape[1])
+        whole[cols] = rest
+        rows, cosines, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, FIRST
+        while True:
+            live = np.flatnonzero((bound > 0) & (bound >= least))
+            if not len(live):
+                return rows, cosines
+            if len(live) > step:
+                live = live[np.argpartition(-bound[live], step - 1)[:step]]
+            score = np.round(partial[live] + self.lists[live] @ whole, 12)
+            bound[live] = 0  # done
+            if len(live) > k:  # those that tie with the k-th stay
+                keep = score >= np.partition(score, len(live) - k)[len(live) - k]
+                live, score = live[keep], score[keep]
+            rows, cosines = np.concatenate([rows, live[score > 0]]), np.concatenate([cosines, score[score > 0]])
             top = np.lexsort((self.ids[rows], -cosines))[:k]
             rows, cosines = rows[top], cosines[top]
-        return rows, cosines
+            least, step = cosines[-1] if len(rows) == k else 0.0, step * 8
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         w = 1 / (SOFT + 1 - np.minimum(cosines, 1))
         return float((w @ self.labels[rows] + self.empty) / (w.sum() + 1))
 
-    def _calibrate(self, full: list) -> None:
-        """Logistic scale and shift of the votes that the examples get from the others."""
-        if not len(set(self.labels.tolist())) > 1:
-            return
-        pick = range(0, len(full), max(1, len(full) // 4000))
-        votes = np.array([self.vote(*self.nearest(full[i][2], full[i][3], but=i)) for i in pick])
-        x, y = self._logit(votes), self.labels[list(pick)]
-        y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))  # softened targets
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([((p - y) * x).sum() + 1e-3 * (a - 1), (p - y).sum() + 1e-3 * b])
-            w = np.maximum(p * (1 - p), 1e-9)
-            h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-            step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-8:
-                break
-        if a > 0 and np.isfinite([a, b]).all():
-            self.scale, self.shift = float(a), float(b)
-
-    @staticmethod
-    def _logit(p):
-        p = np.clip(p, 1e-4, 1 - 1e-4)
-        return np.log(p / (1 - p))
+    def left_out(self, row: int) -> float:
+        """The vote that an example gets from the others."""
+        return self.vote(*self.nearest(self.examples[row][2], self.examples[row][3], but=row))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
         """(score, evidence): evidence holds (doc_id, cosine, label) of the nearest examples."""
@@ -149,60 +185,93 @@ class Index:
         rows, cosines = self.nearest(at, x)
         if not len(rows):
             return self.empty, []
-        p = 1 / (1 + np.exp(-(self.scale * self._logit(self.vote(rows, cosines)) + self.shift)))
+        p = _sigmoid(self.scale * _logit(self.vote(rows, cosines)) + self.shift)
         return float(p), [(int(self.ids[r]), float(c), int(self.labels[r])) for r, c in zip(rows, cosines)]
 
 
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [terms(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("label"), *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "label", "terms", "n"]
+        )
+
+
+def _document_frequencies(vocabulary: Shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value()
+        n = np.zeros(len(known), np.int64)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                keys, _ = terms(t)
+                at = np.searchsorted(known, keys)
+                at = at[at < len(known)] if len(at) and at[-1] == len(known) else at
+                n[at[known[at] == keys[: len(at)]]] += 1
+        some = np.flatnonzero(n)
+        for k in range(0, len(some), 1 << 18):
+            part = some[k : k + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], ["term", "n"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """An index of the labelled rows of docs: max_examples of labels (doc_id, toxic) at most, those whose hash of doc_id is lowest.
+    """An index of labelled rows of docs: max_examples of labels (doc_id, toxic) at most, those whose hash of doc_id is lowest.
 
-    Rows without id or label are no examples; of several labels of an id the highest counts.
+    Rows without id or label are no examples; of several labels of an id the highest counts; of repeated ids of docs each
+    row is an example. Document frequencies are those of all rows of docs.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(max_examples)
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"), "labelled")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, bad = Counter(), Counter()
-        for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                found = terms(t).keys()
-                both.update(found)
-                if y:
-                    bad.update(found)
-        names = list(both)
-        for k in range(0, len(names), 50_000):
-            part = names[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([both[t] for t in part], pa.int64()), pa.array([bad[t] for t in part], pa.int64())], ["term", "n", "bad"])
-
-    n_docs, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    stats = rows.mapInArrow(count, "term binary, n long, bad long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")).where(F.col("n") >= max(MIN_DF, MIN_SHARE * n_docs))
-    a, r, c, n = F.col("bad"), F.col("n"), F.lit(float(n_bad)), F.lit(float(n_docs))
-    chi2 = F.try_divide(n * F.pow(a * n - r * c, F.lit(2)), r * c * (n - r) * (n - c))
-    lift = F.try_divide((a + 0.5) / (r + 1), (c + 0.5) / (n + 1))
-    picked = stats.withColumn("chi2", chi2).where((F.col("chi2") >= min(CHI2, 0.25 * n_docs)) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
-    kept = picked.orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS).select("term", "n").collect()
-    index = Index([bytes(k.term) for k in kept], np.array([k.n for k in kept]), n_docs)
-    shared = Shared(spark, index)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value()
-        for b in batches:
-            v = [m.vector(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x[0].tolist() for x in v], pa.list_(pa.int64())), pa.array([x[1].tolist() for x in v], pa.list_(pa.float64()))], ["doc_id", "label", "at", "x"])
-
-    got = rows.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(vectors, "doc_id long, label int, at array<long>, x array<double>").toArrow()  # max_examples rows, unless ids repeat
-    index.build([(d, y, np.array(at, np.int64), np.array(x)) for d, y, at, x in sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "at", "x"))))])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "label", "text")
+    rows = materialise(rows.mapInArrow(_example_terms, "doc_id long, label int, terms array<long>, n array<long>"), "examples")
+    got = rows.toArrow()  # max_examples rows, unless ids repeat
+    discard(rows)
+    ids, label = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
+    keys, counts = ([x.values.to_numpy() for x in got.column(c)] for c in ("terms", "n"))
+    every = np.concatenate([*keys, np.zeros(0, np.int64)])
+    vocabulary, back = np.unique(every, return_inverse=True)
+    n = np.bincount(back, minlength=len(vocabulary)).astype(np.float64)
+    bad = np.bincount(back, np.repeat(label, [len(k) for k in keys]), len(vocabulary)) if len(every) else np.zeros(0)
+    total, n_bad = float(len(ids)), float(label.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = total * (bad * total - n * n_bad) ** 2 / (n * n_bad * (total - n) * (total - n_bad))
+        lift = ((bad + 0.5) / (n + 1)) / ((n_bad + 0.5) / (total + 1))
+    telling = (chi2 >= min(CHI2, 0.25 * total)) & ((lift >= LIFT) | (lift <= 1 / LIFT))
+    df = np.zeros(len(vocabulary), np.int64)
+    counted = docs.select("text").mapInArrow(_document_frequencies(Shared(spark, vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    index = Index(vocabulary, idf, np.where(telling, GAIN, 1.0))
+    examples, at = [], 0
+    for d, y, k, c in zip(ids.tolist(), label.tolist(), keys, counts):
+        where = back[at : at + len(k)]
+        at += len(k)
+        x = (1 + np.log(c)) * index.weight[where]
+        examples.append((d, y, where, x / (np.linalg.norm(x) or 1.0)))
+    index.build(sorted(examples, key=lambda e: (e[0], e[1], e[2].tobytes(), e[3].tobytes())))
+    if len(index.examples):
+        shared, numbers = Shared(spark, index), spark.range(0, len(index.examples), 1, 24)
+
+        def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value()
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.left_out(k) for k in b.column("id").to_pylist()], pa.float64())], ["id", "vote"])
+
+        votes = numbers.mapInArrow(leave_out, "id long, vote double").toArrow().sort_by("id").column("vote").to_numpy()
+        index.scale, index.shift = calibration(votes, index.labels)
+    index.examples = []
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """docs with score (calibrated probability) and evidence (doc_id, cosine, label of the nearest examples).
 
-    A null or empty text, like any without a term of the index, has the score of such examples and no evidence. Columns of
-    docs named score or evidence are replaced; repeated rows are scored each; an empty table gives no rows.
+    A null or empty text, like any that shares no term with an example, has the score of such examples and no evidence. Very
+    long texts count whole. Columns of docs named score or evidence are replaced; repeated rows are scored each; an empty
+    table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     cols = [c for c in docs.columns if c not in ("score", "evidence")]
@@ -212,14 +281,12 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value()
         for b in batches:
-            known: dict[bytes, tuple] = {}  # equal vectors are looked up once a batch
+            known: dict[str | None, tuple] = {}  # equal texts are looked up once a batch
             out = []
             for t in b.column("text").to_pylist():
-                at, x = m.vector(t)
-                key = at.tobytes() + x.tobytes()
-                if key not in known:
-                    known[key] = m.score_vector(at, x)
-                out.append(known[key])
+                if t not in known:
+                    known[t] = m.score(t)
+                out.append(known[t])
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in o[1]] for o in out]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([o[0] for o in out], pa.float64()), pa.array(evidence, kind)], [*cols, "score", "evidence"])
 
