@@ -1,20 +1,26 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model (order 3 or 2), counted in Spark and scored from memory-mapped sorted hash arrays.
 
 1. Words of the training documents are counted. Their 63-bit hashes are dealt by leading bits to parts; each part is a
    sorted array of hashes with counts, and a word's number is its place in the parts.
-2. Pairs of neighbouring numbers are counted. A pair's key is its two numbers, mixed; keys are dealt and stored alike.
-   The task that stores a part also returns what it adds to each word's numbers of followers and of distinct
-   predecessors, which Spark sums.
-3. From these come the discounts, the lower-order probability of each word and the mass that each context passes down,
-   stored beside the words. Scoring tasks map the files and look up the distinct words and pairs of a chunk at once.
-
-Files lie in the shared folder; a part is written under its final name in one step and is the same whenever a task is
-repeated. Part sizes are bounded by more parts, so the memory of a task doesn't grow with the corpus.
+2. Each text is led by order - 1 starts and closed by an end. Its n-grams are counted, added up in each task first, and
+   dealt by a hash of all their words, so that no frequent word or pair gathers. The task that stores a part's counts
+   sends on what each n-gram adds to its two pairs of words: to the pair it ends in, one distinct predecessor; to the
+   pair it begins with, its count as a follower.
+3. Pairs are summed and stored alike; they send on what they add to their words. Words are summed and stored last.
+4. Scoring tasks map the files and look up the distinct n-grams of a chunk of texts at once.
+
+What tasks send each other is packed: sorted keys as differences, columns by bytes, compressed. Pieces that would get too
+small, because they are dealt to very many parts, are dealt in two steps. Files lie in the shared folder; a part is written
+under its final name in one step and is the same whenever a task is repeated. Part sizes are bounded by more parts, so the
+memory of a task doesn't grow with the corpus.
+
+N-grams are told apart by the bits of their part and 48 more of a hash (pairs by all their bits, if these are no more).
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -26,12 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import bounded_batches, fold, materialise, scratch, table
-from docloom.llm.sorted_arrays import Sorted, Store, added, emit, gather, part_bits
+from docloom.llm.common import bounded_batches, fold, scratch, table
+from docloom.llm.sorted_arrays import Arrays, Hashed, Store, added, narrow, pack, part_bits, unpack
 
+ORDER = 3
 FOLDS, HELD_OUT = 5, 1
 CHUNK = 1 << 20
-_MIX, _UNMIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Leading bits that one step of dealing tells apart.
+HOP_BITS = 10
+#: What a packed piece holds. SUMMARY travels on to the driver, a row a part.
+GRAMS, LEFTS, CONTEXTS, WORDS, SUMMARY = range(5)
+_PIECE = "part int, kind int, piece binary"
+_ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -62,97 +74,275 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tu
         yield held, texts
 
 
-def pairs(ids: np.ndarray, sizes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, second) of all neighbours, each text led by start and closed by end."""
+def ngrams(ids: np.ndarray, sizes: np.ndarray, order: int, start: int, end: int) -> list[np.ndarray]:
+    """The words at each place of all n-grams, first to last; each text is led by starts and closed by end."""
     stops = np.cumsum(sizes + 1)
-    second = np.empty(len(ids) + len(sizes), np.int64)
-    closed = np.zeros(len(second), bool)
+    last = np.empty(len(ids) + len(sizes), np.int64)
+    closed = np.zeros(len(last), bool)
     closed[stops - 1] = True
-    second[closed], second[~closed] = end, ids
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[stops - 1 - sizes] = start
-    return first, second
+    last[closed], last[~closed] = end, ids
+    cols = [last]
+    for _ in range(order - 1):
+        before = np.empty_like(last)
+        before[1:] = cols[0][:-1]
+        before[stops - 1 - sizes] = start
+        cols.insert(0, before)
+    return cols
 
 
-def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Sortable 64-bit keys of pairs of numbers below 2**32; unmixed() undoes it."""
-    k = (first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)) * _MIX
-    return (k ^ (k >> np.uint64(32))) * _MIX
+class Keys:
+    """Sortable keys of pairs of word numbers below 2**bits: 2 * bits of a one-to-one mixture, at the top of 64; and hashes of triples."""
 
+    def __init__(self, bits: int):
+        self.bits, self.wide = bits, 2 * bits
+        self.mask = np.uint64((1 << self.wide) - 1)
+        self.odd, self.back = np.uint64(_ODD & ((1 << self.wide) - 1)), np.uint64(pow(_ODD, -1, 1 << self.wide))
 
-def unmixed(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k = k * _UNMIX
-    k = (k ^ (k >> np.uint64(32))) * _UNMIX
-    return (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = (a.astype(np.uint64) << np.uint64(self.bits) | b.astype(np.uint64)) * self.odd & self.mask
+        k = (k ^ (k >> np.uint64(self.bits))) * self.odd & self.mask
+        return k << np.uint64(64 - self.wide)
+
+    def words(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = (pair >> np.uint64(64 - self.wide)) * self.back & self.mask
+        k = (k ^ (k >> np.uint64(self.bits))) * self.back & self.mask
+        return (k >> np.uint64(self.bits)).astype(np.int64), (k & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    @staticmethod
+    def triple(first: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        h = (pair ^ (pair >> np.uint64(29))) * np.uint64(_ODD) + first.astype(np.uint64) * np.uint64(_ODD2)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD)
+        return h ^ (h >> np.uint64(31))
+
+
+def _pieces(kind: int, part: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A packed piece for each part; rows come grouped by part, and sorted by the first column inside."""
+    edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
+    for k in range(0, len(edge) - 1, 1000):
+        ends = list(zip(edge[k : k + 1000], edge[k + 1 : k + 1001]))
+        blobs = [pack(*(c[a:b] for c in cols)) for a, b in ends]
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in ends], pa.int32()), pa.array([kind] * len(ends), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "piece"])
+
+
+def _summary(value: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value.get("part", 0)], pa.int32()), pa.array([SUMMARY], pa.int32()), pa.array([json.dumps(value).encode()], pa.binary())], ["part", "kind", "piece"])
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> tuple[dict[tuple[int, int], list], list[pa.RecordBatch]]:
+    """({(part, kind): pieces}, summaries) of the parts that a task holds."""
+    held, passing = defaultdict(list), []
+    for b in batches:
+        for p, kind, piece in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "piece"))):
+            if kind == SUMMARY:
+                passing.append(_summary(json.loads(piece)))
+            else:
+                held[p, kind].append(piece)
+    return held, passing
+
+
+def _joined(pieces: list[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*(unpack(p) for p in pieces))]
+
+
+def _summed(keys: list[np.ndarray], cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys (one or two columns) in order, with sums of cols."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], [np.add.reduceat(c[order], first) if len(first) else c for c in cols]
+
+
+def _dealt(df: DataFrame, bits: int, split: Callable) -> DataFrame:
+    """Pieces at their parts (bits leading bits). Beyond HOP_BITS they go by their leading bits first, are put together there, and are dealt once more."""
+    if bits > HOP_BITS:
+        high = F.shiftright("part", bits - HOP_BITS)
+        df = df.repartition(1 << bits, high, F.pmod(F.xxhash64("piece"), F.lit(1 << (bits - HOP_BITS)))).mapInArrow(_regroup(split), _PIECE)
+    return df.repartition(1 << bits, "part")
+
+
+def _regroup(split: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = _received(batches)
+        yield from passing
+        by_kind = defaultdict(list)
+        for (_, kind), pieces in held.items():
+            by_kind[kind] += pieces
+        for kind, pieces in by_kind.items():
+            for k in range(0, len(pieces), 1 << 14):
+                yield from split(kind, _joined(pieces[k : k + (1 << 14)]))
+
+    return run
+
+
+def _word_pieces(bits: int) -> Callable:
+    def split(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = added(cols[0], cols[1])
+        yield from _pieces(kind, (keys >> np.uint64(64 - bits)).astype(np.int64), [keys, n])
+
+    return split
+
+
+def _gram_pieces(bits: int) -> Callable:
+    """Triples as (pair key of the last two words, first word, count), by a hash of all three."""
+
+    def split(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pair, first, n = cols
+        part = (Keys.triple(first, pair) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.lexsort((first, pair, part))
+        part, pair, first, n = part[order], pair[order], first[order], n[order]
+        new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (first[1:] != first[:-1])][: len(pair)])
+        yield from _pieces(kind, part[new].astype(np.int64), [pair[new], first[new], np.add.reduceat(n, new) if len(new) else n])
+
+    return split
+
+
+def _pair_pieces(bits: int) -> Callable:
+    def split(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        (key,), sums = _summed([cols[0]], cols[1:])
+        yield from _pieces(kind, (key >> np.uint64(64 - bits)).astype(np.int64), [key, *sums])
+
+    return split
 
 
 def _count_words(bits: int) -> Callable:
+    split = _word_pieces(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, held = [], [], 0
         for _, texts in chunks(batches):
             distinct, at, _ = encode(texts)
-            keys.append(distinct)
+            keys.append(distinct.astype(np.uint64) << np.uint64(1))
             n.append(np.bincount(at, minlength=len(distinct)))
             held += len(distinct)
             if held > 1 << 21:
-                k, c = added(np.concatenate(keys), np.concatenate(n))
-                yield from emit(k >> (63 - bits), k, c)
+                yield from split(WORDS, [np.concatenate(keys), np.concatenate(n)])
                 keys, n, held = [], [], 0
         if keys:
-            k, c = added(np.concatenate(keys), np.concatenate(n))
-            yield from emit(k >> (63 - bits), k, c)
+            yield from split(WORDS, [np.concatenate(keys), np.concatenate(n)])
 
     return run
 
 
-def _count_pairs(vocab: Sorted, bits: int) -> Callable:
+def _store_words(store: Store) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, _ = _received(batches)
+        for (p, _), pieces in held.items():
+            keys, n = added(*_joined(pieces))
+            store.put(f"word-{p}", keys)
+            store.put(f"word-count-{p}", narrow(n))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "size", "n"])
+
+    return run
+
+
+class Vocabulary:
+    """Numbers of words by their hashes; end and start follow the words, and any other word is unknown."""
+
+    def __init__(self, store: Store, bits: int, sizes: list[int]):
+        self.arrays = Arrays(store, "word", np.uint64, bits, 64)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.size = int(self.offsets[-1])
+        self.end, self.start, self.unknown = self.size, self.size + 1, self.size + 2
+        self.keys = Keys(int(self.unknown).bit_length())
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        found = self.arrays.find(hashes.astype(np.uint64) << np.uint64(1))
+        return np.where(found >= 0, self.offsets[np.maximum(found, 0) >> Arrays.AT] + (found & ((1 << Arrays.AT) - 1)), self.unknown)
+
+    def part_of(self, ids: np.ndarray) -> np.ndarray:
+        """Parts of numbers; end and start are in one of their own."""
+        return np.where(ids >= self.size, len(self.offsets) - 1, np.searchsorted(self.offsets, ids, side="right") - 1)
+
+
+def _count_grams(vocab: Vocabulary, order: int, bits: int) -> Callable:
+    gram, pair = _gram_pieces(bits), _pair_pieces(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.open()
-        size = int(vocab.offsets[-1])
         for _, texts in chunks(batches, 2 * CHUNK):
             distinct, at, sizes = encode(texts)
-            first, second = pairs(vocab.find(distinct)[at], sizes, size + 1, size)
-            keys = np.sort(mixed(first, second))
-            start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            yield from emit((keys[start] >> np.uint64(64 - bits)).astype(np.int64), keys[start], np.diff(np.r_[start, len(keys)]))
+            cols = ngrams(vocab.numbers(distinct)[at], sizes, order, vocab.start, vocab.end)
+            key, one = vocab.keys.pair(cols[-2], cols[-1]), np.ones(len(cols[0]), np.int64)
+            yield from gram(GRAMS, [key, cols[0], one]) if order == 3 else pair(LEFTS, [key, one])
 
     return run
 
 
-def _store_words(store: Store) -> Callable:
+def _tally(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _store_grams(vocab: Vocabulary, store: Store, bits: int, pair_bits: int) -> Callable:
+    """Stores the counts of triples; sends on pairs with a predecessor each (LEFTS) and pairs with their followers' counts (CONTEXTS)."""
+    pairs = _pair_pieces(pair_bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, n in gather(batches, np.int64):
-            store.put(f"word-{p}", keys)
-            store.put(f"count-{p}", n)
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "size", "n"])
+        held, passing = _received(batches)
+        yield from passing
+        for p, kind in list(held):
+            (pair, first), (n,) = _summed(*(lambda c: (c[:2], c[2:]))(_joined(held.pop((p, kind)))))
+            n = n.astype(np.int64)
+            Hashed(store, "gram", bits).put(p, Keys.triple(first, pair), count=n)
+            yield _summary({"part": p, "grams": _tally(n)})
+            yield from pairs(LEFTS, [pair, np.ones(len(pair), np.int64)])
+            second, _ = vocab.keys.words(pair)
+            yield from pairs(CONTEXTS, [vocab.keys.pair(first, second), n, *((np.minimum(n, 3) == k).astype(np.int64) for k in (1, 2, 3))])
 
     return run
 
 
-def _store_pairs(store: Store) -> Callable:
-    """Rows: (part, size, counts of counts 1 to 4) with id null, and per word (id, followers seen once, twice, more often, distinct predecessors)."""
-
-    def rows(part, size, tallies, ids) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int32()), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(t, pa.int64()) for t in tallies)], ["part", "size", "id", "a", "b", "c", "d"]
-        )
+def _store_pairs(vocab: Vocabulary, store: Store, bits: int) -> Callable:
+    """Stores pairs with their distinct predecessors (of order 2: their counts) and what follows them; sends on sums for their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, keys, n in gather(batches, np.uint64):
-            if n.max(initial=0) >= 1 << 32:
-                raise OverflowError("a pair occurs 2**32 times or more")
-            store.put(f"pair-{p}", keys)
-            store.put(f"times-{p}", n.astype(np.uint32))
-            yield rows([p], [len(keys)], [[int((n == k).sum())] for k in (1, 2, 3, 4)], [None])
-            first, second = unmixed(keys)
-            kind = np.minimum(n, 3)
+        held, passing = _received(batches)
+        yield from passing
+        none = [np.zeros(0, np.uint64)] * 5
+        for p in sorted({p for p, _ in held}):
+            (key,), (left,) = _summed(*(lambda c: (c[:1], c[1:]))(_joined(held.pop((p, LEFTS), [])) or none[:2]))
+            (context,), follow = _summed(*(lambda c: (c[:1], c[1:]))(_joined(held.pop((p, CONTEXTS), [])) or none))
+            left = left.astype(np.int64)
+            Hashed(store, "pair", bits).put(p, key, left=left)
+            # few different rows: their numbers are kept with the pairs
+            rows, code = np.unique(np.stack([x.astype(np.int64) for x in follow], 1), axis=0, return_inverse=True)
+            Hashed(store, "context", bits).put(p, context, row=code.ravel())
+            store.put(f"context-rows-{p}", rows)
+            yield _summary({"part": p, "lefts": _tally(left)})
+            first, second = vocab.keys.words(key)
             ids = np.unique(np.concatenate([first, second]))
-            tallies = [np.bincount(np.searchsorted(ids, first[kind == k]), minlength=len(ids)) for k in (1, 2, 3)]
-            tallies.append(np.bincount(np.searchsorted(ids, second), minlength=len(ids)))
-            for k in range(0, len(ids), 1 << 18):
-                s = slice(k, k + (1 << 18))
-                yield rows([None] * len(ids[s]), [None] * len(ids[s]), [t[s] for t in tallies], ids[s])
+            at, kind = np.searchsorted(ids, first), np.minimum(left, 3)
+            sums = [np.bincount(at, left, len(ids)).astype(np.int64), *(np.bincount(at[kind == k], minlength=len(ids)) for k in (1, 2, 3))]
+            sums.append(np.bincount(np.searchsorted(ids, second), minlength=len(ids)))
+            yield from _pieces(WORDS, vocab.part_of(ids), [ids.astype(np.uint64), *sums])
+
+    return run
+
+
+_WORD = ("follow", "once", "twice", "more", "before")
+
+
+def _store_stats(vocab: Vocabulary, store: Store) -> Callable:
+    """Stores, for each word, the sum over its followers, how many of them count 1, 2 and more, and its distinct predecessors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = _received(batches)
+        yield from passing
+        for (p, _), pieces in held.items():
+            cols = _joined(pieces)
+            (ids,), sums = _summed(cols[:1], cols[1:])
+            ids, sums = ids.astype(np.int64), [s.astype(np.int64) for s in sums]
+            out = {"part": int(p), "before": _tally(sums[4]), "more": int((sums[4] >= 3).sum()), "types": int(sums[4].sum())}
+            if p == len(vocab.offsets) - 1:
+                out["marks"] = {str(i): [int(s[k]) for s in sums] for k, i in enumerate(ids.tolist())}
+            else:
+                for name, s in zip(_WORD, sums):
+                    dense = np.zeros(int(vocab.offsets[p + 1] - vocab.offsets[p]), np.int64)
+                    dense[ids - vocab.offsets[p]] = s
+                    store.put(f"word-{name}-{p}", narrow(dense))
+            yield _summary(out)
 
     return run
 
@@ -169,133 +359,113 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
 
 
-def _store_numbers(vocab: Sorted, pair_d: np.ndarray, lower: Callable) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(c).to_numpy() for c in ("id", "a", "b", "c", "d")] for b in batches if b.num_rows]
-        done = 0
-        if held:
-            ids, a, b, c, d = (np.concatenate(x) for x in zip(*held))
-            for p in np.unique(np.searchsorted(vocab.offsets, ids, side="right") - 1):
-                low, high = vocab.offsets[p], vocab.offsets[p + 1]
-                mine = (ids >= low) & (ids < high)
-                at = ids[mine] - low
-                down, under = np.zeros(high - low), np.zeros(high - low)
-                down[at] = a[mine] * pair_d[1] + b[mine] * pair_d[2] + c[mine] * pair_d[3]
-                under[at] = lower(d[mine])
-                vocab.store.put(f"down-{p}", down)
-                vocab.store.put(f"under-{p}", under)
-                done += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int32())], ["parts"])
-
-    return run
+def _less(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return n - d[np.minimum(n, 3).astype(np.int64)]
 
 
 class Model:
     """Numbers of a trained model; the arrays stay in the shared folder."""
 
-    def __init__(self, vocab: Sorted, bigrams: Sorted, docs: int, tokens: int, pair_d: np.ndarray, under_d: np.ndarray, types: int, spread: float, end: tuple[float, float], start_down: float):
-        self.vocab, self.bigrams, self.docs, self.tokens = vocab, bigrams, docs, tokens
-        self.pair_d, self.under_d, self.types, self.spread = pair_d, under_d, types, spread
-        self.end, self.start_down = end, start_down
+    def __init__(self, store: Store, vocab: Vocabulary, order: int, docs: int, tokens: int, bits: tuple[int, int], sums: list[dict]):
+        add = lambda name: np.sum([s[name] for s in sums if name in s] or [[0] * 4], axis=0)
+        self.store, self.vocab, self.order, self.docs, self.tokens = store, vocab, order, docs, tokens
+        self.grams, self.pairs, self.contexts = Hashed(store, "gram", bits[0]), Hashed(store, "pair", bits[1]), Hashed(store, "context", bits[1])
+        self.gram_d, self.pair_d, before = discounts(*add("grams")), discounts(*add("lefts")), add("before")
+        self.word_d = discounts(*before)
+        self.types = sum(s.get("types", 0) for s in sums)
+        more = sum(s.get("more", 0) for s in sums)
+        self.spread = float(self.word_d[1] * before[0] + self.word_d[2] * before[1] + self.word_d[3] * more) / self.types if self.types else 1.0
+        marks = {int(k): v for s in sums for k, v in s.get("marks", {}).items()}
+        self.start, self.end = (marks.get(k, [0] * 5) for k in (vocab.start, vocab.end))
 
     @property
     def size(self) -> int:
         """Distinct training tokens, the end among them."""
-        return int(self.vocab.offsets[-1]) + (self.docs > 0)
-
-    def lower(self, predecessors):
-        """Probability of a word by its distinct predecessors, with the mass of unseen ones spread evenly."""
-        return _lower(np.asarray(predecessors), self.under_d, self.types, self.spread, self.size)
-
-    def open(self) -> "Model":
-        self.vocab.open(("count", np.int64), ("down", np.float64), ("under", np.float64))
-        self.bigrams.open(("times", np.uint32))
-        return self
+        return self.vocab.size + (self.docs > 0)
+
+    def _word_stats(self, ids: np.ndarray) -> dict[str, np.ndarray]:
+        """count and the sums of _store_stats of word numbers, 0 for unknown ones."""
+        out = {name: np.zeros(len(ids)) for name in ("count", *_WORD)}
+        part = self.vocab.part_of(ids)
+        for p in np.unique(part[ids < self.vocab.size]):
+            mine = np.flatnonzero((part == p) & (ids < self.vocab.size))
+            n = int(self.vocab.offsets[p + 1] - self.vocab.offsets[p])
+            for name, x in out.items():
+                x[mine] = self.store.of(f"word-{name}-{p}", n)[ids[mine] - self.vocab.offsets[p]]
+        for number, sums, count in ((self.vocab.start, self.start, self.docs), (self.vocab.end, self.end, self.docs)):
+            at = ids == number
+            out["count"][at] = count
+            for name, s in zip(_WORD, sums):
+                out[name][at] = s
+        return out
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
-        words_n = int(self.vocab.offsets[-1])
+        v = self.vocab
         distinct, at, sizes = encode(texts)
-        ids = self.vocab.find(distinct)  # ascending but for -1, as words are stored in the order of their hashes
-        seen = np.flatnonzero(ids >= 0)
-        count, down, under = np.zeros(len(ids)), np.zeros(len(ids)), np.full(len(ids), float(self.lower(0)))
-        count[seen] = self.vocab.take("count", ids[seen])
-        down[seen] = self.vocab.take("down", ids[seen])
-        under[seen] = self.vocab.take("under", ids[seen])
         # the local vocabulary: words, then end, then start
-        k = len(distinct)
-        ids = np.r_[ids, words_n, words_n + 1]
-        count = np.r_[count, self.docs, self.docs]
-        down, under = np.r_[down, 0.0, self.start_down], np.r_[under, self.end[1], 0.0]
-        first, second = pairs(at, sizes, k + 1, k)
-        known = (ids[first] >= 0) & (ids[second] >= 0)
-        times = np.zeros(len(first))
-        if known.any():
-            keys, back = np.unique(mixed(ids[first[known]], ids[second[known]]), return_inverse=True)
-            found = self.bigrams.find(keys)
-            c = np.zeros(len(keys))
-            hit = found >= 0
-            c[hit] = self.bigrams.take("times", found[hit])
-            times[known] = c[back]
-        total = count[first]
-        less = self.pair_d[np.minimum(times, 3).astype(np.int64)]
+        ids = np.r_[v.numbers(distinct), v.end, v.start]
+        cols = ngrams(at, sizes, self.order, len(distinct) + 1, len(distinct))
+        mid, last = cols[-2], cols[-1]
+        word = self._word_stats(ids)
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(total > 0, ((times - less) + down[first] * under[second]) / total, under[second])
+            low = np.maximum(_less(word["before"], self.word_d), 0) / self.types if self.types else np.zeros(len(ids))
+            low = low + self.spread / (self.size + 1)
+            pair = v.keys.pair(ids[mid], ids[last])
+            left = self._looked_up(self.pairs, pair, "left")
+            down = word["once"] * self.pair_d[1] + word["twice"] * self.pair_d[2] + word["more"] * self.pair_d[3]
+            p = np.where(word["follow"][mid] > 0, (_less(left, self.pair_d) + down[mid] * low[last]) / word["follow"][mid], low[last])
+            if self.order == 3:
+                n = self._looked_up(self.grams, Keys.triple(ids[cols[0]], pair), "count")
+                follow = self._follow(v.keys.pair(ids[cols[0]], ids[mid]))
+                mass = follow[:, 1:] @ self.gram_d[1:]
+                p = np.where(follow[:, 0] > 0, (_less(n, self.gram_d) + mass * p) / follow[:, 0], p)
         edges = np.cumsum(sizes + 1) - (sizes + 1)
-        base = np.log10((count[second] + 0.5) / (self.tokens + 0.5 * (self.size + 1)))
+        base = np.log10((word["count"][last] + 0.5) / (self.tokens + 0.5 * (self.size + 1)))
         sums = lambda x: np.add.reduceat(x, edges) if len(x) else np.zeros(0)
-        return sizes + 1, sums((count[second] > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+        return sizes + 1, sums((word["count"][last] > 0).astype(np.int64)), sums(base), sums(np.log10(p))
 
+    @staticmethod
+    def _looked_up(where: Hashed, keys: np.ndarray, value: str) -> np.ndarray:
+        distinct, back = np.unique(keys, return_inverse=True)
+        return where.look(distinct, value)[back].astype(np.float64)
 
-def _lower(n, d, types, spread, size):
-    n = np.asarray(n, np.float64)
-    seen = np.maximum(n - d[np.minimum(n, 3).astype(np.int64)], 0) / types if types else 0.0 * n
-    return seen + spread / (size + 1)
+    def _follow(self, keys: np.ndarray) -> np.ndarray:
+        """Of each pair: the sum over its followers, and how many count 1, 2 and more."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        return self.contexts.look(distinct, "row", 4)[back].astype(np.float64)
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of every text of docs. Null texts are empty documents; no rows give a model that spreads all evenly."""
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of every text of docs. Null texts are empty documents; repeated rows count each; very long texts count whole; no rows give a model that spreads all evenly."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     bounded_batches(spark)
     store = Store(f"{scratch(spark)}/docloom-lm-{uuid.uuid4().hex}")
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = part_bits(size // 12)  # words of a task are added up before they are dealt
-    counted = texts.mapInArrow(_count_words(bits), "part int, key long, n long").repartition(1 << bits, "part")
+    counted = _dealt(texts.mapInArrow(_count_words(bits), _PIECE), bits, _word_pieces(bits))
     parts = {r.part: (r["size"], r.n) for r in counted.mapInArrow(_store_words(store), "part int, size long, n long").collect()}  # one row per part
-    vocab = Sorted(store, "word", np.int64, bits, 63, [parts.get(p, (0, 0))[0] for p in range(1 << bits)])
-    n_words, n_tokens = int(vocab.offsets[-1]), sum(n for _, n in parts.values()) + n_docs
-    if n_words >= (1 << 32) - 2:
+    vocab = Vocabulary(store, bits, [parts.get(p, (0, 0))[0] for p in range(1 << bits)])
+    if vocab.unknown >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
-    bits = part_bits(size // 6)
-    counted = texts.mapInArrow(_count_pairs(vocab, bits), "part int, key long, n long").repartition(1 << bits, "part")
-    stored = counted.mapInArrow(_store_pairs(store), "part int, size long, id long, a long, b long, c long, d long")
-    stats = materialise(stored.groupBy("id", "part").agg(*(F.sum(c).alias(c) for c in ("size", "a", "b", "c", "d"))), "lm")
-    parts = {r.part: r for r in stats.where("id IS NULL").collect()}  # one row per part
-    bigrams = Sorted(store, "pair", np.uint64, bits, 64, [parts[p]["size"] if p in parts else 0 for p in range(1 << bits)])
-    pair_d = discounts(*(sum(r[c] for r in parts.values()) for c in "abcd"))
-    per_word = stats.where("id IS NOT NULL")
-    m = per_word.agg(*(F.coalesce(F.sum((F.col("d") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)), F.coalesce(F.sum((F.col("d") >= 3).cast("long")), F.lit(0)), F.coalesce(F.sum("d"), F.lit(0))).first()
-    types = int(m[5])
-    under_d = discounts(*m[:4])
-    spread = float(under_d[1] * m[0] + under_d[2] * m[1] + under_d[3] * m[4]) / types if types else 1.0
-    size = n_words + (n_docs > 0)
-    lower = lambda n: _lower(n, under_d, types, spread, size)
-    marks = {r.id: r for r in per_word.where(F.col("id") >= n_words).collect()}  # the end and the start
-    end, start = marks.get(n_words), marks.get(n_words + 1)
-    if n_words:
-        edges = F.array(*[F.lit(int(x)) for x in vocab.offsets[1:-1]])
-        dealt = per_word.where(F.col("id") < n_words).withColumn("part", F.size(F.filter(edges, lambda e: e <= F.col("id")))).repartition(len(vocab.offsets) - 1, "part")
-        dealt.select("id", "a", "b", "c", "d").mapInArrow(_store_numbers(vocab, pair_d, lower), "parts int").agg(F.sum("parts")).collect()
-    down = float(start.a * pair_d[1] + start.b * pair_d[2] + start.c * pair_d[3]) if start else 0.0
-    return Model(vocab, bigrams, n_docs, n_tokens, pair_d, under_d, types, spread, (0.0, float(lower(end.d if end else 0))), down)
+    bits, pair_bits, word_bits = part_bits(size // 6), part_bits(size // 4), bits
+    first = texts.mapInArrow(_count_grams(vocab, order, bits if order == 3 else pair_bits), _PIECE)
+    if order == 3:
+        first = _dealt(first, bits, _gram_pieces(bits)).mapInArrow(_store_grams(vocab, store, bits, pair_bits), _PIECE)
+    pairs = _dealt(first, pair_bits, _pair_pieces(pair_bits)).mapInArrow(_store_pairs(vocab, store, pair_bits), _PIECE)
+    last = pairs.repartition((1 << word_bits) + 1, "part").mapInArrow(_store_stats(vocab, store), _PIECE)
+    sums = [json.loads(bytes(r.piece)) for r in last.select("piece").collect()]  # a few rows per part
+    return Model(store, vocab, order, n_docs, sum(n for _, n in parts.values()) + n_docs, (bits, pair_bits), sums)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the whole text and its end).
 
-    A null text is an empty one: its end alone is scored. Columns of docs with those names are replaced; repeated rows are
-    scored each; an empty table gives no rows.
+    A null text is an empty one: its end alone is scored. Very long texts are scored whole. Columns of docs with those names
+    are replaced; repeated rows are scored each; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     new = [("n_tokens", pa.int64(), T.LongType()), ("n_known", pa.int64(), T.LongType()), ("train_tokens", pa.int64(), T.LongType()), ("base_score", pa.float64(), T.DoubleType()), ("score", pa.float64(), T.DoubleType())]
@@ -303,7 +473,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     cols = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.open()
         for held, texts in chunks(batches):
             n, known, base, mine = model.score(texts)
             full = (n, known, np.full(len(n), model.tokens), base, mine)

@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Entries of a part before equal ones are added up, about.
 PART_ENTRIES = 1_500_000
 
 
 class Store:
-    """Arrays by name in the shared folder. Workers map those of a file system; others are fetched once a worker."""
+    """Arrays by name in the shared folder. Workers map those of a file system; of other stores they read the parts that they ask for."""
 
     def __init__(self, root: str):
         self.root = root
@@ -53,22 +51,43 @@ class Store:
         with system.open_input_stream(f"{path}/{name}") as src:
             return np.frombuffer(src.read(), dtype)
 
-    def get(self, name: str, dtype, count: int) -> np.ndarray:
-        if not count:
-            return np.zeros(0, dtype)
-        if (local := self._local()) is not None:
-            return np.memmap(f"{local}/{name}", dtype, "r", shape=(count,))
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.root)
-        copy = f"{tempfile.gettempdir()}/{xxhash.xxh64_hexdigest(self.root)}-{name}"
-        if not os.path.exists(copy):
-            part = f"{copy}-{uuid.uuid4().hex}"
-            with system.open_input_stream(f"{path}/{name}") as src, open(part, "wb") as out:
-                while block := src.read(1 << 24):
-                    out.write(block)
-            os.replace(part, copy)
-        return np.memmap(copy, dtype, "r", shape=(count,))
+    def of(self, name: str, n: int) -> np.ndarray:
+        """An array of n numbers that narrow() made; zeros if it isn't there."""
+        raw = self.read(name, np.uint8)
+        return raw.view(f"u{len(raw) // n}") if n and len(raw) else np.zeros(n, np.uint8)
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Numbers >= 0 in the smallest type that holds them all."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def pack(keys: np.ndarray, *cols: np.ndarray) -> bytes:
+    """Sorted keys and other columns of numbers >= 0, packed: differences of keys, bytes of equal weight together, compressed."""
+    out = []
+    for k, c in enumerate((keys, *cols)):
+        c = c.astype(np.uint64)
+        c = np.diff(c, prepend=np.uint64(0)) if k == 0 else c
+        width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
+        planes = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+        small = pa.compress(planes, codec="zstd", asbytes=True)
+        out.append(b"%d %d %d %d " % (len(c), width, len(small), 0) + small)
+    return b"".join(out)
+
+
+def unpack(piece: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(piece):
+        n, width, size, _, _ = piece[at : at + 80].split(b" ", 4)
+        n, width, size = int(n), int(width), int(size)
+        at += len(b"%d %d %d 0 " % (n, width, size))
+        planes = np.frombuffer(pa.decompress(piece[at : at + size], n * width, codec="zstd"), np.uint8).reshape(width, n)
+        at += size
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :width] = planes.T
+        c = c.view("<u8").ravel()
+        out.append(np.cumsum(c, dtype=np.uint64) if not out else c)
+    return out
 
 
 class Arrays:
@@ -132,45 +151,65 @@ class Arrays:
         return out
 
 
-class Sorted:
-    """Sorted keys in parts by their leading bits; values are arrays stored alike."""
-
-    def __init__(self, store: Store, name: str, dtype, bits: int, width: int, counts: list[int]):
-        self.store, self.name, self.dtype, self.bits, self.width = store, name, dtype, bits, width
-        self.offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-    def part_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> keys.dtype.type(self.width - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-
-    def open(self, *values: tuple[str, type]) -> "Sorted":
-        n = np.diff(self.offsets)
-        self.keys = [self.store.get(f"{self.name}-{p}", self.dtype, int(k)) for p, k in enumerate(n)]
-        self.kinds = dict(values)
-        self.values = {v: [self.store.get(f"{v}-{p}", t, int(k)) for p, k in enumerate(n)] for v, t in values}
-        return self
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number of each of the sorted keys, -1 for those that aren't there."""
-        out = np.full(len(keys), -1, np.int64)
-        edges = np.searchsorted(self.part_of(keys), np.arange(len(self.keys) + 1))
-        for p, have in enumerate(self.keys):
-            a, b = edges[p], edges[p + 1]
-            if a < b and len(have):
-                at = np.searchsorted(have, keys[a:b])
-                hit = have[np.minimum(at, len(have) - 1)] == keys[a:b]
-                out[a:b][hit] = at[hit] + self.offsets[p]
-        return out
+class Hashed:
+    """Values by 64-bit hashes, in parts by their leading bits. A part keeps the next 32 and 16 bits, sorted."""
 
-    def take(self, value: str, numbers: np.ndarray) -> np.ndarray:
-        """Values of numbers that are there, in any order."""
-        order = np.argsort(numbers, kind="stable")
-        ranked = numbers[order]
-        out = np.zeros(len(numbers), self.kinds[value])
-        edges = np.searchsorted(ranked, self.offsets)
-        for p, have in enumerate(self.values[value]):
-            a, b = edges[p], edges[p + 1]
-            if a < b:
-                out[order[a:b]] = have[ranked[a:b] - self.offsets[p]]
+    OPEN = 1024
+
+    def __init__(self, store: Store, name: str, bits: int):
+        self.store, self.name, self.bits = store, name, bits
+        self.parts: dict = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"parts": {}}
+
+    def _cut(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rest = keys << np.uint64(self.bits)
+        return (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
+
+    def put(self, p: int, keys: np.ndarray, **values: np.ndarray) -> None:
+        """Stores one part; keys are distinct."""
+        order = np.argsort(keys, kind="stable")
+        high, low = self._cut(keys[order])
+        self.store.put(f"{self.name}-{p}", high)
+        if low.any():
+            self.store.put(f"{self.name}-low-{p}", low)
+        for name, x in values.items():
+            self.store.put(f"{self.name}-{name}-{p}", narrow(x[order]))
+
+    def _part(self, p: int, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        have = self.parts.get((p, value))
+        if have is None:
+            if len(self.parts) >= self.OPEN:
+                self.parts.pop(next(iter(self.parts)))
+            high = self.store.read(f"{self.name}-{p}", np.uint32)
+            have = self.parts[p, value] = (high, self.store.of(f"{self.name}-low-{p}", len(high)), self.store.of(f"{self.name}-{value}-{p}", len(high)))
+        return have
+
+    def look(self, keys: np.ndarray, value: str, columns: int = 0) -> np.ndarray:
+        """The value of each of the sorted keys, 0 where a key isn't there. With columns, values are numbers of rows of the part's table."""
+        out = np.zeros((len(keys), columns) if columns else len(keys), np.int64)
+        part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            p = int(part[a])
+            high, low, values = self._part(p, value)
+            if not len(high):
+                continue
+            mine, mine_low = self._cut(keys[a:b])
+            at = np.searchsorted(high, mine)
+            hit = (at < len(high)) & (high[np.minimum(at, len(high) - 1)] == mine)
+            while True:  # equal first bits lie side by side
+                wrong = np.flatnonzero(hit)
+                wrong = wrong[low[at[wrong]] != mine_low[wrong]]
+                if not len(wrong):
+                    break
+                at[wrong] += 1
+                hit[wrong] = (at[wrong] < len(high)) & (high[np.minimum(at[wrong], len(high) - 1)] == mine[wrong])
+            found = values[at[hit]].astype(np.int64)
+            if columns:
+                found = self.store.read(f"{self.name}-{value}s-{p}", np.int64).reshape(-1, columns)[found]
+            out[a:b][hit] = found
         return out
 
 

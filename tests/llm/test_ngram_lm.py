@@ -6,48 +6,61 @@ import numpy as np
 import pytest
 
 from docloom.llm import ngram_lm as N
+from docloom.llm import sorted_arrays as A
 
 from .conftest import fold
 
 
+def modified(counts):
+    """Discounts of counts 1, 2 and more from the counts of counts; half a unit where these can't tell."""
+    n = [sum(1 for c in counts if c == k) for k in (1, 2, 3, 4)]
+    if not n[0] or not n[1]:
+        return lambda c: 0.5 if c else 0.0
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 0.5]
+    d = [min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.9, 2.9))]
+    return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+
 class Slow:
-    def __init__(self, texts):
-        self.c, self.pairs, self.ctx = Counter(), Counter(), Counter()
+    """The model by plain counting: of the highest order, counts; below, distinct words before."""
+
+    def __init__(self, texts, order=3):
+        self.order, self.c = order, Counter()
+        self.counts = [Counter() for _ in range(order + 1)]
         for t in texts:
             w = [*self.tokens(t), None]
             self.c.update(w)
-            for a, b in zip([0, *w[:-1]], w):
-                self.pairs[a, b] += 1
-                self.ctx[a] += 1
+            padded = [0] * (order - 1) + w
+            self.counts[order].update(tuple(padded[k : k + order]) for k in range(len(w)))
+        for m in range(order - 1, 0, -1):
+            self.counts[m] = Counter(g[1:] for g in self.counts[m + 1])
         self.n, self.v = sum(self.c.values()), len(self.c)
-        tally = Counter(self.pairs.values())
-        self.d = N.discounts(*(tally[k] for k in (1, 2, 3, 4)))
-        self.pre = Counter(b for _, b in self.pairs)
-        tally = Counter(self.pre.values())
-        self.d1 = N.discounts(*(tally[k] for k in (1, 2, 3, 4)))
-        self.spread = sum(self.d1[min(k, 3)] for k in self.pre.values()) / len(self.pairs) if self.pairs else 1
-        self.down = defaultdict(float)
-        for (a, _), k in self.pairs.items():
-            self.down[a] += self.d[min(k, 3)]
+        self.d = [modified(c.values()) for c in self.counts]
+        self.total, self.down = defaultdict(int), defaultdict(float)
+        for m in range(1, order + 1):
+            for g, k in self.counts[m].items():
+                self.total[m, g[:-1]] += k
+                self.down[m, g[:-1]] += self.d[m](k)
 
     @staticmethod
     def tokens(t):
         return (t or "").encode().lower().split()
 
-    def lower(self, b):
-        seen = max(self.pre[b] - self.d1[min(self.pre[b], 3)], 0) / len(self.pairs) if self.pairs else 0
-        return seen + self.spread / (self.v + 1)
-
-    def p(self, a, b):
-        if not self.ctx[a]:
-            return self.lower(b)
-        k = self.pairs[a, b]
-        return (k - self.d[min(k, 3)] + self.down[a] * self.lower(b)) / self.ctx[a]
+    def p(self, gram):
+        m = len(gram)
+        below = 1 / (self.v + 1) if m == 1 else self.p(gram[1:])
+        if not self.total[m, gram[:-1]]:
+            return below
+        k = self.counts[m][gram]
+        return (k - self.d[m](k) + self.down[m, gram[:-1]] * below) / self.total[m, gram[:-1]]
 
     def row(self, t):
         w = [*self.tokens(t), None]
         base = sum(math.log10((self.c[x] + 0.5) / (self.n + 0.5 * (self.v + 1))) for x in w)
-        return len(w), sum(self.c[x] > 0 for x in w), self.n, base, sum(math.log10(self.p(a, b)) for a, b in zip([0, *w[:-1]], w))
+        padded = [0] * (self.order - 1) + w
+        mine = sum(math.log10(self.p(tuple(padded[k : k + self.order]))) for k in range(len(w)))
+        return len(w), sum(self.c[x] > 0 for x in w), self.n, base, mine
 
 
 def same(rows, slow):
@@ -67,25 +80,60 @@ def test_documents_table(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one():
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(order):
     draw = random.Random(1)
-    slow = Slow([" ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(30))) for _ in range(40)])
-    for a in (0, b"a", b"h", b"unseen"):
-        assert sum(slow.p(a, b) for b in slow.c) + slow.p(a, b"unseen") == pytest.approx(1)
+    slow = Slow([" ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(30))) for _ in range(40)], order)
+    for context in ((0,), (b"a",), (b"h",), (b"unseen",)):
+        context = (0,) * (order - 2) + context
+        assert sum(slow.p((*context, b)) for b in slow.c) + slow.p((*context, b"unseen")) == pytest.approx(1)
 
 
-def test_small_corpora_and_odd_rows(spark, odd_docs, no_docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_small_corpora_and_odd_rows(spark, odd_docs, no_docs, order):
     draw = random.Random(2)
     rows = [(k, " ".join(draw.choice("aa Bb c dd é the THE".split()) for _ in range(draw.randrange(20)))) for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    same(N.score(docs, N.train(docs)).collect(), Slow([t for _, t in rows]))
+    same(N.score(docs, N.train(docs, order)).collect(), Slow([t for _, t in rows], order))
     odd = [r.text for r in odd_docs.collect()]
-    same(N.score(odd_docs, N.train(odd_docs)).collect(), Slow(odd))
-    same(N.score(odd_docs, N.train(no_docs)).collect(), Slow([]))
-    assert N.score(no_docs, N.train(docs)).count() == 0
+    same(N.score(odd_docs, N.train(odd_docs, order)).collect(), Slow(odd, order))
+    same(N.score(odd_docs, N.train(no_docs, order)).collect(), Slow([], order))
+    assert N.score(no_docs, N.train(docs, order)).count() == 0
+
+
+def test_pieces_dealt_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOP_BITS", 2)
+    draw = random.Random(4)
+    rows = [(k, " ".join(draw.choice("abcdefghijk") for _ in range(draw.randrange(40)))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(N.score(docs, N.train(docs)).collect(), Slow([t for _, t in rows]))
 
 
-def test_keys_are_unmixed():
-    a, b = np.random.default_rng(0).integers(0, 2**32, (2, 1000))
-    x, y = N.unmixed(N.mixed(a, b))
-    assert (x == a).all() and (y == b).all()
+def test_keys_of_pairs_are_undone():
+    for bits in (2, 3, 17, 32):
+        keys = N.Keys(bits)
+        a, b = np.random.default_rng(0).integers(0, 1 << bits, (2, 1000))
+        x, y = keys.words(keys.pair(a, b))
+        assert (x == a).all() and (y == b).all()
+
+
+def test_packed_columns_come_back():
+    draw = np.random.default_rng(0)
+    keys = np.sort(draw.integers(0, 1 << 63, 500).astype(np.uint64)) << np.uint64(1)
+    cols = [draw.integers(0, top, 500) for top in (1, 2, 300, 1 << 40)]
+    back = A.unpack(A.pack(keys, *cols))
+    assert all((x == y).all() for x, y in zip(back, [keys, *cols])) and len(back) == 5
+
+
+def test_hashed_values(tmp_path):
+    draw = np.random.default_rng(1)
+    keys = np.unique(draw.integers(0, 1 << 62, 4000).astype(np.uint64) << np.uint64(2))
+    keys = np.unique(np.r_[keys, keys[:50] ^ np.uint64(1 << 20)])  # equal but for the last bits that are kept
+    values = draw.integers(0, 70_000, len(keys))
+    h = A.Hashed(A.Store(str(tmp_path)), "x", 3)
+    for p in range(8):
+        mine = (keys >> np.uint64(61)) == p
+        h.put(p, keys[mine], n=values[mine])
+    assert (h.look(keys, "n") == values).all()
+    other = np.setdiff1d(np.unique(keys ^ np.uint64(1 << 19)), keys)
+    assert not h.look(other, "n").any()
