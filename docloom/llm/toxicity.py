@@ -12,7 +12,8 @@ the others.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +37,27 @@ FREQUENT, FIRST = 1 / 4, 64
 _SPACES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def many_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, then a row for each text and term of it, in order: number of the text, number of the hash, count) of the lower-case words of texts and of the beginnings, PREFIX bytes, of longer words."""
+    ids: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    words = [(t or "").lower().encode("utf-8", "replace").translate(_SPACES).split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    at = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    whole = np.fromiter((xxhash.xxh64_intdigest(w, 1) >> 1 for w in ids), np.int64, len(ids))
+    begin = np.fromiter((xxhash.xxh64_intdigest(w[:PREFIX], 2) >> 1 if len(w) > PREFIX else -1 for w in ids), np.int64, len(ids))
+    long = begin >= 0
+    hashes, code = np.unique(np.r_[whole, begin[long]], return_inverse=True)
+    begin[long] = code[len(whole) :]
+    doc = np.repeat(np.arange(len(texts)), sizes) << 32
+    begins = begin[at]
+    rows, n = np.unique(np.r_[doc | code[: len(whole)][at], (doc | begins)[begins >= 0]], return_counts=True)
+    return hashes, rows >> 32, rows & 0xFFFFFFFF, n
+
+
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of a text's lower-case words and of the beginnings, PREFIX bytes, of longer words."""
-    words = Counter((text or "").lower().encode("utf-8", "replace").translate(_SPACES).split())
-    begins: Counter = Counter()
-    for w, n in words.items():
-        if len(w) > PREFIX:
-            begins[w[:PREFIX]] += n
-    h = [*(xxhash.xxh64_intdigest(w, 1) >> 1 for w in words), *(xxhash.xxh64_intdigest(w, 2) >> 1 for w in begins)]
-    keys, n = np.array(h, np.int64), np.array([*words.values(), *begins.values()], np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    """(sorted hashes, counts) of one text's terms."""
+    hashes, _, at, n = many_terms([text])
+    return hashes[at], n
 
 
 def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -96,14 +107,25 @@ class Index:
         self.vocabulary, self.idf, self.weight = vocabulary, idf, idf * gain
         self.scale, self.shift, self.empty = 1.0, 0.0, 0.0
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, weights of length 1) of a whole text; terms that no example has count in its length only by their absence."""
-        keys, n = terms(text)
-        at = np.searchsorted(self.vocabulary, keys)
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each hash in the vocabulary, -1 if it isn't there."""
+        at = np.searchsorted(self.vocabulary, hashes)
         hit = at < len(self.vocabulary)
-        hit[hit] = self.vocabulary[at[hit]] == keys[hit]
-        at, x = at[hit], (1 + np.log(n[hit])) * self.weight[at[hit]]
-        return at, x / (np.linalg.norm(x) or 1.0)
+        hit[hit] = self.vocabulary[at[hit]] == hashes[hit]
+        return np.where(hit, at, -1)
+
+    def vectors(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(term numbers, weights of length 1) of each whole text; terms that no example has take no part."""
+        hashes, doc, code, n = many_terms(texts)
+        at = self.known(hashes)[code]
+        hit = at >= 0
+        doc, at, x = doc[hit], at[hit], (1 + np.log(n[hit])) * self.weight[at[hit]]
+        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield at[a:b], x[a:b] / (np.linalg.norm(x[a:b]) or 1.0)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.vectors([text]))
 
     def build(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
         """examples: (doc_id, label, term numbers, weights). Those without terms only set the score of empty vectors."""
@@ -191,7 +213,7 @@ class Index:
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [terms(t) for t in b.column("text").to_pylist()]
+        found = [terms(t) for t in b.column("text").to_pylist()]  # few rows
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("label"), *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "label", "terms", "n"]
         )
@@ -199,14 +221,12 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _document_frequencies(vocabulary: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value()
-        n = np.zeros(len(known), np.int64)
+        index = vocabulary.value()
+        n = np.zeros(len(index.vocabulary), np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                keys, _ = terms(t)
-                at = np.searchsorted(known, keys)
-                at = at[at < len(known)] if len(at) and at[-1] == len(known) else at
-                n[at[known[at] == keys[: len(at)]]] += 1
+            hashes, _, code, _ = many_terms(b.column("text").to_pylist())
+            at = index.known(hashes)
+            n[at[at >= 0]] += np.bincount(code, minlength=len(hashes))[at >= 0]
         some = np.flatnonzero(n)
         for k in range(0, len(some), 1 << 18):
             part = some[k : k + (1 << 18)]
@@ -241,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
         lift = ((bad + 0.5) / (n + 1)) / ((n_bad + 0.5) / (total + 1))
     telling = (chi2 >= min(CHI2, 0.25 * total)) & ((lift >= LIFT) | (lift <= 1 / LIFT))
     df = np.zeros(len(vocabulary), np.int64)
-    counted = docs.select("text").mapInArrow(_document_frequencies(Shared(spark, vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    bare = Shared(spark, Index(vocabulary, np.ones(0), np.ones(0)))
+    counted = docs.select("text").mapInArrow(_document_frequencies(bare), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
     index = Index(vocabulary, idf, np.where(telling, GAIN, 1.0))
@@ -281,12 +302,10 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value()
         for b in batches:
-            known: dict[str | None, tuple] = {}  # equal texts are looked up once a batch
-            out = []
-            for t in b.column("text").to_pylist():
-                if t not in known:
-                    known[t] = m.score(t)
-                out.append(known[t])
+            texts = b.column("text").to_pylist()
+            distinct = list(dict.fromkeys(texts))  # equal texts are looked up once a batch
+            found = {t: m.score_vector(at, x) for t, (at, x) in zip(distinct, m.vectors(distinct))}
+            out = [found[t] for t in texts]
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in o[1]] for o in out]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([o[0] for o in out], pa.float64()), pa.array(evidence, kind)], [*cols, "score", "evidence"])
 
