@@ -1,13 +1,16 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more.
 
-Fingerprints of 64 bits can't decide this similarity, so pairs are found by prefix filtering, which misses none: shingles
-have one order for all texts (those often seen in a sample last, then by hash), and two sets that are so similar share one
-of the first n - ceil(0.8 n) + 1 of each. Candidates are verified on their texts. The order is free to choose, so the
-sample decides the work only, never the pairs.
-
-Equal sets are one. Of the rest only what links groups matters: first each set is compared with one other, the least of all
-that share a prefix shingle, then those that still lie in different components with each other. So a large group of near
-copies costs its size, not its square.
+1. SimHash fingerprints of the sets are linked by multi-index hashing (simhash.links). Pairs that close are near copies as
+   a rule, but 64 bits can't decide this similarity: most pairs of 0.8 differ in more bits than balls can reach.
+2. So the rest is found by prefix filtering, which misses none: shingles have one order for all texts (those often seen in
+   a sample last, then by hash), and two sets that are so similar share one of the first n - ceil(0.8 n) + 1 of each. Under
+   each such shingle every set is compared with one other, the hub: the set whose shingles are seen most often.
+3. Then come those pairs under one shingle that still lie in different components. Parities of hashed shingles (1,024 bits)
+   bound a pair's difference from below, inside the join, so that only pairs near the limit come out of it.
+
+All candidates are verified on their texts. The order and the hubs are free to choose, so the sample decides the work only,
+never the pairs. Equal sets are one. Of the rest only what links groups matters, so a large group of near copies costs its
+size where one of them is close to the others.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 #: Rows of the sample that the order of shingles is made from, about; shingles of fewer than HOT of its sets aren't listed.
 SAMPLE, HOT, MAX_HOT = 5_000, 3, 200_000
+PARITIES = 16
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -37,6 +41,11 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)).view(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES words of 64 bits: whether an even or odd number of shingles falls on each. Sets differ in as many shingles as these differ in bits, at least."""
+    return np.packbits(np.bincount(s & (64 * PARITIES - 1), minlength=64 * PARITIES).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     p, q = SIMILARITY
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -64,24 +73,29 @@ def _often(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
+_FOUND = "doc_id long, row_key long, id long, n int, fp long, seen long, parity array<long>, prefix array<long>"
+
+
 def _prefixes(often: Shared) -> Callable:
+    """Of each text: the name, size, fingerprint and parities of its set, how often its shingles are seen on average, and the first of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, count = often.value()
         p, q = SIMILARITY
         for b in batches:
-            ids, sizes, firsts = [], [], []
+            rows = []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
-                ids.append(_set_id(s))
-                sizes.append(len(s))
                 rank = np.zeros(len(s), np.int64)
                 if len(keys) and len(s):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     rank = np.where(keys[at] == s, count[at], 0)
-                firsts.append(s[np.lexsort((s, rank))][: len(s) + (-p * len(s) // q) + 1] if len(s) else s)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "id", "n", "prefix"]
-            )
+                first = s[np.lexsort((s, rank))][: len(s) + (-p * len(s) // q) + 1] if len(s) else s
+                seen = int(1000 * rank.sum() / len(s)) if len(s) else 0
+                rows.append((_set_id(s), len(s), simhash.majority(s.view(np.uint64)), seen, parities(s), first))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *cols], ["doc_id", "row_key", "id", "n", "fp", "seen", "parity", "prefix"])
 
     return run
 
@@ -114,26 +128,45 @@ def _may_match(n: str, m: str):
     return (F.col(n) * q >= F.col(m) * p) & (F.col(m) * q >= F.col(n) * p)
 
 
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, root) for every row of docs; rows of one root are connected by similar pairs. Texts without words are copies of each other."""
+    """(doc_id, row_key, root) for every row of docs; rows of one root are connected by similar pairs.
+
+    Texts without words (null, empty, blank) are copies of each other. A text of fewer than five words is one shingle. Repeated
+    rows and ids stay rows of their own. An empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     often = Shared(docs.sparkSession, _often(docs))
     src = docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
-    found = materialise(src.mapInArrow(_prefixes(often), "doc_id long, row_key long, id long, n int, prefix array<long>"), "prefixes")
+    found = materialise(src.mapInArrow(_prefixes(often), _FOUND), "prefixes")
     reps = found.groupBy("id").agg(F.min("row_key").alias("row_key"))
-    shared = found.select("id", "n", F.explode("prefix").alias("key")).groupBy("key").agg(F.collect_set(F.struct("id", "n")).alias("sets")).where(F.size("sets") > 1)
-    shared = materialise(shared, "shared")
-    near = shared.select(F.array_min("sets").alias("hub"), F.explode("sets").alias("s")).select(F.col("hub.id").alias("a"), F.col("hub.n").alias("m"), F.col("s.id").alias("b"), F.col("s.n").alias("n"))
-    edges = materialise(_verified(near.where((F.col("a") < F.col("b")) & _may_match("m", "n")).select("a", "b"), docs, reps), "links")
+    sets = materialise(found.join(reps.select("row_key"), "row_key", "left_semi").dropDuplicates(["id"]).select("id", "n", "fp", "seen", "parity", "prefix"), "sets")
+    # 1: fingerprints close to each other, each by its least set, and sets of one fingerprint
+    least = sets.groupBy("fp").agg(F.min("id").alias("id"))
+    same = sets.select("id", "fp").join(least.withColumnRenamed("id", "first"), "fp").where("id <> first").select(*_pair("id", "first"))
+    close = simhash.links(least.select("fp"))
+    close = close.join(least.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select(*_pair("x", "y"))
+    # 2: sets and hubs under one shingle
+    keys = sets.select("id", "n", "seen", F.explode("prefix").alias("key"))
+    hubs = keys.groupBy("key").agg(F.max(F.struct("seen", "n", "id")).alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
+    shared = materialise(keys.select("key", "id", "n").join(hubs, "key"), "shared")
+    near = shared.where((F.col("id") != F.col("hub")) & _may_match("m", "n")).select(*_pair("id", "hub"))
+    edges = materialise(_verified(same.union(close).union(near), docs, reps), "links")
     roots = simhash.components(edges)
-    # what the hubs left apart: members of different components under one key
-    members = shared.select("key", F.explode("sets").alias("s")).select("key", "s.id", "s.n")
-    members = members.join(roots, members.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    apart = members.groupBy("key", "root").agg(F.collect_list(F.struct("id", "n")).alias("sets")).groupBy("key").agg(F.collect_list(F.struct("root", "sets")).alias("parts")).where(F.size("parts") > 1)
-    apart = materialise(apart, "apart")
-    sides = apart.select("parts", F.explode("parts").alias("x")).select("x.root", F.explode("x.sets").alias("s"), F.filter("parts", lambda y: y["root"] > F.col("x.root")).alias("others"))
-    other = F.flatten(F.transform("others", lambda y: F.filter(y["sets"], lambda z: (z["n"] * SIMILARITY[1] >= F.col("s.n") * SIMILARITY[0]) & (F.col("s.n") * SIMILARITY[1] >= z["n"] * SIMILARITY[0]))))
-    cross = sides.select(F.col("s.id").alias("x"), F.explode(other).alias("o")).select(F.least("x", "o.id").alias("a"), F.greatest("x", "o.id").alias("b"))
+    # 3: members of different components under one shingle
+    members = shared.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = members.join(apart, "key").join(sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES))), "id")
+    rows = materialise(rows, "apart")
+    other = rows.select(*(F.col(c).alias(f"o_{c}") if c != "key" else F.col(c).alias("o_key") for c in rows.columns))
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(1, PARITIES)), F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))))
+    p, q = SIMILARITY
+    # so similar sets differ in (q - p) / (q + p) of their sizes' sum at most
+    close = (F.col("root") < F.col("o_root")) & _may_match("n", "o_n") & (differ * (p + q) <= (F.col("n") + F.col("o_n")) * (q - p))
+    cross = rows.join(other, (F.col("key") == F.col("o_key")) & close).select(*_pair("id", "o_id"))
     more = materialise(_verified(cross, docs, reps), "links")
     roots = simhash.components(edges.union(more))
     return found.join(roots, found.id == roots.node, "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("root"))

@@ -23,6 +23,15 @@ from docloom.llm.common import bounded_batches, materialise, row_key, table
 RADIUS, SEGMENTS, SHINGLE = 3, 2, 3
 
 
+def majority(h: np.ndarray) -> int:
+    """Signed 64 bits, each 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 14):  # bounded for very long texts
+        part = h[k : k + (1 << 14)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a text's UTF-8 bytes. No words (null, empty or blank text): 0."""
     words = (text or b"").lower().split()
@@ -32,12 +41,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 14):  # bounded for very long texts
-        part = h[k : k + (1 << 14)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64)) & ((1 << 64) - 1)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from docloom.llm import near_copies as C
 
@@ -62,3 +64,30 @@ def test_recall_of_edited_copies_and_chains(spark):
 def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
     assert C.groups(odd_docs).count() == odd_docs.count()
     assert C.groups(no_docs).count() == 0
+
+
+def test_parities_bound_differences():
+    draw = np.random.default_rng(0)
+    for _ in range(50):
+        a = np.unique(draw.integers(-(1 << 63), 1 << 63, draw.integers(1, 400)))
+        b = np.unique(np.r_[a[draw.random(len(a)) < 0.9], draw.integers(-(1 << 63), 1 << 63, draw.integers(0, 40))])
+        assert np.bitwise_count((C.parities(a) ^ C.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text with a few words changed each; many are similar to the text, few to each other."""
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for k in draw.sample(range(len(t)), draw.randrange(0, 7)):
+            t[k] = f"x{draw.randrange(100_000)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    want = jaccard_groups(dict(rows))
+    found = C.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+    assert {r.doc_id: least[r.root] for r in found} == want and 1 < len(set(want.values())) < 120

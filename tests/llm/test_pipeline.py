@@ -2,7 +2,7 @@ import corpus_pipeline as P
 from docloom.llm import fm_index, language_id, mixing
 
 from .test_fm_index import brute
-from .test_simhash import slow_components, slow_fingerprint
+from .test_near_copies import jaccard_groups
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -20,9 +20,8 @@ def test_stages_against_brute_force(spark, sf):
     model = language_id.train(language_id.learnt_rows(docs))
     sure = {d for d, r in start.items() if (p := model.predict(r.text))[0] != "und" and p[1] >= P.MIN_CONFIDENCE}
     assert set(langs) == sure and len(sure) > 0.9 * len(start)
-    # near copies: the smallest id of each component
-    parts = slow_components([(d, slow_fingerprint(r.text)) for d, r in sorted(langs.items())])
-    assert set(once) == set(parts.values())
+    # near copies: the smallest id of each group of five-word Jaccard 0.8
+    assert set(once) == set(jaccard_groups({d: r.text for d, r in langs.items()}).values())
     # benchmark passages: no hit is left of those that were there, clean texts are untouched
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     hit = {d for d, *_, c in brute([(d, r.text) for d, r in once.items()], items) if c}
