@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney n-gram model (order 3 or 2), counted in Spark and scored from memory-mapped sorted hash arrays.
 
 1. Words of the training documents are counted. Their 63-bit hashes are dealt by leading bits to parts; each part is a
-   sorted array of hashes with counts, and a word's number is its place in the parts.
+   sorted array of hashes, and words are numbered part by part from the most frequent on, so that frequent words have
+   small numbers.
 2. Each text is led by order - 1 starts and closed by an end. Its n-grams are counted, added up in each task first, and
    dealt by a hash of all their words, so that no frequent word or pair gathers. The task that stores a part's counts
    sends on what each n-gram adds to its two pairs of words: to the pair it ends in, one distinct predecessor; to the
@@ -9,12 +10,13 @@
 3. Pairs are summed and stored alike; they send on what they add to their words. Words are summed and stored last.
 4. Scoring tasks map the files and look up the distinct n-grams of a chunk of texts at once.
 
-What tasks send each other is packed: sorted keys as differences, columns by bytes, compressed. Pieces that would get too
+What tasks send each other is packed: word numbers and counts in columns, by bytes, compressed. Pieces that would get too
 small, because they are dealt to very many parts, are dealt in two steps. Files lie in the shared folder; a part is written
 under its final name in one step and is the same whenever a task is repeated. Part sizes are bounded by more parts, so the
 memory of a task doesn't grow with the corpus.
 
-N-grams are told apart by the bits of their part and 48 more of a hash (pairs by all their bits, if these are no more).
+N-grams are told apart by over 32 bits more of a hash than it takes to number those of a part (see Hashed), pairs by all
+their bits where these are no more.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import bounded_batches, fold, scratch, table
-from docloom.llm.sorted_arrays import Arrays, Hashed, Store, added, narrow, pack, part_bits, unpack
+from docloom.llm.sorted_arrays import Arrays, Hashed, Store, added, pack, part_bits, unpack
 
 ORDER = 3
 FOLDS, HELD_OUT = 5, 1
@@ -96,17 +98,16 @@ class Keys:
     def __init__(self, bits: int):
         self.bits, self.wide = bits, 2 * bits
         self.mask = np.uint64((1 << self.wide) - 1)
-        self.odd, self.back = np.uint64(_ODD & ((1 << self.wide) - 1)), np.uint64(pow(_ODD, -1, 1 << self.wide))
+        self.odd = np.uint64(_ODD & ((1 << self.wide) - 1))
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = (a.astype(np.uint64) << np.uint64(self.bits) | b.astype(np.uint64)) * self.odd & self.mask
         k = (k ^ (k >> np.uint64(self.bits))) * self.odd & self.mask
         return k << np.uint64(64 - self.wide)
 
-    def words(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = (pair >> np.uint64(64 - self.wide)) * self.back & self.mask
-        k = (k ^ (k >> np.uint64(self.bits))) * self.back & self.mask
-        return (k >> np.uint64(self.bits)).astype(np.int64), (k & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+    def row(self, ids: list[np.ndarray]) -> np.ndarray:
+        pair = self.pair(*ids[:2])
+        return pair if len(ids) == 2 else self.triple(ids[2], pair)
 
     @staticmethod
     def triple(first: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -144,16 +145,29 @@ def _joined(pieces: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(unpack(p) for p in pieces))]
 
 
-def _summed(keys: list[np.ndarray], cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct keys (one or two columns) in order, with sums of cols."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    return [k[first] for k in keys], [np.add.reduceat(c[order], first) if len(first) else c for c in cols]
+def _summed(ids: list[np.ndarray], sums: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of word numbers (below 2**bits) in order, with sums of the other columns; without any, with their count."""
+    n, wide = len(ids[0]), bits * len(ids) <= 63
+    if wide:  # one number for a row
+        key = np.zeros(n, np.int64)
+        for c in ids:
+            key = key << bits | c.astype(np.int64)
+        order = np.argsort(key) if sums else None
+        key = key[order] if sums else np.sort(key)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:n])
+        ids = [key[new] >> (bits * (len(ids) - 1 - k)) & ((1 << bits) - 1) for k in range(len(ids))]
+    else:
+        order = np.lexsort(ids[::-1])
+        ids = [c[order] for c in ids]
+        differ = np.zeros(n, bool)
+        differ[:1] = True
+        for c in ids:
+            differ[1:] |= c[1:] != c[:-1]
+        new = np.flatnonzero(differ)
+        ids = [c[new].astype(np.int64) for c in ids]
+    if not sums:
+        return ids, [np.diff(np.r_[new, n])]
+    return ids, [np.add.reduceat(c[order].astype(np.int64), new) if n else c.astype(np.int64) for c in sums]
 
 
 def _dealt(df: DataFrame, bits: int, split: Callable) -> DataFrame:
@@ -186,24 +200,14 @@ def _word_pieces(bits: int) -> Callable:
     return split
 
 
-def _gram_pieces(bits: int) -> Callable:
-    """Triples as (pair key of the last two words, first word, count), by a hash of all three."""
+def _row_pieces(keys: Keys, words: int, bits: int) -> Callable:
+    """Pieces of rows of word numbers and sums. Pairs go by their key, triples (the last two words, then the first) by a hash of all three."""
 
     def split(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pair, first, n = cols
-        part = (Keys.triple(first, pair) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-        order = np.lexsort((first, pair, part))
-        part, pair, first, n = part[order], pair[order], first[order], n[order]
-        new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (first[1:] != first[:-1])][: len(pair)])
-        yield from _pieces(kind, part[new].astype(np.int64), [pair[new], first[new], np.add.reduceat(n, new) if len(new) else n])
-
-    return split
-
-
-def _pair_pieces(bits: int) -> Callable:
-    def split(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        (key,), sums = _summed([cols[0]], cols[1:])
-        yield from _pieces(kind, (key >> np.uint64(64 - bits)).astype(np.int64), [key, *sums])
+        ids, sums = _summed(cols[:words], cols[words:], keys.bits)
+        part = (keys.row(ids) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        yield from _pieces(kind, part[order], [c[order] for c in (*ids, *sums)])
 
     return split
 
@@ -232,41 +236,51 @@ def _store_words(store: Store) -> Callable:
         held, _ = _received(batches)
         for (p, _), pieces in held.items():
             keys, n = added(*_joined(pieces))
+            order = np.lexsort((keys, -n.astype(np.int64)))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
             store.put(f"word-{p}", keys)
-            store.put(f"word-count-{p}", narrow(n))
+            store.put(f"word-rank-{p}", rank)
+            store.put_small(f"word-count-{p}", n[order])
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["part", "size", "n"])
 
     return run
 
 
 class Vocabulary:
-    """Numbers of words by their hashes; end and start follow the words, and any other word is unknown."""
+    """Numbers of words by their hashes. END, START and any UNKNOWN word come first, then the most frequent word of each part, the second ones and so on."""
+
+    END, START, UNKNOWN, FIRST = range(4)
 
     def __init__(self, store: Store, bits: int, sizes: list[int]):
-        self.arrays = Arrays(store, "word", np.uint64, bits, 64)
-        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.size = int(self.offsets[-1])
-        self.end, self.start, self.unknown = self.size, self.size + 1, self.size + 2
-        self.keys = Keys(int(self.unknown).bit_length())
+        self.arrays = Arrays(store, "word", np.uint64, bits, 64, {"rank": np.uint32})
+        self.parts, self.size, self.sizes = 1 << bits, sum(sizes), sizes
+        top = self.FIRST + self.parts * max(sizes, default=0)
+        if top >= 1 << 32:
+            raise ValueError("more than 2**32 word numbers")
+        self.keys = Keys(top.bit_length())
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         found = self.arrays.find(hashes.astype(np.uint64) << np.uint64(1))
-        return np.where(found >= 0, self.offsets[np.maximum(found, 0) >> Arrays.AT] + (found & ((1 << Arrays.AT) - 1)), self.unknown)
+        out = np.full(len(hashes), self.UNKNOWN, np.int64)
+        hit = found >= 0
+        out[hit] = self.FIRST + self.arrays.take("rank", found[hit]).astype(np.int64) * self.parts + (found[hit] >> Arrays.AT)
+        return out
 
-    def part_of(self, ids: np.ndarray) -> np.ndarray:
-        """Parts of numbers; end and start are in one of their own."""
-        return np.where(ids >= self.size, len(self.offsets) - 1, np.searchsorted(self.offsets, ids, side="right") - 1)
+    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part, rank) of numbers; those that aren't words are in a part of their own."""
+        word = ids >= self.FIRST
+        return np.where(word, (ids - self.FIRST) % self.parts, self.parts), np.where(word, (ids - self.FIRST) // self.parts, ids)
 
 
 def _count_grams(vocab: Vocabulary, order: int, bits: int) -> Callable:
-    gram, pair = _gram_pieces(bits), _pair_pieces(bits)
+    split = _row_pieces(vocab.keys, order, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, 2 * CHUNK):
             distinct, at, sizes = encode(texts)
-            cols = ngrams(vocab.numbers(distinct)[at], sizes, order, vocab.start, vocab.end)
-            key, one = vocab.keys.pair(cols[-2], cols[-1]), np.ones(len(cols[0]), np.int64)
-            yield from gram(GRAMS, [key, cols[0], one]) if order == 3 else pair(LEFTS, [key, one])
+            cols = ngrams(vocab.numbers(distinct)[at], sizes, order, vocab.START, vocab.END)
+            yield from split(GRAMS if order == 3 else LEFTS, [cols[-2], cols[-1], *cols[:-2]])
 
     return run
 
@@ -277,19 +291,18 @@ def _tally(n: np.ndarray) -> list[int]:
 
 def _store_grams(vocab: Vocabulary, store: Store, bits: int, pair_bits: int) -> Callable:
     """Stores the counts of triples; sends on pairs with a predecessor each (LEFTS) and pairs with their followers' counts (CONTEXTS)."""
-    pairs = _pair_pieces(pair_bits)
+    pairs = _row_pieces(vocab.keys, 2, pair_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passing = _received(batches)
         yield from passing
         for p, kind in list(held):
-            (pair, first), (n,) = _summed(*(lambda c: (c[:2], c[2:]))(_joined(held.pop((p, kind)))))
-            n = n.astype(np.int64)
-            Hashed(store, "gram", bits).put(p, Keys.triple(first, pair), count=n)
+            *cols, n = _joined(held.pop((p, kind)))
+            (second, third, first), (n,) = _summed(cols, [n], vocab.keys.bits)
+            Hashed(store, "gram", bits).put(p, vocab.keys.row([second, third, first]), count=n)
             yield _summary({"part": p, "grams": _tally(n)})
-            yield from pairs(LEFTS, [pair, np.ones(len(pair), np.int64)])
-            second, _ = vocab.keys.words(pair)
-            yield from pairs(CONTEXTS, [vocab.keys.pair(first, second), n, *((np.minimum(n, 3) == k).astype(np.int64) for k in (1, 2, 3))])
+            yield from pairs(LEFTS, [second, third])
+            yield from pairs(CONTEXTS, [first, second, n, *((np.minimum(n, 3) == k).astype(np.int64) for k in (1, 2, 3))])
 
     return run
 
@@ -300,23 +313,35 @@ def _store_pairs(vocab: Vocabulary, store: Store, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passing = _received(batches)
         yield from passing
-        none = [np.zeros(0, np.uint64)] * 5
+        none = [np.zeros(0, np.int64)] * 6
         for p in sorted({p for p, _ in held}):
-            (key,), (left,) = _summed(*(lambda c: (c[:1], c[1:]))(_joined(held.pop((p, LEFTS), [])) or none[:2]))
-            (context,), follow = _summed(*(lambda c: (c[:1], c[1:]))(_joined(held.pop((p, CONTEXTS), [])) or none))
-            left = left.astype(np.int64)
-            Hashed(store, "pair", bits).put(p, key, left=left)
-            # few different rows: their numbers are kept with the pairs
-            rows, code = np.unique(np.stack([x.astype(np.int64) for x in follow], 1), axis=0, return_inverse=True)
-            Hashed(store, "context", bits).put(p, context, row=code.ravel())
-            store.put(f"context-rows-{p}", rows)
+            cols = _joined(held.pop((p, LEFTS), [])) or none[:3]
+            (first, second), (left,) = _summed(cols[:2], cols[2:], vocab.keys.bits)
+            cols = _joined(held.pop((p, CONTEXTS), [])) or none
+            context, follow = _summed(cols[:2], cols[2:], vocab.keys.bits)
+            key, other = vocab.keys.pair(first, second), vocab.keys.pair(*context)
+            every = np.union1d(key, other)
+            lefts, rows = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+            lefts[np.searchsorted(every, key)] = left
+            # few different rows of what follows, the most frequent first: pairs keep their numbers, from 1 on
+            order = np.lexsort(follow)
+            ranked = np.stack([f[order] for f in follow], 1)
+            new = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)][: len(order)]
+            start = np.flatnonzero(new)
+            often = np.argsort(-np.diff(np.r_[start, len(order)]), kind="stable")
+            number = np.empty(len(start), np.int64)
+            number[often] = np.arange(1, len(start) + 1)
+            rows[np.searchsorted(every, other[order])] = number[np.cumsum(new) - 1]
+            Hashed(store, "pair", bits).put(p, every, left=lefts, row=rows)
+            store.put(f"pair-rows-{p}", np.concatenate([np.zeros((1, 4), np.int64), ranked[start[often]].astype(np.int64)]))
             yield _summary({"part": p, "lefts": _tally(left)})
-            first, second = vocab.keys.words(key)
             ids = np.unique(np.concatenate([first, second]))
             at, kind = np.searchsorted(ids, first), np.minimum(left, 3)
             sums = [np.bincount(at, left, len(ids)).astype(np.int64), *(np.bincount(at[kind == k], minlength=len(ids)) for k in (1, 2, 3))]
             sums.append(np.bincount(np.searchsorted(ids, second), minlength=len(ids)))
-            yield from _pieces(WORDS, vocab.part_of(ids), [ids.astype(np.uint64), *sums])
+            part, _ = vocab.place(ids)
+            order = np.argsort(part, kind="stable")
+            yield from _pieces(WORDS, part[order], [c[order] for c in (ids, *sums)])
 
     return run
 
@@ -332,16 +357,15 @@ def _store_stats(vocab: Vocabulary, store: Store) -> Callable:
         yield from passing
         for (p, _), pieces in held.items():
             cols = _joined(pieces)
-            (ids,), sums = _summed(cols[:1], cols[1:])
-            ids, sums = ids.astype(np.int64), [s.astype(np.int64) for s in sums]
+            (ids,), sums = _summed(cols[:1], cols[1:], vocab.keys.bits)
             out = {"part": int(p), "before": _tally(sums[4]), "more": int((sums[4] >= 3).sum()), "types": int(sums[4].sum())}
-            if p == len(vocab.offsets) - 1:
+            if p == vocab.parts:
                 out["marks"] = {str(i): [int(s[k]) for s in sums] for k, i in enumerate(ids.tolist())}
             else:
                 for name, s in zip(_WORD, sums):
-                    dense = np.zeros(int(vocab.offsets[p + 1] - vocab.offsets[p]), np.int64)
-                    dense[ids - vocab.offsets[p]] = s
-                    store.put(f"word-{name}-{p}", narrow(dense))
+                    dense = np.zeros(vocab.sizes[p], np.int64)
+                    dense[vocab.place(ids)[1]] = s
+                    store.put_small(f"word-{name}-{p}", dense)
             yield _summary(out)
 
     return run
@@ -369,14 +393,13 @@ class Model:
     def __init__(self, store: Store, vocab: Vocabulary, order: int, docs: int, tokens: int, bits: tuple[int, int], sums: list[dict]):
         add = lambda name: np.sum([s[name] for s in sums if name in s] or [[0] * 4], axis=0)
         self.store, self.vocab, self.order, self.docs, self.tokens = store, vocab, order, docs, tokens
-        self.grams, self.pairs, self.contexts = Hashed(store, "gram", bits[0]), Hashed(store, "pair", bits[1]), Hashed(store, "context", bits[1])
+        self.grams, self.pairs = Hashed(store, "gram", bits[0]), Hashed(store, "pair", bits[1])
         self.gram_d, self.pair_d, before = discounts(*add("grams")), discounts(*add("lefts")), add("before")
         self.word_d = discounts(*before)
         self.types = sum(s.get("types", 0) for s in sums)
         more = sum(s.get("more", 0) for s in sums)
         self.spread = float(self.word_d[1] * before[0] + self.word_d[2] * before[1] + self.word_d[3] * more) / self.types if self.types else 1.0
-        marks = {int(k): v for s in sums for k, v in s.get("marks", {}).items()}
-        self.start, self.end = (marks.get(k, [0] * 5) for k in (vocab.start, vocab.end))
+        self.marks = {int(k): v for s in sums for k, v in s.get("marks", {}).items()}
 
     @property
     def size(self) -> int:
@@ -386,55 +409,58 @@ class Model:
     def _word_stats(self, ids: np.ndarray) -> dict[str, np.ndarray]:
         """count and the sums of _store_stats of word numbers, 0 for unknown ones."""
         out = {name: np.zeros(len(ids)) for name in ("count", *_WORD)}
-        part = self.vocab.part_of(ids)
-        for p in np.unique(part[ids < self.vocab.size]):
-            mine = np.flatnonzero((part == p) & (ids < self.vocab.size))
-            n = int(self.vocab.offsets[p + 1] - self.vocab.offsets[p])
+        part, rank = self.vocab.place(ids)
+        for p in np.unique(part[part < self.vocab.parts]).tolist():
+            mine = np.flatnonzero(part == p)
             for name, x in out.items():
-                x[mine] = self.store.of(f"word-{name}-{p}", n)[ids[mine] - self.vocab.offsets[p]]
-        for number, sums, count in ((self.vocab.start, self.start, self.docs), (self.vocab.end, self.end, self.docs)):
+                x[mine] = self.store.small(f"word-{name}-{p}")[rank[mine]]
+        for number in (self.vocab.START, self.vocab.END):
             at = ids == number
-            out["count"][at] = count
-            for name, s in zip(_WORD, sums):
+            out["count"][at] = self.docs
+            for name, s in zip(_WORD, self.marks.get(number, [0] * 5)):
                 out[name][at] = s
         return out
 
+    def _followers(self, pairs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of each of the sorted pairs: the sum over its followers, and how many of them count 1, 2 and more."""
+        out = np.zeros((len(pairs), 4))
+        part = (pairs >> np.uint64(64 - self.pairs.bits)).astype(np.int64)
+        edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if rows[a:b].any():
+                out[a:b] = self.store.read(f"pair-rows-{part[a]}", np.int64).reshape(-1, 4)[rows[a:b]]
+        return out
+
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
         v = self.vocab
         distinct, at, sizes = encode(texts)
         # the local vocabulary: words, then end, then start
-        ids = np.r_[v.numbers(distinct), v.end, v.start]
+        ids = np.r_[v.numbers(distinct), v.END, v.START]
         cols = ngrams(at, sizes, self.order, len(distinct) + 1, len(distinct))
         mid, last = cols[-2], cols[-1]
         word = self._word_stats(ids)
+        pair = v.keys.pair(ids[mid], ids[last])
+        context = v.keys.pair(ids[cols[0]], ids[mid]) if self.order == 3 else pair[:0]
+        keys, back = np.unique(np.r_[pair, context], return_inverse=True)
+        left, rows = self.pairs.look(keys, "left", "row")
+        left = left[back[: len(pair)]].astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
             low = np.maximum(_less(word["before"], self.word_d), 0) / self.types if self.types else np.zeros(len(ids))
             low = low + self.spread / (self.size + 1)
-            pair = v.keys.pair(ids[mid], ids[last])
-            left = self._looked_up(self.pairs, pair, "left")
             down = word["once"] * self.pair_d[1] + word["twice"] * self.pair_d[2] + word["more"] * self.pair_d[3]
             p = np.where(word["follow"][mid] > 0, (_less(left, self.pair_d) + down[mid] * low[last]) / word["follow"][mid], low[last])
             if self.order == 3:
-                n = self._looked_up(self.grams, Keys.triple(ids[cols[0]], pair), "count")
-                follow = self._follow(v.keys.pair(ids[cols[0]], ids[mid]))
-                mass = follow[:, 1:] @ self.gram_d[1:]
-                p = np.where(follow[:, 0] > 0, (_less(n, self.gram_d) + mass * p) / follow[:, 0], p)
+                grams, again = np.unique(Keys.triple(ids[cols[0]], pair), return_inverse=True)
+                n = self.grams.look(grams, "count")[0][again].astype(np.float64)
+                follow = self._followers(keys, rows)
+                total, mass = follow[:, 0][back[len(pair) :]], (follow[:, 1:] @ self.gram_d[1:])[back[len(pair) :]]
+                p = np.where(total > 0, (_less(n, self.gram_d) + mass * p) / total, p)
         edges = np.cumsum(sizes + 1) - (sizes + 1)
         base = np.log10((word["count"][last] + 0.5) / (self.tokens + 0.5 * (self.size + 1)))
         sums = lambda x: np.add.reduceat(x, edges) if len(x) else np.zeros(0)
         return sizes + 1, sums((word["count"][last] > 0).astype(np.int64)), sums(base), sums(np.log10(p))
 
-    @staticmethod
-    def _looked_up(where: Hashed, keys: np.ndarray, value: str) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
-        return where.look(distinct, value)[back].astype(np.float64)
-
-    def _follow(self, keys: np.ndarray) -> np.ndarray:
-        """Of each pair: the sum over its followers, and how many count 1, 2 and more."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        return self.contexts.look(distinct, "row", 4)[back].astype(np.float64)
-
 
 def train(docs: DataFrame, order: int = ORDER) -> Model:
     """A model of every text of docs. Null texts are empty documents; repeated rows count each; very long texts count whole; no rows give a model that spreads all evenly."""
@@ -449,13 +475,11 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     counted = _dealt(texts.mapInArrow(_count_words(bits), _PIECE), bits, _word_pieces(bits))
     parts = {r.part: (r["size"], r.n) for r in counted.mapInArrow(_store_words(store), "part int, size long, n long").collect()}  # one row per part
     vocab = Vocabulary(store, bits, [parts.get(p, (0, 0))[0] for p in range(1 << bits)])
-    if vocab.unknown >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
     bits, pair_bits, word_bits = part_bits(size // 6), part_bits(size // 4), bits
     first = texts.mapInArrow(_count_grams(vocab, order, bits if order == 3 else pair_bits), _PIECE)
     if order == 3:
-        first = _dealt(first, bits, _gram_pieces(bits)).mapInArrow(_store_grams(vocab, store, bits, pair_bits), _PIECE)
-    pairs = _dealt(first, pair_bits, _pair_pieces(pair_bits)).mapInArrow(_store_pairs(vocab, store, pair_bits), _PIECE)
+        first = _dealt(first, bits, _row_pieces(vocab.keys, 3, bits)).mapInArrow(_store_grams(vocab, store, bits, pair_bits), _PIECE)
+    pairs = _dealt(first, pair_bits, _row_pieces(vocab.keys, 2, pair_bits)).mapInArrow(_store_pairs(vocab, store, pair_bits), _PIECE)
     last = pairs.repartition((1 << word_bits) + 1, "part").mapInArrow(_store_stats(vocab, store), _PIECE)
     sums = [json.loads(bytes(r.piece)) for r in last.select("piece").collect()]  # a few rows per part
     return Model(store, vocab, order, n_docs, sum(n for _, n in parts.values()) + n_docs, (bits, pair_bits), sums)

@@ -51,15 +51,32 @@ class Store:
         with system.open_input_stream(f"{path}/{name}") as src:
             return np.frombuffer(src.read(), dtype)
 
-    def of(self, name: str, n: int) -> np.ndarray:
-        """An array of n numbers that narrow() made; zeros if it isn't there."""
-        raw = self.read(name, np.uint8)
-        return raw.view(f"u{len(raw) // n}") if n and len(raw) else np.zeros(n, np.uint8)
-
-
-def narrow(a: np.ndarray) -> np.ndarray:
-    """Numbers >= 0 in the smallest type that holds them all."""
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+    def put_small(self, name: str, a: np.ndarray) -> None:
+        """Numbers >= 0, most of them small: a byte each, and the few from 255 on apart."""
+        self.put(name, np.minimum(a, 255).astype(np.uint8))
+        large = np.flatnonzero(a >= 255)
+        if len(large):
+            self.put(f"{name}-large", np.r_[large, a[large]].astype(np.int64))
+
+    def small(self, name: str) -> "Small":
+        large = self.read(f"{name}-large", np.int64)
+        return Small(self.read(name, np.uint8), large[: len(large) // 2], large[len(large) // 2 :])
+
+
+class Small:
+    """Numbers that put_small() wrote; zeros if they aren't there."""
+
+    def __init__(self, low: np.ndarray, at: np.ndarray, large: np.ndarray):
+        self.low, self.at, self.large = low, at, large
+
+    def __getitem__(self, k: np.ndarray) -> np.ndarray:
+        if not len(self.low):
+            return np.zeros(len(k), np.int64)
+        out = self.low[k].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.large[np.searchsorted(self.at, k[big])]
+        return out
 
 
 def pack(keys: np.ndarray, *cols: np.ndarray) -> bytes:
@@ -152,7 +169,7 @@ class Arrays:
 
 
 class Hashed:
-    """Values by 64-bit hashes, in parts by their leading bits. A part keeps the next 32 and 16 bits, sorted."""
+    """Small values by 64-bit hashes, in parts by their leading bits. A part keeps a table of where each run of next bits begins, about 16 entries each, and 32 bits more of each hash, sorted."""
 
     OPEN = 1024
 
@@ -163,53 +180,53 @@ class Hashed:
     def __getstate__(self):
         return self.__dict__ | {"parts": {}}
 
-    def _cut(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(self, keys: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
         rest = keys << np.uint64(self.bits)
-        return (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
+        run = (rest >> np.uint64(64 - runs)).astype(np.int64) if runs else np.zeros(len(keys), np.int64)
+        return run, (rest << np.uint64(runs) >> np.uint64(32)).astype(np.uint32)
 
     def put(self, p: int, keys: np.ndarray, **values: np.ndarray) -> None:
         """Stores one part; keys are distinct."""
-        order = np.argsort(keys, kind="stable")
-        high, low = self._cut(keys[order])
-        self.store.put(f"{self.name}-{p}", high)
-        if low.any():
-            self.store.put(f"{self.name}-low-{p}", low)
+        order = np.argsort(keys)
+        runs = max(0, int(len(keys)).bit_length() - 5)
+        run, rest = self._cut(keys[order], runs)
+        self.store.put(f"{self.name}-{p}", rest)
+        self.store.put(f"{self.name}-runs-{p}", np.searchsorted(run, np.arange((1 << runs) + 1)).astype(np.uint32))
         for name, x in values.items():
-            self.store.put(f"{self.name}-{name}-{p}", narrow(x[order]))
+            self.store.put_small(f"{self.name}-{name}-{p}", x[order])
 
-    def _part(self, p: int, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        have = self.parts.get((p, value))
+    def _part(self, p: int) -> tuple:
+        have = self.parts.get(p)
         if have is None:
             if len(self.parts) >= self.OPEN:
                 self.parts.pop(next(iter(self.parts)))
-            high = self.store.read(f"{self.name}-{p}", np.uint32)
-            have = self.parts[p, value] = (high, self.store.of(f"{self.name}-low-{p}", len(high)), self.store.of(f"{self.name}-{value}-{p}", len(high)))
+            have = self.parts[p] = (self.store.read(f"{self.name}-{p}", np.uint32), self.store.read(f"{self.name}-runs-{p}", np.uint32), {})
         return have
 
-    def look(self, keys: np.ndarray, value: str, columns: int = 0) -> np.ndarray:
-        """The value of each of the sorted keys, 0 where a key isn't there. With columns, values are numbers of rows of the part's table."""
-        out = np.zeros((len(keys), columns) if columns else len(keys), np.int64)
+    def look(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
+        """The values of each of the sorted keys, 0 where a key isn't there."""
+        out = [np.zeros(len(keys), np.int64) for _ in names]
         part = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
         for a, b in zip(edges[:-1], edges[1:]):
             p = int(part[a])
-            high, low, values = self._part(p, value)
-            if not len(high):
+            have, starts, values = self._part(p)
+            if not len(have):
                 continue
-            mine, mine_low = self._cut(keys[a:b])
-            at = np.searchsorted(high, mine)
-            hit = (at < len(high)) & (high[np.minimum(at, len(high) - 1)] == mine)
-            while True:  # equal first bits lie side by side
-                wrong = np.flatnonzero(hit)
-                wrong = wrong[low[at[wrong]] != mine_low[wrong]]
-                if not len(wrong):
-                    break
-                at[wrong] += 1
-                hit[wrong] = (at[wrong] < len(high)) & (high[np.minimum(at[wrong], len(high) - 1)] == mine[wrong])
-            found = values[at[hit]].astype(np.int64)
-            if columns:
-                found = self.store.read(f"{self.name}-{value}s-{p}", np.int64).reshape(-1, columns)[found]
-            out[a:b][hit] = found
+            run, rest = self._cut(keys[a:b], (len(starts) - 1).bit_length() - 1)
+            low, end = starts[run].astype(np.int64), starts[run + 1].astype(np.int64)
+            high = end
+            while len(live := np.flatnonzero(low < high)):  # all at once, each in its run
+                mid = (low[live] + high[live]) >> 1
+                less = have[mid] < rest[live]
+                low[live[less]] = mid[less] + 1
+                high = high.copy() if high is end else high
+                high[live[~less]] = mid[~less]
+            hit = np.flatnonzero((low < end) & (have[np.minimum(low, len(have) - 1)] == rest))
+            for name, x in zip(names, out):
+                if name not in values:
+                    values[name] = self.store.small(f"{self.name}-{name}-{p}")
+                x[a + hit] = values[name][low[hit]]
         return out
 
 
