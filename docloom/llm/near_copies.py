@@ -5,16 +5,19 @@
 2. So the rest is found by prefix filtering, which misses none: shingles have one order for all texts (those often seen in
    a sample last, then by hash), and two sets that are so similar share one of the first n - ceil(0.8 n) + 1 of each. Under
    each such shingle every set is compared with one other, the hub: the set whose shingles are seen most often.
-3. Then come those pairs under one shingle that still lie in different components. Parities of hashed shingles (1,024 bits)
+3. Then come those pairs under one shingle that still lie in different components. Parities of hashed shingles (512 bits)
    bound a pair's difference from below, inside the join, so that only pairs near the limit come out of it.
 
-All candidates are verified on their texts. The order and the hubs are free to choose, so the sample decides the work only,
+Shingles of one set only never leave the tasks that find them: those of several are kept as sorted arrays in the shared
+folder, and so are the rows whose texts candidates need. Each text then goes once to each set that it is compared with, and
+a set with very many partners is compared in several tasks. All candidates are verified on their texts. The order and the hubs are free to choose, so the sample decides the work only,
 never the pairs. Equal sets are one. Of the rest only what links groups matters, so a large group of near copies costs its
 size where one of them is close to the others.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash
-from docloom.llm.common import Shared, bounded_batches, materialise, row_key
+from docloom.llm.common import Shared, bounded_batches, discard, materialise, row_key, scratch
+from docloom.llm.sorted_arrays import Arrays, store_arrays
 
 SHINGLE = 5
 #: Least Jaccard similarity, as a fraction.
 SIMILARITY = (4, 5)
 #: Rows of the sample that the order of shingles is made from, about; shingles of fewer than HOT of its sets aren't listed.
 SAMPLE, HOT, MAX_HOT = 5_000, 3, 200_000
-PARITIES = 16
+PARITIES = 8
+#: Partners of a set that one task compares it with, about.
+PARTNERS = 2_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -100,26 +106,67 @@ def _prefixes(often: Shared) -> Callable:
     return run
 
 
+def _shared_keys(keys: Arrays) -> Callable:
+    """(key, id, n, seen) of the first shingles that other sets have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefix = b.column("prefix")
+            size, flat = np.diff(prefix.offsets.to_numpy()), prefix.flatten().to_numpy()
+            distinct, back = np.unique(flat.view(np.uint64), return_inverse=True)
+            hit = (keys.find(distinct) >= 0)[back]
+            row = np.repeat(np.arange(b.num_rows), size)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *(b.column(c).take(pa.array(row)) for c in ("id", "n", "seen"))], ["key", "id", "n", "seen"])
+
+    return run
+
+
+_SENT = "a long, salt long, b long, text binary"
+
+
+def _send(wanted: Arrays) -> Callable:
+    """Texts to the sets that they are compared with: (a, salt, b, text); the set's own text has a null b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, n = wanted.spans(b.column("row_key").to_numpy().view(np.uint64))
+            row = np.repeat(np.arange(b.num_rows), n)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            a, salt, own, other = (wanted.take(c, number) for c in ("a", "salt", "own", "b"))
+            for k in range(0, len(row), 500):
+                part = slice(k, k + 500)
+                yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(salt[part]), pa.array(other[part], mask=own[part] == 1), b.column("text").take(pa.array(row[part]))], ["a", "salt", "b", "text"])
+
+    return run
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple = (None, None)
-    for b in batches:
+    """Pairs (a, b) that are similar; rows come sorted by a and salt, a's own text first."""
+    now, mine = None, np.zeros(0, np.int64)
+    for batch in batches:
         keep = []
-        for a, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
-            if last[0] != a:
-                last = (a, shingles(s))
-            keep.append(similar(last[1], shingles(t)))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for a, salt, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text"))):
+            if b is None:
+                now, mine = (a, salt), shingles(t)
+            keep.append(b is not None and now == (a, salt) and similar(mine, shingles(t)))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the candidates (a, b) that are similar, by the texts of one row of each set (reps: id, row_key)."""
-    pairs = materialise(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(reps, "id")
-    texts = docs.select(row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
-    texts = materialise(texts.join(wanted.hint("shuffle_hash"), "row_key").dropDuplicates(["id"]).select("id", "text"), "texts")
-    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the candidates (a, b) that are similar, by the texts of one row of each set (sets: id, row_key, n, parity)."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("row_key").alias(f"{x}_row"), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
+    p, q = SIMILARITY
+    differ = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(differ * (p + q) <= (F.col("a_n") + F.col("b_n")) * (q - p)).select("a", "b", "a_row", "b_row")
+    close = materialise(close, "candidates")
+    partners = close.groupBy("a", "a_row").agg(F.count("*").alias("partners"))
+    tasks = F.ceil(F.col("partners") / F.lit(PARTNERS)).cast("long")
+    own = partners.select(F.col("a_row").alias("row_key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("salt"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("b"))
+    others = close.join(partners.select("a", tasks.alias("tasks")), "a").select(F.col("b_row").alias("row_key"), "a", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("salt"), F.lit(0).cast("long").alias("own"), "b")
+    wanted = store_arrays(own.unionByName(others), f"{scratch(docs.sparkSession)}/docloom-near-{uuid.uuid4().hex}", "wanted", close.count())
+    texts = docs.select(row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(_send(wanted), _SENT)
+    sorted_ = texts.repartition("a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
+    return sorted_.mapInArrow(_verify, "a long, b long").distinct()
 
 
 def _may_match(n: str, m: str):
@@ -129,6 +176,7 @@ def _may_match(n: str, m: str):
 
 
 def _pair(a: str, b: str) -> list:
+    """Any of the two may be the set that the other's text is sent to."""
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
@@ -142,31 +190,32 @@ def groups(docs: DataFrame) -> DataFrame:
     often = Shared(docs.sparkSession, _often(docs))
     src = docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
     found = materialise(src.mapInArrow(_prefixes(often), _FOUND), "prefixes")
-    reps = found.groupBy("id").agg(F.min("row_key").alias("row_key"))
-    sets = materialise(found.join(reps.select("row_key"), "row_key", "left_semi").dropDuplicates(["id"]).select("id", "n", "fp", "seen", "parity", "prefix"), "sets")
+    sets = materialise(found.select("id", "row_key", "n", "fp", "parity").dropDuplicates(["id"]), "sets")
     # 1: fingerprints close to each other, each by its least set, and sets of one fingerprint
     least = sets.groupBy("fp").agg(F.min("id").alias("id"))
     same = sets.select("id", "fp").join(least.withColumnRenamed("id", "first"), "fp").where("id <> first").select(*_pair("id", "first"))
     close = simhash.links(least.select("fp"))
-    close = close.join(least.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select(*_pair("x", "y"))
+    close = close.join(least.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # 2: sets and hubs under one shingle
-    keys = sets.select("id", "n", "seen", F.explode("prefix").alias("key"))
-    hubs = keys.groupBy("key").agg(F.max(F.struct("seen", "n", "id")).alias("hub"), F.count("*").alias("sets")).where("sets > 1").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
-    shared = materialise(keys.select("key", "id", "n").join(hubs, "key"), "shared")
-    near = shared.where((F.col("id") != F.col("hub")) & _may_match("m", "n")).select(*_pair("id", "hub"))
-    edges = materialise(_verified(same.union(close).union(near), docs, reps), "links")
+    several = found.select("id", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    several = materialise(several, "keys")
+    stored = store_arrays(several, f"{scratch(docs.sparkSession)}/docloom-near-{uuid.uuid4().hex}", "key", several.count())
+    shared = materialise(found.select("id", "n", "seen", "prefix").mapInArrow(_shared_keys(stored), "key long, id long, n int, seen long").distinct(), "shared")
+    hubs = shared.groupBy("key").agg(F.max(F.struct("seen", "n", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
+    near = shared.join(hubs, "key").where((F.col("id") != F.col("hub")) & _may_match("m", "n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    edges = materialise(_verified(same.union(close).union(near), docs, sets), "links")
     roots = simhash.components(edges)
     # 3: members of different components under one shingle
     members = shared.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rows = members.join(apart, "key").join(sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES))), "id")
-    rows = materialise(rows, "apart")
     other = rows.select(*(F.col(c).alias(f"o_{c}") if c != "key" else F.col(c).alias("o_key") for c in rows.columns))
     differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(1, PARITIES)), F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))))
     p, q = SIMILARITY
     # so similar sets differ in (q - p) / (q + p) of their sizes' sum at most
     close = (F.col("root") < F.col("o_root")) & _may_match("n", "o_n") & (differ * (p + q) <= (F.col("n") + F.col("o_n")) * (q - p))
     cross = rows.join(other, (F.col("key") == F.col("o_key")) & close).select(*_pair("id", "o_id"))
-    more = materialise(_verified(cross, docs, reps), "links")
+    more = materialise(_verified(cross, docs, sets), "links")
     roots = simhash.components(edges.union(more))
+    discard(shared)
     return found.join(roots, found.id == roots.node, "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("root"))

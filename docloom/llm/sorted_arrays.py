@@ -9,6 +9,8 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of a part before equal ones are added up, about.
 PART_ENTRIES = 1_500_000
@@ -156,6 +158,14 @@ class Arrays:
             found[order[a:b]] = np.where(hit, at + (p << self.AT), -1)
         return found
 
+    def spans(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, how many) of the entries of each key; keys in any order, entries of one key are numbered in turn."""
+        first, count = self.find(keys), np.zeros(len(keys), np.int64)
+        for p in np.unique(first[first >= 0] >> self.AT).tolist():
+            mine = np.flatnonzero((first >= 0) & (first >> self.AT == p))
+            count[mine] = np.searchsorted(self.part(p), keys[mine], side="right") - (first[mine] & ((1 << self.AT) - 1))
+        return first, count
+
     def take(self, value: str, numbers: np.ndarray) -> np.ndarray:
         """Values of numbers that are there, in any order."""
         order = np.argsort(numbers, kind="stable")
@@ -230,6 +240,28 @@ class Hashed:
         return out
 
 
+def store_arrays(rows: DataFrame, root: str, name: str, entries: int) -> Arrays:
+    """Arrays of rows of longs: sorted by the first column, as an unsigned key, and dealt by its leading bits; the others are values."""
+    key, *values = rows.columns
+    store, bits = Store(root), part_bits(entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy() for c in (key, *values)] for b in batches if b.num_rows]
+        if held:
+            keys, *cols = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys.view(np.uint64), kind="stable")
+            keys, part = keys.view(np.uint64)[order], keys.view(np.uint64)[order] >> np.uint64(64 - bits)
+            for p in np.unique(part).tolist():
+                store.put(f"{name}-{p}", keys[part == p])
+                for v, c in zip(values, cols):
+                    store.put(f"{name}-{v}-{p}", c[order][part == p])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
+
+    dealt = rows.repartition(1 << bits, F.shiftrightunsigned(key, 64 - bits))
+    dealt.mapInArrow(run, "part int").agg(F.count("*")).collect()
+    return Arrays(store, name, np.uint64, bits, 64, dict.fromkeys(values, np.int64))
+
+
 def part_bits(entries: int, each: int = PART_ENTRIES) -> int:
     """Leading bits of a key that name its part, for parts of about each entries."""
     return max(3, int(np.ceil(np.log2(max(1, entries) / each))))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import bounded_batches, discard, materialise, scratch, table
-from docloom.llm.sorted_arrays import Arrays, Store, added, emit, gather, part_bits
+from docloom.llm.sorted_arrays import Arrays, Store, added, emit, gather, part_bits, store_arrays
 
 LENGTH = 100
 #: Grams of LENGTH - 63 bytes leave 64 places in a window, one bit each.
@@ -478,19 +478,6 @@ def _stored(rows: DataFrame, store: Store, name: str, bits: int) -> Arrays:
     return Arrays(store, name, np.int64, bits, 63, {k: np.int64 for k in _NAMED})
 
 
-def _store_grams(store: Store, bits: int) -> Callable:
-    """Stores grams sorted as unsigned numbers; dealt by their leading bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(b.column("gram").to_numpy().view(np.uint64) for b in batches)]))
-        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        for p in np.unique(part):
-            store.put(f"rival-{p}", keys[part == p])
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
-
-    return run
-
-
 def _cut(grams: Arrays, classes: Arrays, keep_text: bool, cols: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -563,9 +550,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     classes = materialise(first.select("class", "twin", "place.*", "n", "gram", "before", "context"), "contexts")
     bits = part_bits(size // PLACES, PART)
     shared = classes.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = shared.select("gram").repartition(1 << bits, F.shiftrightunsigned("gram", 64 - bits))
-    dealt.mapInArrow(_store_grams(store, bits), "part int").agg(F.count("*")).collect()
-    rivals = Arrays(store, "rival", np.uint64, bits, 64)
+    rivals = store_arrays(shared.select("gram"), store.root, "rival", size // PLACES)
     bands = classes.mapInArrow(_band_rows(rivals), _BAND_ROW).repartition("key").sortWithinPartitions("key", "name", "twin", *_PLACE)
     named = f"name long, twin long, bits long, {', '.join(f'{c} long' for c in _PLACE)}"
     texts = _stored(bands.mapInArrow(_sort_bands, named), store, "band", bits)
