@@ -21,7 +21,6 @@ their bits where these are no more.
 
 from __future__ import annotations
 
-import itertools
 import json
 import uuid
 from collections import defaultdict
@@ -29,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,8 @@ from docloom.llm.sorted_arrays import Arrays, Hashed, Store, added, pack, part_b
 
 ORDER = 3
 FOLDS, HELD_OUT = 5, 1
-CHUNK = 1 << 20
+#: Bytes of text that are coded at a time, about.
+CHUNK = 8 << 20
 #: Leading bits that one step of dealing tells apart.
 HOP_BITS = 10
 #: What a packed piece holds. SUMMARY travels on to the driver, a row a part.
@@ -48,32 +49,34 @@ _PIECE = "part int, kind int, piece binary"
 _ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, place of each word among them, words of each text): runs of bytes that aren't ASCII white space, A-Z in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
+    sizes = np.bincount(pc.list_parent_indices(lists).filter(some).to_numpy(), minlength=len(texts))
+    coded = flat.filter(some).dictionary_encode()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) >> 1 for w in coded.dictionary.view(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
+    distinct, place = np.unique(h, return_inverse=True)
+    return distinct, place[coded.indices.to_numpy()], sizes
 
 
-def encode(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, place of each word among them, words of each text)."""
-    ids: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    at = np.fromiter(map(ids.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) >> 1 for w in ids), np.int64, len(ids))
-    distinct, place = np.unique(h, return_inverse=True)
-    return distinct, place[at], sizes
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[list[pa.RecordBatch], pa.Array]]:
+    """Batches of about limit bytes of text, with their texts; null texts are empty."""
+    held, n = [], 0
 
+    def texts() -> pa.Array:
+        cols = [b.column("text") for b in held]
+        return pc.fill_null(pa.concat_arrays([c if pa.types.is_string(c.type) else c.view(pa.string()) for c in cols]), "")
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
-    held, texts, n = [], [], 0
     for b in batches:
         held.append(b)
-        for t in b.column("text").to_pylist():
-            texts.append(words(t.encode() if isinstance(t, str) else t))
-            n += len(texts[-1])
+        n += pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
         if n >= limit:
-            yield held, texts
-            held, texts, n = [], [], 0
+            yield held, texts()
+            held, n = [], 0
     if held:
-        yield held, texts
+        yield held, texts()
 
 
 def ngrams(ids: np.ndarray, sizes: np.ndarray, order: int, start: int, end: int) -> list[np.ndarray]:
@@ -431,7 +434,7 @@ class Model:
                 out[a:b] = self.store.read(f"pair-rows-{part[a]}", np.int64).reshape(-1, 4)[rows[a:b]]
         return out
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
         v = self.vocab
         distinct, at, sizes = encode(texts)
@@ -441,10 +444,13 @@ class Model:
         mid, last = cols[-2], cols[-1]
         word = self._word_stats(ids)
         pair = v.keys.pair(ids[mid], ids[last])
-        context = v.keys.pair(ids[cols[0]], ids[mid]) if self.order == 3 else pair[:0]
-        keys, back = np.unique(np.r_[pair, context], return_inverse=True)
+        # the pair before a word is the one that the word before ends; before the first it is two starts
+        keys, back = np.unique(np.r_[v.keys.pair(np.array([v.START]), np.array([v.START])), pair], return_inverse=True)
+        edges = np.cumsum(sizes + 1) - (sizes + 1)
+        context = back[:-1].copy()
+        context[edges] = back[0]
         left, rows = self.pairs.look(keys, "left", "row")
-        left = left[back[: len(pair)]].astype(np.float64)
+        left = left[back[1:]].astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
             low = np.maximum(_less(word["before"], self.word_d), 0) / self.types if self.types else np.zeros(len(ids))
             low = low + self.spread / (self.size + 1)
@@ -454,9 +460,8 @@ class Model:
                 grams, again = np.unique(Keys.triple(ids[cols[0]], pair), return_inverse=True)
                 n = self.grams.look(grams, "count")[0][again].astype(np.float64)
                 follow = self._followers(keys, rows)
-                total, mass = follow[:, 0][back[len(pair) :]], (follow[:, 1:] @ self.gram_d[1:])[back[len(pair) :]]
+                total, mass = follow[:, 0][context], (follow[:, 1:] @ self.gram_d[1:])[context]
                 p = np.where(total > 0, (_less(n, self.gram_d) + mass * p) / total, p)
-        edges = np.cumsum(sizes + 1) - (sizes + 1)
         base = np.log10((word["count"][last] + 0.5) / (self.tokens + 0.5 * (self.size + 1)))
         sums = lambda x: np.add.reduceat(x, edges) if len(x) else np.zeros(0)
         return sizes + 1, sums((word["count"][last] > 0).astype(np.int64)), sums(base), sums(np.log10(p))
