@@ -40,13 +40,17 @@ def normal_id(s: Column) -> Column:
     return F.regexp_replace(fold_dashes(F.upper(F.coalesce(s, F.lit("")))), WS, "")
 
 
+# Inline requirement ids and whole requirement lines.
+INLINE_ID = r"(?iU)\b[A-Za-z]{2,6}-(?:F|NF|SEC)-\d{2,4}\b"
+
+
 def without_ids(s: Column) -> Column:
     """Drops inline requirement ids (ASCII hyphens only) and strips."""
-    bare = F.when(s.contains("-"), F.regexp_replace(s, r"(?iU)\b[A-Za-z]{2,6}-(?:F|NF|SEC)-\d{2,4}\b", "")).otherwise(s)
+    bare = F.when(s.contains("-"), F.regexp_replace(s, INLINE_ID, "")).otherwise(s)
     return strip(bare)
 
 
-#: Groups: id, requirement. (?d): only \n ends a line for the dot.
+# Fixed value. Groups: id, requirement. (?d): only \n ends a line for the dot.
 REQUIREMENT_LINE = rf"(?d)^(?:[{_BULLETS}]|{WS})*([A-Za-z]{{2,8}}[{DASHES}](?:F|NF|SEC|SO|SR)[{DASHES}]\p{{Nd}}{{2,4}}){WS}*(?:\([^)]*\){WS}*)?[{DASHES}:]{WS}*(.+)$"
 
 

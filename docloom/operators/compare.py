@@ -20,6 +20,16 @@ def hand_maximum(sheets: DataFrame) -> DataFrame:
     return sheets.where("value IS NOT NULL").groupBy("doc_type").agg(F.max_by("value", "sheet_ord").alias("hand_max"))
 
 
+# Headings of a roster sheet that hold the maximum mark of each doc_type.
+MAXIMUM_HEADINGS = {"SRS": "srs", "Test Plan": "test_plan", "SAD": "sads"}
+
+
+def sheet_maxima(sheets: DataFrame) -> DataFrame:
+    """(sheet_ord, doc_type, value) of the row of maximum marks (row 1) of roster sheets (sheet_ord, row_idx, cells by heading)."""
+    pairs = F.array(*(F.struct(F.lit(d).alias("doc_type"), F.try_element_at("cells", F.lit(h)).try_cast("double").alias("value")) for h, d in MAXIMUM_HEADINGS.items()))
+    return sheets.where("row_idx = 1").select("sheet_ord", F.explode(pairs).alias("p")).select("sheet_ord", "p.doc_type", "p.value")
+
+
 def hand_marks(teams: DataFrame) -> DataFrame:
     """(team_pk, name, doc_type, hand_score): one row per team and doc_type."""
     pairs = ", ".join(f"'{d}', {c}" for d, c in MARK_COLUMNS.items())
@@ -62,7 +72,8 @@ def agreement(rows: DataFrame) -> DataFrame:
 
 
 def missing(rows: DataFrame, status: str) -> DataFrame:
-    return rows.where(F.col("status") == status).groupBy("doc_type").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    """Per doc_type: the sorted names of the teams of that status, and how many."""
+    return rows.where(F.col("status") == status).groupBy("doc_type").agg(F.sort_array(F.collect_list("name")).alias("names"), F.count("*").alias("n"))
 
 
 def with_scores(ingested: DataFrame, scores: DataFrame) -> DataFrame:
@@ -72,6 +83,22 @@ def with_scores(ingested: DataFrame, scores: DataFrame) -> DataFrame:
     return out.withColumn("score_is_stale", F.coalesce(F.col("score_source") != F.col("source"), F.lit(False)))
 
 
+def team_ids(rows: DataFrame) -> DataFrame:
+    """Distinct team_id, sorted."""
+    return rows.select("team_id").distinct().orderBy("team_id")
+
+
+def team_listing(ingested: DataFrame, scores: DataFrame, doc_type: str) -> DataFrame:
+    """(team_id, source, raw_text, tables, score) of the ingested documents of a doc_type, sorted; score is the team's report as a struct, null without one.
+
+    A document without a source goes by its team_id; without text or tables these are empty.
+    """
+    s = scores.where(F.col("doc_type") == doc_type).select("team_id", F.struct(*(c for c in scores.columns if c != "team_id")).alias("score"))
+    d = ingested.where(F.col("doc_type") == doc_type).join(s, "team_id", "left")
+    empty = F.array().cast(ingested.schema["tables"].dataType)
+    return d.select("team_id", F.coalesce("source", "team_id").alias("source"), F.coalesce("raw_text", F.lit("")).alias("raw_text"), F.coalesce("tables", empty).alias("tables"), "score").orderBy("team_id")
+
+
 def cohort(rows: DataFrame, percentage: str = "percentage", flag: str = "flags", cited: str = "cited_count", fraction: str = "grounded_fraction") -> DataFrame:
     """One row: documents, scored, mean percentage to one place, flagged, with low grounding (only if something is cited)."""
     p = F.col(percentage)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +31,38 @@ def fill_teams(sheet: DataFrame, fields: list[str], team: str = "team_id") -> Da
     return filled.where(F.coalesce(X.strip(F.col("member")), F.lit("")) != "")
 
 
+#: Columns of a roster sheet by the names of the team table; of several headings the first that a sheet has counts.
+TEAM_COLUMNS = {
+    "team_name": ["Team name"], "project_id": ["Project ID"], "project_name": ["Project name", "Project Title"], "srs_mark": ["SRS"], "test_plan_mark": ["Test Plan"],
+    "sad_mark": ["SAD"], "test_cases_mark": ["Test Cases"], "impl_mark": ["Implementation total + demo"], "overall_total": ["Overall total"],
+}
+_TEXTS = ("team_name", "project_name")
+
+
+def roster(sheets: DataFrame) -> DataFrame:
+    """Members of all teams of roster sheets (sheet_ord, sheet, row_idx, cells by heading): section, team and member order, the team's fields, member and srn.
+
+    Row 1 holds maximum marks and is left out. Rows without a member neither begin a team nor belong to one. A team's fields
+    are those of its first row. Marks and numbers that aren't any are null.
+    """
+    cell = lambda h: F.try_element_at("cells", F.lit(h))
+    held = lambda hs: F.coalesce(*(cell(h) for h in hs))
+    fields = [(held(hs) if c in _TEXTS else held(hs).try_cast("double")).alias(c) for c, hs in TEAM_COLUMNS.items()]
+    rows = sheets.where((F.col("row_idx") >= 2) & cell("Team members").isNotNull()).select(
+        "sheet_ord", "sheet", "row_idx", cell("Team ID").try_cast("double").alias("excel_team_id"), *fields, X.strip(cell("Team members")).alias("member"), cell("SRN").alias("srn")
+    )
+    filled = fill_teams(rows, list(TEAM_COLUMNS), "excel_team_id").join(rows.select("sheet", "sheet_ord", "row_idx", "srn"), ["sheet", "row_idx"])
+    member_ord = F.row_number().over(W.partitionBy("sheet", "team_ord").orderBy("row_idx")) - 1
+    return filled.select("sheet_ord", F.col("sheet").alias("section"), "team_ord", member_ord.alias("member_ord"), "excel_team_id", *TEAM_COLUMNS, "member", "srn")
+
+
+def relations(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(teams, team_members) of roster(): teams are numbered from 1 through all sheets, members carry their team's number."""
+    first = members.where("member_ord = 0").withColumn("id", F.row_number().over(W.orderBy("sheet_ord", "team_ord")).cast("long"))  # a row a team
+    teams = first.select("id", "section", "excel_team_id", *TEAM_COLUMNS)
+    return teams, members.join(first.select("id", "section", "team_ord"), ["section", "team_ord"]).select(F.col("id").alias("team_pk"), F.col("member").alias("name"), "srn")
+
+
 def latest_resubmission(files: DataFrame) -> DataFrame:
     """files (input_ord, filename) with team, rank, kept and reason: of a team the highest rank stays, of equals the last."""
     team, rank = X.resubmission(X.stem(F.col("filename")))
@@ -64,18 +100,38 @@ def best_names(pairs: DataFrame, least: float = NAME_MATCH) -> DataFrame:
     return pairs.where("similarity > 0").withColumn("place", F.row_number().over(order)).where((F.col("place") == 1) & (F.col("similarity") >= least)).drop("place")
 
 
+def _first_hits(patterns: list[tuple[str, int]]):
+    """The least rank of the patterns that each text has anywhere, by one pass of an Aho-Corasick automaton; null if none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = ahocorasick.Automaton()
+        for text, rank in patterns:
+            machine.add_word(text, min(rank, machine.get(text, rank)))
+        if patterns:
+            machine.make_automaton()
+        for b in batches:
+            best = [min((rank for _, rank in machine.iter(t)), default=None) if t and patterns else None for t in b["up"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "place": pd.array(best, "Int64")})
+
+    return run
+
+
 def content_matches(docs: DataFrame, roster: DataFrame) -> DataFrame:
     """docs (doc_id, raw_text) matched to the first roster entry whose srn (confidence 1) or else full name (0.95) its text has."""
     n = roster.limit(MAX_ROSTER + 1).count()
     if n > MAX_ROSTER:
         raise ValueError(f"roster of more than {MAX_ROSTER} members")
-    members = roster.select("team_ord", "member_ord", "member", F.upper("srn").alias("srn_up"), F.upper(X.strip(F.col("member"))).alias("name_up"), F.length(X.strip(F.col("member"))).alias("n"))
-    upper = docs.select("doc_id", F.upper("raw_text").alias("up"))
-    by_srn = F.col("up").contains(F.col("srn_up")) & (F.col("srn_up") != "")
-    by_name = (F.col("n") >= MIN_NAME) & F.col("up").contains(F.col("name_up"))
-    hit = upper.join(F.broadcast(members), by_srn | by_name).withColumn("confidence", F.when(F.coalesce(by_srn, F.lit(False)), 1.0).otherwise(CONTENT_MATCH))
-    order = W.partitionBy("doc_id").orderBy(F.col("confidence").desc(), "team_ord", "member_ord")
-    return hit.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc_id", "team_ord", "member", "confidence")
+    name = X.strip(F.col("member"))
+    members = roster.select("team_ord", "member_ord", "member", F.upper("srn").alias("srn_up"), F.upper(name).alias("name_up"), F.length(name).alias("n"))
+    rows = members.orderBy("team_ord", "member_ord", "member", "srn_up").collect()  # MAX_ROSTER at most
+    # places: all srns in the roster's order, then all names in it
+    patterns = [(r.srn_up, k) for k, r in enumerate(rows) if r.srn_up] + [(r.name_up, len(rows) + k) for k, r in enumerate(rows) if r.name_up and r.n >= MIN_NAME]
+    kind = dict(docs.dtypes)["doc_id"]
+    hits = docs.select("doc_id", F.upper("raw_text").alias("up")).mapInPandas(_first_hits(patterns), f"doc_id {kind}, place long").where("place IS NOT NULL")
+    team, member = roster.schema["team_ord"].dataType.simpleString(), roster.schema["member"].dataType.simpleString()
+    ranks = [(len(rows) * j + k, r.team_ord, r.member, c) for j, c in enumerate((1.0, CONTENT_MATCH)) for k, r in enumerate(rows)]
+    named = docs.sparkSession.createDataFrame(ranks, f"place long, team_ord {team}, member {member}, confidence double")
+    return hits.join(F.broadcast(named), "place").select("doc_id", "team_ord", "member", "confidence")
 
 
 def resolve(files: DataFrame, roster: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import marks
 from docloom.functions import text as X
-from docloom.operators import compare, matching, scoring, shaping, similarity
+from docloom.operators import compare, matching, pages, scoring, shaping, similarity
 from docloom.plans import rubric
-from docloom.sources import store
+from docloom.sources import files, images, store
 
 #: The whitespace class in DuckDB's dialect.
 _WS = r"'[\s\p{Z}' || chr(28) || '-' || chr(31) || chr(133) || ']'"
@@ -104,8 +104,10 @@ def citation_grounding(spark, d):
     docs = _t(spark, d, "documents")
     cited = F.array(F.substring("text", 1, 24), F.upper("source"), F.concat(F.lit("ZZ-F-"), F.col("doc_id").cast("string")), F.lit(""), F.concat("source", F.lit("‑x")))
     hay = shaping.haystack(F.concat("text", F.lit("\n"), F.col("source")), F.lit(None).cast(f"array<{shaping.TABLE}>"))
-    g = scoring.grounding(hay, cited)
-    return docs.select(
+    rows = docs.select("doc_id", cited.alias("cited"), F.explode(F.array(hay)).alias("hay"))
+    rows = rows.select("doc_id", "cited", scoring.ungrounded(F.col("hay"), F.col("cited")).alias("bad"))
+    g = scoring.grounding(F.col("bad"), F.col("cited"))
+    return rows.select(
         "doc_id", g["cited_count"].alias("cited_count"), g["grounded_count"].alias("grounded_count"), g["grounded_fraction"].alias("grounded_fraction"), F.array_join(g["ungrounded_ids"], "|").alias("ungrounded")
     )
 
@@ -165,6 +167,15 @@ def rubric_scores(spark, d):
     return scoring.clamp_scores(per).select("event_id", "key", "score")
 
 
+def criterion_blocks(spark, d):
+    e = _t(spark, d, "events")
+    docs = e.select(F.col("user_id").alias("doc_id"), F.lit("srs").alias("doc_type")).distinct()
+    keys = F.element_at(F.array(*[F.lit(c[0]) for c in rubric.CRITERIA["srs"]]), (F.pmod("event_id", F.lit(3)) + 1).cast("int"))
+    per = e.select(F.col("user_id").alias("doc_id"), keys.alias("key"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    scores = per.groupBy("doc_id", "key").agg(F.max("k").cast("string").alias("value"), F.concat(F.lit("seen "), F.count("*").cast("string")).alias("justification"))
+    return scoring.criterion_scores(docs, scores).select("doc_id", "key", "max", "score", "justification")
+
+
 def _sads(spark, d):
     keys = rubric.CRITERIA["sads"]
     li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.element_at(F.array(*[F.lit(c[0]) for c in keys]), (F.pmod("l_partkey", F.lit(len(keys))) + 1).cast("int")).alias("key"), F.col("l_quantity"))
@@ -294,6 +305,145 @@ def score_reports(spark, d):
     return scoring.reports(docs, replies).select("doc_id", F.col("total_score").cast("long").alias("total_score"), "percentage", "flags")
 
 
+def plagiarism_report(spark, d):
+    rows = _rows(spark, d)
+    found = similarity.list_pairs(rows, structural=False).persist()
+    r = similarity.report(rows, similarity.copied_rows(rows, structural=False), similarity.boilerplate(rows, found))
+    return r.select("students_checked", "common_rows_excluded", "flagged_row_pair_count", F.size("flagged_students").cast("long").alias("n_flagged_students"))
+
+
+def _roster_sheets(spark, d):
+    c = _t(spark, d, "customer")
+    first = (F.col("c_custkey") % 3 == 1) | (F.col("c_custkey") % 7 == 0)
+    cell = lambda ok, v: F.when(ok, v.cast("string"))
+    cells = F.create_map(
+        F.lit("Team ID"), cell(first, F.col("c_custkey").cast("double")), F.lit("Team name"), cell(first, F.col("c_name")), F.lit("Project ID"), cell(first & (F.col("c_custkey") % 2 == 0), F.col("c_nationkey").cast("double")),
+        F.when(F.col("c_nationkey") % 2 == 0, "Project name").otherwise("Project Title"), cell(first, F.col("c_mktsegment")), F.lit("SRS"), cell(first & (F.col("c_custkey") % 5 > 0), F.pmod(F.floor("c_acctbal"), F.lit(11))),
+        F.lit("Team members"), cell(F.col("c_custkey") % 11 > 0, F.concat(F.lit(" "), F.col("c_name"), F.lit(" m "))), F.lit("SRN"), cell(F.lit(True), F.concat(F.lit("S"), F.col("c_custkey").cast("string"))),
+    )
+    return c.select(F.col("c_nationkey").alias("sheet_ord"), F.concat(F.lit("section "), F.col("c_nationkey").cast("string")).alias("sheet"), (F.col("c_custkey") + 1).alias("row_idx"), cells.alias("cells"))
+
+
+def roster_members(spark, d):
+    r = matching.roster(_roster_sheets(spark, d))
+    return r.select("section", F.col("team_ord").cast("long").alias("team_ord"), F.col("member_ord").cast("long").alias("member_ord"), "excel_team_id", "team_name", "project_id", "project_name", "srs_mark", "member", "srn")
+
+
+def roster_teams(spark, d):
+    teams, members = matching.relations(matching.roster(_roster_sheets(spark, d)))
+    n = members.groupBy("team_pk").agg(F.count("*").alias("members"))
+    return teams.join(n, teams.id == n.team_pk).select("id", "section", "team_name", "members")
+
+
+def hand_maxima(spark, d):
+    n = _t(spark, d, "nation")
+    cell = lambda m, v: F.when(F.col("n_nationkey") % m > 0, v.cast("string"))
+    cells = F.create_map(F.lit("SRS"), cell(3, F.col("n_regionkey") * 2.5), F.lit("Test Plan"), cell(5, F.col("n_nationkey")), F.lit("SAD"), F.when(F.col("n_nationkey") < 9, "20"))
+    sheets = n.select(F.col("n_nationkey").alias("sheet_ord"), F.lit(1).alias("row_idx"), cells.alias("cells"))
+    return compare.hand_maximum(compare.sheet_maxima(sheets))
+
+
+def pdf_pages(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text", "source")
+    box = lambda y0, y1: (F.lit(0.0).alias("x0"), y0.cast("double").alias("y0"), F.lit(100.0).alias("x1"), y1.cast("double").alias("y1"))
+    line = lambda t, i: F.struct(F.when(i % 13 == 12, 1).otherwise(0).alias("kind"), F.array(t, F.lit(" ")).alias("spans"), *box(i * 10, i * 10 + 9))
+    rows = lambda *cells: F.array(F.array(F.lit("ID"), F.lit("T")), F.array(*cells)).alias("rows")
+    tables = F.array(F.struct(*box(F.lit(12), F.lit(25)), rows(F.col("doc_id").cast("string"), F.col("source"))), F.struct(*box(F.lit(24), F.lit(31)), rows(F.lit("second"), F.col("source"))))
+    read = F.when(F.col("doc_id") % 3 > 0, F.array(F.struct(F.lit(0).alias("kind"), F.array(F.lit("read from a scan of "), F.col("source")).alias("spans"), *box(F.lit(0), F.lit(9)))))
+    made = docs.select(F.col("doc_id").cast("string").alias("source"), F.lit(1).alias("page"), F.transform(F.split("text", "\n"), line).cast(f"array<{pages.LINE}>").alias("lines"), read.cast(f"array<{pages.LINE}>").alias("ocr_lines"), tables.cast(f"array<{pages.BOX}>").alias("tables"))
+    out = pages.documents(made)
+    return out.select(F.col("source").cast("long").alias("doc_id"), F.md5(F.col("raw_text").cast("binary")).alias("text_md5"), F.array_join(F.transform("raw_tables", lambda t: t[1][0]), "|").alias("tables"), F.col("ocr_pages").isNotNull().alias("ocr"))
+
+
+def batch_summary(spark, d):
+    docs = _t(spark, d, "documents")
+    name = F.concat(F.lit("Team "), F.pmod("doc_id", F.lit(97)).cast("string"), F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit(" ("), (F.col("doc_id") % 4).cast("string"), F.lit(")"))).otherwise(""), F.lit(".docx"))
+    listed = docs.select(F.col("doc_id").alias("input_ord"), name.alias("filename"))
+    bad = F.col("doc_id") % 5 == 0
+    decoded = docs.select(F.col("doc_id").alias("input_ord"), F.when(bad, F.lit(None)).otherwise(F.col("text")).alias("raw_text"), F.when(~bad, F.sequence(F.lit(1), F.pmod("doc_id", F.lit(3)) + 1)).alias("tables"), F.when(bad, "BadZipFile: no archive").alias("error"))
+    return files.batch_summary(listed, decoded).select("input_ord", "team_id", "file", F.col("lines").cast("long").alias("lines"), F.col("tables").cast("long").alias("tables"), "skipped", "reason", "error")
+
+
+def teams_with_scores(spark, d):
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    ing = docs.select(F.lit("srs").alias("doc_type"), F.col("doc_id").cast("string").alias("team_id"), F.when(F.col("doc_id") % 9 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 8 > 0, F.col("text")).alias("raw_text"), F.lit(None).cast(f"array<{shaping.TABLE}>").alias("tables"))
+    scores = labels.select(F.lit("srs").alias("doc_type"), F.col("doc_id").cast("string").alias("team_id"), (F.col("quality") * 10 + F.col("toxic")).alias("total_score"))
+    out = compare.team_listing(ing, scores, "srs")
+    return out.select("team_id", "source", F.length("raw_text").cast("long").alias("n"), F.size("tables").cast("long").alias("n_tables"), F.col("score.total_score").cast("long").alias("total_score"))
+
+
+def team_id_list(spark, d):
+    return compare.team_ids(_t(spark, d, "orders").select(F.concat(F.lit("Team "), F.col("o_custkey").cast("string")).alias("team_id")))
+
+
+def stale_scores(spark, d):
+    docs = _t(spark, d, "documents").select(F.lit("srs").alias("doc_type"), F.col("doc_id").cast("string").alias("team_id"), "source")
+    lab = _t(spark, d, "labels")
+    none = lambda t: F.lit(None).cast(t)
+    scores = lab.select(F.lit("srs").alias("doc_type"), F.col("doc_id").cast("string").alias("team_id"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("source"), F.lit(50.0).alias("percentage"), F.col("quality").alias("total_score"), none("string").alias("flags"), none("map<string,array<string>>").alias("extracted_ids"), none("struct<grounded_fraction:double>").alias("sanity_check"))
+    return compare.with_scores(docs, scores).select("team_id", F.col("total_score").cast("long").alias("total_score"), "score_is_stale")
+
+
+def missing_marks(spark, d):
+    rows = _comparison(spark, d)
+    both = [compare.missing(rows, s).withColumn("status", F.lit(s)) for s in ("no_hand_mark", "no_score")]
+    return both[0].unionByName(both[1]).select("doc_type", "status", "n", F.md5(F.array_join("names", "|").cast("binary")).alias("names_md5"))
+
+
+def _summaries(spark, d):
+    s = _scored_documents(spark, d).where("percentage IS NOT NULL")
+    fake = s.select("doc_id", F.pmod("doc_id", F.lit(12)).cast("int").alias("total_score"), "percentage", "flags", F.struct(F.col("grounded_fraction"), F.array().cast("array<string>").alias("ungrounded_ids")).alias("sanity_check"), F.array(F.struct(F.pmod("doc_id", F.lit(12)).cast("int").alias("score")), F.struct(F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0).alias("score"))).alias("criteria"))
+    return scoring.batch_summary(fake)
+
+
+def summary_parts(spark, d):
+    parts = scoring.summary_parts(_summaries(spark, d))
+    out = [df.select(F.lit(k).alias("part"), "doc_id", "internal_sum_mismatch", "low_grounding", "hard_error") for k, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def match_summary(spark, d):
+    o = _t(spark, d, "orders")
+    kind = F.element_at(F.array(F.lit("filename"), F.lit("content"), F.lit("none")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
+    m = o.select(F.col("o_orderpriority").alias("doc_type"), F.when(kind != "none", F.col("o_custkey")).alias("team_ord"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), kind.alias("match_method"), (F.pmod("o_orderkey", F.lit(10)) / 10.0).alias("confidence"))
+    several = matching.several_files(m).groupBy("doc_type").agg(F.count("*").alias("teams_with_several"))
+    low = matching.low_confidence(m).groupBy("doc_type").agg(F.count("*").alias("low"))
+    return matching.match_counts(m).join(several, "doc_type", "left").join(low, "doc_type", "left")
+
+
+def best_name_per_file(spark, d):
+    li = _t(spark, d, "lineitem")
+    pairs = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("team_ord"), F.col("l_linenumber").alias("member_ord"), (F.pmod("l_partkey", F.lit(11)) / 10.0).alias("similarity"))
+    return matching.best_names(pairs).select("file_id", "team_ord", "similarity")
+
+
+def cited_items(spark, d):
+    docs = _t(spark, d, "documents")
+    ids = F.create_map(F.lit("fr"), F.array(F.col("source"), F.upper("lang")), F.lit("nfr"), F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")))
+    rows = docs.select("doc_id", ids.alias("extracted_ids"), F.struct(F.array("lang", F.lit("src1")).alias("ungrounded_ids")).alias("sanity_check"))
+    return compare.id_chips(rows)
+
+
+def sorted_rows(spark, d):
+    docs = _scored_documents(spark, d).select("doc_id", "team_id", "percentage")
+    best = compare.sort_rows(docs, "score", descending=True).limit(50)  # the first page of a list
+    return best.select("doc_id", "percentage")
+
+
+def team_labels(spark, d):
+    c = _t(spark, d, "customer")
+    return c.select("c_custkey", compare.label(F.when(F.col("c_custkey") % 3 == 0, " ").when(F.col("c_custkey") % 3 == 1, F.col("c_name")), F.col("c_custkey").cast("double")).alias("label"))
+
+
+def image_shapes(spark, d):
+    p = _t(spark, d, "part")
+    size = lambda k: (F.pmod("p_partkey", F.lit(k)) + 120).cast("int")
+    contour = lambda i: F.struct((F.lit(4.0) + i * F.col("p_size")).alias("area"), (F.pmod(F.col("p_partkey") + i, F.lit(5)) + 3).cast("int").alias("corners"), (F.col("p_size") % 2 == 0).alias("convex"), F.when(i % 4 > 0, F.lit(4.0) + i * 20).alias("ellipse"))
+    made = p.select("p_partkey", size(371).alias("width"), size(211).alias("height"), (F.col("p_size") / 37.0).alias("edge_density"), F.pmod("p_partkey", F.lit(41)).cast("int").alias("n_lines"), F.transform(F.sequence(F.lit(0), F.lit(9)), contour).alias("contours"))
+    out = images.described(made)
+    return out.select("p_partkey", "edge_density", *(F.col(c).cast("long").alias(c) for c in ("n_boxes", "n_ellipses")), "type_guess")
+
+
 FLAGSHIP = shingle_jaccard_pairs
 
 QUERIES = {
@@ -303,7 +453,10 @@ QUERIES = {
     "group_subtotals": group_subtotals, "rubric_totals": rubric_totals, "diagram_kinds": diagram_kinds, "hand_vs_system": hand_vs_system, "grade_agreement": grade_agreement,
     "cohort_stats": cohort_stats, "badges": badges, "filter_unscored": _found("unscored"), "filter_flagged": _found("flagged"), "filter_lowscore": _found("lowscore", " TEAM src1 "),
     "latest_files": latest_files, "unlabelled_documents": unlabelled_documents, "content_copies": content_copies, "split_tables": split_tables, "header_labels": header_labels,
-    "upsert_by_rank": upsert_by_rank, "line_counts": line_counts, "submission_texts": submission_texts, "score_reports": score_reports,
+    "upsert_by_rank": upsert_by_rank, "line_counts": line_counts, "submission_texts": submission_texts, "score_reports": score_reports, "criterion_blocks": criterion_blocks,
+    "plagiarism_report": plagiarism_report, "roster_members": roster_members, "roster_teams": roster_teams, "hand_maxima": hand_maxima, "pdf_pages": pdf_pages, "batch_summary": batch_summary,
+    "teams_with_scores": teams_with_scores, "team_id_list": team_id_list, "stale_scores": stale_scores, "missing_marks": missing_marks, "summary_parts": summary_parts, "match_summary": match_summary,
+    "best_name_per_file": best_name_per_file, "cited_items": cited_items, "sorted_rows": sorted_rows, "team_labels": team_labels, "image_shapes": image_shapes,
 }
 
 _CRIT = lambda d: "(VALUES " + ", ".join(f"({k}, '{c[0]}', {c[2]}, {repr(c[3]) if c[3] else 'NULL'})" for k, c in enumerate(rubric.CRITERIA[d])) + ") c(ord, key, top, grp)"
@@ -328,6 +481,12 @@ j AS (SELECT p.doc_type, p.o_custkey AS team_pk, h.name, p.filename, p.picked AS
 k AS (SELECT *, CASE WHEN hand_score IS NULL THEN 'no_hand_mark' WHEN sys_score IS NULL THEN 'no_score' ELSE 'ok' END AS status FROM j),
 r AS (SELECT *, CASE WHEN status = 'ok' THEN sys_score * 100.0::DOUBLE / smax END AS sp, CASE WHEN status = 'ok' THEN hand_score * 100.0::DOUBLE / hmax END AS hp, CASE WHEN status = 'ok' THEN sys_score * (hmax / smax) END AS sc FROM k)"""
 
+_ROSTER = """r AS (SELECT c_nationkey AS sheet_ord, 'section ' || c_nationkey AS section, c_custkey AS row_idx, c_custkey % 3 = 1 OR c_custkey % 7 = 0 AS head, * FROM customer WHERE c_custkey % 11 > 0),
+g AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY section ORDER BY row_idx) AS team_ord FROM r),
+f AS (SELECT *, first_value(c_custkey) OVER w::DOUBLE AS excel_team_id, first_value(c_name) OVER w AS team_name, first_value(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END) OVER w::DOUBLE AS project_id,
+  first_value(c_mktsegment) OVER w AS project_name, first_value(CASE WHEN c_custkey % 5 > 0 THEN ((floor(c_acctbal)::BIGINT % 11) + 11) % 11 END) OVER w::DOUBLE AS srs_mark, c_name || ' m' AS member, 'S' || c_custkey AS srn
+  FROM g WHERE team_ord > 0 WINDOW w AS (PARTITION BY section, team_ord ORDER BY row_idx))"""
+
 ORACLES = {
     "line_rows": f"WITH {_LINES} SELECT doc_id, row_idx, text FROM rows_",
     "shingle_counts": f"WITH {_TOKENS} SELECT doc_id, row_idx, len(t)::BIGINT AS n_tokens, coalesce(len(s), 0)::BIGINT AS n_shingles FROM toks LEFT JOIN sh ON sh.k = array_to_string(toks.t, ' ')",
@@ -393,4 +552,48 @@ QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_or
     "score_reports": """WITH s AS (SELECT doc_id, doc_id % 10 = 0 AS bad, least(2, doc_id % 4) + least(6, doc_id % 9) + 1 AS total, doc_id % 2 = 0 AS quiet FROM documents)
 SELECT doc_id, CASE WHEN bad THEN 0 ELSE total END::BIGINT AS total_score, round(CASE WHEN bad THEN 0 ELSE total END * 100 / 12.0::DOUBLE, 1) AS percentage,
 CASE WHEN bad THEN 'SCORING ERROR: no JSON object in reply' ELSE CASE WHEN quiet THEN '' ELSE 'late | ' END || 'UNGROUNDED CITATIONS: 1/2 cited item(s) not found verbatim in extracted text (e.g. ZZ-F-1) -- possible hallucination, verify manually.' END AS flags FROM s""",
+    "criterion_blocks": f"""WITH e AS (SELECT user_id AS doc_id, event_id % 3 AS ord, json_extract_string(props, '$.k')::INTEGER AS k FROM events),
+s AS (SELECT doc_id, ord, max(k) AS k, count(*) AS n FROM e GROUP BY ALL)
+SELECT d.doc_id, c.key, c.top AS "max", greatest(0, least(c.top, coalesce(s.k, 0)))::INTEGER AS score, coalesce('seen ' || s.n, '') AS justification FROM (SELECT DISTINCT doc_id FROM e) d CROSS JOIN {_CRIT("srs")} LEFT JOIN s ON s.doc_id = d.doc_id AND s.ord = c.ord""",
+    "plagiarism_report": f"""WITH {_COPIED} SELECT (SELECT count(DISTINCT doc_id) FROM toks) AS students_checked, (SELECT count(*) FROM common) AS common_rows_excluded, (SELECT count(*) FROM copied) AS flagged_row_pair_count,
+(SELECT count(*) FROM (SELECT doc_a FROM copied UNION SELECT doc_b FROM copied)) AS n_flagged_students""",
+    "roster_members": f"""WITH {_ROSTER} SELECT section, team_ord, row_number() OVER (PARTITION BY section, team_ord ORDER BY row_idx) - 1 AS member_ord, excel_team_id, team_name, project_id, project_name, srs_mark, member, srn FROM f""",
+    "roster_teams": f"""WITH {_ROSTER}, t AS (SELECT sheet_ord, section, team_ord, any_value(team_name) AS team_name, count(*) AS members FROM f GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY sheet_ord, team_ord) AS id, section, team_name, members FROM t""",
+    "hand_maxima": """WITH n AS (SELECT n_nationkey AS o, CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey * 2.5 END::DOUBLE AS a, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey END::DOUBLE AS b, CASE WHEN n_nationkey < 9 THEN 20 END::DOUBLE AS c FROM nation)
+SELECT 'srs' AS doc_type, arg_max(a, o) AS hand_max FROM n UNION ALL SELECT 'test_plan', arg_max(b, o) FROM n UNION ALL SELECT 'sads', arg_max(c, o) FROM n""",
+    "pdf_pages": f"""WITH w AS (SELECT {_WS} AS ws), l AS (SELECT doc_id, source, i - 1 AS i, {_STRIP.format("t")} AS t FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), w),
+k AS (SELECT * FROM l WHERE t <> '' AND i % 13 <> 12),
+c AS (SELECT d.doc_id, d.source, coalesce(sum(length(k.t)), 0) AS n, max(CASE WHEN k.i IN (1, 2) THEN 1 ELSE 0 END) AS one, max(CASE WHEN k.i = 3 THEN 1 ELSE 0 END) AS two,
+  coalesce(string_agg(k.t, chr(10) ORDER BY k.i) FILTER (k.i NOT IN (1, 2, 3)), '') AS body FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, d.source),
+o AS (SELECT *, n < 40 AND doc_id % 3 > 0 AND length(trim('read from a scan of ' || source)) > n AS ocr FROM c)
+SELECT doc_id, md5(CASE WHEN ocr THEN 'read from a scan of ' || source ELSE body END) AS text_md5, CASE WHEN ocr THEN '' ELSE concat_ws('|', CASE WHEN one = 1 THEN doc_id::VARCHAR END, CASE WHEN two = 1 THEN 'second' END) END AS tables, ocr FROM o""",
+    "batch_summary": """WITH f AS (SELECT doc_id AS input_ord, 'Team ' || (doc_id % 97) AS team_id, doc_id % 4 AS n, 'Team ' || (doc_id % 97) || CASE WHEN doc_id % 4 > 0 THEN ' (' || (doc_id % 4) || ')' ELSE '' END || '.docx' AS file,
+  len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS lines FROM documents),
+p AS (SELECT *, row_number() OVER w AS rn, first_value(file) OVER w AS best FROM f WINDOW w AS (PARTITION BY team_id ORDER BY CASE WHEN n > 0 THEN n ELSE -1 END DESC, input_ord DESC)),
+q AS (SELECT *, rn = 1 AND input_ord % 5 > 0 AS ok FROM p)
+SELECT input_ord, team_id, file, CASE WHEN ok THEN lines END::BIGINT AS lines, CASE WHEN ok THEN input_ord % 3 + 1 END::BIGINT AS tables, CASE WHEN rn > 1 THEN true END AS skipped, CASE WHEN rn > 1 THEN 'superseded by ' || best END AS reason,
+CASE WHEN rn = 1 AND input_ord % 5 = 0 THEN 'BadZipFile: no archive' END AS error FROM q""",
+    "teams_with_scores": """SELECT d.doc_id::VARCHAR AS team_id, CASE WHEN d.doc_id % 9 > 0 THEN d.source ELSE d.doc_id::VARCHAR END AS source, CASE WHEN d.doc_id % 8 > 0 THEN length(d.text) ELSE 0 END::BIGINT AS n, 0::BIGINT AS n_tables, (l.quality * 10 + l.toxic)::BIGINT AS total_score
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+    "team_id_list": "SELECT DISTINCT 'Team ' || o_custkey AS team_id FROM orders",
+    "stale_scores": "SELECT d.doc_id::VARCHAR AS team_id, l.quality::BIGINT AS total_score, l.doc_id IS NOT NULL AND 'src' || (d.doc_id % 20) <> d.source AS score_is_stale FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "missing_marks": f"""WITH {_COMPARE} SELECT doc_type, status, count(*) AS n, md5(string_agg(name, '|' ORDER BY name)) AS names_md5 FROM r WHERE status <> 'ok' GROUP BY doc_type, status""",
+    "summary_parts": f"""WITH {_SCORED}, b AS (SELECT doc_id, doc_id % 10 = 0 AS internal_sum_mismatch, fraction < 0.8 AS low_grounding, starts_with(flags, 'SCORING ERROR') AS hard_error FROM s WHERE percentage IS NOT NULL)
+SELECT 'clean' AS part, * FROM b WHERE NOT coalesce(hard_error, false) UNION ALL SELECT 'mismatched', * FROM b WHERE low_grounding OR internal_sum_mismatch UNION ALL SELECT 'failed', * FROM b WHERE hard_error""",
+    "match_summary": """WITH m AS (SELECT o_orderpriority AS doc_type, ['filename', 'content', 'none'][o_orderkey % 3 + 1] AS k, o_custkey, (o_orderkey % 10) / 10.0::DOUBLE AS c FROM orders),
+v AS (SELECT doc_type, count(*) AS teams_with_several FROM (SELECT doc_type, o_custkey FROM m WHERE k <> 'none' GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_type)
+SELECT doc_type, count(*) AS total, count(*) FILTER (k = 'filename') AS matched, count(*) FILTER (k = 'content') AS content_fallback, count(*) FILTER (k = 'none') AS unmatched, count(DISTINCT CASE WHEN k <> 'none' THEN o_custkey END) AS teams,
+any_value(teams_with_several) AS teams_with_several, nullif(count(*) FILTER (k <> 'none' AND c < 0.85), 0) AS low FROM m LEFT JOIN v USING (doc_type) GROUP BY doc_type""",
+    "best_name_per_file": """WITH p AS (SELECT l_orderkey AS file_id, l_suppkey AS team_ord, l_linenumber AS m, (l_partkey % 11) / 10.0::DOUBLE AS similarity FROM lineitem)
+SELECT file_id, team_ord, similarity FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY similarity DESC, team_ord, m) AS rn FROM p WHERE similarity > 0) WHERE rn = 1 AND similarity >= 0.6""",
+    "cited_items": """WITH c AS (SELECT doc_id, lang, 'fr' AS category, unnest([source, upper(lang)]) AS item FROM documents UNION ALL SELECT doc_id, lang, 'nfr', lang FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, category, item, item = lang OR item = 'src1' AS ungrounded FROM c""",
+    "sorted_rows": f"WITH {_SCORED} SELECT doc_id, percentage FROM s ORDER BY coalesce(percentage, -1) DESC, lower(team_id) LIMIT 50",
+    "team_labels": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_name ELSE 'team #' || c_custkey END AS label FROM customer",
+    "image_shapes": """WITH p AS (SELECT p_partkey, p_partkey % 371 + 120 AS w, p_partkey % 211 + 120 AS h, p_size, p_partkey % 41 AS l FROM part),
+c AS (SELECT *, unnest(range(0, 10)) AS i FROM p WHERE least(w, h) >= 150),
+m AS (SELECT *, 4.0::DOUBLE + i * p_size AS area, (p_partkey + i) % 5 + 3 AS corners, CASE WHEN i % 4 > 0 THEN 4.0::DOUBLE + i * 20 END AS ell FROM c),
+n AS (SELECT p_partkey, w, h, l, p_size, count(*) FILTER (area >= w * h * 0.0005 AND corners = 4 AND p_size % 2 = 0) AS b, count(*) FILTER (area >= w * h * 0.0005 AND corners > 5 AND area / ell > 0.7 AND area / ell < 1.3) AS e FROM m GROUP BY ALL)
+SELECT p_partkey, round(p_size / 37.0::DOUBLE, 4) AS edge_density, b AS n_boxes, e AS n_ellipses, CASE WHEN e >= 2 AND b <= 2 THEN '{}' WHEN w::DOUBLE / h >= 1.3 AND b >= 1 AND l >= 30 THEN '{}' WHEN b >= 3 AND l >= 10 THEN '{}' WHEN NOT (b >= 2 OR e >= 2 OR l >= 15) THEN '{}' ELSE '{}' END AS type_guess FROM n""".format(*marks.DIAGRAM_KINDS),
 }

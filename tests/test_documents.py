@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import marks
 from docloom.functions import text as X
-from docloom.operators import compare, matching, scoring, shaping
+from docloom.operators import compare, matching, pages, scoring, shaping, similarity
 from docloom.plans import rubric
 from docloom.sources import files, images, store
 from docloom.streaming import uploads
@@ -88,7 +88,6 @@ def test_folder_to_requirement_rows(spark, tmp_path):
     assert (r.team_id, r.raw_text.split("\n")[0], len(r.tables)) == ("Team A", "Intro", 2) and r.tables[1].rows[0]["Req ID"] == "ABC-F-001"
     rows = shaping.requirement_rows(doc.withColumn("doc_id", F.col("team_id"))).collect()
     assert [(x.table_idx, x.req_id, x.text) for x in rows] == [(0, "A-1", "The app must keep all its records safe"), (1, "ABC-F-001", "The system shall record each login attempt")]
-    assert files.accept_ocr(39, "x" * 40) and not files.accept_ocr(40, "x" * 90) and not files.accept_ocr(3, "abc") and not files.accept_ocr(3, None)
     pdf = files.ingested(files.ingest(scan, lambda b: ("p", [[["ID", ""], ["1", "a"]], [["2", "b"]]], [])).where("filename = 'c.pdf'")).first()
     assert [t.headers for t in pdf.tables] == [["ID", "Column 2"]] and pdf.tables[0].n_data_rows == 2
 
@@ -122,8 +121,11 @@ def test_teams_and_files(spark):
     assert [r.filenames for r in matching.several_files(m).collect()] == [["f.pdf", "x - JANE DOE PESU.pdf"]] and matching.low_confidence(m).count() == 0
     imgs = spark.createDataFrame([(1, 0, b"a"), (1, 1, b"b"), (1, 2, b"a"), (2, 0, b"a"), (2, 1, None)], "doc_id int, ord int, content binary")
     assert sorted((r.doc_id, r.ord, r.repeated_count) for r in matching.distinct_images(imgs).collect()) == [(1, 0, 2), (1, 1, None), (2, 0, None)]
-    shapes = images.analyse(imgs, lambda b: (200, 100, 0.1, 40, 2, 0) if b == b"a" else None).collect()
-    assert {r.type_guess for r in shapes} == {marks.DIAGRAM_KINDS[1]} and len(shapes) == 3
+    box, oval, rough, tiny = (900.0, 4, True, 1000.0), (900.0, 8, False, 1000.0), (900.0, 8, False, 2000.0), (1.0, 4, True, None)
+    shapes = images.analyse(imgs, lambda b: (300, 200, 0.123456, 40, [box, box, oval, rough, tiny]) if b == b"a" else None).collect()
+    assert {(r.type_guess, r.n_boxes, r.n_ellipses, r.edge_density) for r in shapes} == {(marks.DIAGRAM_KINDS[1], 2, 1, 0.1235)} and len(shapes) == 3
+    small = images.analyse(imgs, lambda b: (300, 149, 0.1, 40, [])).count()
+    assert small == 0
 
 
 def test_reports(spark):
@@ -211,3 +213,68 @@ def test_comparison_edges(spark):
     ing = spark.createDataFrame([("srs", "A", "A (1).pdf"), ("srs", "B", "B.pdf")], "doc_type string, team_id string, source string")
     sc = spark.createDataFrame([("srs", "A", "A.pdf", 50.0, 6, "None")], "doc_type string, team_id string, source string, percentage double, total_score int, flags string").withColumn("extracted_ids", F.lit(None)).withColumn("sanity_check", F.lit(None))
     assert {r.team_id: (r.percentage, r.score_is_stale) for r in compare.with_scores(ing, sc).collect()} == {"A": (50.0, True), "B": (None, False)}
+
+
+def test_pages(spark):
+    line = lambda y, *spans, kind=0: (kind, list(spans), 0.0, float(y), 50.0, y + 9.0)
+    box = lambda y0, y1, rows: (0.0, float(y0), 60.0, float(y1), rows)
+    head = [["ID", "Requirement"], ["A-1", "first"]]
+    body = "A line that is long enough to count as text"
+    rows = [
+        ("T (2).pdf", 2, [line(0, "ABC-F-001: The ", " ", "rest")], [line(0, "ABC-F-002: read by machine and longer")], [box(0, 9, [["gone"]])]),
+        ("T (2).pdf", 1, [line(0, " ", "Title "), line(10, body), line(20, "cell"), line(30, "cell"), line(40, "x", kind=1), line(50, "  "), line(60, "end")], [line(0, "longer" * 40)], [box(21, 39, head), box(25, 39, [["never"]]), box(200, 210, [["no line"]])]),
+        ("u.pdf", 1, [line(0, "short")], [line(0, "tiny")], []), ("v.pdf", 1, [line(0, "short")], None, None), ("w.pdf", 1, [], None, None),
+    ]
+    df = spark.createDataFrame(rows, f"source string, page int, lines array<{pages.LINE}>, ocr_lines array<{pages.LINE}>, tables array<{pages.BOX}>")
+    out = {r.source: r for r in pages.documents(df).collect()}
+    assert out["T (2).pdf"].raw_text.split("\n") == ["Title", body, "end", "ABC-F-002: read by machine and longer"]
+    assert out["T (2).pdf"].raw_tables == [head] and out["T (2).pdf"].ocr_pages == [2]
+    assert out["u.pdf"].raw_text == "short" and out["u.pdf"].ocr_pages is None and out["v.pdf"].raw_text == "short" and out["w.pdf"].raw_text == ""
+    doc = {r.source: r for r in pages.ingested(df).collect()}["T (2).pdf"]
+    assert doc.team_id == "T" and [t.headers for t in doc.tables] == [["ID", "Requirement"], ["Req ID", "Requirement"]] and doc.tables[1].rows[0]["Req ID"] == "ABC-F-002"
+
+
+def test_batch_of_a_folder(spark, tmp_path):
+    good = docx(["Intro", "ABC‑F‑001 — The system shall record each login attempt"], [["Req ID", "Requirement"], ["A-1", "The app must keep all its records safe"]])
+    for name, data in {"A.docx": good, "A (1).docx": good, "B.docx": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    docs, summary = files.batch(spark, str(tmp_path))
+    rows = {r.file: (r.team_id, r.lines, r.tables, r.skipped, r.reason) for r in summary.collect()}
+    assert rows == {"A.docx": ("A", None, None, True, "superseded by A (1).docx"), "A (1).docx": ("A", 2, 2, None, None), "B.docx": ("B", None, None, None, None)}
+    assert summary.where("error IS NOT NULL").first().file == "B.docx" and [r.team_id for r in docs.collect()] == ["A"]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.batch(spark, str(tmp_path / "empty"))
+    for name in ("T1_ingested.json", "T1_score.json", "T2_score.json"):
+        (tmp_path / name).write_text('{"a": 1}')
+    listed = files.list_prefix(spark, str(tmp_path), "T1_")
+    assert sorted(r.pathname for r in listed.collect()) == ["T1_ingested.json", "T1_score.json"]
+    assert files.read_json(spark, listed.first().path, "a int").first().a == 1
+
+
+def test_roster_and_relations(spark):
+    cells = [
+        ("S", 1, {"Team ID": None, "SRS": "10.0", "Team members": "Max"}), ("S", 2, {"Team ID": "1.0", "Team name": "Reds", "Project Title": "p", "SRS": "8.5", "Team members": " Ann ", "SRN": "S1"}),
+        ("S", 3, {"Team ID": None, "Team members": "Bob", "SRN": None}), ("S", 4, {"Team ID": "2.0", "Team name": "None", "Team members": None}), ("S", 5, {"Team ID": None, "Team members": "Cy"}),
+        ("S", 6, {"Team ID": "3.0", "Team name": "Blues", "SRS": "x", "Team members": "Di", "SRN": "S4"}),
+    ]
+    df = spark.createDataFrame([(0, *c) for c in cells] + [(1, "R", 2, {"Team ID": "9.0", "Team members": "Ed"})], "sheet_ord int, sheet string, row_idx int, cells map<string,string>")
+    members = matching.roster(df)
+    got = sorted((r.section, r.team_ord, r.member_ord, r.member, r.team_name, r.project_name, r.srs_mark, r.srn) for r in members.collect())
+    assert got == [("R", 1, 0, "Ed", None, None, None, None), ("S", 1, 0, "Ann", "Reds", "p", 8.5, "S1"), ("S", 1, 1, "Bob", "Reds", "p", 8.5, None), ("S", 1, 2, "Cy", "Reds", "p", 8.5, None), ("S", 2, 0, "Di", "Blues", None, None, "S4")]
+    teams, people = matching.relations(members)
+    assert sorted((r.id, r.section, r.team_name) for r in teams.collect()) == [(1, "S", "Reds"), (2, "S", "Blues"), (3, "R", None)]
+    assert sorted((r.team_pk, r.name) for r in people.collect()) == [(1, "Ann"), (1, "Bob"), (1, "Cy"), (2, "Di"), (3, "Ed")]
+    assert {(r.doc_type, r.hand_max) for r in compare.hand_maximum(compare.sheet_maxima(df)).collect()} == {("srs", 10.0)}
+
+
+def test_report_map_and_texts_with_many_names(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "b")], "doc_a string, doc_b string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "doc_id string")
+    r = similarity.report(rows, pairs, rows.limit(1)).first()
+    assert (r.students_checked, r.common_rows_excluded, r.flagged_row_pair_count, r.flagged_students) == (4, 1, 3, {"a": ["b", "c"], "b": ["a"], "c": ["a"]})
+    roster = spark.createDataFrame([(k, j, f"{n}", s) for k, j, n, s in [(2, 0, "Joann Doe", "Q1"), (1, 1, "ann doe", None), (1, 0, "Ann Doe", ""), (3, 0, "Ed", "ZZ"), (4, 0, "Straße", "zz")]], "team_ord int, member_ord int, member string, srn string")
+    docs = spark.createDataFrame([(1, "joann doe"), (2, "xann doex"), (3, "q1 ann doe"), (4, "ed"), (5, "Zz"), (6, "STRASSE"), (7, None), (8, "")], "doc_id int, raw_text string")
+    got = {r.doc_id: (r.team_ord, r.member, r.confidence) for r in matching.content_matches(docs, roster).collect()}
+    assert got == {1: (1, "Ann Doe", 0.95), 2: (1, "Ann Doe", 0.95), 3: (2, "Joann Doe", 1.0), 5: (3, "Ed", 1.0), 6: (4, "Straße", 0.95)}
+    assert matching.content_matches(docs, roster.limit(0)).count() == 0

@@ -79,7 +79,7 @@ def test_copied_rows_equal_all_pairs(spark):
             want.setdefault(b, set()).add(a)
         assert flags == want
         r = S.report(df, copied, S.boilerplate(df, S.list_pairs(df))).first()
-        assert tuple(r) == (len({d for d, *_ in rows}), len(common), len(pairs))
+        assert tuple(r)[:3] == (len({d for d, *_ in rows}), len(common), len(pairs))
 
 
 def test_no_rows(spark):
