@@ -324,3 +324,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+#: Every run of words of a document that is as long as some window, looked up among the windows.
+ORACLE = rf"""
+WITH raw AS (
+  SELECT 'd' AS kind, row_number() OVER () AS rid, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+t AS MATERIALIZED (
+  SELECT kind, rid, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM raw),
+i AS (SELECT id::VARCHAR AS item, w, least(len(w), {WINDOW}) AS size FROM t WHERE kind = 'b' AND len(w) > 0),
+win AS MATERIALIZED (SELECT DISTINCT item, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS key FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM i)),
+runs AS (
+  SELECT rid, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS key
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS pos FROM t, (SELECT DISTINCT size FROM win) s WHERE kind = 'd' AND len(w) >= size)),
+hit AS MATERIALIZED (SELECT rid, runs.pos, runs.size, item FROM runs JOIN win USING (size, key)),
+places AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS place FROM (SELECT DISTINCT rid, pos, size FROM hit)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit WHERE item IS NOT NULL) GROUP BY rid)
+SELECT t.id AS doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN places ON places.rid = t.rid LEFT JOIN items ON items.rid = t.rid WHERE t.kind = 'd'
+"""

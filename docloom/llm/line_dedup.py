@@ -1,9 +1,10 @@
 """Line dedup by site-relative frequency.
 
 A page's lines are its text between tags, without scripts, styles and comments. For each host, the pages that contain a
-line are divided by the host's pages; lines above RATIO (and on MIN_PAGES pages at least) are boilerplate and are dropped
-from the host's pages. A host can have at most (lines per page) / RATIO such lines, so they fit one array per host; pages
-are never gathered by host.
+line are divided by the host's pages; lines above RATIO are boilerplate and are dropped from the host's pages. A line of one
+page only is no repetition and stays (MIN_PAGES), so that a host with a single page isn't emptied. A host can have at most
+(lines per page) / RATIO such lines, so they fit one array per host. Few of them are broadcast; else pages are joined with
+them by host, hosts with more than SPLIT_PAGES pages by host and a part of their pages.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialise, table
 
-RATIO, MIN_PAGES = 0.3, 3
+RATIO, MIN_PAGES = 0.3, 2
+#: Pages of a host that one part of the join holds, about.
+SPLIT_PAGES = 20_000
 #: Hashes (8 bytes each) of dropped lines that are broadcast at most; beyond it the pages are joined by a shuffle.
 MAX_BROADCAST_HASHES = 500_000
-_HIDDEN = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-_TAG = "<[^>]*>"
+_HIDDEN = "(?is)<script[^<>]*>.*?</script>|<style[^<>]*>.*?</style>|<!--.*?-->"
+_TAG = "<[^<>]*>"
 _HOST = "^[^:/?#]+://([^/?#@]*@)?([^/?#:]*)"
 
 
@@ -33,27 +36,37 @@ def lines_of(html: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hashes): xxhash64 of each host's boilerplate lines."""
+    """(host, pages, hashes): each host's pages and the xxhash64 of its boilerplate lines."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.array_distinct(F.transform(lines_of(F.col("html")), lambda x: F.xxhash64(x))).alias("lines"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counts = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    # totals are a row a host; a host with very many lines is one that AQE splits on the other side
     high = counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return high.groupBy("host").agg(F.collect_set("line").alias("hashes"))
+    return high.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_set("line").alias("hashes"))
 
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with host, lines and kept (the lines that stay, in order).
 
     Pages without a host share the host "". A null html has no lines. A line counts once per page, however often it is
-    repeated there. Repeated rows are pages of their own. Columns of pages with those names are replaced.
+    repeated there. Repeated rows are pages of their own. A tag that isn't closed is text; a very long html is cut into lines
+    like any other. Columns of pages with those names are replaced. An empty table gives no rows.
     """
-    cols = [c for c in pages.columns if c not in ("host", "lines", "kept")]
+    cols = [c for c in pages.columns if c not in ("host", "lines", "kept") and not c.startswith("__")]
     found = materialise(boilerplate(pages, ratio, min_pages), "boilerplate")
     size = found.agg(F.sum(F.size("hashes") + 4)).first()[0] or 0
-    found = found.withColumnRenamed("host", "__host")
-    found = F.broadcast(found) if size <= MAX_BROADCAST_HASHES else found
     rows = pages.select(*cols, host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
-    joined = rows.join(found, rows.host == F.col("__host"), "left")
+    if size <= MAX_BROADCAST_HASHES:
+        joined = rows.join(F.broadcast(found.select(F.col("host").alias("__host"), "hashes")), rows.host == F.col("__host"), "left")
+    else:
+        # the parts of a large host; hosts of over SPLIT_PAGES pages are few enough for a broadcast
+        parts = F.ceil(F.col("pages") / F.lit(SPLIT_PAGES)).cast("int")
+        large = F.broadcast(found.where(F.col("pages") > SPLIT_PAGES).select(F.col("host").alias("__large"), parts.alias("__parts")))
+        each = found.select(F.col("host").alias("__host"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"), "hashes")
+        draw = F.xxhash64("url", "html")
+        rows = pages.select(*cols, host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"), draw.alias("__draw"))
+        rows = rows.join(large, rows.host == F.col("__large"), "left").withColumn("__mine", F.pmod("__draw", F.coalesce("__parts", F.lit(1))).cast("int"))
+        joined = rows.join(each, (F.col("host") == F.col("__host")) & (F.col("__mine") == F.col("__part")), "left")
     kept = F.when(F.col("hashes").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("hashes"), F.xxhash64(x))))
     return joined.select(*cols, "host", "lines", kept.alias("kept"))
 

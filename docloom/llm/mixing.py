@@ -12,6 +12,8 @@ Topic is a property of the text's form, decided by fixed rules (see TOPIC), as t
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ MAX_CELLS = 20_000
 MIN_KEPT = 0.5
 #: A table of source factors is broadcast up to so many rows (about 100 bytes each), else joined by a shuffle.
 MAX_BROADCAST_ROWS = 50_000
+#: Documents of a source that one part of that join holds, about.
+SPLIT_DOCS = 100_000
+#: Cycles go on until no marginal misses its target share by more, up to so many cycles.
+TOLERANCE, MAX_CYCLES = 1e-6, 60
 _DIMS = ("source", "lang", "topic")
 
 
@@ -82,7 +88,9 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cy
     c). c is one over the largest weight, or what it takes to keep min_kept of the documents whose weight isn't 0. targets gives shares by "lang" and "topic" ({value: share}; values that it leaves out get none), and by
     "source" too; without them, shares follow TEMPER. A null source or lang is the value "". Texts without tokens have
     weight 0 in the sums and share their cell's factor; a cell without any token has weight 1. Columns of docs named topic,
-    tokens, weight or keep_prob are replaced. An empty table gives no rows.
+    tokens, weight or keep_prob are replaced. Repeated rows weigh each; very long texts count whole. An empty table gives no
+    rows. After cycles cycles the fit goes on until every marginal is within TOLERANCE of its target; a warning says so if
+    MAX_CYCLES don't reach that.
     """
     targets = targets or {}
     cols = [c for c in docs.columns if c not in ("topic", "tokens", "weight", "keep_prob") and not c.startswith("__")]
@@ -118,15 +126,24 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cy
         mass = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["n"] * factor(x))
         return by_source.withColumn("a", F.when(mass > 0, F.col("target") / mass).otherwise(0.0))
 
-    for _ in range(cycles):
+    for cycle in range(max(cycles + 1, MAX_CYCLES)):
         mine = scaled().select("a", F.explode("cells").alias("x")).groupBy("x.__lang", "x.__topic").agg(F.sum(F.col("a") * F.col("x.n")).alias("m"))
         m = {(r[0], r[1]): r[2] for r in mine.collect() if (r[0] in b and r[1] in c)}  # at most MAX_CELLS sums
+        if cycle >= cycles:
+            # sources meet their targets here; the others are left by the last cycle as they are
+            miss = [abs(sum(m.get((v, t), 0.0) * b[v] * c[t] for t in topics) - t_lang.get(v, 0.0)) for v in langs]
+            miss += [abs(sum(m.get((v, t), 0.0) * b[v] * c[t] for v in langs) - t_topic.get(t, 0.0)) for t in topics]
+            if max(miss) <= TOLERANCE:
+                break
         for lang in langs:
             now = sum(m.get((lang, t), 0.0) * c[t] for t in topics)
             b[lang] = t_lang.get(lang, 0.0) / now if now > 0 else 0.0
         for topic in topics:
             now = sum(m.get((v, topic), 0.0) * b[v] for v in langs)
             c[topic] = t_topic.get(topic, 0.0) / now if now > 0 else 0.0
+    else:
+        # targets that contradict each other (a share for a cell set without tokens) can't all be met
+        warnings.warn(f"raking leaves a marginal off by {max(miss):.2g} after {MAX_CYCLES} cycles", stacklevel=2)
     fitted = scaled().select("__source", "a", F.explode("cells").alias("x")).select("__source", "a", "x.*")
     mb = F.create_map(*[x for k, v in b.items() for x in (F.lit(k), F.lit(v))])
     mc = F.create_map(*[x for k, v in c.items() for x in (F.lit(k), F.lit(v))])
@@ -134,13 +151,23 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, cy
     weight = F.col("a") * F.coalesce(mb[F.col("__lang")], F.lit(0.0)) * F.coalesce(mc[F.col("__topic")], F.lit(0.0)) * F.lit(float(total))
     top = fitted.where("n > 0").agg(F.max(weight)).first()[0] or 1.0
     factors = fitted.groupBy("__source").agg(F.first("a").alias("__a"))
-    factors = F.broadcast(factors) if n_sources <= MAX_BROADCAST_ROWS else factors
+    if n_sources <= MAX_BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(factors.withColumnRenamed("__source", "__s")), F.col("__source") == F.col("__s"), "left")
+    else:
+        # a source with more than SPLIT_DOCS documents is joined in parts; such sources are few enough for a broadcast
+        parts = exploded.groupBy("__source").agg(F.ceil(F.sum("docs") / F.lit(SPLIT_DOCS)).cast("int").alias("__parts"))
+        large = F.broadcast(parts.where("__parts > 1").withColumnRenamed("__source", "__large"))
+        each = factors.join(parts, "__source").select(F.col("__source").alias("__s"), "__a", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+        mine = F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in cols)), F.coalesce("__parts", F.lit(1))).cast("int")
+        split = rows.join(large, F.col("__source") == F.col("__large"), "left").withColumn("__mine", mine)
+        joined = split.join(each, (F.col("__source") == F.col("__s")) & (F.col("__mine") == F.col("__part")), "left")
     seen = [(p[0], p[1]) for p in pairs]
-    known = F.array(*[F.lit(f"{x}\x00{y}") for x, y in seen])
-    joined = rows.join(factors.withColumnRenamed("__source", "__s"), F.col("__source") == F.col("__s"), "left").withColumnRenamed("__a", "a")
-    w = F.when(F.array_contains(known, F.concat("__lang", F.lit("\x00"), "__topic")), weight).otherwise(1.0)
+    # only texts without tokens can lie in a cell that has none
+    listed = F.array_contains(F.array(*[F.lit(f"{x}\x00{y}") for x, y in seen]), F.concat("__lang", F.lit("\x00"), "__topic"))
+    joined = joined.withColumnRenamed("__a", "a")
+    w = F.when((F.col("__tokens") > 0) | listed, weight).otherwise(1.0)
     out = joined.withColumn("weight", w).select(*cols, F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), "weight")
-    c = _scale(fitted.select("docs", w.alias("weight")), top, min_kept) if min_kept else 0.0
+    c = _scale(fitted.select("docs", F.when((F.col("n") > 0) | listed, weight).otherwise(1.0).alias("weight")), top, min_kept) if min_kept else 0.0
     prob = F.col("weight") * F.lit(c) if c > 1.0 / top else F.col("weight") / F.lit(top)
     return out.withColumn("keep_prob", F.least(F.lit(1.0), prob))
 

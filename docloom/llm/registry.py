@@ -15,4 +15,6 @@ QUERIES = {
     "op10_ngram_lm": ngram_lm.op10,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op8_va_file_top_k": va_file.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_benchmark_decontamination": fm_index.ORACLE, "op8_va_file_top_k": va_file.ORACLE,
+}

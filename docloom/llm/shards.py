@@ -37,24 +37,33 @@ def record_bytes(text: Column) -> Column:
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, size: Column | None = None) -> DataFrame:
     """docs with shard, slot (gapless from 0 in each shard, in shuffled order) and grown_shard (with one shard more).
 
-    size gives a record's bytes in memory (default: its text and a fixed part). Null texts count as empty. Repeated rows
-    and repeated ids are records of their own; all rows of one id share a shard. Columns of docs with those three names
-    are replaced. An empty table gives no rows. The order within a bucket repeats for equal input and partitioning.
+    size gives a record's bytes in memory (default: its text and a fixed part). Null texts count as empty; very long texts are
+    records like any other. Repeated rows and repeated ids are records of their own; all rows of one id share a shard. Columns
+    of any type are carried; those with the three new names are replaced. An empty table gives no rows. The order depends on
+    the rows and the seed alone (rows that repeat both id and text may swap places).
     """
     cols = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
     total = docs.agg(F.sum(record_bytes(F.col("text")) if size is None else size)).first()[0] or 0
     per_shard = max(8, math.ceil(total / shards / bucket_bytes))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    same = F.col("text") if "text" in cols else key
     # rows that share an id are told apart by their text, so one id can't fill a bucket with different rows
-    bucket = F.pmod(F.xxhash64(key, F.col("text") if "text" in cols else key, F.lit(seed + 1)), F.lit(per_shard)).cast("int")
-    scattered = docs.select(F.struct(*cols).alias("record"), shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"), F.xxhash64(key, F.lit(seed + 2)).alias("order"))
+    bucket = F.pmod(F.xxhash64(key, same, F.lit(seed + 1)), F.lit(per_shard)).cast("int")
+    scattered = docs.select(
+        F.struct(*cols).alias("record"), shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"), F.xxhash64(key, F.lit(seed + 2)).alias("order"), F.xxhash64(same, F.isnull(same), F.lit(seed + 3)).alias("tie")
+    )
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     # rows in the shard's earlier buckets; a shard has as many rows here as buckets
     earlier = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    gathered = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("order", "record"))).alias("rows"))
-    placed = gathered.join(offsets.hint("shuffle_hash"), ["shard", "bucket"]).sortWithinPartitions("shard", "bucket")
-    drawn = placed.select("shard", "before", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
+    # as many tasks as buckets, whatever the session's setting: shuffle() draws by seed and task, so the same rows fall alike
+    dealt = scattered.repartition(shards * per_shard, "shard", "bucket")
+    gathered = dealt.groupBy("shard", "bucket").agg(F.collect_list(F.struct("order", "tie", "record")).alias("rows"))
+    # the records themselves aren't compared: they may hold maps
+    less = lambda a, b: F.when((a["order"] < b["order"]) | ((a["order"] == b["order"]) & (a["tie"] < b["tie"])), -1).when((a["order"] == b["order"]) & (a["tie"] == b["tie"]), 0).otherwise(1)
+    shuffled = gathered.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle(F.array_sort("rows", less), seed).alias("rows"))
+    placed = shuffled.join(offsets.hint("shuffle_hash"), ["shard", "bucket"])
+    drawn = placed.select("shard", "before", F.posexplode("rows").alias("at", "row"))
     return drawn.select(
         *(F.col("row.record")[c].alias(c) for c in cols), "shard", (F.col("before") + F.col("at")).alias("slot"), shard_of(F.col("row.record.doc_id"), shards + 1, seed).alias("grown_shard")
     )

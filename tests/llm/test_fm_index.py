@@ -7,6 +7,8 @@ import pytest
 
 from docloom.llm import fm_index as M
 
+from .oracle import assert_same
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -84,3 +86,7 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     assert len(out) == odd_docs.count() and sum(bool(r.spans) for r in out) == 3
     assert M.find(no_docs, bench).count() == 0
     assert not any(r.spans for r in M.find(odd_docs, bench.limit(0)).collect())
+
+
+def test_query_equals_sql(spark, sf):
+    assert_same(spark, sf, M.op4, M.ORACLE)

@@ -59,3 +59,21 @@ def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
 def test_plan_is_native(spark, sf):
     plan = mixing.op1(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_tables_of_sources_are_joined_in_parts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: (round(r.weight, 9), round(r.keep_prob, 9)) for r in mixing.rake(docs).collect()}
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "SPLIT_DOCS", 3)
+    assert {r.doc_id: (round(r.weight, 9), round(r.keep_prob, 9)) for r in mixing.rake(docs).collect()} == want
+
+
+def test_too_many_cells_and_few_cycles(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = {r.doc_id: r.weight for r in mixing.rake(docs, cycles=1).collect()}  # goes on until the marginals are met
+    for r in mixing.rake(docs, cycles=40).collect():
+        assert few[r.doc_id] == pytest.approx(r.weight, rel=1e-3)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 2)
+    with pytest.raises(ValueError):
+        mixing.rake(docs)

@@ -66,3 +66,18 @@ def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
 def test_plan_is_native(spark, sf):
     plan = S.op9(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_order_needs_no_session_setting_and_maps_are_carried(spark):
+    rows = [(k, f"text {k}", {"a": k}) for k in range(500)] + [(1, "text 1", {"a": 1})] * 3 + [(2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    before, orders = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, parts in ((4, 3), (7, 5), (400, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = S.shuffle_into_shards(df.repartition(parts), shards=3, bucket_bytes=900).collect()
+            check(out, 3)
+            orders.append(sorted((r.shard, r.slot, r.doc_id, r.text or "") for r in out))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert orders[0] == orders[1] == orders[2] and len(orders[0]) == len(rows)
