@@ -5,8 +5,11 @@
 2. So the rest is found by prefix filtering, which misses none: shingles have one order for all texts (those often seen in
    a sample last, then by hash), and two sets that are so similar share one of the first n - ceil(0.8 n) + 1 of each. Under
    each such shingle every set is compared with one other, the hub: the set whose shingles are seen most often.
-3. Then come those pairs under one shingle that still lie in different components. Parities of hashed shingles (512 bits)
-   bound a pair's difference from below, inside the join, so that only pairs near the limit come out of it.
+3. Then come those pairs under one shingle that still lie in different components.
+
+Parities of hashed shingles, 2 bits a shingle or more, bound a pair's difference from below, so that only pairs near the limit
+are left; they are kept as arrays in the shared folder, by set. In step 3 they are looked up where the sets of a shingle
+meet, before any pair is written.
 
 Shingles of one set only never leave the tasks that find them: those of several are kept as sorted arrays in the shared
 folder, and so are the rows whose texts candidates need. Each text then goes once to each set that it is compared with, and
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import simhash
 from docloom.llm.common import Shared, bounded_batches, discard, materialise, row_key, scratch
-from docloom.llm.sorted_arrays import Arrays, store_arrays
+from docloom.llm.sorted_arrays import Arrays, Store, part_bits, store_arrays
 
 SHINGLE = 5
 #: Least Jaccard similarity, as a fraction.
@@ -48,8 +51,59 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """PARITIES words of 64 bits: whether an even or odd number of shingles falls on each. Sets differ in as many shingles as these differ in bits, at least."""
-    return np.packbits(np.bincount(s & (64 * PARITIES - 1), minlength=64 * PARITIES).astype(np.uint8) & 1, bitorder="little").view("<i8")
+    """Words of 64 bits, PARITIES or a multiple of it by a power of two: whether an even or odd number of shingles falls on each bit. Sets differ in as many shingles as these differ in bits, at least."""
+    bits = max(64 * PARITIES, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64 * PARITIES
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<i8")
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Parities in n words instead of more."""
+    return np.bitwise_xor.reduce(words.reshape(-1, n), axis=0)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: int) -> bool:
+    """Whether sets of these parities can be similar, by the sum of their sizes: they differ in (q - p) / (q + p) of it at most."""
+    p, q = SIMILARITY
+    n = min(len(a), len(b))
+    return int(np.bitwise_count((folded(a, n) ^ folded(b, n)).view(np.uint64)).sum()) * (p + q) <= sizes * (q - p)
+
+
+class Parities:
+    """Parities and sizes of sets by their ids, in parts in the shared folder."""
+
+    def __init__(self, sets: DataFrame, root: str, entries: int):
+        store, bits = Store(root), part_bits(entries)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                t = pa.Table.from_batches(held).combine_chunks()
+                ids = t.column("id").to_numpy().view(np.uint64)
+                t = t.take(pa.array(np.argsort(ids)))
+                ids, words = t.column("id").to_numpy().view(np.uint64), t.column("parity").chunk(0)
+                size, flat = np.diff(words.offsets.to_numpy()), words.flatten().to_numpy()
+                begin = np.cumsum(size) - size
+                part = ids >> np.uint64(64 - bits)
+                for p in np.unique(part).tolist():
+                    mine = np.flatnonzero(part == p)
+                    a, b = begin[mine[0]], begin[mine[-1]] + size[mine[-1]]
+                    store.put(f"parity-{p}", ids[mine])
+                    store.put(f"parity-begin-{p}", begin[mine] - a)
+                    store.put(f"parity-size-{p}", size[mine].astype(np.int64))
+                    store.put(f"parity-n-{p}", t.column("n").to_numpy()[mine].astype(np.int64))
+                    store.put(f"parity-words-{p}", flat[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
+
+        dealt = sets.select("id", "n", "parity").repartition(1 << bits, F.shiftrightunsigned("id", 64 - bits))
+        dealt.mapInArrow(run, "part int").agg(F.count("*")).collect()
+        self.arrays = Arrays(store, "parity", np.uint64, bits, 64, dict.fromkeys(("begin", "size", "n", "words"), np.int64))
+
+    def of(self, ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(words of each set, their sizes)."""
+        number = self.arrays.find(ids.view(np.uint64))
+        begin, size = self.arrays.take("begin", number), self.arrays.take("size", number)
+        words = [self.arrays.part(p, "words")[b : b + k] for p, b, k in zip((number >> Arrays.AT).tolist(), begin.tolist(), size.tolist())]
+        return words, self.arrays.take("n", number)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -152,13 +206,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the candidates (a, b) that are similar, by the texts of one row of each set (sets: id, row_key, n, parity)."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("row_key").alias(f"{x}_row"), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
-    p, q = SIMILARITY
-    differ = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(differ * (p + q) <= (F.col("a_n") + F.col("b_n")) * (q - p)).select("a", "b", "a_row", "b_row")
-    close = materialise(close, "candidates")
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, parities_: Parities) -> DataFrame:
+    """Those of the candidates (a, b) that are similar, by the texts of one row of each set (sets: id, row_key)."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("row_key").alias(f"{x}_row"))
+    close = pairs.distinct().mapInArrow(_close(parities_), "a long, b long")
+    close = materialise(close.join(side("a"), "a").join(side("b"), "b"), "candidates")
     partners = close.groupBy("a", "a_row").agg(F.count("*").alias("partners"))
     tasks = F.ceil(F.col("partners") / F.lit(PARTNERS)).cast("long")
     own = partners.select(F.col("a_row").alias("row_key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("salt"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("b"))
@@ -169,6 +221,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_verify, "a long, b long").distinct()
 
 
+def _close(parities_: Parities) -> Callable:
+    """Those of pairs (a, b) that can be similar by their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pair = np.stack([b.column(c).to_numpy() for c in ("a", "b")])
+            ids, back = np.unique(pair, return_inverse=True)
+            words, n = parities_.of(ids)
+            x, y = back.reshape(pair.shape)
+            keep = [may_be_similar(words[i], words[j], int(n[i] + n[j])) for i, j in zip(x.tolist(), y.tolist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _cross(parities_: Parities) -> Callable:
+    """Pairs (a, b) of different roots under one key that can be similar. Rows (key, id, n, root) come sorted by key; a key's rows are compared one with the rest."""
+    p, q = SIMILARITY
+
+    def pairs(ids: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(n, kind="stable")
+        ids, n, root = ids[order], n[order], root[order]
+        words, _ = parities_.of(ids)
+        short = np.stack([folded(w, PARITIES) for w in words]).view(np.uint64)
+        found = []
+        for i in range(len(ids) - 1):
+            stop = int(np.searchsorted(n, n[i] * q // p, side="right"))
+            rest = np.flatnonzero(root[i + 1 : stop] != root[i]) + i + 1
+            differ = np.bitwise_count(short[rest] ^ short[i]).sum(axis=1, dtype=np.int64)
+            rest = rest[differ * (p + q) <= (n[rest] + n[i]) * (q - p)]
+            found += [(ids[i], ids[j]) for j in rest.tolist() if may_be_similar(words[i], words[j], int(n[i] + n[j]))]
+            if len(found) > 20_000 or (found and i == len(ids) - 2):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            edge = np.r_[np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]), len(cols[0])]
+            for a, b in zip(edge[:-1], edge[1:]):
+                yield from pairs(*(c[a:b] for c in cols[1:]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([b.column(c).to_numpy() for c in ("key", "id", "n", "root")])
+            if held[0][0][0] != held[-1][0][-1]:  # the last key may go on
+                cols = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.argmax(cols[0] == cols[0][-1]))
+                yield from done([c[:cut] for c in cols])
+                held = [[c[cut:] for c in cols]]
+        if held:
+            yield from done([np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
 def _may_match(n: str, m: str):
     """Sets of these sizes can be similar."""
     p, q = SIMILARITY
@@ -191,6 +303,7 @@ def groups(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
     found = materialise(src.mapInArrow(_prefixes(often), _FOUND), "prefixes")
     sets = materialise(found.select("id", "row_key", "n", "fp", "parity").dropDuplicates(["id"]), "sets")
+    words = Parities(sets, f"{scratch(docs.sparkSession)}/docloom-near-{uuid.uuid4().hex}", sets.count())
     # 1: fingerprints close to each other, each by its least set, and sets of one fingerprint
     least = sets.groupBy("fp").agg(F.min("id").alias("id"))
     same = sets.select("id", "fp").join(least.withColumnRenamed("id", "first"), "fp").where("id <> first").select(*_pair("id", "first"))
@@ -203,19 +316,14 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = materialise(found.select("id", "n", "seen", "prefix").mapInArrow(_shared_keys(stored), "key long, id long, n int, seen long").distinct(), "shared")
     hubs = shared.groupBy("key").agg(F.max(F.struct("seen", "n", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
     near = shared.join(hubs, "key").where((F.col("id") != F.col("hub")) & _may_match("m", "n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    edges = materialise(_verified(same.union(close).union(near), docs, sets), "links")
+    edges = materialise(_verified(same.union(close).union(near), docs, sets, words), "links")
     roots = simhash.components(edges)
     # 3: members of different components under one shingle
     members = shared.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = members.join(apart, "key").join(sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES))), "id")
-    other = rows.select(*(F.col(c).alias(f"o_{c}") if c != "key" else F.col(c).alias("o_key") for c in rows.columns))
-    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"o_p{k}"))) for k in range(1, PARITIES)), F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))))
-    p, q = SIMILARITY
-    # so similar sets differ in (q - p) / (q + p) of their sizes' sum at most
-    close = (F.col("root") < F.col("o_root")) & _may_match("n", "o_n") & (differ * (p + q) <= (F.col("n") + F.col("o_n")) * (q - p))
-    cross = rows.join(other, (F.col("key") == F.col("o_key")) & close).select(*_pair("id", "o_id"))
-    more = materialise(_verified(cross, docs, sets), "links")
+    rows = members.join(apart, "key").select("key", "id", "n", "root").repartition("key").sortWithinPartitions("key")
+    cross = rows.mapInArrow(_cross(words), "a long, b long")
+    more = materialise(_verified(cross, docs, sets, words), "links")
     roots = simhash.components(edges.union(more))
     discard(shared)
     return found.join(roots, found.id == roots.node, "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("root"))

@@ -68,10 +68,16 @@ def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
 
 def test_parities_bound_differences():
     draw = np.random.default_rng(0)
-    for _ in range(50):
-        a = np.unique(draw.integers(-(1 << 63), 1 << 63, draw.integers(1, 400)))
-        b = np.unique(np.r_[a[draw.random(len(a)) < 0.9], draw.integers(-(1 << 63), 1 << 63, draw.integers(0, 40))])
-        assert np.bitwise_count((C.parities(a) ^ C.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+    for k in range(60):
+        a = np.unique(draw.integers(-(1 << 63), 1 << 63, draw.integers(1, 3000)))
+        keep, more = draw.choice([0.2, 0.8, 0.9, 0.97]), draw.integers(0, 40)
+        b = np.unique(np.r_[a[draw.random(len(a)) < keep], draw.integers(-(1 << 63), 1 << 63, more)])
+        n = min(len(C.parities(a)), len(C.parities(b)))
+        differ = np.bitwise_count((C.folded(C.parities(a), n) ^ C.folded(C.parities(b), n)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and len(C.parities(a)) % C.PARITIES == 0
+        assert not C.similar(a, b) or C.may_be_similar(C.parities(a), C.parities(b), len(a) + len(b))
+    long, other = (np.unique(draw.integers(-(1 << 63), 1 << 63, 5000)) for _ in range(2))
+    assert not C.may_be_similar(C.parities(long), C.parities(other), len(long) + len(other))
 
 
 def test_large_group_of_near_copies(spark):
