@@ -40,7 +40,7 @@ from docloom.llm.sorted_arrays import Arrays, Hashed, Store, added, pack, part_b
 ORDER = 3
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text that are coded at a time, about.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Leading bits that one step of dealing tells apart.
 HOP_BITS = 10
 #: What a packed piece holds. SUMMARY travels on to the driver, a row a part.
@@ -283,7 +283,9 @@ def _count_grams(vocab: Vocabulary, order: int, bits: int) -> Callable:
         for _, texts in chunks(batches, 2 * CHUNK):
             distinct, at, sizes = encode(texts)
             cols = ngrams(vocab.numbers(distinct)[at], sizes, order, vocab.START, vocab.END)
+            del texts, at
             yield from split(GRAMS if order == 3 else LEFTS, [cols[-2], cols[-1], *cols[:-2]])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -504,6 +506,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in chunks(batches):
             n, known, base, mine = model.score(texts)
+            del texts
+            pa.default_memory_pool().release_unused()
             full = (n, known, np.full(len(n), model.tokens), base, mine)
             at = 0
             for b in held:
