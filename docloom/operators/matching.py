@@ -78,8 +78,10 @@ def latest_file(files: DataFrame, team: str = "team") -> DataFrame:
     return files.withColumn("picked_from", F.count("*").over(W.partitionBy(team))).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def name_candidates(names: DataFrame, roster: DataFrame) -> DataFrame:
-    """Pairs of names (file_id, name) and roster (team_ord, member_ord, member) whose larger of token overlap and character ratio is positive, as similarity.
+def name_candidates(names: DataFrame, roster: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs of names (file_id, name) and roster (team_ord, member_ord, member) with the larger of token overlap and character ratio as similarity.
+
+    Pairs whose lengths and tokens rule out a similarity of least don't reach the ratio.
 
     A roster is a few sections long and is broadcast behind a check of its size; a longer one is refused, as every pair
     has to be compared.
@@ -90,6 +92,9 @@ def name_candidates(names: DataFrame, roster: DataFrame) -> DataFrame:
     a = names.where(F.col("name").isNotNull()).withColumn("ta", X.name_tokens(F.col("name"))).where(F.size("ta") > 0)
     b = roster.where(F.col("member").isNotNull()).withColumn("tb", X.name_tokens(F.col("member"))).where(F.size("tb") > 0)
     pairs = a.join(F.broadcast(b)).select("file_id", "team_ord", "member_ord", F.col("name").alias("a"), F.col("member").alias("b"), X.jaccard(F.col("ta"), F.col("tb")).alias("overlap"))
+    # a ratio is twice the matching characters over both lengths; lengths as the ratio's strings have them
+    la, lb = F.length("a"), F.length("b")
+    pairs = pairs.where((F.col("overlap") >= least) | (F.least(la, lb) * 2.0 >= (la + lb) * least))
     schema = f"file_id {dict(names.dtypes)['file_id']}, team_ord {dict(roster.dtypes)['team_ord']}, member_ord {dict(roster.dtypes)['member_ord']}, a string, b string, overlap double, similarity double"
     return pairs.mapInPandas(best_ratio, schema)
 
@@ -140,7 +145,7 @@ def resolve(files: DataFrame, roster: DataFrame) -> DataFrame:
     File names go first; texts are searched only for the rest.
     """
     named = files.select("file_id", X.name_in_filename(F.col("filename")).alias("name"))
-    by_name = best_names(name_candidates(named, roster)).select("file_id", "team_ord", F.col("b").alias("member"), F.col("similarity").alias("confidence"), F.lit("filename").alias("match_method"))
+    by_name = best_names(name_candidates(named, roster, NAME_MATCH)).select("file_id", "team_ord", F.col("b").alias("member"), F.col("similarity").alias("confidence"), F.lit("filename").alias("match_method"))
     rest = files.join(by_name, "file_id", "left_anti")
     by_text = content_matches(rest.select(F.col("file_id").alias("doc_id"), "raw_text"), roster).select(F.col("doc_id").alias("file_id"), "team_ord", "member", "confidence", F.lit("content").alias("match_method"))
     found = files.select("file_id", "filename").join(by_name.unionByName(by_text), "file_id", "left")

@@ -156,7 +156,7 @@ def name_overlap(spark, d):
 def name_match(spark, d):
     names = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.col("s_name"), F.lit(" supplier")).alias("name"))
     roster = _t(spark, d, "nation").select(F.col("n_nationkey").alias("team_ord"), F.lit(0).alias("member_ord"), F.concat(F.lit("Supplier "), F.col("n_name")).alias("member"))
-    return matching.best_names(matching.name_candidates(names, roster), 0.3).select("file_id", "team_ord", "similarity")
+    return matching.best_names(matching.name_candidates(names, roster, 0.3), 0.3).select("file_id", "team_ord", "similarity")
 
 
 def rubric_scores(spark, d):
