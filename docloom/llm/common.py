@@ -6,12 +6,15 @@ import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch to a Python worker may hold; long texts make small batches.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
+# Workers live on after a stage: memory that it needed goes back to the system, not to a pool of Arrow's.
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

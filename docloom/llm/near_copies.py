@@ -187,8 +187,8 @@ def _send(wanted: Arrays) -> Callable:
             row = np.repeat(np.arange(b.num_rows), n)
             number = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
             a, salt, own, other = (wanted.take(c, number) for c in ("a", "salt", "own", "b"))
-            for k in range(0, len(row), 500):
-                part = slice(k, k + 500)
+            for k in range(0, len(row), 100):
+                part = slice(k, k + 100)
                 yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(salt[part]), pa.array(other[part], mask=own[part] == 1), b.column("text").take(pa.array(row[part]))], ["a", "salt", "b", "text"])
 
     return run

@@ -285,7 +285,6 @@ def _count_grams(vocab: Vocabulary, order: int, bits: int) -> Callable:
             cols = ngrams(vocab.numbers(distinct)[at], sizes, order, vocab.START, vocab.END)
             del texts, at
             yield from split(GRAMS if order == 3 else LEFTS, [cols[-2], cols[-1], *cols[:-2]])
-            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -507,7 +506,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for held, texts in chunks(batches):
             n, known, base, mine = model.score(texts)
             del texts
-            pa.default_memory_pool().release_unused()
             full = (n, known, np.full(len(n), model.tokens), base, mine)
             at = 0
             for b in held:

@@ -291,4 +291,3 @@ def gather(batches: Iterator[pa.RecordBatch], dtype) -> Iterator[tuple[int, np.n
         for p in np.unique(part):
             mine = part == p
             yield int(p), *added(keys[mine], n[mine])
-        pa.default_memory_pool().release_unused()
