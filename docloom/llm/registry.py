@@ -1,6 +1,6 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import fm_index, language_id, line_dedup, mixing, ngram_lm, shards, simhash, suffix_dedup, toxicity, va_file
+from docloom.llm import byte_bpe, fm_index, language_id, line_dedup, mixing, ngram_lm, shards, simhash, suffix_dedup, toxicity, va_file
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_va_file_top_k": va_file.op8,
     "op9_external_shuffle": shards.op9,
     "op10_ngram_lm": ngram_lm.op10,
+    "op13_byte_bpe": byte_bpe.op13,
 }
 
 ORACLES: dict[str, str] = {
