@@ -15,11 +15,10 @@ from __future__ import annotations
 
 import functools
 import heapq
-import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql.types import BinaryType, StructType
 from docloom.llm.common import Shared, bounded_batches, table
 
 #: Bytes of text whose new words share an index; words that a task remembers with their ids.
-WORD_BYTES, REMEMBERED = 16 << 20, 1_000_000
+WORD_BYTES, REMEMBERED = 12 << 20, 400_000
 
 # The words of byte-level BPE, and the letters and numbers that Unicode 16.0 has added to 15.1.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,6 +176,19 @@ def merge_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.n
     return symbol[alive], np.bincount(word, minlength=len(words))
 
 
+class Numbers(dict):
+    """Words and their numbers; a word that is asked for and not there is numbered and kept in new."""
+
+    def __init__(self, words):
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = k = len(self)
+        return k
+
+
 class Encoder:
     """Encodes the texts of one task and remembers the words that it has merged."""
 
@@ -187,36 +199,37 @@ class Encoder:
 
     def _forget(self) -> None:
         # a special token is kept as if it were a word of one id, under a key that no word has
-        self.number: dict = {(t,): k for k, t in enumerate(self.vocab.special)}
+        self.numbers = Numbers((t,) for t in self.vocab.special)
         self.ids = np.array([*self.vocab.special.values()], np.int32)
-        self.lengths = np.ones(len(self.ids), np.int64)
-        self.starts = np.arange(len(self.ids))
+        self.lengths, self.starts = np.ones(len(self.ids), np.int32), np.arange(len(self.ids))
 
-    def _learn(self, words: list[str]) -> None:
-        ids, lengths = merge_words([w.encode() for w in words], self.vocab)
-        self.number.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
+    def _learn(self) -> None:
+        ids, lengths = merge_words([w.encode() for w in self.numbers.new], self.vocab)
+        self.numbers.new.clear()
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths.astype(np.int32)])
 
     def words(self, text: str) -> list:
         if self.special is None or not self.special.search(text):
             return self.cut(text)
         return [w for k, part in enumerate(self.special.split(text)) for w in ([(part,)] if k % 2 else self.cut(part))]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, number of ids of each text)."""
-        cut = [self.words(t) for t in texts]
-        if len(self.number) > REMEMBERED:
+    def encode(self, groups: Iterable[Iterable[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each group of texts (ids of all its texts end to end, number of ids of each); new words of all groups are merged together."""
+        if len(self.numbers) > REMEMBERED:
             self._forget()
-        new = {w for words in cut for w in words if w not in self.number}
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(itertools.chain.from_iterable(map(self.number.__getitem__, words) for words in cut), np.int64)
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
-        upto = np.r_[0, ends][np.cumsum([len(words) for words in cut], dtype=np.int64)]
-        return ids, np.diff(upto, prepend=0)
+        held = []
+        for texts in groups:
+            cut = [np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)) for words in map(self.words, texts)]
+            held.append((np.concatenate([np.zeros(0, np.int32), *cut]), np.array([len(c) for c in cut], np.int64)))
+        if self.numbers.new:
+            self._learn()
+        for at, words in held:
+            n = self.lengths[at]
+            ends = np.r_[0, np.cumsum(n, dtype=np.int64)]
+            place = np.arange(ends[-1], dtype=np.int64)
+            place += np.repeat(self.starts[at] - ends[:-1], n)
+            yield self.ids[place], np.diff(ends[np.cumsum(words)], prepend=0)
 
 
 def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> bytes:
@@ -250,16 +263,13 @@ def _encode(shared: Shared, packed: bool):
         encoder = None
         for some in _gathered(batches):
             encoder = encoder or Encoder(shared.value())
-            ids, n = encoder.encode([x or "" for b in some for x in b.column("given").to_pylist()])
-            ends, at = np.r_[0, np.cumsum(n)], 0
-            for b in some:  # as they came in, so that no batch grows
-                cuts = ends[at : at + len(b) + 1]
-                at += len(b)
-                part, offsets = pa.array(ids[cuts[0] : cuts[-1]], pa.int32()), cuts - cuts[0]
+            groups = ((x.as_py() or "" for x in b.column("given")) for b in some)
+            for b, (ids, n) in zip(some, encoder.encode(groups)):
+                offsets = np.r_[0, np.cumsum(n)]
                 if packed:
-                    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(offsets * 4), pa.py_buffer(part.to_numpy().astype("<u4"))]).cast(pa.binary())
+                    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
                 else:
-                    made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), part)
+                    made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column("record"), made], ["record", "made"])
 
     return run

@@ -37,8 +37,8 @@ def test_texts_equal_the_library(whole):
     texts = TEXTS + ["".join(draw.choices(some, k=draw.randrange(40))) for _ in range(2000)]
     encoder = B.Encoder(B.Vocabulary(PATH))
     for _ in range(2):  # the second time from memory
-        ids, n = encoder.encode(texts)
-        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        split = [x.tolist() for ids, n in encoder.encode([texts[:9], [], texts[9:]]) for x in np.split(ids, np.cumsum(n)[:-1]) if len(n)]
+        assert split == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_letters_of_all_of_unicode(whole):
