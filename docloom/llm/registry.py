@@ -1,6 +1,6 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and SQL where SQL can express them."""
 
-from docloom.llm import byte_bpe, fm_index, hard_negatives, language_id, line_dedup, mixing, ngram_lm, shards, simhash, suffix_dedup, toxicity, va_file
+from docloom.llm import byte_bpe, collocations, fm_index, hard_negatives, language_id, line_dedup, mixing, ngram_lm, shards, simhash, suffix_dedup, toxicity, va_file
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -13,11 +13,12 @@ QUERIES = {
     "op8_va_file_top_k": va_file.op8,
     "op9_external_shuffle": shards.op9,
     "op10_ngram_lm": ngram_lm.op10,
+    "op11_collocations": collocations.op11,
     "op12_hard_negatives": hard_negatives.op12,
     "op13_byte_bpe": byte_bpe.op13,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_benchmark_decontamination": fm_index.ORACLE, "op8_va_file_top_k": va_file.ORACLE,
-    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op11_collocations": collocations.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE,
 }
