@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.functions import blocks
 from docloom.functions import text as X
-from docloom.operators.similarity import best_ratio
+from docloom.operators import overlap
+from docloom.sources.scratch import materialise
 
 NAME_MATCH, CONTENT_MATCH, LOW_CONFIDENCE = 0.6, 0.95, 0.85
 MIN_NAME = 4
-#: Rows of a roster that are broadcast at most (about 200 bytes each); a longer one goes by its tokens instead.
-MAX_ROSTER = 100_000
 
 
 def fill_teams(sheet: DataFrame, fields: list[str], team: str = "team_id") -> DataFrame:
@@ -78,65 +75,113 @@ def latest_file(files: DataFrame, team: str = "team") -> DataFrame:
     return files.withColumn("picked_from", F.count("*").over(W.partitionBy(team))).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def name_candidates(names: DataFrame, roster: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs of names (file_id, name) and roster (team_ord, member_ord, member) with the larger of token overlap and character ratio as similarity.
-
-    Pairs whose lengths and tokens rule out a similarity of least don't reach the ratio.
+def name_pairs(names: DataFrame, members: DataFrame, least: float = NAME_MATCH) -> DataFrame:
+    """(name, member, similarity): distinct names and members whose similarity is at least `least`, above 0.
 
-    A roster is a few sections long and is broadcast behind a check of its size; a longer one is refused, as every pair
-    has to be compared.
+    The similarity is the larger of the Jaccard similarity of name tokens and the ratio of the characters; 0 without tokens on
+    either side. Pairs meet on tokens or on characters, numbered by how often they have come before: a ratio of r needs a
+    common share of r / 2 of both lengths. Only what such joins leave is compared.
     """
-    n = roster.limit(MAX_ROSTER + 1).count()
-    if n > MAX_ROSTER:
-        raise ValueError(f"roster of more than {MAX_ROSTER} members")
-    a = names.where(F.col("name").isNotNull()).withColumn("ta", X.name_tokens(F.col("name"))).where(F.size("ta") > 0)
-    b = roster.where(F.col("member").isNotNull()).withColumn("tb", X.name_tokens(F.col("member"))).where(F.size("tb") > 0)
-    pairs = a.join(F.broadcast(b)).select("file_id", "team_ord", "member_ord", F.col("name").alias("a"), F.col("member").alias("b"), X.jaccard(F.col("ta"), F.col("tb")).alias("overlap"))
-    # a ratio is twice the matching characters over both lengths; lengths as the ratio's strings have them
-    la, lb = F.length("a"), F.length("b")
-    pairs = pairs.where((F.col("overlap") >= least) | (F.least(la, lb) * 2.0 >= (la + lb) * least))
-    schema = f"file_id {dict(names.dtypes)['file_id']}, team_ord {dict(roster.dtypes)['team_ord']}, member_ord {dict(roster.dtypes)['member_ord']}, a string, b string, overlap double, similarity double"
-    return pairs.mapInPandas(best_ratio, schema)
-
+    num = round(least * 1000)
+    character = F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.substring(F.col("s"), i, F.lit(1)))
+    numbered = F.transform(F.array(F.array_sort(character)), lambda cs: F.transform(cs, lambda c, i: F.xxhash64(c, i - F.array_position(cs, c))))[0]
 
-def best_names(pairs: DataFrame, least: float = NAME_MATCH) -> DataFrame:
-    """The best match of each file: highest similarity, then first in the roster; only from least on."""
-    order = W.partitionBy("file_id").orderBy(F.col("similarity").desc(), "team_ord", "member_ord")
-    return pairs.where("similarity > 0").withColumn("place", F.row_number().over(order)).where((F.col("place") == 1) & (F.col("similarity") >= least)).drop("place")
+    def sides(df: DataFrame, text: str) -> DataFrame:
+        distinct = df.where(F.col(text).isNotNull()).select(F.col(text).alias("s")).distinct().withColumn("t", X.name_tokens(F.col("s"))).where(F.size("t") > 0)
+        return materialise(distinct.select(F.unhex(F.md5("s")).alias("id"), "s", "t", F.array_distinct(F.transform("t", lambda x: F.xxhash64(x))).alias("w"), F.array_distinct(numbered).alias("c")), "names")
 
+    a, b = sides(names, "name"), sides(members, "member")
+    sets = lambda df, items: df.select("id", F.col(items).alias("items"))
+    near = overlap.near(sets(a, "w"), num, 1000 + num, sets(b, "w")).union(overlap.near(sets(a, "c"), num, 2000, sets(b, "c"))).distinct()
+    both = near.join(a.select(F.col("id").alias("a"), F.col("s").alias("name"), F.col("t").alias("ta")), "a").join(b.select(F.col("id").alias("b"), F.col("s").alias("member"), F.col("t").alias("tb")), "b")
+    scored = both.select("name", "member", X.jaccard(F.col("ta"), F.col("tb")).alias("overlap"), blocks.character_ratio("name", "member").alias("ratio"))
+    return scored.select("name", "member", F.greatest("overlap", "ratio").alias("similarity")).where((F.col("similarity") >= least) & (F.col("similarity") > 0))
 
-def _first_hits(patterns: list[tuple[str, int]]):
-    """The least rank of the patterns that each text has anywhere, by one pass of an Aho-Corasick automaton; null if none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = ahocorasick.Automaton()
-        for text, rank in patterns:
-            machine.add_word(text, min(rank, machine.get(text, rank)))
-        if patterns:
-            machine.make_automaton()
-        for b in batches:
-            best = [min((rank for _, rank in machine.iter(t)), default=None) if t and patterns else None for t in b["up"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "place": pd.array(best, "Int64")})
+def best_names(names: DataFrame, roster: DataFrame, least: float = NAME_MATCH) -> DataFrame:
+    """(file_id, team_ord, member_ord, member, similarity): the best of roster (team_ord, member_ord, member) for each of names (file_id, name).
 
-    return run
+    The highest similarity wins, then the first in the roster; only from least on. A similarity of 1 is one of equal tokens,
+    so names that have such a member are looked up, and only the rest are searched. Names and members are taken once each,
+    however many files and roster rows have them.
+    """
+    key = lambda c: F.array_join(F.array_sort(X.name_tokens(F.col(c))), " ")
+    entry = F.struct("team_ord", "member_ord", "member")
+    entries = roster.where(F.col("member").isNotNull()).withColumn("key", key("member")).where("key <> ''")
+    asked = names.where(F.col("name").isNotNull()).withColumn("key", key("name")).where("key <> ''").select("file_id", "name", "key")
+    equal = entries.groupBy("key").agg(F.min(entry).alias("e"))
+    known = asked.join(equal, "key").select("file_id", F.lit(1.0).alias("similarity"), "e")
+    rest = asked.join(equal, "key", "left_anti")
+    first = entries.groupBy("member").agg(F.min(entry).alias("e"))
+    found = name_pairs(rest, entries, least).join(first, "member")
+    best = found.groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "e")).alias("x"))
+    near = rest.join(best, "name").select("file_id", (-F.col("x.s")).alias("similarity"), F.col("x.e").alias("e"))
+    return known.unionByName(near).select("file_id", "e.team_ord", "e.member_ord", "e.member", "similarity")
+
+
+#: Bytes of the grams that patterns are found by, the longest that a pattern has; shorter patterns are found by all their bytes.
+GRAMS = [8, 4, 3, 2, 1]
+#: Bits of the table of grams (a power of two) that texts are checked against before anything is joined; it goes with the plan, so it has one size.
+GRAM_BITS = 1 << 20
+
+
+def _gram(data: Column, at: Column, q: int) -> Column:
+    return F.xxhash64(F.substring(data, at, F.lit(q)))
+
+
+def _anchored(patterns: DataFrame) -> DataFrame:
+    """(pattern, q, gram, offset): each pattern (binary) with the hash of the gram of q bytes that the fewest patterns have, and its place in it."""
+    q = F.coalesce(*(F.when(F.octet_length("pattern") >= n, n) for n in GRAMS))
+    each = patterns.withColumn("q", q).withColumn("offset", F.explode(F.sequence(F.lit(1), F.octet_length("pattern") - F.col("q") + 1)))
+    hashed = each.withColumn("gram", F.coalesce(*(F.when(F.col("q") == n, _gram(F.col("pattern"), F.col("offset"), n)) for n in GRAMS)))
+    held = hashed.groupBy("q", "gram").agg(F.count("*").alias("held"))
+    best = hashed.join(held, ["q", "gram"]).groupBy("pattern", "q").agg(F.min(F.struct("held", "gram", "offset")).alias("x"))
+    return best.select("pattern", "q", "x.gram", "x.offset")
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, and all columns of patterns): the patterns (pattern string) that each of docs (doc_id, text) has anywhere in it, once or more often.
+
+    Each pattern is found by one gram of its bytes, the one that the fewest patterns have. A table of GRAM_BITS bits says for
+    each place of a text whether a gram may stand there; what passes is joined on it, with the bytes around, and compared. Texts
+    aren't shuffled. Empty and null patterns are in no text. The table has one size; many more patterns than bits let more
+    places pass and change no result.
+    """
+    some = patterns.select(F.col("pattern").cast("binary").alias("pattern")).where(F.octet_length("pattern") > 0).distinct()
+    anchored = materialise(_anchored(some), "patterns")
+    mask = GRAM_BITS - 1
+    bits = anchored.select("q", F.col("gram").bitwiseAND(mask).alias("at")).distinct()
+    words = bits.groupBy("q", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    tables: dict[int, list[int]] = {}
+    for r in words.collect():  # GRAM_BITS / 64 for each length of grams at most
+        tables.setdefault(r.q, [0] * (GRAM_BITS // 64))[r.word] = r.bits
+    longest = anchored.agg(F.max(F.octet_length("pattern"))).first()[0] or 0
+    found = docs.select("doc_id", F.lit(None).cast("string").alias("pattern")).limit(0)
+    for q, table in tables.items():
+        data = docs.select("doc_id", F.col("text").cast("binary").alias("data")).where(F.octet_length("data") >= q)
+        at = data.withColumn("at", F.explode(F.sequence(F.lit(1), F.octet_length("data") - q + 1))).withColumn("gram", _gram(F.col("data"), F.col("at"), q))
+        low = F.col("gram").bitwiseAND(mask)
+        word = F.get(F.lit(np.array(table, np.int64)), F.shiftright(low, 6).cast("int"))
+        passed = at.where(F.getbit(word, low.bitwiseAND(63).cast("int")) == 1)
+        first = F.greatest(F.col("at") - (longest - q), F.lit(1))
+        around = passed.select("doc_id", "gram", (F.col("at") - first + 1).alias("at"), F.substring("data", first, F.lit(2 * longest - q)).alias("around"))
+        met = around.join(anchored.where(F.col("q") == q), "gram")
+        start = F.col("at") - F.col("offset") + 1
+        hit = (start >= 1) & (F.substring(F.col("around"), start, F.octet_length("pattern")) == F.col("pattern"))
+        found = found.unionByName(met.where(hit).select("doc_id", F.col("pattern").cast("string").alias("pattern")))
+    return found.distinct().join(patterns, "pattern").select("doc_id", *patterns.columns)
 
 
 def content_matches(docs: DataFrame, roster: DataFrame) -> DataFrame:
     """docs (doc_id, raw_text) matched to the first roster entry whose srn (confidence 1) or else full name (0.95) its text has."""
-    n = roster.limit(MAX_ROSTER + 1).count()
-    if n > MAX_ROSTER:
-        raise ValueError(f"roster of more than {MAX_ROSTER} members")
     name = X.strip(F.col("member"))
-    members = roster.select("team_ord", "member_ord", "member", F.upper("srn").alias("srn_up"), F.upper(name).alias("name_up"), F.length(name).alias("n"))
-    rows = members.orderBy("team_ord", "member_ord", "member", "srn_up").collect()  # MAX_ROSTER at most
-    # places: all srns in the roster's order, then all names in it
-    patterns = [(r.srn_up, k) for k, r in enumerate(rows) if r.srn_up] + [(r.name_up, len(rows) + k) for k, r in enumerate(rows) if r.name_up and r.n >= MIN_NAME]
-    kind = dict(docs.dtypes)["doc_id"]
-    hits = docs.select("doc_id", F.upper("raw_text").alias("up")).mapInPandas(_first_hits(patterns), f"doc_id {kind}, place long").where("place IS NOT NULL")
-    team, member = roster.schema["team_ord"].dataType.simpleString(), roster.schema["member"].dataType.simpleString()
-    ranks = [(len(rows) * j + k, r.team_ord, r.member, c) for j, c in enumerate((1.0, CONTENT_MATCH)) for k, r in enumerate(rows)]
-    named = docs.sparkSession.createDataFrame(ranks, f"place long, team_ord {team}, member {member}, confidence double")
-    return hits.join(F.broadcast(named), "place").select("doc_id", "team_ord", "member", "confidence")
+    entry = F.struct("team_ord", "member_ord", "member")
+    by = lambda kind, ok, pattern: roster.where(ok).select(F.lit(kind).alias("kind"), F.upper(pattern).alias("pattern"), entry.alias("e"))
+    # of the entries with one number, or one name, the first counts
+    patterns = by(0, F.col("srn") != "", F.col("srn")).unionByName(by(1, F.length(name) >= MIN_NAME, name)).groupBy("kind", "pattern").agg(F.min("e").alias("e"))
+    hits = occurrences(docs.select("doc_id", F.upper("raw_text").alias("text")), patterns)
+    best = hits.groupBy("doc_id").agg(F.min(F.struct("kind", "e")).alias("x"))
+    return best.select("doc_id", "x.e.team_ord", "x.e.member", F.when(F.col("x.kind") == 0, 1.0).otherwise(CONTENT_MATCH).alias("confidence"))
 
 
 def resolve(files: DataFrame, roster: DataFrame) -> DataFrame:
@@ -145,7 +190,7 @@ def resolve(files: DataFrame, roster: DataFrame) -> DataFrame:
     File names go first; texts are searched only for the rest.
     """
     named = files.select("file_id", X.name_in_filename(F.col("filename")).alias("name"))
-    by_name = best_names(name_candidates(named, roster, NAME_MATCH)).select("file_id", "team_ord", F.col("b").alias("member"), F.col("similarity").alias("confidence"), F.lit("filename").alias("match_method"))
+    by_name = best_names(named, roster).select("file_id", "team_ord", "member", F.col("similarity").alias("confidence"), F.lit("filename").alias("match_method"))
     rest = files.join(by_name, "file_id", "left_anti")
     by_text = content_matches(rest.select(F.col("file_id").alias("doc_id"), "raw_text"), roster).select(F.col("doc_id").alias("file_id"), "team_ord", "member", "confidence", F.lit("content").alias("match_method"))
     found = files.select("file_id", "filename").join(by_name.unionByName(by_text), "file_id", "left")

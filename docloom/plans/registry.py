@@ -14,6 +14,7 @@ from docloom.functions import text as X
 from docloom.operators import compare, matching, pages, scoring, shaping, similarity
 from docloom.plans import rubric
 from docloom.sources import files, images, store
+from docloom.sources.scratch import materialise
 
 #: The whitespace class in DuckDB's dialect.
 _WS = r"'[\s\p{Z}' || chr(28) || '-' || chr(31) || chr(133) || ']'"
@@ -25,7 +26,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _rows(spark, d):
-    return similarity.document_rows(_t(spark, d, "documents")).persist()
+    return materialise(similarity.document_rows(_t(spark, d, "documents")), "rows")
 
 
 def line_rows(spark, d):
@@ -59,6 +60,35 @@ copied AS (
   FROM keep a JOIN jp ON jp.x = a.k JOIN keep b ON b.k = jp.y WHERE a.doc_id < b.doc_id)"""
 
 
+#: ratio_ (pid, ratio) of prs (pid, ta, tb): the longest common block of each window, then the windows left and right of it.
+_RATIO = """
+hit_ AS (SELECT a.pid, a.i, b.i AS j FROM (SELECT pid, unnest(ta) AS x, generate_subscripts(ta, 1) AS i FROM prs) a JOIN (SELECT pid, unnest(tb) AS x, generate_subscripts(tb, 1) AS i FROM prs) b ON a.pid = b.pid AND a.x = b.x),
+run_ AS MATERIALIZED (SELECT pid, min(i) AS i, min(j) AS j, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY pid, j - i ORDER BY i) AS g FROM hit_) GROUP BY pid, j - i, g),
+top_ AS (SELECT pid, max({'n': n, 'i': -i, 'j': -j}) AS b FROM run_ GROUP BY pid),
+blk AS (
+  SELECT prs.pid, 1::BIGINT AS alo, len(ta) + 1 AS ahi, 1::BIGINT AS blo, len(tb) + 1 AS bhi, b FROM prs JOIN top_ ON top_.pid = prs.pid
+  UNION ALL
+  SELECT pid, alo, ahi, blo, bhi, max({'n': n, 'i': -i, 'j': -j}) AS b FROM (
+    SELECT c.pid, c.q.alo, c.q.ahi, c.q.blo, c.q.bhi, greatest(r.i, c.q.alo, c.q.blo - (r.j - r.i)) AS i, greatest(r.j, c.q.blo, c.q.alo + (r.j - r.i)) AS j,
+      least(r.i + r.n, c.q.ahi, c.q.bhi - (r.j - r.i)) - greatest(r.i, c.q.alo, c.q.blo - (r.j - r.i)) AS n
+    FROM (SELECT pid, unnest([{'alo': alo, 'ahi': -b.i, 'blo': blo, 'bhi': -b.j}, {'alo': b.n - b.i, 'ahi': ahi, 'blo': b.n - b.j, 'bhi': bhi}]) AS q FROM blk) c JOIN run_ r ON r.pid = c.pid)
+  WHERE n > 0 GROUP BY pid, alo, ahi, blo, bhi),
+ratio_ AS MATERIALIZED (SELECT prs.pid, 2.0::DOUBLE * coalesce(any_value(s.n), 0) / any_value(len(ta) + len(tb)) AS ratio FROM prs LEFT JOIN (SELECT pid, sum(b.n) AS n FROM blk GROUP BY pid) s ON s.pid = prs.pid GROUP BY prs.pid)"""
+_STRUCTURAL = f"""{_TOKENS},
+num AS MATERIALIZED (SELECT id, n, tok, row_number() OVER (PARTITION BY id, tok) AS nth FROM (SELECT row_number() OVER (ORDER BY k) AS id, len(t) AS n, unnest(t) AS tok FROM lists)),
+ids AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k) AS id, k, t FROM lists),
+cand AS (SELECT a.id AS x, b.id AS y FROM num a JOIN num b ON a.tok = b.tok AND a.nth = b.nth WHERE a.id < b.id GROUP BY a.id, b.id HAVING count(*) * 20 >= 7 * (any_value(a.n) + any_value(b.n))),
+both_ AS (SELECT x, y FROM cand UNION SELECT y, x FROM cand UNION SELECT a.id, b.id FROM jp JOIN ids a ON a.k = jp.x JOIN ids b ON b.k = jp.y),
+prs AS MATERIALIZED (SELECT row_number() OVER () AS pid, a.k AS x, b.k AS y, a.t AS ta, b.t AS tb FROM both_ JOIN ids a ON a.id = both_.x JOIN ids b ON b.id = both_.y),{_RATIO},
+sp AS (SELECT prs.x, prs.y, ratio, len(list_intersect(a.s, b.s)) AS m, len(a.s) + len(b.s) AS n FROM prs JOIN ratio_ ON ratio_.pid = prs.pid JOIN sh a ON a.k = prs.x JOIN sh b ON b.k = prs.y),
+mp AS MATERIALIZED (SELECT x, y, m::DOUBLE / (n - m) AS jaccard, ratio FROM sp WHERE m::DOUBLE / (n - m) >= 0.55 OR ratio >= 0.7),
+held AS (SELECT DISTINCT array_to_string(t, ' ') AS k, doc_id FROM toks WHERE len(t) > 0),
+own AS (SELECT t.doc_id, t.row_idx, array_to_string(t.t, ' ') AS k FROM toks t WHERE len(t.t) > 0),
+near AS (SELECT o.doc_id, o.row_idx, h.doc_id AS other FROM own o JOIN mp ON mp.x = o.k JOIN held h ON h.k = mp.y UNION SELECT doc_id, row_idx, doc_id FROM own),
+keep AS MATERIALIZED (SELECT own.* FROM own JOIN (SELECT doc_id, row_idx FROM near GROUP BY doc_id, row_idx HAVING count(*) < 3) n ON n.doc_id = own.doc_id AND n.row_idx = own.row_idx),
+copied AS (SELECT a.doc_id AS doc_a, a.row_idx AS row_a, b.doc_id AS doc_b, b.row_idx AS row_b, round(mp.jaccard, 3) AS jaccard, round(mp.ratio, 3) AS structural_similarity FROM keep a JOIN mp ON mp.x = a.k JOIN keep b ON b.k = mp.y WHERE a.doc_id < b.doc_id)"""
+
+
 def shingle_counts(spark, d):
     # the tokens are a column of their own before they are cut into shingles, else each shingle would find them anew
     rows = similarity.document_rows(_t(spark, d, "documents")).select("doc_id", "row_idx", F.explode(F.array(X.word_tokens(F.col("text")))).alias("t"))
@@ -66,7 +96,7 @@ def shingle_counts(spark, d):
 
 
 def shingle_jaccard_pairs(spark, d):
-    lists = similarity.token_lists(_rows(spark, d))
+    lists = similarity.described(similarity.token_lists(similarity.document_rows(_t(spark, d, "documents"))))
     names = lists.select("list_id", F.array_join("tokens", " ").alias("k"))
     pairs = similarity.jaccard_pairs(lists)
     out = pairs.join(names.toDF("a", "ka"), "a").join(names.toDF("b", "kb"), "b")
@@ -156,7 +186,7 @@ def name_overlap(spark, d):
 def name_match(spark, d):
     names = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.col("s_name"), F.lit(" supplier")).alias("name"))
     roster = _t(spark, d, "nation").select(F.col("n_nationkey").alias("team_ord"), F.lit(0).alias("member_ord"), F.concat(F.lit("Supplier "), F.col("n_name")).alias("member"))
-    return matching.best_names(matching.name_candidates(names, roster, 0.3), 0.3).select("file_id", "team_ord", "similarity")
+    return matching.best_names(names, roster, 0.3).select("file_id", "team_ord", F.round("similarity", 6).alias("similarity"))
 
 
 def rubric_scores(spark, d):
@@ -307,8 +337,8 @@ def score_reports(spark, d):
 
 def plagiarism_report(spark, d):
     rows = _rows(spark, d)
-    found = similarity.list_pairs(rows, structural=False).persist()
-    r = similarity.report(rows, similarity.copied_rows(rows, structural=False), similarity.boilerplate(rows, found))
+    found = materialise(similarity.list_pairs(rows, structural=False), "pairs")
+    r = similarity.report(rows, similarity.copied_rows(rows, structural=False, pairs=found), similarity.common_rows(rows, found))
     return r.select("students_checked", "common_rows_excluded", "flagged_row_pair_count", F.size("flagged_students").cast("long").alias("n_flagged_students"))
 
 
@@ -487,12 +517,21 @@ f AS (SELECT *, first_value(c_custkey) OVER w::DOUBLE AS excel_team_id, first_va
   first_value(c_mktsegment) OVER w AS project_name, first_value(CASE WHEN c_custkey % 5 > 0 THEN ((floor(c_acctbal)::BIGINT % 11) + 11) % 11 END) OVER w::DOUBLE AS srs_mark, c_name || ' m' AS member, 'S' || c_custkey AS srn
   FROM g WHERE team_ord > 0 WINDOW w AS (PARTITION BY section, team_ord ORDER BY row_idx))"""
 
+_NAMES = f"""prs AS MATERIALIZED (
+  SELECT row_number() OVER () AS pid, s_suppkey AS file_id, n_nationkey AS team_ord, n_name AS member, string_split(s_name || ' supplier', '') AS ta, string_split('Supplier ' || n_name, '') AS tb,
+    list_distinct(list_filter(regexp_split_to_array(upper(s_name || ' supplier'), '[^A-Z]+'), lambda x: length(x) > 1)) AS na, list_distinct(list_filter(regexp_split_to_array(upper('Supplier ' || n_name), '[^A-Z]+'), lambda x: length(x) > 1)) AS nb
+  FROM supplier, nation),{_RATIO}"""
+
 ORACLES = {
     "line_rows": f"WITH {_LINES} SELECT doc_id, row_idx, text FROM rows_",
     "shingle_counts": f"WITH {_TOKENS} SELECT doc_id, row_idx, len(t)::BIGINT AS n_tokens, coalesce(len(s), 0)::BIGINT AS n_shingles FROM toks LEFT JOIN sh ON sh.k = array_to_string(toks.t, ' ')",
     "shingle_jaccard_pairs": f"WITH {_TOKENS} SELECT x AS tokens_a, y AS tokens_b, round(jaccard, 3) AS jaccard FROM jp WHERE x < y",
     "boilerplate_lines": f"WITH {_COMMON} SELECT doc_id, row_idx, owners FROM common",
     "copied_lines_jaccard": f"WITH {_COPIED} SELECT * FROM copied",
+    "copied_lines": f"WITH RECURSIVE {_STRUCTURAL} SELECT * FROM copied",
+    "name_match": f"""WITH RECURSIVE {_NAMES},
+s AS (SELECT file_id, team_ord, member, greatest(len(list_intersect(na, nb))::DOUBLE / (len(na) + len(nb) - len(list_intersect(na, nb))), ratio) AS similarity FROM prs JOIN ratio_ ON ratio_.pid = prs.pid)
+SELECT file_id, team_ord, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY similarity DESC, team_ord) = 1""",
     "flagged_documents": f"""WITH {_COPIED}, u AS (SELECT doc_a AS doc_id, doc_b AS o FROM copied UNION SELECT doc_b, doc_a FROM copied)
 SELECT doc_id, count(*) AS n_others, string_agg(o::VARCHAR, ',' ORDER BY o) AS others FROM u GROUP BY doc_id""",
     "citation_grounding": f"""WITH w AS (SELECT {_WS} AS ws), c AS (SELECT doc_id, {_NORM.format("text || chr(10) || source")} AS hay, {_CITED} AS cited, ws FROM documents, w),

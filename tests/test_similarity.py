@@ -3,6 +3,9 @@ import itertools
 import random
 import re
 
+import pytest
+
+from docloom.operators import matching as M
 from docloom.operators import similarity as S
 
 
@@ -67,7 +70,9 @@ def test_copied_rows_equal_all_pairs(spark):
         rows = random_rows(seed)
         df = spark.createDataFrame(rows, "doc_id int, row_idx int, text string")
         common, pairs = slow(rows)
-        got = S.boilerplate(df, S.list_pairs(df)).collect()
+        pairs_of = S.list_pairs(df)
+        got = S.boilerplate(df, pairs_of).collect()
+        assert {tuple(r) for r in S.common_rows(df, pairs_of).collect()} == set(common)
         assert {(r.doc_id, r.row_idx): r.owners for r in got} == common
         copied = S.copied_rows(df)
         out = [(r.doc_a, r.row_a, r.doc_b, r.row_b, r.jaccard, r.structural_similarity) for r in copied.collect()]
@@ -87,10 +92,53 @@ def test_no_rows(spark):
     assert S.copied_rows(df).count() == 0 and S.boilerplate(df, S.list_pairs(df)).count() == 0
 
 
-def test_name_similarity(spark):
-    from docloom.operators import matching as M
-
-    names = spark.createDataFrame([(1, "JANE MARY DOE"), (2, "Nobody Here"), (3, None), (4, "É")], "file_id int, name string")
-    roster = spark.createDataFrame([(0, 0, "Doe Jane Mary"), (0, 1, "JANE MARY DO"), (1, 0, "Doe Jane Mary"), (2, 0, None)], "team_ord int, member_ord int, member string")
-    rows = M.best_names(M.name_candidates(names, roster)).collect()
-    assert [(r.file_id, r.team_ord, r.member_ord, r.similarity) for r in rows] == [(1, 0, 0, 1.0)]
+def name_tokens(s):
+    return {t for t in re.split("[^A-Z]+", s.upper()) if len(t) > 1}
+
+
+def name_similarity(a, b):
+    x, y = name_tokens(a), name_tokens(b)
+    return max(len(x & y) / len(x | y), difflib.SequenceMatcher(None, a, b).ratio()) if x and y else 0.0
+
+
+def random_names(draw, n):
+    given, last = ["Jane", "Jan", "MARY", "Doe", "Ann", "Rao", "Ananya", "Sharma", "Aarav", "José", "Li", "O'Neil"], ["Smith", "Smythe", "Rao", "Kumar", "K", "Kumari", "van Dyk", "Müller-Lee"]
+    noise = lambda s: "".join(draw.choice("abcdez ") if draw.random() < 0.1 else c for c in s)
+    return [noise(" ".join([draw.choice(given) for _ in range(draw.randrange(1, 3))] + [draw.choice(last)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("least", [0.6, 0.85, 0.3])
+def test_best_names_equal_all_pairs(spark, least):
+    draw = random.Random(least)
+    files = [*random_names(draw, 180), None, "É", "", "x", "Jane Rao" + " Smith" * 40, "Zzz Qqq"]
+    members = [*random_names(draw, 120), None, "Ü", "Smith Smith " * 20 + "Jane", "JANE DOE", "DOE, JANE", "Jane Doe"]
+    names = spark.createDataFrame([(k, s) for k, s in enumerate(files)] + [(1000, "doe jane"), (1001, "doe jane")], "file_id int, name string")
+    roster = spark.createDataFrame([(k // 3, k % 3, s) for k, s in enumerate(members)], "team_ord int, member_ord int, member string")
+    want = set()
+    for k, s in [*enumerate(files), (1000, "doe jane"), (1001, "doe jane")]:
+        best = max(((name_similarity(s, m), -i) for i, m in enumerate(members) if m is not None), default=(0, 0)) if s is not None else (0, 0)
+        if best[0] >= least:
+            want.add((k, -best[1] // 3, -best[1] % 3, members[-best[1]], best[0]))
+    got = [(r.file_id, r.team_ord, r.member_ord, r.member, r.similarity) for r in M.best_names(names, roster, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 25
+    pairs = {(r.name, r.member): r.similarity for r in M.name_pairs(names, roster, least).collect()}
+    assert pairs == {(a, b): x for a in files + ["doe jane"] for b in members if a is not None and b is not None and (x := name_similarity(a, b)) >= least}
+
+
+def test_names_of_none(spark):
+    names, roster = spark.createDataFrame([], "file_id int, name string"), spark.createDataFrame([], "team_ord int, member_ord int, member string")
+    assert M.best_names(names, roster).count() == 0
+
+
+def test_occurrences_equal_a_search(spark, monkeypatch):
+    monkeypatch.setattr(M, "GRAM_BITS", 256)  # most places pass
+    draw = random.Random(5)
+    letters = ["a", "b", "Ä", "中", " ", "1"]
+    texts = ["".join(draw.choices(letters, k=draw.randrange(0, 60))) for _ in range(120)] + [None, "", "a"]
+    patterns = ["".join(draw.choices(letters, k=draw.randrange(1, 12))) for _ in range(60)] + [texts[3][:25], texts[4], "", None, "aa", "中"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    df = spark.createDataFrame([(p, k) for k, p in enumerate(patterns)], "pattern string, offset int")
+    got = sorted((r.doc_id, r.pattern, r.offset) for r in M.occurrences(docs, df).collect())
+    assert got == sorted((d, p, k) for d, t in enumerate(texts) for k, p in enumerate(patterns) if t and p and p in t) and len(got) > 100
+    assert M.occurrences(docs, df.limit(0)).count() == 0 and M.occurrences(docs.limit(0), df).count() == 0
+    assert M.occurrences(docs, df.limit(0)).columns == ["doc_id", "pattern", "offset"]
