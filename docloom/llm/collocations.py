@@ -33,7 +33,9 @@ LONGEST, LEAST, TOP, ABSORBS = 5, 100, 2000, 100
 #: The language of documents without one.
 NO_LANG = "und"
 #: Bytes of text of a shard, occurrences that are extended at a time, rows of a batch that goes back to Spark.
-SHARD_BYTES, GROUP, ROWS = 16 << 20, 1 << 18, 1 << 16
+SHARD_BYTES, GROUP, ROWS = 14 << 20, 1 << 18, 1 << 16
+#: Shards of a task where there are many, and rows of phrases that it adds up at a time.
+TASK_SHARDS, HELD = 16, 1 << 20
 #: Bits of a filter for each key, the least and the greatest number of all its bits (powers of two), and slices.
 KEY_BITS, LEAST_BITS, FILTER_BITS, SLICES = 16, 20, 28, 64
 #: Parts that the rows of one language are ranked in before the best of all are.
@@ -299,15 +301,37 @@ def _count(store: Store, filters: list[Filter], size: int):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, size, n) of the shards of a task added up, HELD rows at a time."""
+
+    def total(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
+        return t.select(["lang", "phrase", "size", "n_sum"]).rename_columns(["lang", "phrase", "size", "n"])
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += len(b)
+        if rows >= HELD:
+            t = total(held)
+            if len(t) > HELD // 2:
+                yield from t.to_batches(ROWS)
+                held, rows = [], 0
+            else:
+                held, rows = t.to_batches(), len(t)
+    if held:
+        yield from total(held).to_batches(ROWS)
+
+
 def _spell(store: Store, filters: list[Filter], longest: int):
-    """(lang, phrase, size, n) of the phrases of each shard that the filters hold."""
+    """(lang, phrase, size, n) of the phrases of shards that the filters hold, the shards of a task added up."""
 
     def strings(name: str, what: str) -> pa.Array:
         sizes = _unsqueeze(store.read(f"{what}s-{name}", np.uint8)).astype(np.int64)
         data = pa.decompress(store.read(f"{what}-{name}", np.uint8).tobytes(), int(sizes.sum()), codec="zstd")
         return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.r_[0, np.cumsum(sizes)]), data if isinstance(data, pa.Buffer) else pa.py_buffer(data))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column("name").to_pylist():
                 line = _line(store, name, filters)
@@ -318,7 +342,7 @@ def _spell(store: Store, filters: list[Filter], longest: int):
                     phrase = pc.binary_join_element_wise(*cols, pa.scalar(" ", pa.large_string())).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([lang.take(pa.array(made[:, 0])).cast(pa.string()), phrase, pa.array(np.full(len(n), made.shape[1]), pa.int32()), pa.array(n)], ["lang", "phrase", "size", "n"])
 
-    return run
+    return lambda batches: _summed(each(batches))
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +356,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     words = materialise(parts.groupBy("lang", "word", "hash").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent")
     names = materialise(parts.select("name").distinct(), "shards")
     discard(parts)
-    shards = names.repartition(max(spark.sparkContext.defaultParallelism, names.count()), "name")
+    shards = names.repartition(max(2 * spark.sparkContext.defaultParallelism, names.count() // TASK_SHARDS), "name")
     filters = [filter_of(words, store, "filter-1")]
     for size in range(2, longest):
         counted = shards.mapInArrow(_count(store, filters, size), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -43,6 +43,7 @@ def test_query_equals_sql(spark, sf):
 def test_equals_brute_force(spark, monkeypatch, shard, group):
     monkeypatch.setattr(C, "SHARD_BYTES", shard)
     monkeypatch.setattr(C, "GROUP", group)
+    monkeypatch.setattr(C, "HELD", group)
     draw = np.random.default_rng(2)
     words, ends = ["The", "the", "of", "a", "Éa", "x", " ", "\x85z", "b'"], [" ", "  ", "\t", ", ", ".", "\n", "\x0b", " ", " ", " "]
     docs = [(draw.choice(["en", "de", None, "und"]), "".join(f"{draw.choice(words)}{draw.choice(ends)}" for _ in range(int(draw.integers(1, 120))))) for _ in range(60)]
