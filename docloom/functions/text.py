@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Whitespace class, dashes, bullets, requirement markers, aliases.
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
 NOT_WS = r"[^\s\p{Z}\x1c-\x1f\x85]"
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DASHES = "-‐‑‒–—"
 _BULLETS = "•●▪"
 _LINE_ENDS = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -17,7 +18,7 @@ SHINGLE = 5
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
+    return F.btrim(s, F.lit(WHITESPACE))
 
 
 def lines(s: Column) -> Column:
@@ -75,7 +76,7 @@ def name_in_filename(filename: Column, mark: str = "PESU") -> Column:
 
 
 def word_tokens(s: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def shingles(tokens: Column, k: int = SHINGLE) -> Column:

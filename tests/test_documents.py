@@ -177,18 +177,16 @@ def test_rubric(spark):
 
 def test_stores_and_stream(spark, tmp_path):
     shape = "doc_type string, team_id string, rank long, upload_ord long, source string"
-    table, runs, box = (f"{tmp_path}/{x}" for x in ("table", "runs", "box"))
+    table, runs = (f"{tmp_path}/{x}" for x in ("table", "runs"))
     a = spark.createDataFrame([("srs", "A", -1, 0, "A.pdf"), ("srs", "A", -1, 1, "A.docx"), ("srs", "B", 2, 2, "B (2).pdf")], shape)
-    a.coalesce(1).write.parquet(box)
-    stream = lambda: spark.readStream.schema(shape).parquet(box)
-    uploads.run(stream(), table, runs, f"{tmp_path}/cp").awaitTermination()
+    uploads.merge(spark, table, a)
     b = spark.createDataFrame([("srs", "A", 1, 3, "A (1).pdf"), ("srs", "B", 1, 4, "B (1).pdf")], shape)
     assert {r.team_id: r.skipped for r in store.decisions(uploads.read(spark, table), b).collect()} == {"A": False, "B": True}
-    b.coalesce(1).write.mode("append").parquet(box)
-    uploads.run(stream(), table, runs, f"{tmp_path}/cp").awaitTermination()
+    uploads.merge(spark, table, b)
     assert {r.team_id: r.source for r in uploads.read(spark, table).collect()} == {"A": "A (1).pdf", "B": "B (2).pdf"}
-    assert {(r.run_seq, r.source) for r in spark.read.parquet(runs).collect()} == {(1, "A.pdf"), (1, "B (2).pdf")}
-    assert store.archive(spark, f"{table}/v2", runs, "A") == 2 and store.archive(spark, f"{table}/v2", runs, "Z") is None and store.archive(spark, f"{tmp_path}/none", runs) is None
+    store.put(uploads.read(spark, table), f"{tmp_path}/s", None)
+    assert store.archive(spark, f"{tmp_path}/s", runs, "A") == 1 and store.archive(spark, f"{tmp_path}/s", runs) == 2 and store.archive(spark, f"{tmp_path}/s", runs, "Z") is None and store.archive(spark, f"{tmp_path}/none", runs) is None
+    assert {(r.run_seq, r.source) for r in spark.read.parquet(runs).collect()} == {(1, "A (1).pdf"), (2, "A (1).pdf"), (2, "B (2).pdf")}
     store.put(a, f"{tmp_path}/p")
     store.put(a.withColumn("doc_type", F.lit("sads")).limit(1), f"{tmp_path}/p")
     assert spark.read.parquet(f"{tmp_path}/p").count() == 4
