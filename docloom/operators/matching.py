@@ -16,15 +16,15 @@ NAME_MATCH, CONTENT_MATCH, LOW_CONFIDENCE = 0.6, 0.95, 0.85
 MIN_NAME = 4
 
 
-def fill_teams(sheet: DataFrame, fields: list[str], team: str = "team_id") -> DataFrame:
+def fill_teams(sheet: DataFrame, fields: list[str], team: str = "team_id", of: tuple[str, ...] = ("sheet",)) -> DataFrame:
     """sheet (sheet, row_idx, team, fields..., member) with team and fields of the row that began the team, nulls among them.
 
-    Rows before a sheet's first team, and rows without a member, are left out.
+    Rows before a sheet's first team, and rows without a member, are left out. of: the columns that tell sheets apart.
     """
-    over = W.partitionBy("sheet").orderBy("row_idx")
+    over = W.partitionBy(*of).orderBy("row_idx")
     numbered = sheet.withColumn("team_ord", F.count(F.col(team)).over(over)).where("team_ord > 0")
-    first = W.partitionBy("sheet", "team_ord").orderBy("row_idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    filled = numbered.select("sheet", "row_idx", "team_ord", *(F.first(F.col(c)).over(first).alias(c) for c in (team, *fields)), "member")
+    first = W.partitionBy(*of, "team_ord").orderBy("row_idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    filled = numbered.select(*of, "row_idx", "team_ord", *(F.first(F.col(c)).over(first).alias(c) for c in (team, *fields)), "member")
     return filled.where(F.coalesce(X.strip(F.col("member")), F.lit("")) != "")
 
 
@@ -37,27 +37,31 @@ _TEXTS = ("team_name", "project_name")
 
 
 def roster(sheets: DataFrame) -> DataFrame:
-    """Members of all teams of roster sheets (sheet_ord, sheet, row_idx, cells by heading): section, team and member order, the team's fields, member and srn.
+    """Members of all teams of roster sheets (sheet_ord, sheet, row_idx, cells by heading, and filename if there are several files): section, team and member order, the team's fields, member and srn.
 
     Row 1 holds maximum marks and is left out. Rows without a member neither begin a team nor belong to one. A team's fields
-    are those of its first row. Marks and numbers that aren't any are null.
+    are those of its first row. Marks and numbers that aren't any are null. Sheets are told apart by file and place, whatever
+    their names.
     """
     cell = lambda h: F.try_element_at("cells", F.lit(h))
     held = lambda hs: F.coalesce(*(cell(h) for h in hs))
     fields = [(held(hs) if c in _TEXTS else held(hs).try_cast("double")).alias(c) for c, hs in TEAM_COLUMNS.items()]
+    of = ("filename",) if "filename" in sheets.columns else ()
     rows = sheets.where((F.col("row_idx") >= 2) & cell("Team members").isNotNull()).select(
-        "sheet_ord", "sheet", "row_idx", cell("Team ID").try_cast("double").alias("excel_team_id"), *fields, X.strip(cell("Team members")).alias("member"), cell("SRN").alias("srn")
+        *of, "sheet_ord", "sheet", "row_idx", cell("Team ID").try_cast("double").alias("excel_team_id"), *fields, X.strip(cell("Team members")).alias("member"), cell("SRN").alias("srn")
     )
-    filled = fill_teams(rows, list(TEAM_COLUMNS), "excel_team_id").join(rows.select("sheet", "sheet_ord", "row_idx", "srn"), ["sheet", "row_idx"])
-    member_ord = F.row_number().over(W.partitionBy("sheet", "team_ord").orderBy("row_idx")) - 1
-    return filled.select("sheet_ord", F.col("sheet").alias("section"), "team_ord", member_ord.alias("member_ord"), "excel_team_id", *TEAM_COLUMNS, "member", "srn")
+    one = (*of, "sheet_ord", "sheet")
+    filled = fill_teams(rows, list(TEAM_COLUMNS), "excel_team_id", one).join(rows.select(*one, "row_idx", "srn"), [*one, "row_idx"])
+    member_ord = F.row_number().over(W.partitionBy(*one, "team_ord").orderBy("row_idx")) - 1
+    return filled.select(*of, "sheet_ord", F.col("sheet").alias("section"), "team_ord", member_ord.alias("member_ord"), "excel_team_id", *TEAM_COLUMNS, "member", "srn")
 
 
 def relations(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(teams, team_members) of roster(): teams are numbered from 1 through all sheets, members carry their team's number."""
-    first = members.where("member_ord = 0").withColumn("id", F.row_number().over(W.orderBy("sheet_ord", "team_ord")).cast("long"))  # a row a team
+    """(teams, team_members) of roster(): teams are numbered from 1 through all files and sheets, members carry their team's number."""
+    of = [c for c in ("filename", "sheet_ord", "section", "team_ord") if c in members.columns]
+    first = members.where("member_ord = 0").withColumn("id", F.row_number().over(W.orderBy(*of)).cast("long"))  # a row a team
     teams = first.select("id", "section", "excel_team_id", *TEAM_COLUMNS)
-    return teams, members.join(first.select("id", "section", "team_ord"), ["section", "team_ord"]).select(F.col("id").alias("team_pk"), F.col("member").alias("name"), "srn")
+    return teams, members.join(first.select("id", *of), of).select(F.col("id").alias("team_pk"), F.col("member").alias("name"), "srn")
 
 
 def latest_resubmission(files: DataFrame) -> DataFrame:

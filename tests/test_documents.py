@@ -88,8 +88,47 @@ def test_folder_to_requirement_rows(spark, tmp_path):
     assert (r.team_id, r.raw_text.split("\n")[0], len(r.tables)) == ("Team A", "Intro", 2) and r.tables[1].rows[0]["Req ID"] == "ABC-F-001"
     rows = shaping.requirement_rows(doc.withColumn("doc_id", F.col("team_id"))).collect()
     assert [(x.table_idx, x.req_id, x.text) for x in rows] == [(0, "A-1", "The app must keep all its records safe"), (1, "ABC-F-001", "The system shall record each login attempt")]
-    pdf = files.ingested(files.ingest(scan, lambda b: ("p", [[["ID", ""], ["1", "a"]], [["2", "b"]]], [])).where("filename = 'c.pdf'")).first()
-    assert [t.headers for t in pdf.tables] == [["ID", "Column 2"]] and pdf.tables[0].n_data_rows == 2
+    assert {r.filename: r.error for r in decoded.collect()}["c.pdf"] == "RuntimeError: no PDF decoder given"
+
+
+def pdf_decoder(range_of=None):
+    """Decodes bytes such as b"3" as a file of three pages; b"x..." fails on page 7."""
+
+    def decode(content, first, last):
+        if range_of is not None:
+            with open(range_of, "a") as out:
+                out.write(f"{content.decode()} {first} {last}\n")
+        if content.startswith(b"x") and first <= 7 <= last:
+            raise ValueError("page 7")
+        line = lambda y, t: (0, [t], 0.0, float(y), 50.0, y + 9.0)
+        rows = lambda k: [["Req ID", "Requirement"]] * (k == 1) + [[f"A-{k}", f"The part number {k} is kept safe"]]
+        return [{"lines": [line(0, f"This is page {k} of a document of many pages"), line(30, "cell")], "tables": [(0.0, 25.0, 60.0, 45.0, rows(k))]} for k in range(first, last + 1)]
+
+    return files.PdfDecoder(lambda content: int(content.decode().lstrip("x")), decode)
+
+
+def test_pdf_pages_by_ranges(spark, tmp_path):
+    log, box = f"{tmp_path}/log", tmp_path / "box"
+    box.mkdir()
+    good = docx(["Intro"], [["Req ID", "Requirement"], ["A-1", "The app must keep all its records safe"]])
+    for name, data in {"A.pdf": b"23", "A (2).pdf": b"3", "B.pdf": b"23", "C.pdf": b"x20", "D.pdf": b"0", "E.pdf": b"zz", "F.docx": good}.items():
+        (box / name).write_bytes(data)
+    scan = files.scan(spark, str(box)).where("filename LIKE '%.pdf'")
+    got, failed = files.decode_pages(scan, pdf_decoder(log), 10)
+    assert {r.filename: r.error for r in failed.collect()} == {"C.pdf": "ValueError: page 7", "E.pdf": "ValueError: invalid literal for int() with base 10: 'zz'"}
+    seen = {}
+    for r in got.collect():
+        seen.setdefault(r.source, []).append(r.page)
+    assert {k: sorted(v) for k, v in seen.items()} == {"A.pdf": [*range(1, 24)], "A (2).pdf": [1, 2, 3], "B.pdf": [*range(1, 24)], "D.pdf": [0]}
+    assert {"23 1 10", "23 11 20", "23 21 23", "3 1 3"} <= set(open(log).read().split("\n"))
+    docs, summary = files.batch(spark, str(box), pdf_decoder())
+    by = {r.source: r for r in docs.collect()}
+    assert set(by) == {"A (2).pdf", "B.pdf", "D.pdf", "F.docx"} and by["D.pdf"].raw_text == ""
+    assert by["B.pdf"].raw_text.split("\n") == [f"This is page {k} of a document of many pages" for k in range(1, 24)]
+    # the table goes on over all pages, through all ranges
+    assert [t.n_data_rows for t in by["B.pdf"].tables] == [23] and [r["Req ID"] for r in by["B.pdf"].tables[0].rows] == [f"A-{k}" for k in range(1, 24)]
+    rows = {r.file: (r.lines, r.tables, r.skipped, r.error) for r in summary.collect()}
+    assert rows["B.pdf"] == (23, 1, None, None) and rows["A.pdf"] == (None, None, True, None) and rows["C.pdf"][3] == "ValueError: page 7" and rows["F.docx"] == (1, 1, None, None) and rows["D.pdf"] == (0, 0, None, None)
 
 
 def test_spreadsheet(spark):
