@@ -123,6 +123,12 @@ def best_names(names: DataFrame, roster: DataFrame, least: float = NAME_MATCH) -
     return known.unionByName(near).select("file_id", "e.team_ord", "e.member_ord", "e.member", "similarity")
 
 
+def best_matches(pairs: DataFrame, least: float = NAME_MATCH) -> DataFrame:
+    """The best of pairs (file_id, team_ord, member_ord, similarity, ...) of each file: highest similarity, then first in the roster; only above 0 and from least on."""
+    order = W.partitionBy("file_id").orderBy(F.col("similarity").desc(), "team_ord", "member_ord")
+    return pairs.where("similarity > 0").withColumn("place", F.row_number().over(order)).where((F.col("place") == 1) & (F.col("similarity") >= least)).drop("place")
+
+
 #: Bytes of the grams that patterns are found by, the longest that a pattern has; shorter patterns are found by all their bytes.
 GRAMS = [8, 4, 3, 2, 1]
 #: Bits of the table of grams (a power of two) that texts are checked against before anything is joined; it goes with the plan, so it has one size.

@@ -6,15 +6,18 @@ the tables inside the query, over all their rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import marks
 from docloom.functions import text as X
-from docloom.operators import compare, matching, pages, scoring, shaping, similarity
+from docloom.operators import compare, matching, pages, replies, scoring, shaping, similarity
 from docloom.plans import rubric
-from docloom.sources import files, images, store
+from docloom.sources import files, images, scratch, sqlite, store
 from docloom.sources.scratch import materialise
+from docloom.streaming import uploads
 
 #: The whitespace class in DuckDB's dialect.
 _WS = r"'[\s\p{Z}' || chr(28) || '-' || chr(31) || chr(133) || ']'"
@@ -214,7 +217,8 @@ def _sads(spark, d):
 
 
 def group_subtotals(spark, d):
-    return _sads(spark, d).groupBy("doc_id", "group").agg(F.sum("score").cast("long").alias("score"), F.sum("max").cast("long").alias("max"))
+    scored = _sads(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("group", "score", "max")).alias("criteria"))  # a report's criteria
+    return scoring.group_subtotals(scored).select("doc_id", "group", F.col("score").cast("long").alias("score"), F.col("max").cast("long").alias("max"))
 
 
 def rubric_totals(spark, d):
@@ -444,7 +448,7 @@ def match_summary(spark, d):
 def best_name_per_file(spark, d):
     li = _t(spark, d, "lineitem")
     pairs = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("team_ord"), F.col("l_linenumber").alias("member_ord"), (F.pmod("l_partkey", F.lit(11)) / 10.0).alias("similarity"))
-    return matching.best_names(pairs).select("file_id", "team_ord", "similarity")
+    return matching.best_matches(pairs).select("file_id", "team_ord", "similarity")
 
 
 def cited_items(spark, d):
@@ -474,6 +478,149 @@ def image_shapes(spark, d):
     return out.select("p_partkey", "edge_density", *(F.col(c).cast("long").alias(c) for c in ("n_boxes", "n_ellipses")), "type_guess")
 
 
+def requirement_rows(spark, d):
+    docs = _t(spark, d, "documents")
+    number = F.lpad(F.pmod("doc_id", F.lit(1000)).cast("string"), 4, "0")
+    text = F.concat(F.lit("Intro "), F.col("source"), F.lit("\n • ABC‑F‑"), number, F.lit(" (must) — "), F.col("source"), F.lit(" shall keep all of its "), F.col("lang"), F.lit(" records ABC-NF-01 safe \nno requirement\n"), F.when(F.col("doc_id") % 2 == 0, "XY-SEC-12: too short").otherwise("XY-SEC-12: this one is long enough"))
+    cells = F.create_map(F.lit("Req ID"), F.concat(F.lit("T-"), F.col("doc_id").cast("string")), F.lit("Requirement"), F.when(F.col("doc_id") % 3 > 0, F.substring("text", 1, 60)))
+    table = F.struct(F.array(F.lit("Req ID"), F.lit("Requirement")).alias("headers"), F.array(cells).alias("rows"), F.lit("Req ID").alias("req_id_col"), F.lit(1).alias("n_data_rows"))
+    made = docs.select("doc_id", text.alias("raw_text"), F.array(table).cast(f"array<{shaping.TABLE}>").alias("tables"))
+    return shaping.requirement_rows(shaping.with_requirement_table(made)).select("doc_id", F.col("table_idx").cast("long").alias("table_idx"), F.col("row_idx").cast("long").alias("row_idx"), "req_id", "text")
+
+
+def submission_listing(spark, d):
+    """The listing of submissions with their teams, in its order."""
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    subs = o.select(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")).alias("team_pk"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"))
+    teams = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 4 > 0, F.col("c_nationkey").cast("string")).alias("section"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_name")).alias("team_name"))
+    return store.submissions_report(subs, teams).select("team_pk", "section", "team_name", "filename")
+
+
+def roster_relations(spark, d):
+    """The three relations written anew and read back, submissions with their teams."""
+    teams, members = matching.relations(matching.roster(_roster_sheets(spark, d)))
+    subs = members.select(F.lit("srs").alias("doc_type"), F.concat("name", F.lit(".pdf")).alias("filename"), "team_pk")
+    root = f"{scratch.folder(spark)}/docloom-roster-{uuid.uuid4().hex}"
+    store.build_roster(teams, members, subs, root)
+    t, m, s = (spark.read.parquet(f"{root}/{x}") for x in ("teams", "team_members", "submissions"))
+    n = m.groupBy("team_pk").agg(F.count("*").alias("members"))
+    return s.join(t.select(F.col("id").alias("team_pk"), "section", "srs_mark"), "team_pk", "left").join(n, "team_pk").select("team_pk", "section", "srs_mark", "filename", "members")
+
+
+def sqlite_teams(spark, d):
+    """Teams written to a SQLite file and those with a mark of 5 or more read back."""
+    teams, _ = matching.relations(matching.roster(_roster_sheets(spark, d)))
+    path = f"{scratch.folder(spark)}/docloom-{uuid.uuid4().hex}.db"
+    sqlite.write(teams.select("id", "section", "team_name", "project_id", "srs_mark"), path, "teams")
+    return sqlite.read(spark, path, "teams").where((F.col("srs_mark") >= 5) & F.col("project_id").isNotNull())
+
+
+def filename_names(spark, d):
+    o = _t(spark, d, "orders")
+    k = F.col("o_orderkey")
+    mark = F.when(k % 4 == 0, "PESU").when(k % 4 == 1, "PESU-EC PESU").when(k % 4 == 2, "pesu").otherwise(" - PESU")
+    dash = F.when(k % 3 == 0, " - ").when(k % 3 == 1, "-").otherwise(" - x - ")
+    name = F.concat(F.lit("SRS_"), k.cast("string"), dash, F.lit(" "), F.col("o_orderpriority"), F.lit(" "), mark, F.lit("_"), F.col("o_orderstatus"), F.lit(".pdf"))
+    return o.select("o_orderkey", X.name_in_filename(name).alias("name"))
+
+
+def diagram_texts(spark, d):
+    p = _t(spark, d, "part")
+    image = F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("page"), F.when(F.col("p_size") % 3 == 0, F.lit(3)).alias("repeated_count"), F.lit(300).alias("width"), F.lit(200).alias("height"), F.col("p_brand").alias("type_guess"), F.pmod("p_partkey", F.lit(9)).alias("n_boxes"), F.lit(2).alias("n_ellipses"), F.col("p_size").alias("n_lines"), (F.col("p_partkey") % 5 == 0).alias("has_diagram_structure"))
+    found = F.when(F.col("p_partkey") % 6 == 0, F.slice(F.array(image), 1, 0)).when(F.col("p_partkey") % 6 == 1, F.array(image, image)).otherwise(F.array(image))
+    return p.select("p_partkey", scoring.diagram_evidence(found).alias("evidence"))
+
+
+def prompt_texts(spark, d):
+    """What prompts hold of each text, and how many fields they ask for."""
+    images = "array<struct<width:int,height:int,n_boxes:int,n_ellipses:int,n_lines:int,has_diagram_structure:boolean,type_guess:string,page:int,repeated_count:int>>"
+    kinds = F.array(*(F.lit(k) for k in sorted(rubric.CRITERIA)))
+    docs = _t(spark, d, "documents").select("doc_id", F.element_at(kinds, (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("doc_type"), F.col("text").alias("raw_text"), F.lit(None).cast(f"array<{shaping.TABLE}>").alias("tables"), F.lit(None).cast(images).alias("images"))
+    p = scoring.prompts(docs)
+    body = F.substring_index(F.substring(F.col("prompt"), F.locate("SUBMISSION:\n", F.col("prompt")) + 12, F.length("raw_text") + 1), "\n---\nDIAGRAMS", 1)
+    return p.select("doc_id", "doc_type", F.md5(F.rtrim(body, F.lit("\n")).cast("binary")).alias("text_md5"), F.regexp_count("prompt", F.lit('  "[a-z_]+_score": <')).cast("long").alias("scores"))
+
+
+def cited_counts(spark, d):
+    docs = _t(spark, d, "documents")
+    ids = F.when(F.col("doc_id") % 4 > 0, F.create_map(F.lit("fr"), F.split("source", "")))
+    return docs.select("doc_id", compare.id_count(ids, "fr").cast("long").alias("fr"), compare.id_count(ids, "nfr").cast("long").alias("nfr"))
+
+
+def _first_page(key):
+    def query(spark, d):
+        """The first page of the list."""
+        docs = _scored_documents(spark, d)
+        ids = F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("fr"), F.sequence(F.lit(1), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))))
+        rows = docs.select("doc_id", "team_id", "percentage", F.when(F.col("percentage").isNotNull(), F.struct("grounded_fraction")).alias("sanity_check"), ids.alias("extracted_ids"))
+        return compare.sort_rows(rows, key, descending=True).limit(50).select("doc_id")
+
+    return query
+
+
+def _uploads(spark, d):
+    o = _t(spark, d, "orders")
+    n = F.pmod("o_orderkey", F.lit(6))
+    name = F.concat(F.lit("Team "), F.col("o_custkey").cast("string"), F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(""), F.when(F.col("o_orderkey") % 11 == 0, ".txt").otherwise(".pdf"))
+    return o.select(F.when(F.col("o_orderkey") % 2 == 0, "srs").otherwise("sads").alias("doc_type"), name.alias("source"), F.col("o_orderkey").alias("upload_ord"), F.pmod("o_custkey", F.lit(3)).alias("day"))
+
+
+def upload_history(spark, d):
+    """Uploads of three runs merged one after the other, and when each stored row held."""
+    table = f"{scratch.folder(spark)}/docloom-uploads-{uuid.uuid4().hex}"
+    named = uploads.with_team(_uploads(spark, d).withColumn("day", F.pmod("upload_ord", F.lit(3)))).where("NOT rejected").drop("rejected")
+    for day in range(3):
+        uploads.merge(spark, table, named.where(F.col("day") == day), day)
+    return uploads.history(spark, table).select("doc_type", "team_id", "rank", "upload_ord", "run_from", "run_to")
+
+
+def upload_decisions(spark, d):
+    """Uploads as a stream of one batch, and what became of each."""
+    root = f"{scratch.folder(spark)}/docloom-stream-{uuid.uuid4().hex}"
+    _uploads(spark, d).write.parquet(f"{root}/box")
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, uploads.ROCKS_DB)
+    try:
+        stream = spark.readStream.schema(spark.read.parquet(f"{root}/box").schema).parquet(f"{root}/box")
+        uploads.decisions(stream).writeStream.option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).format("parquet").option("path", f"{root}/out").start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{root}/out").select("doc_type", "team_id", "upload_ord", "rank", "status")
+
+
+def model_replies(spark, d):
+    """Replies of a stand-in for a model, stored by prompt, and asked for again: the second time all are there."""
+    root = f"{scratch.folder(spark)}/docloom-replies-{uuid.uuid4().hex}"
+    prompted = _t(spark, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("prompt"))
+    replies.ask(prompted, _stand_in, root, attempts=1)
+    return replies.ask(prompted, _stand_in, root, attempts=1).select("doc_id", "raw", "error")
+
+
+def _stand_in(prompt: str) -> str:
+    if prompt.endswith("fr"):
+        raise ValueError(f"no reply to {prompt}")
+    return prompt[::-1]
+
+
+def pdf_ranges(spark, d):
+    """Texts as files of 8 lines a page, decoded by ranges of 3 pages."""
+    docs = _t(spark, d, "documents")
+    given = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.col("text").cast("binary").alias("content"))
+    paged, _ = files.decode_pages(given, files.PdfDecoder(_page_count, _page_lines), 3)
+    n = paged.groupBy("source").agg(F.max("page").cast("long").alias("pages"))
+    out = pages.documents(paged.drop("images")).join(n, "source")
+    return out.select(F.regexp_replace("source", "[.]pdf$", "").cast("long").alias("doc_id"), "pages", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
+
+
+def _page_count(content: bytes) -> int:
+    return content.count(b"\n") // 8 + 1
+
+
+def _page_lines(content: bytes, first: int, last: int) -> list[dict]:
+    lines = content.decode().split("\n")
+    return [{"lines": [(0, [t], 0.0, 10.0 * y, 90.0, 10.0 * y + 9) for y, t in enumerate(lines[8 * k - 8 : 8 * k])]} for k in range(first, last + 1)]
+
+
 FLAGSHIP = shingle_jaccard_pairs
 
 QUERIES = {
@@ -487,6 +634,9 @@ QUERIES = {
     "plagiarism_report": plagiarism_report, "roster_members": roster_members, "roster_teams": roster_teams, "hand_maxima": hand_maxima, "pdf_pages": pdf_pages, "batch_summary": batch_summary,
     "teams_with_scores": teams_with_scores, "team_id_list": team_id_list, "stale_scores": stale_scores, "missing_marks": missing_marks, "summary_parts": summary_parts, "match_summary": match_summary,
     "best_name_per_file": best_name_per_file, "cited_items": cited_items, "sorted_rows": sorted_rows, "team_labels": team_labels, "image_shapes": image_shapes,
+    "requirement_rows": requirement_rows, "submission_listing": submission_listing, "roster_relations": roster_relations, "sqlite_teams": sqlite_teams, "filename_names": filename_names,
+    "diagram_texts": diagram_texts, "prompt_texts": prompt_texts, "cited_counts": cited_counts, "sorted_grounded": _first_page("grounded"), "sorted_idcount": _first_page("idcount:fr"),
+    "upload_history": upload_history, "upload_decisions": upload_decisions, "model_replies": model_replies, "pdf_ranges": pdf_ranges,
 }
 
 _CRIT = lambda d: "(VALUES " + ", ".join(f"({k}, '{c[0]}', {c[2]}, {repr(c[3]) if c[3] else 'NULL'})" for k, c in enumerate(rubric.CRITERIA[d])) + ") c(ord, key, top, grp)"
@@ -522,7 +672,36 @@ _NAMES = f"""prs AS MATERIALIZED (
     list_distinct(list_filter(regexp_split_to_array(upper(s_name || ' supplier'), '[^A-Z]+'), lambda x: length(x) > 1)) AS na, list_distinct(list_filter(regexp_split_to_array(upper('Supplier ' || n_name), '[^A-Z]+'), lambda x: length(x) > 1)) AS nb
   FROM supplier, nation),{_RATIO}"""
 
+_UPLOADS = """u AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'srs' ELSE 'sads' END AS doc_type, 'Team ' || o_custkey AS team_id, CASE WHEN o_orderkey % 6 > 1 THEN o_orderkey % 6 ELSE -1 END AS rank, o_orderkey AS upload_ord, o_orderkey % 3 AS day, o_orderkey % 11 = 0 AS bad FROM orders)"""
+
 ORACLES = {
+    "requirement_rows": f"""WITH w AS (SELECT {_WS} AS ws), r AS (
+  SELECT doc_id, 0 AS table_idx, 0 AS row_idx, 'T-' || doc_id AS req_id, {_STRIP.format("regexp_replace(coalesce(CASE WHEN doc_id % 3 > 0 THEN substr(text, 1, 60) END, ''), '(?i)\\b[a-z]{2,6}-(?:F|NF|SEC)-[0-9]{2,4}\\b', '', 'g')")} AS text, ws FROM documents, w
+  UNION ALL SELECT doc_id, 1, 0, 'ABC-F-' || lpad((doc_id % 1000)::VARCHAR, 4, '0'), source || ' shall keep all of its ' || lang || ' records  safe', ws FROM documents, w
+  UNION ALL SELECT doc_id, 1, 1, 'XY-SEC-12', CASE WHEN doc_id % 2 = 0 THEN 'too short' ELSE 'this one is long enough' END, ws FROM documents, w)
+SELECT doc_id, table_idx::BIGINT AS table_idx, row_idx::BIGINT AS row_idx, req_id, text FROM r WHERE len(list_filter(regexp_split_to_array(text, ws || '+'), lambda x: x <> '')) >= 5""",
+    "submission_listing": """SELECT o.team_pk, section, team_name, filename FROM (SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END AS team_pk, 'f' || o_orderkey AS filename FROM orders) o
+LEFT JOIN (SELECT c_custkey AS id, CASE WHEN c_nationkey % 4 > 0 THEN c_nationkey::VARCHAR END AS section, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS team_name FROM customer) c ON c.id = o.team_pk""",
+    "roster_relations": f"""WITH {_ROSTER}, i AS (SELECT *, dense_rank() OVER (ORDER BY sheet_ord, team_ord) AS team_pk FROM f)
+SELECT team_pk, section, first_value(srs_mark) OVER (PARTITION BY team_pk ORDER BY row_idx) AS srs_mark, member || '.pdf' AS filename, count(*) OVER (PARTITION BY team_pk) AS members FROM i""",
+    "sqlite_teams": f"""WITH {_ROSTER}, i AS (SELECT *, dense_rank() OVER (ORDER BY sheet_ord, team_ord) AS id FROM f)
+SELECT id, any_value(section) AS section, any_value(team_name) AS team_name, any_value(project_id) AS project_id, any_value(srs_mark) AS srs_mark FROM i WHERE srs_mark >= 5 AND project_id IS NOT NULL GROUP BY id""",
+    "filename_names": """WITH n AS (SELECT o_orderkey, o_orderkey % 4 AS m, o_orderkey % 3 AS s, o_orderpriority FROM orders)
+SELECT o_orderkey, CASE WHEN m = 2 THEN NULL WHEN m = 3 THEN '' WHEN s = 1 THEN NULL ELSE o_orderpriority || CASE WHEN m = 1 THEN ' PESU-EC' ELSE '' END END AS name FROM n""",
+    "diagram_texts": """WITH p AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS n, CASE WHEN p_size % 2 = 0 THEN ' page ' || p_size ELSE ' in the text' END || CASE WHEN p_size % 3 = 0 THEN ' and 2 more times' ELSE '' END || '; ' || p_brand || '; ' || (p_partkey % 9) || ' boxes, 2 ovals, ' || p_size || ' lines; ' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'not ' END || 'drawn like a diagram' AS line FROM part)
+SELECT p_partkey, CASE n WHEN 0 THEN 'No pictures large enough for a diagram. Drawings may be vector graphics: go by captions, and say so in the flags.' ELSE 'Shapes were counted by machine; what they mean was not looked at.' || chr(10) || '- #1' || line || CASE WHEN n = 2 THEN chr(10) || '- #2' || line ELSE '' END END AS evidence FROM p""",
+    "prompt_texts": f"""SELECT doc_id, t.doc_type, md5(rtrim(text, chr(10))) AS text_md5, t.scores FROM documents JOIN (VALUES {', '.join(f"({k}, '{name}', {len(rubric.CRITERIA[name])})" for k, name in enumerate(sorted(rubric.CRITERIA)))}) t(k, doc_type, scores) ON t.k = doc_id % 3""",
+    "cited_counts": "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN length(source) END AS fr, NULL::BIGINT AS nfr FROM documents",
+    "sorted_grounded": f"WITH {_SCORED} SELECT doc_id FROM s ORDER BY CASE WHEN percentage IS NOT NULL THEN fraction ELSE -1 END DESC, lower(team_id) LIMIT 50",
+    "sorted_idcount": f"WITH {_SCORED} SELECT doc_id FROM s ORDER BY CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 + 1 ELSE -1 END DESC, lower(team_id) LIMIT 50",
+    "upload_history": f"""WITH {_UPLOADS}, m AS (SELECT *, max(rank) OVER (PARTITION BY doc_type, team_id ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY doc_type, team_id, day ORDER BY rank DESC, upload_ord) AS rn FROM u WHERE NOT bad),
+k AS (SELECT *, day + 1 AS run_from FROM m WHERE rn = 1 AND (before IS NULL OR rank > before))
+SELECT doc_type, team_id, rank, upload_ord, run_from, lead(run_from) OVER (PARTITION BY doc_type, team_id ORDER BY run_from) - 1 AS run_to FROM k""",
+    "upload_decisions": f"""WITH {_UPLOADS}, m AS (SELECT *, max(CASE WHEN NOT bad THEN rank END) OVER (PARTITION BY doc_type, team_id ORDER BY upload_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u)
+SELECT doc_type, team_id, upload_ord, rank, CASE WHEN bad THEN 'rejected' WHEN rank <= before THEN 'skipped' ELSE 'stored' END AS status FROM m""",
+    "model_replies": "SELECT doc_id, CASE WHEN lang <> 'fr' THEN reverse(source || ' ' || lang) END AS raw, CASE WHEN lang = 'fr' THEN 'no reply to ' || source || ' ' || lang END AS error FROM documents",
+    "pdf_ranges": f"""WITH w AS (SELECT {_WS} AS ws), l AS (SELECT doc_id, i, {_STRIP.format("t")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), w)
+SELECT doc_id, ((max(i) - 1) // 8 + 1)::BIGINT AS pages, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '')) AS text_md5 FROM l GROUP BY doc_id""",
     "line_rows": f"WITH {_LINES} SELECT doc_id, row_idx, text FROM rows_",
     "shingle_counts": f"WITH {_TOKENS} SELECT doc_id, row_idx, len(t)::BIGINT AS n_tokens, coalesce(len(s), 0)::BIGINT AS n_shingles FROM toks LEFT JOIN sh ON sh.k = array_to_string(toks.t, ' ')",
     "shingle_jaccard_pairs": f"WITH {_TOKENS} SELECT x AS tokens_a, y AS tokens_b, round(jaccard, 3) AS jaccard FROM jp WHERE x < y",

@@ -195,8 +195,8 @@ def test_prompts_and_model_calls(spark):
     shape = f"doc_id int, doc_type string, raw_text string, tables array<{shaping.TABLE}>, images array<struct<width:int,height:int,n_boxes:int,n_ellipses:int,n_lines:int,has_diagram_structure:boolean,type_guess:string,page:int,repeated_count:int>>"
     df = spark.createDataFrame([(1, "srs", "body", None, [(5, 6, 1, 2, 3, True, "k", 4, 2)]), (2, "sads", "x", None, None)], shape)
     p = {r.doc_id: r.prompt for r in scoring.prompts(df, {"srs": "PROSE"}).collect()}
-    assert p[1].startswith("PROSE") and "body" in p[1] and "Image 1 (page 4, repeated on 2 pages, 5x6): k" in p[1] and '"uml_score": <integer 0-2>' in p[1]
-    assert "No raster image" in p[2] and "api_endpoints_found" in p[2]
+    assert p[1].startswith("PROSE") and "body" in p[1] and "- #1 page 4 and 1 more times; k; 1 boxes, 2 ovals, 3 lines; drawn like a diagram" in p[1] and '"uml_score": <integer 0-2>' in p[1]
+    assert "No pictures large enough" in p[2] and "api_endpoints_found" in p[2]
 
     def client(prompt):
         if "body" not in prompt:
@@ -233,8 +233,11 @@ def test_stores_and_stream(spark, tmp_path):
     store.put_json(a, f"{tmp_path}/j")
     (tmp_path / "k").mkdir()
     (tmp_path / "k" / "Team A_ingested.json").write_text('{"source": "A.pdf",\n "raw_text": "x"}')
-    r = files.json_records(spark, f"{tmp_path}/k", "source string, raw_text string").first()
-    assert (r.team_id, r.source) == ("Team A", "A.pdf")
+    (tmp_path / "k" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "k" / "deep" / "er" / "Team B_ingested.json").write_text('{"source": "B.pdf"}')
+    (tmp_path / "k" / "deep" / "Team B_score.json").write_text('{"source": "no"}')
+    records = lambda deep: {(r.team_id, r.source) for r in files.json_records(spark, f"{tmp_path}/k", "source string, raw_text string", recursive=deep).collect()}
+    assert records(False) == {("Team A", "A.pdf")} and records(True) == {("Team A", "A.pdf"), ("Team B", "B.pdf")}
 
 
 def test_comparison_edges(spark):
