@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import blocks
 from docloom.functions import text as X
 from docloom.operators import overlap
+from docloom.sources import store
 from docloom.sources.scratch import materialise
 
 NAME_MATCH, CONTENT_MATCH, LOW_CONFIDENCE = 0.6, 0.95, 0.85
@@ -216,6 +217,15 @@ def match_counts(matches: DataFrame) -> DataFrame:
     )
 
 
+def put_matches(matches: DataFrame, path: str, doc_types: list[str]) -> DataFrame:
+    """Writes matches (doc_type, match_method, ...) by doc_type and gives the totals of match_counts() for doc_types, counted in the pass that writes."""
+    m, kind = F.col("match_method"), F.col("doc_type")
+    parts = {"total": F.lit(True), "matched": m == "filename", "content_fallback": m == "content", "unmatched": m == "none"}
+    seen = store.put_counted(matches, path, "doc_type", **{f"{k}_{part}": F.count_if((kind == d) & ok) for k, d in enumerate(doc_types) for part, ok in parts.items()})
+    rows = [(d, *(seen[f"{k}_{part}"] for part in parts)) for k, d in enumerate(doc_types)]  # a row for each of doc_types
+    return matches.sparkSession.createDataFrame(rows, f"doc_type string, {', '.join(f'{part} long' for part in parts)}")
+
+
 def several_files(matches: DataFrame) -> DataFrame:
     """Teams with more than one file of a doc_type, and the sorted names."""
     out = matches.where("team_ord IS NOT NULL").groupBy("doc_type", "team_ord").agg(F.sort_array(F.collect_list("filename")).alias("filenames"))

@@ -445,6 +445,14 @@ def match_summary(spark, d):
     return matching.match_counts(m).join(several, "doc_type", "left").join(low, "doc_type", "left")
 
 
+def counted_matches(spark, d):
+    """Matches written to a table, and their totals counted on the way."""
+    o = _t(spark, d, "orders")
+    kind = F.element_at(F.array(F.lit("filename"), F.lit("content"), F.lit("none")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
+    m = o.select(F.element_at(F.array(*(F.lit(k) for k in rubric.CRITERIA)), (F.pmod("o_custkey", F.lit(3)) + 1).cast("int")).alias("doc_type"), "o_orderkey", kind.alias("match_method"))
+    return matching.put_matches(m, f"{scratch.folder(spark)}/docloom-matches-{uuid.uuid4().hex}", list(rubric.CRITERIA))
+
+
 def best_name_per_file(spark, d):
     li = _t(spark, d, "lineitem")
     pairs = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_suppkey").alias("team_ord"), F.col("l_linenumber").alias("member_ord"), (F.pmod("l_partkey", F.lit(11)) / 10.0).alias("similarity"))
@@ -636,7 +644,7 @@ QUERIES = {
     "best_name_per_file": best_name_per_file, "cited_items": cited_items, "sorted_rows": sorted_rows, "team_labels": team_labels, "image_shapes": image_shapes,
     "requirement_rows": requirement_rows, "submission_listing": submission_listing, "roster_relations": roster_relations, "sqlite_teams": sqlite_teams, "filename_names": filename_names,
     "diagram_texts": diagram_texts, "prompt_texts": prompt_texts, "cited_counts": cited_counts, "sorted_grounded": _first_page("grounded"), "sorted_idcount": _first_page("idcount:fr"),
-    "upload_history": upload_history, "upload_decisions": upload_decisions, "model_replies": model_replies, "pdf_ranges": pdf_ranges,
+    "upload_history": upload_history, "upload_decisions": upload_decisions, "model_replies": model_replies, "pdf_ranges": pdf_ranges, "counted_matches": counted_matches,
 }
 
 _CRIT = lambda d: "(VALUES " + ", ".join(f"({k}, '{c[0]}', {c[2]}, {repr(c[3]) if c[3] else 'NULL'})" for k, c in enumerate(rubric.CRITERIA[d])) + ") c(ord, key, top, grp)"
@@ -699,6 +707,8 @@ k AS (SELECT *, day + 1 AS run_from FROM m WHERE rn = 1 AND (before IS NULL OR r
 SELECT doc_type, team_id, rank, upload_ord, run_from, lead(run_from) OVER (PARTITION BY doc_type, team_id ORDER BY run_from) - 1 AS run_to FROM k""",
     "upload_decisions": f"""WITH {_UPLOADS}, m AS (SELECT *, max(CASE WHEN NOT bad THEN rank END) OVER (PARTITION BY doc_type, team_id ORDER BY upload_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u)
 SELECT doc_type, team_id, upload_ord, rank, CASE WHEN bad THEN 'rejected' WHEN rank <= before THEN 'skipped' ELSE 'stored' END AS status FROM m""",
+    "counted_matches": f"""SELECT doc_type, count(*) AS total, count(*) FILTER (o_orderkey % 3 = 0) AS matched, count(*) FILTER (o_orderkey % 3 = 1) AS content_fallback, count(*) FILTER (o_orderkey % 3 = 2) AS unmatched
+FROM orders JOIN (VALUES {', '.join(f"({k}, '{name}')" for k, name in enumerate(rubric.CRITERIA))}) t(k, doc_type) ON t.k = o_custkey % 3 GROUP BY doc_type""",
     "model_replies": "SELECT doc_id, CASE WHEN lang <> 'fr' THEN reverse(source || ' ' || lang) END AS raw, CASE WHEN lang = 'fr' THEN 'no reply to ' || source || ' ' || lang END AS error FROM documents",
     "pdf_ranges": f"""WITH w AS (SELECT {_WS} AS ws), l AS (SELECT doc_id, i, {_STRIP.format("t")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), w)
 SELECT doc_id, ((max(i) - 1) // 8 + 1)::BIGINT AS pages, md5(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '')) AS text_md5 FROM l GROUP BY doc_id""",

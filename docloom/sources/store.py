@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,13 @@ def put(df: DataFrame, path: str, partition: str | None = "doc_type") -> None:
     (w.option("partitionOverwriteMode", "dynamic").partitionBy(partition) if partition else w).parquet(path)
 
 
+def put_counted(df: DataFrame, path: str, partition: str | None = "doc_type", **metrics: Column) -> dict:
+    """put() that counts as it writes: the value of each metric, an aggregate without distinct, over the rows of the one pass that writes them."""
+    seen = Observation()
+    put(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), path, partition)
+    return seen.get
+
+
 def put_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
