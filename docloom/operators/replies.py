@@ -12,6 +12,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, as_completed
+from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -29,7 +30,8 @@ _STORED = pa.schema([("key", pa.string()), ("raw", pa.string())])
 
 
 def _folder(root: str, bucket: int) -> tuple[fs.FileSystem, str]:
-    system, path = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    parsed = urlparse(root)
+    system, path = (fs.LocalFileSystem(), parsed.path) if parsed.scheme in ("", "file") else fs.FileSystem.from_uri(root)
     return system, f"{path}/bucket={bucket}"
 
 

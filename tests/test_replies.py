@@ -25,7 +25,7 @@ def client_of(folder, dies_after=None):
 
 
 def test_a_killed_run_repeats_no_stored_call(spark, tmp_path):
-    log, root = tmp_path / "log", f"file://{tmp_path}/replies"
+    log, root = tmp_path / "log", f"file:{tmp_path}/replies"
     log.mkdir()
     rows = [(k, f"p{k % 70}") for k in range(100)] + [(200, None), (201, "bad 1"), (202, "bad 1")]
     df = spark.createDataFrame(rows, "doc_id int, prompt string").repartition(3)
