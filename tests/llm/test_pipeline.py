@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as P
 from docloom.llm import fm_index, language_id, mixing
 
@@ -42,9 +44,22 @@ def test_stages_against_brute_force(spark, sf):
 def test_run_and_odd_rows(spark, sf, odd_docs):
     assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} <= set(P.run(spark, sf).columns)
     docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in P.STAGES:
-        docs = stage(spark, docs, sf)
-        docs.collect()
+    rows = lambda df: Counter(tuple(r[c] for c in docs.columns) for r in df.collect())
+    given, by = rows(docs), dict(P.STAGES)
+    # rows without letters go, all others that stay are as they were but for a language that was missing
+    known = by["language_id"](spark, docs, sf)
+    assert all(any(c.isalpha() for c in r[1]) for r in rows(known)) and rows(known) <= Counter({(*r[:2], r[2] or x, *r[3:]): n for r, n in given.items() for x in ("en", "de", "fr", "es")})
+    # one of the three rows of a text, one of the four without words, with the smallest id
+    once = by["near_dedup"](spark, docs, sf)
+    assert sorted((r[0], (r[1] or "")[:11]) for r in rows(once) if r[0] is not None) == [(1, "Another tex"), (1, "The quick b"), (3, ""), (6, "12345 !!! 6"), (7, "word0 item0"), (8, "Über die St")]
+    assert sorted(r[1] for r in rows(once) if r[0] is None) == ["An id is missing here"] and sum(rows(once).values()) == 7 and rows(once) <= given
+    # nothing here is in the benchmark: all rows stay, null texts with their n_chars
+    clean = by["decontamination"](spark, docs, sf)
+    assert rows(clean) == Counter((*r[:4], r[4] if r[1] is None else len(r[1])) for r in given.elements())
+    mixed = by["mixing"](spark, docs, sf)
+    assert rows(mixed) <= given
+    shards = by["sharding"](spark, docs, sf)
+    assert rows(shards) == given and {r.shard for r in shards.collect() if r.doc_id is None} and len({r.shard for r in shards.collect() if r.doc_id == 1}) == 1
     empty = odd_docs.limit(0).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf).count() == 0

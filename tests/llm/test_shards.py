@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from docloom.llm import shards as S
 
 
@@ -81,3 +83,14 @@ def test_order_needs_no_session_setting_and_maps_are_carried(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert orders[0] == orders[1] == orders[2] and len(orders[0]) == len(rows)
+
+
+def test_shards_recomputed_outside_spark(spark, sf):
+    def draw(doc_id, k):
+        h = 42
+        for part in (("" if doc_id is None else str(doc_id)).encode(), k.to_bytes(4, "little"), S.SEED.to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(part, h)
+        return (h - (1 << 64) if h >> 63 else h), k
+
+    rows = S.op9(spark, sf).collect()
+    assert all(r.shard == max(draw(r.doc_id, k) for k in range(40))[1] and r.grown_shard == max(draw(r.doc_id, k) for k in range(41))[1] for r in rows)
