@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -27,6 +28,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def trimmed(run):
+    """run, for mapInArrow, after which the memory that it has freed goes back to the system: workers live on, and keep it else."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); where that is unset, a folder of our own on one machine and an error on several."""
     sc = spark.sparkContext

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import bounded_batches, table
+from docloom.llm.common import bounded_batches, table, trimmed
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -281,18 +281,22 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
             block.append((r[0], bytes(r[1]) if r[1] is not None else None))
             size += len(r[1] or b"") // 2  # at most so many windows
         if size >= pass_windows or (r is None and (block or not blocks)):
-            state = state.mapInArrow(_pass(spark.sparkContext.broadcast(windows_of(block, window)), shard_words), schema)
+            state = state.mapInArrow(trimmed(_pass(spark.sparkContext.broadcast(windows_of(block, window)), shard_words)), schema)
             block, size, blocks = [], 0, blocks + 1
     return state.select(*cols, F.col("__spans").alias("spans"), F.col("__items").alias("items"), F.col("__n_words").alias("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS // 4) -> DataFrame:
     """docs with every hit span cut from its text; documents without hits stay as they are, and so do all other columns.
 
-    A span is cut from the first byte of its first word to the last byte of its last word.
+    A span is cut from the first byte of its first word to the last byte of its last word. Null texts stay null, repeated rows are
+    cut alike, and an empty benchmark cuts nothing; an empty docs gives no rows. Shards are smaller than find()'s, as whole
+    records wait with them; a longer text is a shard of its own, and its index takes memory in proportion.
     """
-    found = find(docs.select("text", F.struct(*docs.columns).alias("record")), benchmark, window)
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("record", docs.select(F.struct(*docs.columns).alias("record")).schema["record"].dataType)])
+    others = F.struct(F.lit(0).alias("__"), *(c for c in docs.columns if c != "text")).alias("record")
+    given = docs.select("text", others)
+    found = find(given, benchmark, window, shard_words)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("record", given.schema["record"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -311,7 +315,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     texts[k] = b"".join([*kept, raw[end:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("record")], ["text", "record"])
 
-    cut = found.select("text", "record", "spans").mapInArrow(run, schema)
+    cut = found.select("text", "record", "spans").mapInArrow(trimmed(run), schema)
     return cut.select(*(F.col("text") if c == "text" else F.col("record")[c].alias(c) for c in docs.columns))
 
 

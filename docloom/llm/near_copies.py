@@ -5,7 +5,9 @@
 2. So the rest is found by prefix filtering, which misses none: shingles have one order for all texts (those often seen in
    a sample last, then by hash), and two sets that are so similar share one of the first n - ceil(0.8 n) + 1 of each. Under
    each such shingle every set is compared with one other, the hub: the set whose shingles are seen most often.
-3. Then come those pairs under one shingle that still lie in different components.
+3. Then come those pairs under one shingle that still lie in different components, the smaller set by size. As its partner has
+   at least its size, the smaller set's first n - ceil(8/9 n) + 1 shingles are enough: pages that share a template, with more
+   of their own than near copies can have, don't meet on it. A shingle of many sets is dealt to tasks in pairs of blocks.
 
 Parities of hashed shingles, 2 bits a shingle or more, bound a pair's difference from below, so that only pairs near the limit
 are left; they are kept as arrays in the shared folder, by set. In step 3 they are looked up where the sets of a shingle
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash
-from docloom.llm.common import Shared, bounded_batches, discard, materialise, row_key, scratch
+from docloom.llm.common import Shared, bounded_batches, discard, materialise, row_key, scratch, trimmed
 from docloom.llm.sorted_arrays import Arrays, Store, part_bits, store_arrays
 
 SHINGLE = 5
@@ -41,6 +43,8 @@ SAMPLE, HOT, MAX_HOT = 5_000, 3, 200_000
 PARITIES = 8
 #: Partners of a set that one task compares it with, about.
 PARTNERS = 2_000
+#: Sets of a shingle that one task compares with as many others, about.
+BLOCK = 2_048
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -95,7 +99,7 @@ class Parities:
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
 
         dealt = sets.select("id", "n", "parity").repartition(1 << bits, F.shiftrightunsigned("id", 64 - bits))
-        dealt.mapInArrow(run, "part int").agg(F.count("*")).collect()
+        dealt.mapInArrow(trimmed(run), "part int").agg(F.count("*")).collect()
         self.arrays = Arrays(store, "parity", np.uint64, bits, 64, dict.fromkeys(("begin", "size", "n", "words"), np.int64))
 
     def of(self, ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -126,7 +130,7 @@ def _often(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that many texts of a sample have, and how many."""
     every = max(1, docs.count() // SAMPLE)
     texts = docs.select(F.col("text").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    counted = texts.mapInArrow(_all_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
+    counted = texts.mapInArrow(trimmed(_all_shingles), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
     rows = counted.orderBy(F.desc("n"), "shingle").limit(MAX_HOT).toArrow()  # at most MAX_HOT rows
     keys, n = rows["shingle"].to_numpy(), rows["n"].to_numpy()
     order = np.argsort(keys)
@@ -161,7 +165,7 @@ def _prefixes(often: Shared) -> Callable:
 
 
 def _shared_keys(keys: Arrays) -> Callable:
-    """(key, id, n, seen) of the first shingles that other sets have too."""
+    """(key, id, n, seen, k) of the first shingles that other sets have too; k is their place, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +174,8 @@ def _shared_keys(keys: Arrays) -> Callable:
             distinct, back = np.unique(flat.view(np.uint64), return_inverse=True)
             hit = (keys.find(distinct) >= 0)[back]
             row = np.repeat(np.arange(b.num_rows), size)[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *(b.column(c).take(pa.array(row)) for c in ("id", "n", "seen"))], ["key", "id", "n", "seen"])
+            place = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *(b.column(c).take(pa.array(row)) for c in ("id", "n", "seen")), pa.array(place.astype(np.int32))], ["key", "id", "n", "seen", "k"])
 
     return run
 
@@ -209,16 +214,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, parities_: Parities) -> DataFrame:
     """Those of the candidates (a, b) that are similar, by the texts of one row of each set (sets: id, row_key)."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("row_key").alias(f"{x}_row"))
-    close = pairs.distinct().mapInArrow(_close(parities_), "a long, b long")
+    close = pairs.distinct().mapInArrow(trimmed(_close(parities_)), "a long, b long")
     close = materialise(close.join(side("a"), "a").join(side("b"), "b"), "candidates")
     partners = close.groupBy("a", "a_row").agg(F.count("*").alias("partners"))
     tasks = F.ceil(F.col("partners") / F.lit(PARTNERS)).cast("long")
     own = partners.select(F.col("a_row").alias("row_key"), "a", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("salt"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("b"))
     others = close.join(partners.select("a", tasks.alias("tasks")), "a").select(F.col("b_row").alias("row_key"), "a", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("salt"), F.lit(0).cast("long").alias("own"), "b")
     wanted = store_arrays(own.unionByName(others), f"{scratch(docs.sparkSession)}/docloom-near-{uuid.uuid4().hex}", "wanted", close.count())
-    texts = docs.select(row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(_send(wanted), _SENT)
+    texts = docs.select(row_key().alias("row_key"), F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(_send(wanted)), _SENT)
     sorted_ = texts.repartition("a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
-    return sorted_.mapInArrow(_verify, "a long, b long").distinct()
+    return sorted_.mapInArrow(trimmed(_verify), "a long, b long").distinct()
 
 
 def _close(parities_: Parities) -> Callable:
@@ -237,22 +242,26 @@ def _close(parities_: Parities) -> Callable:
 
 
 def _cross(parities_: Parities) -> Callable:
-    """Pairs (a, b) of different roots under one key that can be similar. Rows (key, id, n, root) come sorted by key; a key's rows are compared one with the rest."""
+    """Pairs (a, b) of different roots that can be similar. Rows (key, x, y, small, id, n, root) come sorted by key and blocks x, y: each small one is compared with the others of its block that are no smaller."""
     p, q = SIMILARITY
 
-    def pairs(ids: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(n, kind="stable")
-        ids, n, root = ids[order], n[order], root[order]
-        words, _ = parities_.of(ids)
+    def pairs(small: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = np.flatnonzero(small), np.flatnonzero(~small)
+        if not len(left) or not len(right) or (root == root[0]).all():
+            return
+        right = right[np.argsort(n[right], kind="stable")]
+        distinct, at = np.unique(ids, return_inverse=True)
+        words, _ = parities_.of(distinct)
         short = np.stack([folded(w, PARITIES) for w in words]).view(np.uint64)
+        near, sizes, others, known = short[at[right]], n[right], root[right], ids[right]
         found = []
-        for i in range(len(ids) - 1):
-            stop = int(np.searchsorted(n, n[i] * q // p, side="right"))
-            rest = np.flatnonzero(root[i + 1 : stop] != root[i]) + i + 1
-            differ = np.bitwise_count(short[rest] ^ short[i]).sum(axis=1, dtype=np.int64)
-            rest = rest[differ * (p + q) <= (n[rest] + n[i]) * (q - p)]
-            found += [(ids[i], ids[j]) for j in rest.tolist() if may_be_similar(words[i], words[j], int(n[i] + n[j]))]
-            if len(found) > 20_000 or (found and i == len(ids) - 2):
+        for i in left.tolist():
+            start, stop = np.searchsorted(sizes, [n[i], n[i] * q // p + 1])
+            rest = np.flatnonzero((others[start:stop] != root[i]) & ((sizes[start:stop] > n[i]) | (known[start:stop] > ids[i]))) + start
+            differ = np.bitwise_count(near[rest] ^ short[at[i]]).sum(axis=1, dtype=np.int64)
+            rest = rest[differ * (p + q) <= (sizes[rest] + n[i]) * (q - p)]
+            found += [(ids[i], known[j]) for j in rest.tolist() if may_be_similar(words[at[i]], words[at[right[j]]], int(n[i] + sizes[j]))]
+            if len(found) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
                 found = []
         if found:
@@ -261,18 +270,23 @@ def _cross(parities_: Parities) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
+        def begins(cols: list[np.ndarray]) -> np.ndarray:
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
+            return np.flatnonzero(new)
+
         def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            edge = np.r_[np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]), len(cols[0])]
+            edge = np.r_[begins(cols), len(cols[0])]
             for a, b in zip(edge[:-1], edge[1:]):
-                yield from pairs(*(c[a:b] for c in cols[1:]))
+                yield from pairs(*(c[a:b] for c in cols[3:]))
 
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append([b.column(c).to_numpy() for c in ("key", "id", "n", "root")])
-            if held[0][0][0] != held[-1][0][-1]:  # the last key may go on
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "x", "y", "small", "id", "n", "root")])
+            if any(held[0][c][0] != held[-1][c][-1] for c in range(3)):  # the last block may go on
                 cols = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.argmax(cols[0] == cols[0][-1]))
+                cut = int(begins(cols)[-1])
                 yield from done([c[:cut] for c in cols])
                 held = [[c[cut:] for c in cols]]
         if held:
@@ -301,7 +315,7 @@ def groups(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     often = Shared(docs.sparkSession, _often(docs))
     src = docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
-    found = materialise(src.mapInArrow(_prefixes(often), _FOUND), "prefixes")
+    found = materialise(src.mapInArrow(trimmed(_prefixes(often)), _FOUND), "prefixes")
     sets = materialise(found.select("id", "row_key", "n", "fp", "parity").dropDuplicates(["id"]), "sets")
     words = Parities(sets, f"{scratch(docs.sparkSession)}/docloom-near-{uuid.uuid4().hex}", sets.count())
     # 1: fingerprints close to each other, each by its least set, and sets of one fingerprint
@@ -313,17 +327,25 @@ def groups(docs: DataFrame) -> DataFrame:
     several = found.select("id", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     several = materialise(several, "keys")
     stored = store_arrays(several, f"{scratch(docs.sparkSession)}/docloom-near-{uuid.uuid4().hex}", "key", several.count())
-    shared = materialise(found.select("id", "n", "seen", "prefix").mapInArrow(_shared_keys(stored), "key long, id long, n int, seen long").distinct(), "shared")
+    shared = materialise(found.select("id", "n", "seen", "prefix").mapInArrow(trimmed(_shared_keys(stored)), "key long, id long, n int, seen long, k int").distinct(), "shared")
     hubs = shared.groupBy("key").agg(F.max(F.struct("seen", "n", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
     near = shared.join(hubs, "key").where((F.col("id") != F.col("hub")) & _may_match("m", "n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     edges = materialise(_verified(same.union(close).union(near), docs, sets, words), "links")
     roots = simhash.components(edges)
     # 3: members of different components under one shingle
-    members = shared.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = members.join(apart, "key").select("key", "id", "n", "root").repartition("key").sortWithinPartitions("key")
-    cross = rows.mapInArrow(_cross(words), "a long, b long")
+    p, q = SIMILARITY
+    first = F.expr(f"k <= n - (n * {2 * p} + {p + q - 1}) div {p + q} + 1")
+    members = shared.select("key", "id", "n", first.alias("first")).join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "first", F.coalesce("root", "id").alias("root"))
+    counted = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("first").alias("small"), F.count("*").alias("all"))
+    apart = counted.where("low < high AND small > 0").select("key", F.ceil(F.col("small") / F.lit(BLOCK)).alias("xs"), F.ceil(F.col("all") / F.lit(BLOCK)).alias("ys"))
+    dealt, zero = materialise(members.join(apart, "key"), "members"), F.lit(0).cast("long")
+    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    side = lambda rows, small, x, y: rows.select("key", x.alias("x"), y.alias("y"), F.lit(small).alias("small"), "id", "n", "root")
+    rows = side(dealt.where("first"), True, block("xs"), F.explode(F.sequence(zero, F.col("ys") - 1))).unionByName(side(dealt, False, F.explode(F.sequence(zero, F.col("xs") - 1)), block("ys")))
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    cross = rows.mapInArrow(trimmed(_cross(words)), "a long, b long")
     more = materialise(_verified(cross, docs, sets, words), "links")
     roots = simhash.components(edges.union(more))
     discard(shared)
+    discard(dealt)
     return found.join(roots, found.id == roots.node, "left").select("doc_id", "row_key", F.coalesce("root", "id").alias("root"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from docloom.llm import near_copies as C
@@ -35,7 +36,9 @@ def test_stage_keeps_one_of_each_jaccard_group(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()} == set(want.values())
 
 
-def test_recall_of_edited_copies_and_chains(spark):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_recall_of_edited_copies_and_chains(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
     draw = random.Random(11)
     word = lambda: f"w{draw.randrange(3000)}"
     passage = [word() for _ in range(30)]
@@ -97,3 +100,17 @@ def test_large_group_of_near_copies(spark):
     for r in found:
         least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
     assert {r.doc_id: least[r.root] for r in found} == want and 1 < len(set(want.values())) < 120
+
+
+def test_pages_of_one_template_meet_no_more_than_they_must(spark, monkeypatch):
+    """Pages that share 100 words and have 15 of their own aren't similar, and none is compared with all others."""
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    template = " ".join(word() for _ in range(100))
+    pages = [f"{template} {' '.join(word() for _ in range(15))}" for _ in range(300)]
+    rows = list(enumerate([*pages, pages[7] + " end"]))
+    seen = []
+    verified = C._verified
+    monkeypatch.setattr(C, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    found = C.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len({r.root for r in found}) == len(rows) - 1 and seen[1] < len(rows)
