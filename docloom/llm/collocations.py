@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, discard, materialise, scratch, table
+from docloom.llm.common import bounded_batches, discard, materialise, scratch, table, trimmed
 from docloom.llm.sorted_arrays import Store
 
 #: Words of a phrase at most, occurrences at least, rows of a language, hundredths of a phrase's count at which a longer one replaces it.
@@ -33,9 +33,9 @@ LONGEST, LEAST, TOP, ABSORBS = 5, 100, 2000, 100
 #: The language of documents without one.
 NO_LANG = "und"
 #: Bytes of text of a shard, occurrences that are extended at a time, rows of a batch that goes back to Spark.
-SHARD_BYTES, GROUP, ROWS = 14 << 20, 1 << 18, 1 << 16
-#: Shards of a task where there are many, and rows of phrases that it adds up at a time.
-TASK_SHARDS, HELD = 16, 1 << 20
+SHARD_BYTES, GROUP, ROWS = 14 << 20, 1 << 17, 1 << 16
+#: Shards of a task of the last pass where there are many, and rows of phrases that it adds up at a time.
+TASK_SHARDS, HELD = 16, 1 << 19
 #: Bits of a filter for each key, the least and the greatest number of all its bits (powers of two), and slices.
 KEY_BITS, LEAST_BITS, FILTER_BITS, SLICES = 16, 20, 28, 64
 #: Parts that the rows of one language are ranked in before the best of all are.
@@ -172,7 +172,7 @@ class Filter:
                 self.store.put(f"{self.name}-{k}", words)
             yield pa.RecordBatch.from_arrays([pa.array([len(slices)], pa.int32())], ["slices"])
 
-        keys.repartition(SLICES, F.shiftrightunsigned("hash", 58)).select("hash").mapInArrow(run, "slices int").agg(F.sum("slices")).collect()
+        keys.repartition(SLICES, F.shiftrightunsigned("hash", 58)).select("hash").mapInArrow(trimmed(run), "slices int").agg(F.sum("slices")).collect()
         return self
 
 
@@ -218,13 +218,14 @@ class Line:
         self.filters = filters
         self.kept = np.flatnonzero(filters[0].holds(hashes))
         self.hashes = hashes[self.kept]
-        number = np.full(len(hashes) + 1, -1, np.int64)
+        number = np.full(len(hashes) + 1, -1, np.int32)
         number[self.kept + 1] = np.arange(len(self.kept))
         word = number[line]
         at = np.flatnonzero(word >= 0)
         key = (at >> 3) * max(1, len(self.kept)) + word[at]
         order = np.argsort(key, kind="stable")
         key, bit = key[order], np.uint8(1) << (at[order] & 7).astype(np.uint8)
+        del at, order
         edges = np.flatnonzero(np.diff(key, prepend=-1))
         bits = np.bitwise_or.reduceat(bit, edges) if len(edges) else bit
         block, word = np.divmod(key[edges], max(1, len(self.kept)))
@@ -286,7 +287,7 @@ class Line:
 
 
 def _line(store: Store, name: str, filters: list[Filter]) -> Line:
-    return Line(_unsqueeze(store.read(f"line-{name}", np.uint8)).astype(np.int64), np.array(store.read(f"hash-{name}", np.uint64)), filters)
+    return Line(_unsqueeze(store.read(f"line-{name}", np.uint8)).astype(np.int32), np.array(store.read(f"hash-{name}", np.uint64)), filters)
 
 
 def _count(store: Store, filters: list[Filter], size: int):
@@ -351,19 +352,20 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     bounded_batches(spark)
     store = Store(f"{scratch(spark)}/docloom-phrases-{uuid.uuid4().hex}")
     # names are drawn anew when a task is repeated, so they are written down before anything is read by them
-    parts = materialise(docs.select("lang", "text").mapInArrow(_shards(store), "name string, lang string, word string, hash long, n long"), "words")
+    parts = materialise(docs.select("lang", "text").mapInArrow(trimmed(_shards(store)), "name string, lang string, word string, hash long, n long"), "words")
     totals = materialise(parts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = materialise(parts.groupBy("lang", "word", "hash").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequent")
     names = materialise(parts.select("name").distinct(), "shards")
     discard(parts)
-    shards = names.repartition(max(2 * spark.sparkContext.defaultParallelism, names.count() // TASK_SHARDS), "name")
+    cores, n = spark.sparkContext.defaultParallelism, names.count()
+    shards, few = names.repartition(max(cores, n), "name"), names.repartition(max(2 * cores, n // TASK_SHARDS), "name")
     filters = [filter_of(words, store, "filter-1")]
     for size in range(2, longest):
-        counted = shards.mapInArrow(_count(store, filters, size), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        counted = shards.mapInArrow(trimmed(_count(store, filters, size)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         keys = materialise(counted.select("hash"), f"keys-{size}")
         filters.append(filter_of(keys, store, f"filter-{size}"))
         discard(keys)
-    spelt = shards.mapInArrow(_spell(store, filters, longest), "lang string, phrase string, size int, n long") if longest > 1 else None
+    spelt = few.mapInArrow(trimmed(_spell(store, filters, longest)), "lang string, phrase string, size int, n long") if longest > 1 else None
     phrases = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
     if spelt is not None:
         phrases = phrases.unionByName(spelt.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
