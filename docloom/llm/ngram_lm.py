@@ -56,11 +56,22 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
     sizes = np.bincount(pc.list_parent_indices(lists).filter(some).to_numpy(), minlength=len(texts))
     coded = flat.filter(some).dictionary_encode()
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) >> 1 for w in coded.dictionary.view(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
-    distinct, place = np.unique(h, return_inverse=True)
+    hashed = xxhash.xxh64_digest
+    h = np.frombuffer(b"".join([hashed(w, 7) for w in _cut(coded.dictionary)]), ">u8").astype(np.uint64) >> np.uint64(1)
+    distinct, place = np.unique(h.astype(np.int64), return_inverse=True)
     return distinct, place[coded.indices.to_numpy()], sizes
 
 
+def _cut(words: pa.StringArray) -> list[bytes]:
+    """The bytes of each word, none of them null; to_pylist() takes several times as long."""
+    _, ends, data = words.buffers()
+    if data is None:
+        return [b""] * len(words)
+    at = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK) -> Iterator[tuple[list[pa.RecordBatch], pa.Array]]:
     """Batches of about limit bytes of text, with their texts; null texts are empty."""
     held, n = [], 0
@@ -148,26 +159,44 @@ def _joined(pieces: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(unpack(p) for p in pieces))]
 
 
-def _summed(ids: list[np.ndarray], sums: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of word numbers (below 2**bits) in order, with sums of the other columns; without any, with their count."""
-    n, wide = len(ids[0]), bits * len(ids) <= 63
-    if wide:  # one number for a row
+def _packed(cols: list[np.ndarray]) -> np.ndarray:
+    """A number for each row of numbers >= 0, in the order of the rows: columns side by side, or their ranks where 64 bits don't hold both."""
+    ranks = lambda x: np.unique(x, return_inverse=True)[1].astype(np.uint64)
+    bits = lambda x: int(x.max(initial=0)).bit_length()
+    key, *rest = (c.astype(np.uint64) for c in cols)
+    for c in rest:
+        if bits(key) + bits(c) > 64:
+            key = ranks(key)
+        if bits(key) + bits(c) > 64:
+            c = ranks(c)
+        key = key << np.uint64(bits(c)) | c
+    return key
+
+
+def _summed(ids: list[np.ndarray], sums: list[np.ndarray], bits: int, key: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of word numbers (below 2**bits) in order, with sums of the other columns; without any, with their count.
+
+    key: hashes of the rows. Rows come in their order, or in that of their numbers if two rows share one.
+    """
+    n = len(ids[0])
+    if key is None and not sums and bits * len(ids) <= 63:  # one number for a row, from which it is read again
         key = np.zeros(n, np.int64)
         for c in ids:
             key = key << bits | c.astype(np.int64)
-        order = np.argsort(key) if sums else None
-        key = key[order] if sums else np.sort(key)
+        key = np.sort(key)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:n])
-        ids = [key[new] >> (bits * (len(ids) - 1 - k)) & ((1 << bits) - 1) for k in range(len(ids))]
-    else:
-        order = np.lexsort(ids[::-1])
-        ids = [c[order] for c in ids]
-        differ = np.zeros(n, bool)
-        differ[:1] = True
-        for c in ids:
-            differ[1:] |= c[1:] != c[:-1]
-        new = np.flatnonzero(differ)
-        ids = [c[new].astype(np.int64) for c in ids]
+        return [key[new] >> (bits * (len(ids) - 1 - k)) & ((1 << bits) - 1) for k in range(len(ids))], [np.diff(np.r_[new, n])]
+    hashed = key is not None
+    key = key if hashed else _packed(ids)
+    order = np.argsort(key)
+    key = key[order]
+    differ = np.r_[True, key[1:] != key[:-1]][:n]
+    if hashed:
+        same = np.flatnonzero(~differ)
+        if any((c[order[same]] != c[order[same - 1]]).any() for c in ids):
+            return _summed(ids, sums, bits)
+    new = np.flatnonzero(differ)
+    ids = [c[order[new]].astype(np.int64) for c in ids]
     if not sums:
         return ids, [np.diff(np.r_[new, n])]
     return ids, [np.add.reduceat(c[order].astype(np.int64), new) if n else c.astype(np.int64) for c in sums]
@@ -206,8 +235,8 @@ def _word_pieces(bits: int) -> Callable:
 def _row_pieces(keys: Keys, words: int, bits: int) -> Callable:
     """Pieces of rows of word numbers and sums. Pairs go by their key, triples (the last two words, then the first) by a hash of all three."""
 
-    def split(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids, sums = _summed(cols[:words], cols[words:], keys.bits)
+    def split(kind: int, cols: list[np.ndarray], distinct: bool = False) -> Iterator[pa.RecordBatch]:
+        ids, sums = (cols[:words], cols[words:]) if distinct else _summed(cols[:words], cols[words:], keys.bits)
         part = (keys.row(ids) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
         order = np.argsort(part, kind="stable")
         yield from _pieces(kind, part[order], [c[order] for c in (*ids, *sums)])
@@ -282,9 +311,13 @@ def _count_grams(vocab: Vocabulary, order: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, 2 * CHUNK):
             distinct, at, sizes = encode(texts)
-            cols = ngrams(vocab.numbers(distinct)[at], sizes, order, vocab.START, vocab.END)
+            # ranks of the numbers here: a row of them fits in one number, however large the vocabulary
+            own, rank = np.unique(np.r_[vocab.numbers(distinct), vocab.START, vocab.END], return_inverse=True)
+            cols = ngrams(rank[at], sizes, order, rank[-2], rank[-1])
             del texts, at
-            yield from split(GRAMS if order == 3 else LEFTS, [cols[-2], cols[-1], *cols[:-2]])
+            ids, n = _summed([cols[-2], cols[-1], *cols[:-2]], [], len(own).bit_length())
+            del cols
+            yield from split(GRAMS if order == 3 else LEFTS, [*(own[c] for c in ids), *n], distinct=True)
 
     return run
 
@@ -302,7 +335,7 @@ def _store_grams(vocab: Vocabulary, store: Store, bits: int, pair_bits: int) ->
         yield from passing
         for p, kind in list(held):
             *cols, n = _joined(held.pop((p, kind)))
-            (second, third, first), (n,) = _summed(cols, [n], vocab.keys.bits)
+            (second, third, first), (n,) = _summed(cols, [n], vocab.keys.bits, vocab.keys.row(cols))
             Hashed(store, "gram", bits).put(p, vocab.keys.row([second, third, first]), count=n)
             yield _summary({"part": p, "grams": _tally(n)})
             yield from pairs(LEFTS, [second, third])
@@ -324,25 +357,27 @@ def _store_pairs(vocab: Vocabulary, store: Store, bits: int) -> Callable:
             cols = _joined(held.pop((p, CONTEXTS), [])) or none
             context, follow = _summed(cols[:2], cols[2:], vocab.keys.bits)
             key, other = vocab.keys.pair(first, second), vocab.keys.pair(*context)
-            every = np.union1d(key, other)
+            every, at = np.unique(np.r_[key, other], return_inverse=True)
             lefts, rows = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-            lefts[np.searchsorted(every, key)] = left
+            lefts[at[: len(key)]] = left
             # few different rows of what follows, the most frequent first: pairs keep their numbers, from 1 on
-            order = np.lexsort(follow)
-            ranked = np.stack([f[order] for f in follow], 1)
-            new = np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)][: len(order)]
+            alike = _packed(follow)
+            order = np.argsort(alike)
+            alike = alike[order]
+            new = np.r_[True, alike[1:] != alike[:-1]][: len(order)]
             start = np.flatnonzero(new)
             often = np.argsort(-np.diff(np.r_[start, len(order)]), kind="stable")
             number = np.empty(len(start), np.int64)
             number[often] = np.arange(1, len(start) + 1)
-            rows[np.searchsorted(every, other[order])] = number[np.cumsum(new) - 1]
+            rows[at[len(key) :][order]] = number[np.cumsum(new) - 1]
             Hashed(store, "pair", bits).put(p, every, left=lefts, row=rows)
-            store.put(f"pair-rows-{p}", np.concatenate([np.zeros((1, 4), np.int64), ranked[start[often]].astype(np.int64)]))
+            store.put(f"pair-rows-{p}", np.concatenate([np.zeros((1, 4), np.int64), np.stack([f[order[start[often]]] for f in follow], 1)]))
             yield _summary({"part": p, "lefts": _tally(left)})
-            ids = np.unique(np.concatenate([first, second]))
-            at, kind = np.searchsorted(ids, first), np.minimum(left, 3)
+            ids, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+            at, after = at[: len(first)], at[len(first) :]
+            kind = np.minimum(left, 3)
             sums = [np.bincount(at, left, len(ids)).astype(np.int64), *(np.bincount(at[kind == k], minlength=len(ids)) for k in (1, 2, 3))]
-            sums.append(np.bincount(np.searchsorted(ids, second), minlength=len(ids)))
+            sums.append(np.bincount(after, minlength=len(ids)))
             part, _ = vocab.place(ids)
             order = np.argsort(part, kind="stable")
             yield from _pieces(WORDS, part[order], [c[order] for c in (ids, *sums)])
@@ -366,10 +401,9 @@ def _store_stats(vocab: Vocabulary, store: Store) -> Callable:
             if p == vocab.parts:
                 out["marks"] = {str(i): [int(s[k]) for s in sums] for k, i in enumerate(ids.tolist())}
             else:
-                for name, s in zip(_WORD, sums):
-                    dense = np.zeros(vocab.sizes[p], np.int64)
-                    dense[vocab.place(ids)[1]] = s
-                    store.put_small(f"word-{name}-{p}", dense)
+                dense = np.zeros((len(_WORD), vocab.sizes[p]), np.int64)
+                dense[:, vocab.place(ids)[1]] = sums
+                store.put_small(f"word-stats-{p}", dense.ravel())
             yield _summary(out)
 
     return run
@@ -414,10 +448,16 @@ class Model:
         """count and the sums of _store_stats of word numbers, 0 for unknown ones."""
         out = {name: np.zeros(len(ids)) for name in ("count", *_WORD)}
         part, rank = self.vocab.place(ids)
-        for p in np.unique(part[part < self.vocab.parts]).tolist():
-            mine = np.flatnonzero(part == p)
-            for name, x in out.items():
-                x[mine] = self.store.small(f"word-{name}-{p}")[rank[mine]]
+        order = np.argsort(part)
+        ranked = part[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]), len(part)] if len(part) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            p, mine = int(ranked[a]), order[a:b]
+            if p < self.vocab.parts:
+                out["count"][mine] = self.store.small(f"word-count-{p}")[rank[mine]]
+                at = np.arange(len(_WORD))[:, None] * self.vocab.sizes[p] + rank[mine]
+                for name, x in zip(_WORD, self.store.small(f"word-stats-{p}")[at.ravel()].reshape(at.shape)):
+                    out[name][mine] = x
         for number in (self.vocab.START, self.vocab.END):
             at = ids == number
             out["count"][at] = self.docs
@@ -432,7 +472,7 @@ class Model:
         edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
         for a, b in zip(edges[:-1], edges[1:]):
             if rows[a:b].any():
-                out[a:b] = self.store.read(f"pair-rows-{part[a]}", np.int64).reshape(-1, 4)[rows[a:b]]
+                out[a:b] = np.asarray(self.store.read(f"pair-rows-{part[a]}", np.int64)).reshape(-1, 4)[rows[a:b]]
         return out
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:

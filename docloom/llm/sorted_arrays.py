@@ -61,8 +61,8 @@ class Store:
             self.put(f"{name}-large", np.r_[large, a[large]].astype(np.int64))
 
     def small(self, name: str) -> "Small":
-        large = self.read(f"{name}-large", np.int64)
-        return Small(self.read(name, np.uint8), large[: len(large) // 2], large[len(large) // 2 :])
+        large = np.asarray(self.read(f"{name}-large", np.int64))  # plain arrays: slices of numpy's own kind of map cost more than what is read
+        return Small(np.asarray(self.read(name, np.uint8)), large[: len(large) // 2], large[len(large) // 2 :])
 
 
 class Small:
@@ -210,7 +210,7 @@ class Hashed:
         if have is None:
             if len(self.parts) >= self.OPEN:
                 self.parts.pop(next(iter(self.parts)))
-            have = self.parts[p] = (self.store.read(f"{self.name}-{p}", np.uint32), self.store.read(f"{self.name}-runs-{p}", np.uint32), {})
+            have = self.parts[p] = (np.asarray(self.store.read(f"{self.name}-{p}", np.uint32)), np.asarray(self.store.read(f"{self.name}-runs-{p}", np.uint32)), {})
         return have
 
     def look(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:

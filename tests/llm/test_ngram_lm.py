@@ -131,6 +131,50 @@ def test_sums_of_rows(bits):
     assert [len(c) for c in N._summed([cols[0][:0]] * 3, [n[:0]], bits)[0]] == [0, 0, 0]
 
 
+def test_sums_of_rows_that_are_sorted_by_their_hashes():
+    draw = np.random.default_rng(6)
+    cols = [draw.integers(0, 5, 400) + (1 << 29) for _ in range(3)]
+    n = draw.integers(1, 9, 400)
+    want = Counter()
+    for *g, k in zip(*cols, n):
+        want[tuple(map(int, g))] += int(k)
+    for key in (N.Keys(30).row(cols), np.zeros(400, np.uint64), (cols[0] & 1).astype(np.uint64)):  # told apart by all, none or some of the hashes
+        ids, (sums,) = N._summed(cols, [n], 30, key)
+        assert dict(zip(zip(*(c.tolist() for c in ids)), sums.tolist())) == want and len(sums) == len(want)
+
+
+@pytest.mark.parametrize("top", [9, 1 << 30, 1 << 62])
+def test_rows_in_one_number(top):
+    draw = np.random.default_rng(7)
+    cols = [draw.integers(0, 4, 500) * (top // 4) for _ in range(4)]
+    key = N._packed(cols)
+    rows = list(zip(*(c.tolist() for c in cols)))
+    assert [rows[k] for k in np.argsort(key, kind="stable")] == sorted(rows) and len(set(key.tolist())) == len(set(rows))
+
+
+def test_words_of_large_numbers_are_counted_without_sorts_of_columns(monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("columns are sorted one after the other")
+
+    class Large:
+        """Numbers of 30 bits, so that no three fit in 63."""
+
+        START, END, keys, bits = N.Vocabulary.START, N.Vocabulary.END, N.Keys(30), 30
+
+        def numbers(self, hashes):
+            return (1 << 29) + (hashes & ((1 << 29) - 1))
+
+    texts = ["a b c a b c", "a b", "", None, "c a b"]
+    batch = lambda: iter([N.pa.record_batch([N.pa.array(texts, N.pa.string())], ["text"])])
+    monkeypatch.setattr(N.np, "lexsort", refused)
+    pieces = list(N._count_grams(Large(), 3, 3)(batch()))
+    second, third, first, n = N._joined([p for b in pieces for p in b.column("piece").to_pylist()])
+    names = {int(Large().numbers(N.encode(N.pa.array([w]))[0])[0]): w for w in "abc"} | {Large.START: "<", Large.END: ">"}
+    have = {tuple(names[int(x)] for x in g): int(k) for *g, k in zip(first, second, third, n)}
+    want = Counter(g for t in texts for w in [["<", "<", *(t or "").split(), ">"]] for g in zip(w, w[1:], w[2:]))
+    assert have == want
+
+
 def test_packed_columns_come_back():
     draw = np.random.default_rng(0)
     keys = np.sort(draw.integers(0, 1 << 63, 500).astype(np.uint64)) << np.uint64(1)
