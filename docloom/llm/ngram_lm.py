@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import bounded_batches, fold, scratch, table
+from docloom.llm.common import bounded_batches, fold, scratch, table, trimmed
 from docloom.llm.sorted_arrays import Arrays, Hashed, Store, added, pack, part_bits, unpack
 
 ORDER = 3
@@ -206,7 +206,7 @@ def _dealt(df: DataFrame, bits: int, split: Callable) -> DataFrame:
     """Pieces at their parts (bits leading bits). Beyond HOP_BITS they go by their leading bits first, are put together there, and are dealt once more."""
     if bits > HOP_BITS:
         high = F.shiftright("part", bits - HOP_BITS)
-        df = df.repartition(1 << bits, high, F.pmod(F.xxhash64("piece"), F.lit(1 << (bits - HOP_BITS)))).mapInArrow(_regroup(split), _PIECE)
+        df = df.repartition(1 << bits, high, F.pmod(F.xxhash64("piece"), F.lit(1 << (bits - HOP_BITS)))).mapInArrow(trimmed(_regroup(split)), _PIECE)
     return df.repartition(1 << bits, "part")
 
 
@@ -518,15 +518,15 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = part_bits(size // 12)  # words of a task are added up before they are dealt
-    counted = _dealt(texts.mapInArrow(_count_words(bits), _PIECE), bits, _word_pieces(bits))
-    parts = {r.part: (r["size"], r.n) for r in counted.mapInArrow(_store_words(store), "part int, size long, n long").collect()}  # one row per part
+    counted = _dealt(texts.mapInArrow(trimmed(_count_words(bits)), _PIECE), bits, _word_pieces(bits))
+    parts = {r.part: (r["size"], r.n) for r in counted.mapInArrow(trimmed(_store_words(store)), "part int, size long, n long").collect()}  # one row per part
     vocab = Vocabulary(store, bits, [parts.get(p, (0, 0))[0] for p in range(1 << bits)])
     bits, pair_bits, word_bits = part_bits(size // 6), part_bits(size // 4), bits
-    first = texts.mapInArrow(_count_grams(vocab, order, bits if order == 3 else pair_bits), _PIECE)
+    first = texts.mapInArrow(trimmed(_count_grams(vocab, order, bits if order == 3 else pair_bits)), _PIECE)
     if order == 3:
-        first = _dealt(first, bits, _row_pieces(vocab.keys, 3, bits)).mapInArrow(_store_grams(vocab, store, bits, pair_bits), _PIECE)
-    pairs = _dealt(first, pair_bits, _row_pieces(vocab.keys, 2, pair_bits)).mapInArrow(_store_pairs(vocab, store, pair_bits), _PIECE)
-    last = pairs.repartition((1 << word_bits) + 1, "part").mapInArrow(_store_stats(vocab, store), _PIECE)
+        first = _dealt(first, bits, _row_pieces(vocab.keys, 3, bits)).mapInArrow(trimmed(_store_grams(vocab, store, bits, pair_bits)), _PIECE)
+    pairs = _dealt(first, pair_bits, _row_pieces(vocab.keys, 2, pair_bits)).mapInArrow(trimmed(_store_pairs(vocab, store, pair_bits)), _PIECE)
+    last = pairs.repartition((1 << word_bits) + 1, "part").mapInArrow(trimmed(_store_stats(vocab, store)), _PIECE)
     sums = [json.loads(bytes(r.piece)) for r in last.select("piece").collect()]  # a few rows per part
     return Model(store, vocab, order, n_docs, sum(n for _, n in parts.values()) + n_docs, (bits, pair_bits), sums)
 
@@ -554,7 +554,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *(pa.array(x[s], t) for x, (_, t, _) in zip(full, new))], [*cols, *names])
 
     schema = T.StructType([*(docs.schema[c] for c in cols), *(T.StructField(n, t) for n, _, t in new)])
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(trimmed(run), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
