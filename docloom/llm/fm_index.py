@@ -7,14 +7,15 @@ Windows of the benchmark are searched backwards, all at once; the matching rows
 Occurrences become word spans, which are merged per document. Documents never leave their scan task: no shuffle.
 
 The windows travel as broadcasts of at most PASS_WINDOWS windows. A larger benchmark takes more passes over the same
-task, each merging its spans into those of the last, so nothing is left out.
+task, each merging its spans into those of the last, so nothing is left out. The passes of a task, and the cutting after
+them, run in one Python worker.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,7 @@ def _pass(windows, shard_words: int):
         def flush():
             nonlocal held, texts, total
             spans, items = hits(texts, windows.value)
+            sizes, texts = [len(t) for t in texts], []
             at = 0
             for b in held:
                 old_spans, old_items = b.column("__spans").to_pylist(), b.column("__items").to_pylist()
@@ -238,7 +240,7 @@ def _pass(windows, shard_words: int):
                     merged = _merge(np.concatenate([before, spans[at + k]]))
                     new_spans.append([{"start": int(s), "stop": int(e)} for s, e in merged])
                     new_items.append(sorted(items[at + k].union(old_items[k])))
-                    n.append(len(texts[at + k]))
+                    n.append(sizes[at + k])
                 at += b.num_rows
                 cols = [c for c in b.schema.names if not c.startswith("__")]
                 yield pa.RecordBatch.from_arrays(
@@ -260,6 +262,38 @@ def _pass(windows, shard_words: int):
     return run
 
 
+def _chain(steps: list[Callable]) -> Callable:
+    """All steps in one worker, each on the batches of the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return run
+
+
+def _passes(spark: SparkSession, benchmark: DataFrame, window: int, shard_words: int, pass_windows: int) -> list[Callable]:
+    """The passes over the windows of the benchmark, one at least."""
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    out: list[Callable] = []
+    block: list = []
+    size = 0
+    for r in itertools.chain(items.toLocalIterator(prefetchPartitions=False), [None]):
+        if r is not None:
+            block.append((r[0], bytes(r[1]) if r[1] is not None else None))
+            size += len(r[1] or b"") // 2  # at most so many windows
+        if size >= pass_windows or (r is None and (block or not out)):
+            out.append(_pass(spark.sparkContext.broadcast(windows_of(block, window)), shard_words))
+            block, size = [], 0
+    return out
+
+
+def _with_state(docs: DataFrame, cols: list[str]) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(*cols).withColumn("__spans", F.array().cast(_STATE[0].dataType)).withColumn("__items", F.array().cast("array<string>")).withColumn("__n_words", F.lit(0).cast("long"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """docs with spans (merged word spans hit by windows), items (ids of items with occurring windows, sorted) and n_words.
 
@@ -267,26 +301,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     rows that repeat an item count once. Columns of docs named spans, items, n_words or __* are replaced. An empty
     benchmark hits nothing; an empty docs gives no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     cols = [c for c in docs.columns if c not in ("spans", "items", "n_words") and not c.startswith("__")]
-    state = docs.select(*cols).withColumn("__spans", F.array().cast(_STATE[0].dataType)).withColumn("__items", F.array().cast("array<string>")).withColumn("__n_words", F.lit(0).cast("long"))
     schema = T.StructType([*(docs.schema[c] for c in cols), *_STATE])
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
-    block: list = []
-    blocks = 0
-    size = 0
-    for r in itertools.chain(items.toLocalIterator(prefetchPartitions=False), [None]):
-        if r is not None:
-            block.append((r[0], bytes(r[1]) if r[1] is not None else None))
-            size += len(r[1] or b"") // 2  # at most so many windows
-        if size >= pass_windows or (r is None and (block or not blocks)):
-            state = state.mapInArrow(trimmed(_pass(spark.sparkContext.broadcast(windows_of(block, window)), shard_words)), schema)
-            block, size, blocks = [], 0, blocks + 1
+    passes = _passes(docs.sparkSession, benchmark, window, shard_words, pass_windows)
+    state = _with_state(docs, cols).mapInArrow(trimmed(_chain(passes)), schema)
     return state.select(*cols, F.col("__spans").alias("spans"), F.col("__items").alias("items"), F.col("__n_words").alias("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS // 4) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS // 4, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """docs with every hit span cut from its text; documents without hits stay as they are, and so do all other columns.
 
     A span is cut from the first byte of its first word to the last byte of its last word. Null texts stay null, repeated rows are
@@ -295,7 +317,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     others = F.struct(F.lit(0).alias("__"), *(c for c in docs.columns if c != "text")).alias("record")
     given = docs.select("text", others)
-    found = find(given, benchmark, window, shard_words)
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("record", given.schema["record"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +324,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
         for b in batches:
-            texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
+            texts, spans = b.column("text").to_pylist(), b.column("__spans").to_pylist()
             for k, cut in enumerate(spans):
                 if cut:
                     raw = texts[k].encode()
@@ -315,7 +336,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     texts[k] = b"".join([*kept, raw[end:]]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column("record")], ["text", "record"])
 
-    cut = found.select("text", "record", "spans").mapInArrow(trimmed(run), schema)
+    passes = _passes(docs.sparkSession, benchmark, window, shard_words, pass_windows)
+    cut = _with_state(given, given.columns).mapInArrow(trimmed(_chain([*passes, run])), schema)
     return cut.select(*(F.col("text") if c == "text" else F.col("record")[c].alias(c) for c in docs.columns))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Shared, bounded_batches, fold, table
+from docloom.llm.common import Shared, bounded_batches, fold, table, trimmed
 
 UNKNOWN = "und"
 DIM_BITS = 14
@@ -203,11 +203,13 @@ def train(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG) -> Mode
     if not counts:
         return Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
     # twice the share that gives per_lang rows is looked at, then ranked: the window never sees a whole language
-    share = spark.createDataFrame([(r[0], int(min(1.0, 2 * per_lang / r[1] + 60 / r[1]) * (1 << 40))) for r in counts], "l string, most long")
+    # an Arrow table: rows of Python objects would start a second set of workers on every executor
+    most = [int(min(1.0, 2 * per_lang / r[1] + 60 / r[1]) * (1 << 40)) for r in counts]
+    share = spark.createDataFrame(pa.table({"l": pa.array([r[0] for r in counts], pa.string()), "most": pa.array(most, pa.int64())}))
     few = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.col("u") < F.col("most"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("u"))
     sample = few.withColumn("rank", first).where(F.col("rank") <= per_lang).select("lang", "text")
-    got = sample.mapInArrow(_featurise, "lang string, at array<int>, tf array<float>").toArrow()  # per_lang rows of each language at most
+    got = sample.mapInArrow(trimmed(_featurise), "lang string, at array<int>, tf array<float>").toArrow()  # per_lang rows of each language at most
     examples = []
     for b in got.to_batches():
         for y, at, tf in zip(b.column("lang").to_pylist(), b.column("at"), b.column("tf")):
@@ -216,7 +218,7 @@ def train(docs: DataFrame, lang: str = "lang", per_lang: int = PER_LANG) -> Mode
     examples.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes(), e[2].tobytes()))  # the order of partitions doesn't matter
     order = np.random.default_rng(11).permutation(len(examples))
     # sums of the tasks' counts (a row each) are added in groups, then here
-    parts = rows.select("text").mapInArrow(_count_features, "n long, df binary").repartition(32).mapInArrow(_add_features, "n long, df binary").collect()
+    parts = rows.select("text").mapInArrow(trimmed(_count_features), "n long, df binary").repartition(32).mapInArrow(trimmed(_add_features), "n long, df binary").collect()
     df = sum((np.frombuffer(bytes(p.df), np.int64) for p in parts), np.zeros(1 << DIM_BITS, np.int64))
     return fit([examples[k] for k in order], df, sum(p.n for p in parts))
 
@@ -239,7 +241,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*cols, "lang_pred", "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in cols), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(trimmed(run), schema)
 
 
 def learnt_rows(docs: DataFrame) -> DataFrame:

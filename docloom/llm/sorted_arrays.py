@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import trimmed
+
 #: Entries of a part before equal ones are added up, about.
 PART_ENTRIES = 1_500_000
 
@@ -258,7 +260,7 @@ def store_arrays(rows: DataFrame, root: str, name: str, entries: int) -> Arrays:
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32())], ["part"])
 
     dealt = rows.repartition(1 << bits, F.shiftrightunsigned(key, 64 - bits))
-    dealt.mapInArrow(run, "part int").agg(F.count("*")).collect()
+    dealt.mapInArrow(trimmed(run), "part int").agg(F.count("*")).collect()
     return Arrays(store, name, np.uint64, bits, 64, dict.fromkeys(values, np.int64))
 
 

@@ -80,6 +80,18 @@ def test_cutting(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Before, ! After é.", 2: "clean text", 3: None, 4: ""}
 
 
+@pytest.mark.parametrize("block", [10**6, 5])
+def test_passes_and_cutting_share_a_worker(spark, block):
+    items = [(k, f"stop{k} here{k} now{k} and{k} then{k}") for k in range(6)]
+    docs = [(k, f"Kept {k}, {t.upper()}! Rest.", 1) for k, t in items] + [(9, f"{items[0][1]} middle {items[5][1]}", 2), (10, None, 3), (11, "clean", 4)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    out = M.decontaminate(df, bench, window=4, shard_words=8, pass_windows=block)
+    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {*((k, f"Kept {k}, ! Rest.", 1) for k in range(6)), (9, " middle ", 2), (10, None, 3), (11, "clean", 4)}
+    # each MapInArrow of a stage has a worker of its own beside every task, and workers live on
+    for frame in (out, M.find(df, bench, 4, 8, block)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "quick BROWN fox"), (2, "..."), (3, None)], "item_id long, text string")
     out = M.find(odd_docs, bench).collect()

@@ -51,6 +51,17 @@ def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in L.identify(odd_docs, empty).collect()} == {"und"} and L.identify(no_docs, m).count() == 0
 
 
+def test_training_starts_no_second_set_of_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"the cat and the dog {k}" if k % 2 else f"der hund und die katze {k}", "en" if k % 2 else "de") for k in range(40)], "doc_id long, text string, lang string")
+
+    def python_rows(*_, **__):
+        raise AssertionError("rows of Python objects get workers of their own")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", python_rows)
+    model = L.train(docs)
+    assert model.langs == ["de", "en"] and model.predict("the cat and the dog")[0] == "en" and model.predict("der hund und die katze")[0] == "de"
+
+
 def slow_features(text):
     """N-gram counts by plain numbers: lower-case letters and marks, runs of others as one space."""
     kept, last = [], None
