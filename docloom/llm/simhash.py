@@ -64,7 +64,10 @@ def _segments(fp: str) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """All pairs a < b of distinct fingerprints (column fp) that differ in at most RADIUS bits, as (a, b)."""
+    """All pairs a < b of distinct fingerprints (column fp) that differ in at most RADIUS bits, as (a, b).
+
+    Neither side is broadcast: Spark takes what explode() makes of a row, 66 rows for a probe, for one.
+    """
     if RADIUS // SEGMENTS > 1:
         raise ValueError("balls of radius 0 and 1 only")
 
@@ -82,7 +85,7 @@ def links(fps: DataFrame) -> DataFrame:
     stored = fps.select(F.col("fp").alias("a"), keys(ball=False).alias("key"))
     probes = fps.select(F.col("fp").alias("b"), keys(ball=True).alias("key"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    return stored.join(probes, (stored.key == probes.key) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    return stored.join(probes.hint("merge"), (stored.key == probes.key) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

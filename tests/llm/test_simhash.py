@@ -78,3 +78,10 @@ def test_odd_rows_and_no_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 1, 3, 6, 7, 8]
     assert H.near_duplicates(no_docs).count() == 0 and H.keep_one(no_docs).count() == 0
+
+
+def test_probes_are_not_broadcast(spark):
+    fps = spark.createDataFrame([(0,), (1,), (0x7000,)], "fp long")
+    found = H.links(fps)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 0x7000)]
