@@ -318,3 +318,10 @@ def test_report_map_and_texts_with_many_names(spark):
     got = {r.doc_id: (r.team_ord, r.member, r.confidence) for r in matching.content_matches(docs, roster).collect()}
     assert got == {1: (1, "Ann Doe", 0.95), 2: (1, "Ann Doe", 0.95), 3: (2, "Joann Doe", 1.0), 5: (3, "Ed", 1.0), 6: (4, "Straße", 0.95)}
     assert matching.content_matches(docs, roster.limit(0)).count() == 0
+
+
+def test_cells_of_a_table_are_taken_once(spark):
+    df = spark.createDataFrame([([["A", "A"], ["1", "2"]],)], "cells_in array<array<string>>").select(shaping.shape_table(F.col("cells_in"), page=True).alias("t"))
+    assert df._jdf.queryExecution().analyzed().toString().count("cells_in#") <= 3
+    t = df.first().t
+    assert t.headers == ["A", "A (2)"] and t.rows == [{"A": "1", "A (2)": "2"}]
