@@ -142,3 +142,37 @@ def test_occurrences_equal_a_search(spark, monkeypatch):
     assert got == sorted((d, p, k) for d, t in enumerate(texts) for k, p in enumerate(patterns) if t and p and p in t) and len(got) > 100
     assert M.occurrences(docs, df.limit(0)).count() == 0 and M.occurrences(docs.limit(0), df).count() == 0
     assert M.occurrences(docs, df.limit(0)).columns == ["doc_id", "pattern", "offset"]
+
+
+def test_jaccard_pairs_write_less_than_hashes_of_all_shingles(spark, monkeypatch):
+    """What is stored and joined of lines that are like no other is neither their shingles nor their texts."""
+    stored, real = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, name: stored.append(real(df, name)) or stored[-1])
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [(k, 0, " ".join(word() for _ in range(30))) for k in range(300)]
+    rows += [(1000 + k, 0, rows[k][2] + " more") for k in range(3)]
+    found = S.list_pairs(spark.createDataFrame(rows, "doc_id long, row_idx int, text string"), structural=False).where("a <> b").collect()
+    assert len(found) == 3 and all(abs(r.jaccard - 26 / 27) < 1e-12 for r in found)
+    assert sum(df.count() for df in stored) < 30
+
+
+def test_batch_shingles_against_sets(spark):
+    import pyarrow as pa
+
+    from docloom.functions import shingled
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["a", "bc", "d1", "éa", "x" * 30, "-"], k=rng.randrange(14))) for _ in range(300)] + ["", None, "a b", "a  b", "ab"]
+    words = ["".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in t or "").split() for t in texts]
+    sets = [set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    _, n = shingled.shingle_sets(pa.array(texts, pa.string()))
+    assert n.tolist() == [len(s) for s in sets]
+    # a slice, as of a batch that was cut
+    assert shingled.shingle_sets(pa.array(texts, pa.string()).slice(7))[1].tolist() == [len(s) for s in sets[7:]]
+    ids = shingled.list_ids.func(pa.array(texts, pa.string())).to_pylist()
+    assert len({(i, tuple(w)) for i, w in zip(ids, words)}) == len(set(ids)) == len({tuple(w) for w in words})
+    some = [k for k, w in enumerate(words) if w][:80]
+    pairs = [(i, j) for i in some for j in some]
+    got = shingled.jaccards.func(*(pa.array([texts[p[side]] for p in pairs], pa.string()) for side in (0, 1))).to_pylist()
+    assert all(abs(g - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 1e-12 for g, (i, j) in zip(got, pairs))
